@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference has no streaming sources, sinks or stateful operators, so none are built. The batch
+reshape accepts any DataFrame of spans, which includes one micro-batch handed to
+``foreachBatch`` by a user's own stream.
+"""
