@@ -72,3 +72,109 @@ def q_avg_trace_matrix(spark, data_dir):
 @register("sum_trace_matrix")
 def q_sum_trace_matrix(spark, data_dir):
     return reshape.sum_trace_matrix(spans_table(spark, data_dir), FROM, TO)
+
+
+# ------------------------------------------------------------------ rule space and scoring
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from spanrules.operators import cube as cube_ops  # noqa: E402
+from spanrules.operators import scoring, space as space_ops  # noqa: E402
+from spanrules.operators.thresholds import rule_columns  # noqa: E402
+from spanrules.session import cut_lineage  # noqa: E402
+
+TARGET = "checkout_avg_dur"
+QUANTILES = (0.0, 0.25, 0.5, 0.75)
+DEPTH = 2
+
+
+class Context:
+    """Trace matrix (checkpointed once, reused by every job of a query), rule space and cube."""
+
+    def __init__(self, spark: SparkSession, data_dir: str, quantiles=QUANTILES):
+        self.spark = spark
+        self.traces = cut_lineage(reshape.avg_trace_matrix(spans_table(spark, data_dir), FROM, TO))
+        self.cols = rule_columns(self.traces)
+        self.target = TARGET
+        lo, hi = space_ops.median_to_max(self.traces, TARGET)
+        self.space = space_ops.make_space(self.traces, self.cols, quantiles, TARGET, lo, hi)
+        self.cube = cut_lineage(cube_ops.bucket_cube(self.traces, self.space))
+
+    def conds(self, feasible_only=False):
+        return space_ops.condition_list(self.space, feasible_only=feasible_only)
+
+    def rules(self, depth=DEPTH, feasible_only=False):
+        return space_ops.rules_up_to(self.spark, self.conds(feasible_only), depth)
+
+
+METRIC_COLS = ("precision", "recall", "fmeasure")
+
+
+def _scored_view(scored: DataFrame) -> DataFrame:
+    out = scored.select("rule_id", F.size("rule").alias("n_conds"), "tp", "fp", "support",
+                        *METRIC_COLS)
+    return scoring.round_metrics(out, METRIC_COLS)
+
+
+@register("quantile_thresholds")
+def q_quantile_thresholds(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    from spanrules.operators.thresholds import thresholds_frame
+    return thresholds_frame(spark, ctx.space.thresholds, ctx.cols)
+
+
+@register("label_counts")
+def q_label_counts(spark, data_dir):
+    return cube_ops.label_counts(Context(spark, data_dir).cube)
+
+
+@register("threshold_counts")
+def q_threshold_counts(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    return cube_ops.threshold_counts(ctx.cube, ctx.space)
+
+
+@register("bucket_cube")
+def q_bucket_cube(spark, data_dir):
+    c = Context(spark, data_dir).cube
+    return c.select(F.array_join("b", ",").alias("b"), "yb", "n", "s1", "s2")
+
+
+@register("condition_space")
+def q_condition_space(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    return space_ops.condition_space(spark, ctx.space)
+
+
+@register("rule_decode")
+def q_rule_decode(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    th = F.array(*[F.array(*[F.lit(float(t)) for t in ctx.space.thresholds[c]]) for c in ctx.cols])
+    names = F.array(*[F.lit(c) for c in ctx.cols])
+    return (ctx.rules().select("rule_id", F.explode("rule").alias("x"))
+               .select("rule_id", names[F.col("x.c")].alias("col"),
+                       th[F.col("x.c")][F.col("x.lo")].alias("t_lo"),
+                       th[F.col("x.c")][F.col("x.hi")].alias("t_hi")))
+
+
+@register("rule_metrics")
+def q_rule_metrics(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    return _scored_view(scoring.score_rules(ctx.cube, ctx.rules()))
+
+
+@register("bin_features")
+def q_bin_features(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    feats = set(space_ops.bin_feature_list(ctx.space))
+    cs = space_ops.condition_space(spark, ctx.space)
+    keep = F.array(*[F.lit(f"{c}:{lo}:{hi}") for c, lo, hi in sorted(feats)])
+    return (cs.filter(F.array_contains(keep, F.concat_ws(":", "c", "lo", "hi")))
+              .select("c", "col", "lo", "hi", "t_lo", "t_hi"))
+
+
+@register("bin_features_scored")
+def q_bin_features_scored(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    rules = space_ops.rules_up_to(spark, space_ops.bin_feature_list(ctx.space), 1)
+    return _scored_view(scoring.score_rules(ctx.cube, rules))

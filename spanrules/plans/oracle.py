@@ -93,7 +93,105 @@ def reshape_sql() -> dict[str, str]:
     }
 
 
+# ------------------------------------------------------------------ rule space and scoring
+
+QUANTILES = (0.0, 0.25, 0.5, 0.75)
+
+
+def space_ctes(quantiles=QUANTILES) -> str:
+    """Unpivoted traces, thresholds, target interval (median, max] and conditions."""
+    tv = " UNION ALL ".join(
+        f"SELECT rid, {p} AS pos, '{c}' AS col, {c} AS v FROM tr" for p, c in enumerate(RULE_COLS))
+    qs = "[" + ", ".join(repr(float(q)) for q in quantiles) + "]"
+    return f"""
+tr AS (SELECT row_number() OVER () AS rid, * FROM traces),
+tv AS ({tv}),
+qs AS (SELECT pos, col, list_sort(list_distinct(list_append(quantile_disc(v, {qs}), max(v) + 1))) AS th
+       FROM tv GROUP BY pos, col),
+thr AS (SELECT pos, col, unnest(th) AS t, generate_subscripts(th, 1) - 1 AS i, len(th) AS nth FROM qs),
+iv AS (SELECT quantile_disc({TARGET}, 0.5) AS fr, max({TARGET}) AS tt FROM traces),
+lab AS (SELECT tr.rid, {TARGET} AS y, ({TARGET} > iv.fr AND {TARGET} <= iv.tt) AS pos FROM tr, iv),
+conds AS (
+  SELECT a.pos AS c, a.col, a.i AS lo, b.i AS hi, a.t AS t_lo, b.t AS t_hi,
+         NOT (a.i = 0 AND b.i = a.nth - 1) AS feasible
+  FROM thr a JOIN thr b ON a.pos = b.pos AND a.i < b.i)"""
+
+
+def rules_ctes(cond_filter: str = "TRUE", depth: int = 2, empty: bool = True) -> str:
+    """``rule_conds(rule_id, nc, c, t_lo, t_hi)`` and ``rules(rule_id, nc)`` up to ``depth``."""
+    parts = []
+    if empty:
+        parts.append("SELECT '' AS rule_id, 0 AS nc, NULL::INT AS c, NULL::DOUBLE AS t_lo, NULL::DOUBLE AS t_hi")
+    parts.append(f"""SELECT c::VARCHAR || ':' || lo::VARCHAR || ':' || hi::VARCHAR, 1, c, t_lo, t_hi
+                     FROM cc""")
+    if depth >= 2:
+        key = "x.c::VARCHAR || ':' || x.lo::VARCHAR || ':' || x.hi::VARCHAR || ';' || " \
+              "y.c::VARCHAR || ':' || y.lo::VARCHAR || ':' || y.hi::VARCHAR"
+        for side in ("x", "y"):
+            parts.append(f"SELECT {key}, 2, {side}.c, {side}.t_lo, {side}.t_hi FROM cc x JOIN cc y ON x.c < y.c")
+    return f"""
+cc AS (SELECT * FROM conds WHERE {cond_filter}),
+rule_conds AS ({' UNION ALL '.join(parts)}),
+rules AS (SELECT DISTINCT rule_id, nc FROM rule_conds)"""
+
+
+MATCH_CTES = """
+hits AS (
+  SELECT rc.rule_id, tv.rid FROM rule_conds rc JOIN tv ON tv.pos = rc.c AND tv.v >= rc.t_lo AND tv.v < rc.t_hi
+  GROUP BY rc.rule_id, tv.rid HAVING count(*) = any_value(rc.nc)
+  UNION ALL
+  SELECT r.rule_id, lab.rid FROM rules r, lab WHERE r.nc = 0),
+scored AS (
+  SELECT r.rule_id, r.nc AS n_conds,
+         count(l.rid) FILTER (WHERE l.pos) AS tp, count(l.rid) FILTER (WHERE NOT l.pos) AS fp,
+         count(l.rid) AS support
+  FROM rules r LEFT JOIN hits h ON h.rule_id = r.rule_id LEFT JOIN lab l ON l.rid = h.rid
+  GROUP BY r.rule_id, r.nc),
+pcount AS (SELECT count(*) FILTER (WHERE pos) AS P FROM lab),
+metrics AS (
+  SELECT s.*, CASE WHEN support > 0 THEN tp::DOUBLE / support ELSE 0.0 END AS precision,
+         tp::DOUBLE / P AS recall
+  FROM scored s, pcount),
+fm AS (
+  SELECT *, CASE WHEN precision > 0 OR recall > 0
+                 THEN 2.0 * (precision * recall) / (precision + recall) ELSE 0.0 END AS fmeasure
+  FROM metrics)"""
+
+SCORED_SELECT = """SELECT rule_id, n_conds, tp, fp, support, round(precision, 6) AS precision,
+  round(recall, 6) AS recall, round(fmeasure, 6) AS fmeasure FROM fm"""
+
+
+def scoring_sql() -> dict[str, str]:
+    head = base_ctes() + "," + space_ctes()
+    bucket_b = """
+bk AS (SELECT tv.rid, tv.pos, count(thr.t) FILTER (WHERE thr.t <= tv.v) AS b
+       FROM tv JOIN thr ON thr.pos = tv.pos GROUP BY tv.rid, tv.pos),
+cells AS (SELECT rid, string_agg(b::VARCHAR, ',' ORDER BY pos) AS b FROM bk GROUP BY rid)"""
+    return {
+        "quantile_thresholds": f"{head} SELECT col, pos::INT AS pos, i::INT AS i, t AS threshold FROM thr",
+        "label_counts": f"""{head} SELECT count(*) FILTER (WHERE pos) AS positives,
+            count(*) FILTER (WHERE NOT pos) AS negatives FROM lab""",
+        "threshold_counts": f"""{head} SELECT thr.col, thr.i::INT AS i, thr.t AS threshold,
+            count(*) FILTER (WHERE lab.pos AND tv.v >= thr.t) AS positives,
+            count(*) FILTER (WHERE NOT lab.pos AND tv.v >= thr.t) AS negatives
+            FROM thr JOIN tv ON tv.pos = thr.pos JOIN lab ON lab.rid = tv.rid
+            GROUP BY thr.col, thr.i, thr.t""",
+        "bucket_cube": f"""{head}, {bucket_b}
+            SELECT c.b, ((l.y > iv.fr)::INT + (l.y > iv.tt)::INT) AS yb, count(*) AS n,
+                   sum(l.y) AS s1, sum(l.y * l.y) AS s2
+            FROM cells c JOIN lab l ON l.rid = c.rid, iv GROUP BY c.b, yb""",
+        "condition_space": f"{head} SELECT c::INT AS c, col, lo::INT AS lo, hi::INT AS hi, t_lo, t_hi, feasible FROM conds",
+        "rule_decode": f"""{head}, {rules_ctes()}
+            SELECT rc.rule_id, cc.col, rc.t_lo, rc.t_hi FROM rule_conds rc
+            JOIN (SELECT DISTINCT c, col FROM conds) cc ON cc.c = rc.c WHERE rc.nc > 0""",
+        "rule_metrics": f"{head}, {rules_ctes()}, {MATCH_CTES} {SCORED_SELECT}",
+        "bin_features": f"{head} SELECT c::INT AS c, col, lo::INT AS lo, hi::INT AS hi, t_lo, t_hi FROM conds WHERE hi = lo + 1",
+        "bin_features_scored": f"{head}, {rules_ctes('hi = lo + 1', depth=1)}, {MATCH_CTES} {SCORED_SELECT}",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(reshape_sql())
+    out.update(scoring_sql())
     return out
