@@ -111,3 +111,19 @@ def with_rule_id(rules: DataFrame) -> DataFrame:
 def decorate(rules: DataFrame, space: Space) -> DataFrame:
     """Adds the readable rule text (values instead of indexes)."""
     return rules.withColumn("rule_text", rule_text(F.col("rule"), space.cols, space.thresholds))
+
+
+def pair_sets(spark: SparkSession, conds: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """Rule sets of one or two single-condition rules over ``conds`` (``set_id, rules``).
+
+    Pairs come from a generator over the literal condition array (``g > f`` as structs), so the
+    set list is built without a join; its size is ``k + k(k-1)/2`` for ``k`` conditions.
+    """
+    from spanrules.operators.scoring import set_key
+    arr = cond_array(conds)
+    base = spark.range(1).select(F.explode(arr).alias("f"))
+    singles = base.select(F.array(F.array(F.col("f"))).alias("rules"))
+    pairs = (base.select("f", F.explode(F.filter(arr, lambda g: g > F.col("f"))).alias("g"))
+                 .select(F.array(F.array(F.col("f")), F.array(F.col("g"))).alias("rules")))
+    sets = singles.unionByName(pairs).withColumn("rules", F.col("rules").cast(f"array<{RULE_TYPE}>"))
+    return sets.withColumn("set_id", set_key(F.col("rules")))

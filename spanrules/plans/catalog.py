@@ -178,3 +178,55 @@ def q_bin_features_scored(spark, data_dir):
     ctx = Context(spark, data_dir)
     rules = space_ops.rules_up_to(spark, space_ops.bin_feature_list(ctx.space), 1)
     return _scored_view(scoring.score_rules(ctx.cube, rules))
+
+
+# ------------------------------------------------------------------ rule sets, Pareto
+
+from spanrules.operators import pareto  # noqa: E402
+
+SET_METRICS = ("precision", "recall", "disjointness", "dissimilarity", "fscore", "harmonic",
+               "fit_p", "fit_r", "fit_d")
+
+
+def _pair_set_metrics(ctx: Context) -> DataFrame:
+    sets = space_ops.pair_sets(ctx.spark, space_ops.bin_feature_list(ctx.space))
+    return scoring.ruleset_metrics(ctx.cube, sets)
+
+
+@register("ruleset_metrics")
+def q_ruleset_metrics(spark, data_dir):
+    m = _pair_set_metrics(Context(spark, data_dir))
+    out = m.select("set_id", "n_rules", "tp", "fp", *SET_METRICS, "feasible")
+    return scoring.round_metrics(out, SET_METRICS)
+
+
+@register("ruleset_sizes")
+def q_ruleset_sizes(spark, data_dir):
+    m = _pair_set_metrics(Context(spark, data_dir))
+    return m.select("set_id", F.posexplode("sizes").alias("r", "size"))
+
+
+def _front(spark, data_dir) -> DataFrame:
+    m = _pair_set_metrics(Context(spark, data_dir)).cache()
+    return pareto.pareto_front(m.select("set_id", "precision", "recall", "dissimilarity",
+                                        "fit_p", "fit_r", "fit_d"))
+
+
+@register("pareto_front")
+def q_pareto_front(spark, data_dir):
+    return scoring.round_metrics(_front(spark, data_dir).select("set_id", "fit_p", "fit_r", "fit_d"),
+                                 ("fit_p", "fit_r", "fit_d"))
+
+
+@register("pareto_crowding")
+def q_pareto_crowding(spark, data_dir):
+    c = pareto.crowding_distance(_front(spark, data_dir))
+    return scoring.round_metrics(c.select("set_id", "fit_p", "fit_r", "fit_d", "crowding"),
+                                 ("fit_p", "fit_r", "fit_d", "crowding"))
+
+
+@register("beta_best")
+def q_beta_best(spark, data_dir):
+    b = pareto.beta_best(_front(spark, data_dir))
+    return scoring.round_metrics(b.select("set_id", "precision", "recall", "dissimilarity", "beta"),
+                                 ("precision", "recall", "dissimilarity", "beta"))

@@ -190,8 +190,106 @@ cells AS (SELECT rid, string_agg(b::VARCHAR, ',' ORDER BY pos) AS b FROM bk GROU
     }
 
 
+# ------------------------------------------------------------------ rule sets, Pareto
+
+SET_CTES = """
+feat AS (SELECT c, lo, hi, t_lo, t_hi, c::VARCHAR || ':' || lo::VARCHAR || ':' || hi::VARCHAR AS fk
+         FROM conds WHERE hi = lo + 1),
+fpair AS (SELECT f.fk AS f_fk, g.fk AS g_fk, f.c AS fc, f.t_lo AS flo, f.t_hi AS fhi,
+                 g.c AS gc, g.t_lo AS glo, g.t_hi AS ghi
+          FROM feat f JOIN feat g ON f.c < g.c OR (f.c = g.c AND f.lo < g.lo)),
+set_conds AS (
+  SELECT fk AS set_id, 0 AS r, 1 AS nc, c, t_lo, t_hi FROM feat
+  UNION ALL SELECT f_fk || '|' || g_fk, 0, 1, fc, flo, fhi FROM fpair
+  UNION ALL SELECT f_fk || '|' || g_fk, 1, 1, gc, glo, ghi FROM fpair),
+set_rules AS (SELECT DISTINCT set_id, r FROM set_conds),
+srh AS (
+  SELECT s.set_id, s.r, tv.rid FROM set_conds s
+  JOIN tv ON tv.pos = s.c AND tv.v >= s.t_lo AND tv.v < s.t_hi
+  GROUP BY s.set_id, s.r, tv.rid HAVING count(*) = any_value(s.nc)),
+per_trace AS (SELECT set_id, rid, count(*) AS m FROM srh GROUP BY set_id, rid),
+setlist AS (SELECT set_id, count(*) AS n_rules FROM set_rules GROUP BY set_id),
+setagg AS (
+  SELECT s.set_id, s.n_rules,
+         count(l.rid) FILTER (WHERE l.pos) AS tp, count(l.rid) FILTER (WHERE NOT l.pos) AS fp,
+         count(l.rid) FILTER (WHERE pt.m = 1) AS uniq, coalesce(sum(pt.m), 0) AS tot
+  FROM setlist s LEFT JOIN per_trace pt ON pt.set_id = s.set_id LEFT JOIN lab l ON l.rid = pt.rid
+  GROUP BY s.set_id, s.n_rules),
+ruleagg AS (
+  SELECT sr.set_id, sr.r, count(l.rid) AS n_r, count(l.rid) FILTER (WHERE l.pos) AS tp_r,
+         sum(l.y) AS s1_r, sum(l.y * l.y) AS s2_r
+  FROM set_rules sr LEFT JOIN srh h ON h.set_id = sr.set_id AND h.r = sr.r
+  LEFT JOIN lab l ON l.rid = h.rid GROUP BY sr.set_id, sr.r),
+pcount AS (SELECT count(*) FILTER (WHERE pos) AS P FROM lab),
+rulestat AS (
+  SELECT set_id, sum(CASE WHEN n_r > 0 THEN s2_r - (s1_r * s1_r) / n_r ELSE 0.0 END) AS dissimilarity,
+         min(tp_r / P) AS min_rule_recall
+  FROM ruleagg, pcount GROUP BY set_id),
+sm AS (
+  SELECT a.set_id, a.n_rules, a.tp, a.fp, tp::DOUBLE / P AS recall,
+         CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision,
+         CASE WHEN tot > 0 THEN uniq::DOUBLE / tot ELSE 0.0 END AS disjointness,
+         rs.dissimilarity, rs.min_rule_recall > 0.05 AS feasible
+  FROM setagg a JOIN rulestat rs USING (set_id), pcount),
+sm2 AS (
+  SELECT *, CASE WHEN precision > 0 OR recall > 0
+                 THEN 2.0 * (precision * recall) / (precision + recall) ELSE 0.0 END AS fscore,
+         CASE WHEN precision * recall + precision * disjointness + recall * disjointness <> 0
+              THEN (3.0 * precision * recall * disjointness)
+                   / (precision * recall + precision * disjointness + recall * disjointness)
+              ELSE 0.0 END AS harmonic,
+         CASE WHEN feasible THEN precision ELSE 0.0 END AS fit_p,
+         CASE WHEN feasible THEN recall ELSE 0.0 END AS fit_r,
+         CASE WHEN feasible THEN dissimilarity ELSE 'inf'::DOUBLE END AS fit_d
+  FROM sm),
+pts AS (SELECT fit_p, fit_r, fit_d, min(set_id) AS set_id FROM sm2 GROUP BY fit_p, fit_r, fit_d),
+front AS (
+  SELECT s.* FROM sm2 s JOIN pts a USING (set_id)
+  WHERE NOT EXISTS (
+    SELECT 1 FROM pts b WHERE b.fit_p >= a.fit_p AND b.fit_r >= a.fit_r AND b.fit_d <= a.fit_d
+      AND (b.fit_p > a.fit_p OR b.fit_r > a.fit_r OR b.fit_d < a.fit_d)))"""
+
+
+def _crowd_term(expr: str, i: int) -> str:
+    return f"""CASE WHEN lag({expr}) OVER w{i} IS NULL OR lead({expr}) OVER w{i} IS NULL THEN 'inf'::DOUBLE
+        WHEN 3.0 * (max({expr}) OVER () - min({expr}) OVER ()) = 0 THEN 0.0
+        ELSE (lead({expr}) OVER w{i} - lag({expr}) OVER w{i})
+             / (3.0 * (max({expr}) OVER () - min({expr}) OVER ())) END"""
+
+
+def ruleset_sql() -> dict[str, str]:
+    head = base_ctes() + "," + space_ctes() + "," + SET_CTES
+    r6 = lambda c: f"round({c}, 6) AS {c}"
+    metrics = ", ".join(r6(c) for c in ("precision", "recall", "disjointness", "dissimilarity", "fscore",
+                                        "harmonic", "fit_p", "fit_r", "fit_d"))
+    objs = ["fit_p", "fit_r", "-fit_d"]
+    crowd = " + ".join(f"({_crowd_term(o, i)})" for i, o in enumerate(objs))
+    windows = ", ".join(f"w{i} AS (ORDER BY {o} ASC, set_id ASC)" for i, o in enumerate(objs))
+    return {
+        "ruleset_metrics": f"SELECT set_id, n_rules, tp, fp, {metrics}, feasible FROM sm2".join(
+            [head + " ", ""]),
+        "ruleset_sizes": f"{head} SELECT set_id, r::INT AS r, n_r AS size FROM ruleagg",
+        "pareto_front": f"{head} SELECT set_id, {r6('fit_p')}, {r6('fit_r')}, {r6('fit_d')} FROM front",
+        "pareto_crowding": f"""{head}, cr AS (SELECT set_id, fit_p, fit_r, fit_d, {crowd} AS crowding
+            FROM front WINDOW {windows})
+            SELECT set_id, {r6('fit_p')}, {r6('fit_r')}, {r6('fit_d')}, {r6('crowding')} FROM cr""",
+        "beta_best": f"""{head},
+            betas AS (SELECT i::DOUBLE / 100.0::DOUBLE AS beta FROM range(10, 101) t(i)),
+            fb AS (SELECT f.set_id, f.precision, f.recall, f.dissimilarity, b.beta,
+                     CASE WHEN (b.beta * b.beta) * f.precision + f.recall <> 0
+                          THEN (1.0 + b.beta * b.beta) * ((f.precision * f.recall)
+                               / ((b.beta * b.beta) * f.precision + f.recall)) ELSE 0.0 END AS fbeta
+                   FROM front f, betas b),
+            win AS (SELECT * FROM fb QUALIFY row_number() OVER (
+                      PARTITION BY beta ORDER BY fbeta DESC, dissimilarity ASC, set_id ASC) = 1)
+            SELECT set_id, {r6('precision')}, {r6('recall')}, {r6('dissimilarity')}, {r6('beta')}
+            FROM win ORDER BY dissimilarity ASC, beta ASC LIMIT 1""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(reshape_sql())
     out.update(scoring_sql())
+    out.update(ruleset_sql())
     return out
