@@ -230,3 +230,88 @@ def q_beta_best(spark, data_dir):
     b = pareto.beta_best(_front(spark, data_dir))
     return scoring.round_metrics(b.select("set_id", "precision", "recall", "dissimilarity", "beta"),
                                  ("precision", "recall", "dissimilarity", "beta"))
+
+
+# ------------------------------------------------------------------ searches, segmentation
+
+from spanrules.operators import search, segment  # noqa: E402
+
+SEG_QUANTILES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
+
+
+def _best_view(best: DataFrame) -> DataFrame:
+    out = best.select("rule_id", F.size("rule").alias("n_conds"), "tp", "fp", "support", *METRIC_COLS)
+    return scoring.round_metrics(out, METRIC_COLS)
+
+
+@register("bnb_best_rule")
+def q_bnb_best_rule(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    return _best_view(search.branch_and_bound(ctx.cube, ctx.space))
+
+
+@register("best_rule")
+def q_best_rule(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    return _best_view(search.best_rule(ctx.cube, ctx.space, depth=DEPTH))
+
+
+@register("rule_neighbours")
+def q_rule_neighbours(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    seeds = space_ops.rules_up_to(spark, space_ops.bin_feature_list(ctx.space), 1, include_empty=False)
+    return search.rule_neighbours(seeds, ctx.space).select("parent_id", "move", "rule_id")
+
+
+@register("beam_rule")
+def q_beam_rule(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    best = search.beam_rule(ctx.cube, ctx.space)
+    return space_ops.decorate(_best_view(best).join(best.select("rule_id", "rule"), "rule_id"),
+                              ctx.space).drop("rule")
+
+
+@register("ruleset_neighbours")
+def q_ruleset_neighbours(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    seeds = search.single_condition_sets(spark, space_ops.bin_feature_list(ctx.space))
+    return search.ruleset_neighbours(seeds, ctx.space).select("parent_id", "move", "set_id")
+
+
+@register("beam_ruleset")
+def q_beam_ruleset(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    front = search.beam_ruleset(ctx.cube, ctx.space)
+    return scoring.round_metrics(front.select("set_id", "n_rules", *SET_METRICS), SET_METRICS)
+
+
+def _splits(ctx: Context) -> list[float]:
+    return segment.split_points(ctx.traces, TARGET, SEG_QUANTILES)
+
+
+@register("segment_intervals")
+def q_segment_intervals(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    return segment.segment_intervals(spark, _splits(ctx))
+
+
+def _segment_scores(ctx: Context) -> DataFrame:
+    return segment.segment_scores(ctx.traces, ctx.space, _splits(ctx))
+
+
+@register("segment_scores")
+def q_segment_scores(spark, data_dir):
+    s = _segment_scores(Context(spark, data_dir))
+    out = s.select("j", "i", "s_from", "s_to", "rule_id", F.size("rule").alias("n_conds"),
+                   "tp", "fp", "P", *METRIC_COLS)
+    return scoring.round_metrics(out, METRIC_COLS)
+
+
+@register("segmentation")
+def q_segmentation(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    splits = _splits(ctx)
+    scores = cut_lineage(segment.segment_scores(ctx.traces, ctx.space, splits))
+    seg = segment.best_segmentation(scores, len(splits))
+    out = seg.select("seg", "j", "i", "s_from", "s_to", "rule_id", "fmeasure", "total")
+    return scoring.round_metrics(out, ("fmeasure", "total"))

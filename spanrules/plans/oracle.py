@@ -287,9 +287,117 @@ def ruleset_sql() -> dict[str, str]:
     }
 
 
+# ------------------------------------------------------------------ searches, segmentation
+
+SEG_QUANTILES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
+
+
+def _key(a: str) -> str:
+    return f"{a}.c::VARCHAR || ':' || {a}.lo::VARCHAR || ':' || {a}.hi::VARCHAR"
+
+
+SUBSET_CTES = f"""
+feat AS (SELECT c, lo, hi, t_lo, t_hi, {_key('conds')} AS fk FROM conds WHERE hi = lo + 1),
+subsets(rule_id, last_c, nc) AS (
+  SELECT '', -1, 0
+  UNION ALL
+  SELECT CASE WHEN s.nc = 0 THEN f.fk ELSE s.rule_id || ';' || f.fk END, f.c, s.nc + 1
+  FROM subsets s JOIN feat f ON f.c > s.last_c),
+rules AS (SELECT rule_id, nc FROM subsets),
+rule_conds AS (
+  SELECT r.rule_id, r.nc, f.c, f.t_lo, f.t_hi
+  FROM (SELECT rule_id, nc, unnest(string_split(rule_id, ';')) AS part FROM rules WHERE nc > 0) r
+  JOIN feat f ON f.fk = r.part
+  UNION ALL SELECT rule_id, 0, NULL, NULL, NULL FROM rules WHERE nc = 0)"""
+
+BEST_SELECT = """SELECT rule_id, n_conds, tp, fp, support, round(precision, 6) AS precision,
+  round(recall, 6) AS recall, round(fmeasure, 6) AS fmeasure FROM fm
+  ORDER BY fmeasure DESC, n_conds ASC, rule_id ASC LIMIT 1"""
+
+
+def _seg_ctes() -> str:
+    qs = "[" + ", ".join(repr(float(q)) for q in SEG_QUANTILES) + "]"
+    return f"""
+spts AS (SELECT list_sort(list_distinct(quantile_disc({TARGET}, {qs}))) AS pts FROM traces),
+seg_iv AS (SELECT a.j::INT AS j, b.i::INT AS i, pts[a.j + 1] AS s_from, pts[b.i + 1] AS s_to
+           FROM spts, range(0, len(pts)) a(j), range(0, len(pts)) b(i) WHERE a.j < b.i),
+allhits AS (
+  SELECT rc.rule_id, tv.rid FROM rule_conds rc JOIN tv ON tv.pos = rc.c AND tv.v >= rc.t_lo AND tv.v < rc.t_hi
+  GROUP BY rc.rule_id, tv.rid HAVING count(*) = any_value(rc.nc)
+  UNION ALL SELECT r.rule_id, lab.rid FROM rules r, lab WHERE r.nc = 0),
+rsup AS (SELECT r.rule_id, r.nc, count(h.rid) AS support FROM rules r LEFT JOIN allhits h USING (rule_id)
+         GROUP BY r.rule_id, r.nc),
+rtp AS (SELECT h.rule_id, iv.j, iv.i, count(*) AS tp FROM allhits h JOIN lab l ON l.rid = h.rid
+        JOIN seg_iv iv ON l.y > iv.s_from AND l.y <= iv.s_to GROUP BY h.rule_id, iv.j, iv.i),
+ivp AS (SELECT iv.j, iv.i, count(l.rid) AS P FROM seg_iv iv LEFT JOIN lab l ON l.y > iv.s_from AND l.y <= iv.s_to
+        GROUP BY iv.j, iv.i),
+segm AS (
+  SELECT s.rule_id, s.nc AS n_conds, iv.j, iv.i, iv.s_from, iv.s_to, coalesce(t.tp, 0) AS tp,
+         s.support - coalesce(t.tp, 0) AS fp, s.support, p.P,
+         CASE WHEN s.support > 0 THEN coalesce(t.tp, 0)::DOUBLE / s.support ELSE 0.0 END AS precision,
+         coalesce(t.tp, 0)::DOUBLE / p.P AS recall
+  FROM rsup s CROSS JOIN seg_iv iv JOIN ivp p ON p.j = iv.j AND p.i = iv.i
+  LEFT JOIN rtp t ON t.rule_id = s.rule_id AND t.j = iv.j AND t.i = iv.i),
+segf AS (
+  SELECT *, CASE WHEN precision > 0 OR recall > 0
+                 THEN 2.0 * (precision * recall) / (precision + recall) ELSE 0.0 END AS fmeasure
+  FROM segm),
+segbest AS (SELECT * FROM segf QUALIFY row_number() OVER (
+              PARTITION BY j, i ORDER BY fmeasure DESC, n_conds ASC, rule_id ASC) = 1),
+paths(last_i, total, starts) AS (
+  SELECT 0, 0.0::DOUBLE, []::INT[]
+  UNION ALL
+  SELECT b.i, p.total + b.fmeasure, list_append(p.starts, b.j)
+  FROM paths p JOIN segbest b ON b.j = p.last_i),
+bestpath AS (
+  SELECT total, starts FROM paths, spts WHERE last_i = len(pts) - 1
+  ORDER BY total DESC, list_reverse(starts) ASC LIMIT 1)"""
+
+
+def search_sql() -> dict[str, str]:
+    head = base_ctes() + "," + space_ctes()
+    rhead = head.replace("WITH ", "WITH RECURSIVE ", 1)
+    seeds = f"""
+nth AS (SELECT pos AS c, len(th) AS nth FROM qs),
+seeds AS (SELECT c, lo, hi, {_key('conds')} AS fk FROM conds WHERE hi = lo + 1),
+uc AS (SELECT conds.c, lo, hi, {_key('conds')} AS fk FROM conds JOIN nth USING (c) WHERE feasible AND nth >= 3),
+nb AS (
+  SELECT s.fk AS parent_id, 'add' AS move,
+         CASE WHEN s.c < u.c THEN s.fk || ';' || u.fk ELSE u.fk || ';' || s.fk END AS rule_id
+  FROM seeds s JOIN uc u ON u.c <> s.c
+  UNION ALL SELECT fk, 'remove', '' FROM seeds
+  UNION ALL
+  SELECT s.fk, 'modify', s.c::VARCHAR || ':' || least(e.a, e.b)::VARCHAR || ':' || greatest(e.a, e.b)::VARCHAR
+  FROM seeds s JOIN nth USING (c), range(0, nth.nth) v(x),
+       LATERAL (SELECT v.x AS a, s.hi AS b UNION ALL SELECT s.lo, v.x) e
+  WHERE e.a <> e.b AND NOT (least(e.a, e.b) = s.lo AND greatest(e.a, e.b) = s.hi))"""
+    return {
+        "bnb_best_rule": f"{rhead}, {SUBSET_CTES}, {MATCH_CTES} {BEST_SELECT}",
+        "best_rule": f"""{head}, nthc AS (SELECT pos AS c, len(th) AS nth FROM qs),
+            {rules_ctes('feasible AND c IN (SELECT c FROM nthc WHERE nth >= 3)')}, {MATCH_CTES} {BEST_SELECT}""",
+        "rule_neighbours": f"""{head}, {seeds}
+            SELECT DISTINCT parent_id, move, rule_id FROM nb WHERE rule_id NOT IN (SELECT fk FROM seeds)""",
+        "segment_intervals": f"{head}, {_seg_ctes()} SELECT j, i, s_from, s_to FROM seg_iv".replace(
+            "WITH ", "WITH RECURSIVE ", 1).replace("allhits AS", "x_unused AS (SELECT 1), allhits AS", 0),
+        "segment_scores": f"""{rhead}, {SUBSET_CTES}, {_seg_ctes()}
+            SELECT j, i, s_from, s_to, rule_id, n_conds, tp, fp, P, round(precision, 6) AS precision,
+                   round(recall, 6) AS recall, round(fmeasure, 6) AS fmeasure FROM segbest""",
+        "segmentation": f"""{rhead}, {SUBSET_CTES}, {_seg_ctes()},
+            chosen AS (SELECT bp.total, g.seg::INT - 1 AS seg, g.j
+                       FROM bestpath bp, LATERAL (SELECT unnest(bp.starts) AS j,
+                                                         generate_subscripts(bp.starts, 1) AS seg) g),
+            ends AS (SELECT c.*, coalesce(lead(c.j) OVER (ORDER BY c.seg), (SELECT len(pts) - 1 FROM spts)) AS i
+                     FROM chosen c)
+            SELECT e.seg, e.j, e.i::INT AS i, b.s_from, b.s_to, b.rule_id, round(b.fmeasure, 6) AS fmeasure,
+                   round(e.total, 6) AS total
+            FROM ends e JOIN segbest b ON b.j = e.j AND b.i = e.i""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(reshape_sql())
     out.update(scoring_sql())
     out.update(ruleset_sql())
+    out.update(search_sql())
     return out
