@@ -184,15 +184,18 @@ def _set_frame(sets: DataFrame) -> DataFrame:
 def ruleset_cells(cube: DataFrame, sets: DataFrame) -> DataFrame:
     """Per (rule set, projected cell): which rules of the set match the cell.
 
-    Output ``set_id, rules, yb, n, s1, s2, flags array<boolean>, m`` (number of matching rules);
-    sets whose column set has no cell keep one row with ``n = 0``.
+    Output ``set_id, rules, yb, n, s1, s2, flags array<boolean>, m`` (number of matching rules)
+    for the cells at least one rule matches; a set that matches nothing keeps one row, ``n = 0``.
     """
     s = _set_frame(sets)
     marg = marginals(cube, _colsets(s))
-    j = _join_marginals(s, marg, None)
-    flags = F.transform(F.col("c.kr"), lambda r: F.coalesce(F.forall(
-        r, lambda x: (x["lo"] < F.col("m.key")[x["k"]]) & (F.col("m.key")[x["k"]] <= x["hi"])),
-        F.lit(False)))
+
+    def matches(r):
+        return F.forall(r, lambda x: (x["lo"] < F.col("m.key")[x["k"]]) & (F.col("m.key")[x["k"]] <= x["hi"]))
+
+    # cells no rule matches add nothing to any metric: keep only matched cells
+    j = _join_marginals(s, marg, F.exists(F.col("c.kr"), matches))
+    flags = F.transform(F.col("c.kr"), lambda r: F.coalesce(matches(r), F.lit(False)))
     return j.select(F.col("c.set_id").alias("set_id"), F.col("c.rules").alias("rules"),
                     F.col("m.yb").alias("yb"), F.coalesce(F.col("m.n"), F.lit(0)).alias("n"),
                     F.coalesce(F.col("m.s1"), F.lit(0.0)).alias("s1"),

@@ -290,7 +290,7 @@ def single_condition_sets(spark: SparkSession, conds: Sequence[tuple[int, int, i
     return canonical_sets(base.select(F.array(F.array("x")).alias("rules")))
 
 
-def beam_ruleset(cube: DataFrame, space: Space, mu: int = 30, max_rounds: int = 10,
+def beam_ruleset(cube: DataFrame, space: Space, mu: int = 10, max_rounds: int = 6,
                  lo_y: int = 0, hi_y: int = 1) -> DataFrame:
     """Rule-set search under (precision max, recall max, dissimilarity min).
 

@@ -315,3 +315,42 @@ def q_segmentation(spark, data_dir):
     seg = segment.best_segmentation(scores, len(splits))
     out = seg.select("seg", "j", "i", "s_from", "s_to", "rule_id", "fmeasure", "total")
     return scoring.round_metrics(out, ("fmeasure", "total"))
+
+
+# ------------------------------------------------------------------ mean-shift thresholds
+
+from spanrules.operators import meanshift  # noqa: E402
+
+
+def _matrix(spark, data_dir) -> DataFrame:
+    return cut_lineage(reshape.avg_trace_matrix(spans_table(spark, data_dir), FROM, TO))
+
+
+@register("value_histogram")
+def q_value_histogram(spark, data_dir):
+    t = _matrix(spark, data_dir)
+    return meanshift.value_histogram(t, rule_columns(t))
+
+
+@register("bandwidth")
+def q_bandwidth(spark, data_dir):
+    t = _matrix(spark, data_dir)
+    bw = meanshift.bandwidth(meanshift.value_histogram(t, rule_columns(t)))
+    return scoring.round_metrics(bw.select("col", "n", "k", "bandwidth"), ("bandwidth",))
+
+
+@register("meanshift_modes")
+def q_meanshift_modes(spark, data_dir):
+    t = _matrix(spark, data_dir)
+    hist = cut_lineage(meanshift.value_histogram(t, rule_columns(t)))
+    bw = cut_lineage(meanshift.bandwidth(hist))
+    shifted = meanshift.shift(hist, bw, meanshift.seeds(hist, bw))
+    return meanshift.modes(shifted, bw)
+
+
+@register("meanshift_thresholds")
+def q_meanshift_thresholds(spark, data_dir):
+    t = _matrix(spark, data_dir)
+    from spanrules.operators.thresholds import thresholds_frame
+    cols = rule_columns(t)
+    return thresholds_frame(spark, meanshift.meanshift_thresholds(t, cols), cols)

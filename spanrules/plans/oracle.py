@@ -394,10 +394,31 @@ nb AS (
     }
 
 
+# ------------------------------------------------------------------ mean-shift thresholds
+
+def meanshift_sql() -> dict[str, str]:
+    head = base_ctes() + "," + space_ctes()
+    hist = """
+hist AS (SELECT col, v, count(*) AS w FROM tv WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY col, v),
+ncol AS (SELECT col, sum(w) AS n, greatest(1, floor(sum(w) * 0.1::DOUBLE))::BIGINT AS k FROM hist GROUP BY col),
+pairs AS (SELECT a.col, a.v, a.w AS wa, abs(b.v - a.v) AS d, b.w AS wb FROM hist a JOIN hist b ON a.col = b.col),
+cum AS (SELECT col, v, wa, d, sum(wb) OVER (PARTITION BY col, v ORDER BY d ROWS UNBOUNDED PRECEDING) AS cw
+        FROM pairs),
+kth AS (SELECT c.col, c.v, any_value(c.wa) AS wa, min(c.d) AS dk FROM cum c JOIN ncol USING (col)
+        WHERE c.cw >= ncol.k GROUP BY c.col, c.v)"""
+    return {
+        "value_histogram": f"{head}, {hist} SELECT col, v, w FROM hist",
+        "bandwidth": f"""{head}, {hist}
+            SELECT k.col, n.n, n.k, round(sum(k.wa * k.dk) / n.n, 6) AS bandwidth
+            FROM kth k JOIN ncol n USING (col) GROUP BY k.col, n.n, n.k""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(reshape_sql())
     out.update(scoring_sql())
     out.update(ruleset_sql())
     out.update(search_sql())
+    out.update(meanshift_sql())
     return out

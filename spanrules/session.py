@@ -19,6 +19,16 @@ DEFAULT_CONF = {
 }
 
 
+def ship_by_value(module_name: str) -> None:
+    """Pickle the functions of ``module_name`` by value, so Python workers that cannot import
+    this package (it need not be installed on the cluster) still run its pandas functions."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def get_session(master: str | None = None, app: str = "spanrules",
                 conf: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
