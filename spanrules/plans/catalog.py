@@ -354,3 +354,27 @@ def q_meanshift_thresholds(spark, data_dir):
     from spanrules.operators.thresholds import thresholds_frame
     cols = rule_columns(t)
     return thresholds_frame(spark, meanshift.meanshift_thresholds(t, cols), cols)
+
+
+# ------------------------------------------------------------------ forest predicates
+
+from spanrules.operators import forest  # noqa: E402
+from spanrules.operators.thresholds import exact_quantiles  # noqa: E402
+
+SLA_QUANTILE = 0.2
+
+
+@register("forest_nodes")
+def q_forest_nodes(spark, data_dir):
+    t = _matrix(spark, data_dir)
+    cols = rule_columns(t)
+    sla = exact_quantiles(t, TARGET, [SLA_QUANTILE])[0]
+    return forest.node_table(forest.train_forest(t, TARGET, cols, sla))
+
+
+@register("forest_predicates")
+def q_forest_predicates(spark, data_dir):
+    t = _matrix(spark, data_dir)
+    cols = rule_columns(t)
+    sla = exact_quantiles(t, TARGET, [SLA_QUANTILE])[0]
+    return forest.forest_predicates(t, TARGET, cols, sla)
