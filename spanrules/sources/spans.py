@@ -83,10 +83,13 @@ def tpch_spans(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
                       F.round("o_totalprice").cast("bigint").alias("tp"),
                       timestamp_micros(F.col("o_orderdate")).alias("ts"),
                       F.col("o_orderpriority").alias("experiment"))
+    # Hash-partition the lines on the order key: the same exchange a sort-merge join with
+    # ``orders`` needs at scale, and it spreads a single large input file over all cores.
     lines = (lineitem.select(F.col("l_orderkey").alias("k"),
                              F.col("l_linenumber").cast("bigint").alias("ln"),
                              F.round("l_extendedprice").cast("bigint").alias("ep"),
                              F.concat(F.lit("svc_"), F.col("l_returnflag")).alias("name"))
+                     .repartition("k")
                      .join(o, "k"))
     key = F.col("k").cast("string")
     roots = (lines.groupBy("k", "tp", "ts", "experiment")
