@@ -58,3 +58,25 @@ def sq_dev(n: Column, s1: Column, s2: Column) -> Column:
 def r6(c: Column) -> Column:
     """Rounded to 6 digits, the precision results are reported with."""
     return F.round(c, 6)
+
+
+def literal_frame(spark, rows, schema):
+    """A small DataFrame of literal rows, built JVM-side (``inline`` of typed literals).
+
+    For driver-side summaries of bounded size (thresholds, intervals); unlike
+    ``createDataFrame`` from Python objects it needs no Python worker to execute.
+    """
+    from pyspark.sql import types as T
+
+    st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+
+    def lit(v, dt):
+        if isinstance(dt, T.ArrayType):
+            if not v:
+                return F.array().cast(dt)
+            return F.array(*[lit(x, dt.elementType) for x in v]).cast(dt)
+        return F.lit(v).cast(dt)
+
+    structs = [F.struct(*[lit(v, f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
+    arr = F.array(*structs) if structs else F.array().cast(T.ArrayType(st))
+    return spark.range(1).select(F.inline(arr.cast(T.ArrayType(st))))

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanrules.functions.columns import fmeasure, harmonic3, r6, safe_div, sq_dev
+from spanrules.functions.columns import fmeasure, harmonic3, literal_frame, r6, safe_div, sq_dev
 from spanrules.operators.cube import marginals, positive
 
 COND_TYPE = "struct<c:int,lo:int,hi:int>"
@@ -73,14 +73,16 @@ def _colsets(df: DataFrame, cs: str = "cs") -> list[tuple[int, ...]]:
 
 def _join_marginals(cands: DataFrame, marg: DataFrame, residual) -> DataFrame:
     """Left join candidates with the marginal cells of their column set."""
-    cands, n_c = _measured(cands)
     marg, n_m = _measured(marg)
     m = marg.alias("m")
     c = cands.alias("c")
     if n_m <= BROADCAST_ROWS:
         m = F.broadcast(m)
-    elif n_c <= BROADCAST_ROWS:
-        c = F.broadcast(c)
+    else:
+        cands, n_c = _measured(cands)
+        c = cands.alias("c")
+        if n_c <= BROADCAST_ROWS:
+            c = F.broadcast(c)
     cond_ = (F.col("c.cs") == F.col("m.cs"))
     if residual is not None:
         cond_ = cond_ & residual
@@ -115,7 +117,7 @@ def positives_per_interval(cube: DataFrame, intervals: Sequence[tuple[int, int]]
                .groupBy(F.col("v.j").alias("j"), F.col("v.i").alias("i"))
                .agg(F.sum("n").cast("long").alias("P")))
     spark = cube.sparkSession
-    allv = spark.createDataFrame([(int(j), int(i)) for j, i in intervals], "j int, i int")
+    allv = literal_frame(spark, [(int(j), int(i)) for j, i in intervals], "j int, i int")
     return allv.join(got, ["j", "i"], "left").select("j", "i", F.coalesce("P", F.lit(0)).cast("long").alias("P"))
 
 

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanrules.functions.columns import literal_frame
 from spanrules.operators import search
 from spanrules.operators.cube import Space, bucket_cube
 from spanrules.operators.thresholds import exact_quantiles
@@ -31,7 +32,7 @@ def all_intervals(n_points: int) -> list[tuple[int, int]]:
 
 def segment_intervals(spark: SparkSession, splits: Sequence[float]) -> DataFrame:
     rows = [(j, i, float(splits[j]), float(splits[i])) for j, i in all_intervals(len(splits))]
-    return spark.createDataFrame(rows, "j int, i int, s_from double, s_to double")
+    return literal_frame(spark, rows, "j int, i int, s_from double, s_to double")
 
 
 def segmentation_space(space: Space, splits: Sequence[float]) -> Space:
@@ -60,7 +61,7 @@ def best_segmentation(scores: DataFrame, n_points: int) -> DataFrame:
     """
     spark = scores.sparkSession
     f = scores.select("j", "i", "fmeasure").cache()
-    best = spark.createDataFrame([(0, 0.0, [])], "i int, total double, path array<int>")
+    best = literal_frame(spark, [(0, 0.0, [])], "i int, total double, path array<int>")
     for i in range(1, n_points):
         step = (f.filter(F.col("i") == i).alias("s")
                  .join(best.alias("b"), F.col("s.j") == F.col("b.i"))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanrules.functions.columns import literal_frame
 from spanrules.operators.cube import Space
 from spanrules.operators.scoring import RULE_TYPE, cond, rule_key, rule_lit, rule_text
 from spanrules.operators.thresholds import exact_quantiles, column_max, quantile_thresholds
@@ -59,7 +60,7 @@ def cond_array(conds: Sequence[tuple[int, int, int]]) -> Column:
 def space_frame(spark: SparkSession, space: Space) -> DataFrame:
     """``(pos, col, th array<double>)``: one row per rule column."""
     rows = [(p, c, [float(t) for t in space.thresholds[c]]) for p, c in enumerate(space.cols)]
-    return spark.createDataFrame(rows, "pos int, col string, th array<double>")
+    return literal_frame(spark, rows, "pos int, col string, th array<double>")
 
 
 def condition_space(spark: SparkSession, space: Space) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanrules.functions.columns import clean_double, qcol
+from spanrules.functions.columns import clean_double, literal_frame, qcol
 
 
 def _sql_name(name: str) -> str:
@@ -63,6 +63,28 @@ def quantile_thresholds(traces: DataFrame, cols: Sequence[str], quantiles: Seque
     return out
 
 
+def space_summary(traces: DataFrame, cols: Sequence[str], quantiles: Sequence[float], target: str,
+                  target_quantiles: Sequence[float], with_min: bool = False
+                  ) -> tuple[dict[str, list[float]], list[float], float]:
+    """Thresholds of the rule columns, quantiles and max of the target, in one aggregation job."""
+    aggs = []
+    for i, c in enumerate(cols):
+        x = clean_double(qcol(c))
+        aggs += [percentile_disc(c, q).alias(f"q{i}_{j}") for j, q in enumerate(quantiles)]
+        aggs += [F.max(x).alias(f"mx{i}"), F.min(x).alias(f"mn{i}")]
+    aggs += [percentile_disc(target, q).alias(f"tq{j}") for j, q in enumerate(target_quantiles)]
+    aggs.append(F.max(clean_double(qcol(target))).alias("tmax"))
+    row = traces.agg(*aggs).collect()[0]
+    th = {}
+    for i, c in enumerate(cols):
+        vals = [row[f"q{i}_{j}"] for j in range(len(quantiles))]
+        if with_min:
+            vals.append(row[f"mn{i}"])
+        th[c] = _finish(vals, row[f"mx{i}"])
+    tq = [float(row[f"tq{j}"]) for j in range(len(target_quantiles))]
+    return th, tq, float(row["tmax"])
+
+
 def exact_quantiles(traces: DataFrame, col: str, quantiles: Sequence[float]) -> list[float]:
     """Exact discrete quantiles of one column (e.g. split points of the target)."""
     row = traces.agg(*[percentile_disc(col, q).alias(f"q{j}")
@@ -87,4 +109,4 @@ def thresholds_frame(spark: SparkSession, thresholds: dict[str, list[float]],
     """``(col, pos, i, threshold)``: one row per threshold, ``pos`` = column position."""
     cols = list(cols or thresholds)
     rows = [(c, p, i, float(t)) for p, c in enumerate(cols) for i, t in enumerate(thresholds[c])]
-    return spark.createDataFrame(rows, THRESHOLD_SCHEMA)
+    return literal_frame(spark, rows, THRESHOLD_SCHEMA)

@@ -80,7 +80,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from spanrules.operators import cube as cube_ops  # noqa: E402
 from spanrules.operators import scoring, space as space_ops  # noqa: E402
-from spanrules.operators.thresholds import rule_columns  # noqa: E402
+from spanrules.operators.thresholds import rule_columns, space_summary  # noqa: E402
 from spanrules.session import cut_lineage  # noqa: E402
 
 TARGET = "checkout_avg_dur"
@@ -96,8 +96,8 @@ class Context:
         self.traces = cut_lineage(reshape.avg_trace_matrix(spans_table(spark, data_dir), FROM, TO))
         self.cols = rule_columns(self.traces)
         self.target = TARGET
-        lo, hi = space_ops.median_to_max(self.traces, TARGET)
-        self.space = space_ops.make_space(self.traces, self.cols, quantiles, TARGET, lo, hi)
+        th, (median,), top = space_summary(self.traces, self.cols, quantiles, TARGET, [0.5])
+        self.space = cube_ops.Space(tuple(self.cols), th, TARGET, (median, top))
         self.cube = cut_lineage(cube_ops.bucket_cube(self.traces, self.space))
 
     def conds(self, feasible_only=False):

@@ -68,6 +68,19 @@ def timestamp_micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz"), ts)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin spread of a scan that has fewer splits than cores (one unsplittable file).
+
+    Large inputs already have many splits and are returned as they are, so at scale no extra
+    shuffle is added; round robin is indifferent to key skew. The join that follows is left to
+    AQE (broadcast when one side is measured small, else sort-merge with skew splitting).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def tpch_spans(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Spans derived from ``orders`` and ``lineitem``: one trace per order that has lines.
 
@@ -76,21 +89,18 @@ def tpch_spans(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     * per line a CLIENT span ``svc_<returnflag>`` (rounded price + 500, parent = root) and a SERVER
       span of the same name (rounded price, parent = the client span).
 
-    Lines and orders meet in one shuffle join on the order key; the root durations come from a
-    partial aggregate of the joined lines, so no order is ever held whole in one task.
+    Lines and orders meet in one join on the order key; the root durations come from a partial
+    aggregate of the joined lines, so an order with very many lines is combined map-side.
     """
     o = orders.select(F.col("o_orderkey").alias("k"),
                       F.round("o_totalprice").cast("bigint").alias("tp"),
                       timestamp_micros(F.col("o_orderdate")).alias("ts"),
                       F.col("o_orderpriority").alias("experiment"))
-    # Hash-partition the lines on the order key: the same exchange a sort-merge join with
-    # ``orders`` needs at scale, and it spreads a single large input file over all cores.
-    lines = (lineitem.select(F.col("l_orderkey").alias("k"),
-                             F.col("l_linenumber").cast("bigint").alias("ln"),
-                             F.round("l_extendedprice").cast("bigint").alias("ep"),
-                             F.concat(F.lit("svc_"), F.col("l_returnflag")).alias("name"))
-                     .repartition("k")
-                     .join(o, "k"))
+    lines = (spread(lineitem).select(F.col("l_orderkey").alias("k"),
+                                     F.col("l_linenumber").cast("bigint").alias("ln"),
+                                     F.round("l_extendedprice").cast("bigint").alias("ep"),
+                                     F.concat(F.lit("svc_"), F.col("l_returnflag")).alias("name"))
+                                     .join(o, "k"))
     key = F.col("k").cast("string")
     roots = (lines.groupBy("k", "tp", "ts", "experiment")
                   .agg(F.sum("ep").alias("lines_ep"))
