@@ -71,9 +71,17 @@ def _colsets(df: DataFrame, cs: str = "cs") -> list[tuple[int, ...]]:
     return out
 
 
-def _join_marginals(cands: DataFrame, marg: DataFrame, residual) -> DataFrame:
-    """Left join candidates with the marginal cells of their column set."""
-    marg, n_m = _measured(marg)
+def _join_marginals(cands: DataFrame, marg: DataFrame, residual, bound: int | None = None) -> DataFrame:
+    """Left join candidates with the marginal cells of their column set.
+
+    The marginal side is broadcast when its size is proven small: by ``bound`` (rows, from the
+    bucket counts) or else by counting it. Otherwise the candidates are broadcast if they are
+    measured small, and failing both the join shuffles on the column-set key.
+    """
+    if bound is not None and bound <= BROADCAST_ROWS:
+        n_m = bound
+    else:
+        marg, n_m = _measured(marg)
     m = marg.alias("m")
     c = cands.alias("c")
     if n_m <= BROADCAST_ROWS:
@@ -89,22 +97,6 @@ def _join_marginals(cands: DataFrame, marg: DataFrame, residual) -> DataFrame:
     return c.join(m, cond_, "left")
 
 
-def rule_counts(cube: DataFrame, rules: DataFrame) -> DataFrame:
-    """Per (rule, target bucket): ``n, s1, s2`` of the traces the rule matches.
-
-    ``rules`` needs ``rule_id`` and ``rule``; rules without a match get ``yb = NULL, n = 0``.
-    """
-    rules = rules.select("rule_id", "rule").withColumn("cs", rule_colset(F.col("rule")))
-    marg = marginals(cube, _colsets(rules))
-    inside = F.forall(F.zip_with(F.col("c.rule"), F.col("m.key"),
-                                 lambda x, b: (x["lo"] < b) & (b <= x["hi"])), lambda v: v)
-    j = _join_marginals(rules, marg, inside)
-    return (j.groupBy(F.col("c.rule_id").alias("rule_id"), F.col("m.yb").alias("yb"))
-             .agg(F.coalesce(F.sum("m.n"), F.lit(0)).cast("long").alias("n"),
-                  F.coalesce(F.sum("m.s1"), F.lit(0.0)).alias("s1"),
-                  F.coalesce(F.sum("m.s2"), F.lit(0.0)).alias("s2")))
-
-
 def interval_array(intervals: Sequence[tuple[int, int]]) -> Column:
     return F.array(*[F.struct(F.lit(int(j)).alias("j"), F.lit(int(i)).alias("i")) for j, i in intervals])
 
@@ -121,39 +113,178 @@ def positives_per_interval(cube: DataFrame, intervals: Sequence[tuple[int, int]]
     return allv.join(got, ["j", "i"], "left").select("j", "i", F.coalesce("P", F.lit(0)).cast("long").alias("P"))
 
 
-def score_rules(cube: DataFrame, rules: DataFrame,
-                intervals: Sequence[tuple[int, int]] = ((0, 1),),
-                require_positives: bool = True) -> DataFrame:
-    """Precision, recall and F-measure of every rule for every target interval.
+class Scorer:
+    """Scores rules and rule sets against one cube.
 
-    ``rules``: ``rule_id, rule`` (+ any other columns, kept). Interval ``(j, i)`` labels positive
-    the traces with ``j < yb <= i``. Output per (rule, interval): ``tp, fp, support, P,
-    precision, recall, fmeasure``. The empty rule scores ``P`` true and ``N`` false positives.
+    Built once per search: it counts the positives of every target interval (one small job, the
+    answer is a handful of numbers) and knows the bucket counts, so the size of any cube
+    projection is bounded on the driver without a job (``prod(buckets) x target buckets``).
     """
-    counts = rule_counts(cube, rules).cache()
-    iv = interval_array(intervals)
-    support = counts.groupBy("rule_id").agg(F.sum("n").cast("long").alias("support"))
-    tp = (counts.filter(F.col("yb").isNotNull())
-                .select("rule_id", "n",
-                        F.explode(F.filter(iv, lambda v: (v["j"] < F.col("yb")) & (F.col("yb") <= v["i"])))
-                        .alias("v"))
-                .groupBy("rule_id", F.col("v.j").alias("j"), F.col("v.i").alias("i"))
-                .agg(F.sum("n").cast("long").alias("tp")))
-    pos = positives_per_interval(cube, intervals)
-    if require_positives:
-        empty = [(r["j"], r["i"]) for r in pos.filter(F.col("P") <= 0).collect()]
-        if empty:
-            raise ValueError(f"No positives in target interval(s) {empty}")
-    grid = support.select("rule_id", "support", F.explode(iv).alias("v")).select(
-        "rule_id", "support", F.col("v.j").alias("j"), F.col("v.i").alias("i"))
-    m = (grid.join(tp, ["rule_id", "j", "i"], "left")
-             .join(F.broadcast(pos), ["j", "i"])
-             .withColumn("tp", F.coalesce("tp", F.lit(0)).cast("long"))
-             .withColumn("fp", (F.col("support") - F.col("tp")).cast("long"))
-             .withColumn("precision", safe_div(F.col("tp").cast("double"), F.col("support").cast("double")))
-             .withColumn("recall", safe_div(F.col("tp").cast("double"), F.col("P").cast("double")))
-             .withColumn("fmeasure", fmeasure(F.col("precision"), F.col("recall"))))
-    return rules.join(m, "rule_id")
+
+    def __init__(self, cube: DataFrame, sizes: Sequence[int] | None = None, n_yb: int | None = None,
+                 intervals: Sequence[tuple[int, int]] = ((0, 1),), require_positives: bool = True):
+        self.cube = cube
+        self.sizes = list(sizes) if sizes is not None else None
+        self.n_yb = n_yb
+        self.intervals = [(int(j), int(i)) for j, i in intervals]
+        pos = {(r["j"], r["i"]): int(r["P"]) for r in positives_per_interval(cube, self.intervals).collect()}
+        self.P = pos
+        if require_positives:
+            empty = [iv for iv in self.intervals if pos.get(iv, 0) <= 0]
+            if empty:
+                raise ValueError(f"No positives in target interval(s) {empty}")
+        self.pos_frame = literal_frame(cube.sparkSession, [(j, i, pos.get((j, i), 0)) for j, i in self.intervals],
+                                       "j int, i int, P long")
+
+    @classmethod
+    def for_space(cls, cube: DataFrame, space, intervals=((0, 1),), require_positives: bool = True):
+        sizes = [len(space.thresholds[c]) + 1 for c in space.cols]
+        return cls(cube, sizes, len(space.splits) + 1, intervals, require_positives)
+
+    def bound(self, colsets: Sequence[Sequence[int]]) -> int | None:
+        if self.sizes is None or self.n_yb is None:
+            return None
+        total = 0
+        for s in colsets or [()]:
+            cells = self.n_yb
+            for p in s:
+                cells *= self.sizes[p]
+            total += cells
+        return total
+
+    # -------------------------------------------------------------- single rules
+
+    def rule_counts(self, rules: DataFrame) -> DataFrame:
+        """Per (rule, target bucket): ``n, s1, s2`` of the traces the rule matches.
+
+        ``rules`` needs ``rule_id`` and ``rule``; a rule without a match gets ``yb = NULL, n = 0``.
+        """
+        rules = rules.select("rule_id", "rule").withColumn("cs", rule_colset(F.col("rule")))
+        sets = _colsets(rules)
+        marg = marginals(self.cube, sets)
+        inside = F.forall(F.zip_with(F.col("c.rule"), F.col("m.key"),
+                                     lambda x, b: (x["lo"] < b) & (b <= x["hi"])), lambda v: v)
+        j = _join_marginals(rules, marg, inside, self.bound(sets))
+        return (j.groupBy(F.col("c.rule_id").alias("rule_id"), F.col("m.yb").alias("yb"))
+                 .agg(F.coalesce(F.sum("m.n"), F.lit(0)).cast("long").alias("n"),
+                      F.coalesce(F.sum("m.s1"), F.lit(0.0)).alias("s1"),
+                      F.coalesce(F.sum("m.s2"), F.lit(0.0)).alias("s2")))
+
+    def score(self, rules: DataFrame) -> DataFrame:
+        """Precision, recall and F-measure of every rule for every target interval.
+
+        ``rules``: ``rule_id, rule`` (+ any other columns, kept). Interval ``(j, i)`` labels
+        positive the traces with ``j < yb <= i``. Output per (rule, interval): ``tp, fp, support,
+        P, precision, recall, fmeasure``. The empty rule scores ``P`` true and ``N`` false
+        positives.
+        """
+        counts = self.rule_counts(rules).cache()
+        iv = interval_array(self.intervals)
+        support = counts.groupBy("rule_id").agg(F.sum("n").cast("long").alias("support"))
+        tp = (counts.filter(F.col("yb").isNotNull())
+                    .select("rule_id", "n",
+                            F.explode(F.filter(iv, lambda v: (v["j"] < F.col("yb")) & (F.col("yb") <= v["i"])))
+                            .alias("v"))
+                    .groupBy("rule_id", F.col("v.j").alias("j"), F.col("v.i").alias("i"))
+                    .agg(F.sum("n").cast("long").alias("tp")))
+        grid = support.select("rule_id", "support", F.explode(iv).alias("v")).select(
+            "rule_id", "support", F.col("v.j").alias("j"), F.col("v.i").alias("i"))
+        m = (grid.join(tp, ["rule_id", "j", "i"], "left")
+                 .join(F.broadcast(self.pos_frame), ["j", "i"])
+                 .withColumn("tp", F.coalesce("tp", F.lit(0)).cast("long"))
+                 .withColumn("fp", (F.col("support") - F.col("tp")).cast("long"))
+                 .withColumn("precision", safe_div(F.col("tp").cast("double"), F.col("support").cast("double")))
+                 .withColumn("recall", safe_div(F.col("tp").cast("double"), F.col("P").cast("double")))
+                 .withColumn("fmeasure", fmeasure(F.col("precision"), F.col("recall"))))
+        return rules.join(m, "rule_id")
+
+    # -------------------------------------------------------------- rule sets
+
+    def ruleset_cells(self, sets: DataFrame) -> DataFrame:
+        """Per (rule set, projected cell): which rules of the set match the cell.
+
+        Output ``set_id, rules, yb, n, s1, s2, flags array<boolean>, m`` (number of matching
+        rules) for the cells at least one rule matches; a set that matches nothing keeps one
+        row, ``n = 0``.
+        """
+        s = _set_frame(sets)
+        cs = _colsets(s)
+        marg = marginals(self.cube, cs)
+
+        def matches(r):
+            return F.forall(r, lambda x: (x["lo"] < F.col("m.key")[x["k"]]) & (F.col("m.key")[x["k"]] <= x["hi"]))
+
+        # cells no rule matches add nothing to any metric: keep only matched cells
+        j = _join_marginals(s, marg, F.exists(F.col("c.kr"), matches), self.bound(cs))
+        flags = F.transform(F.col("c.kr"), lambda r: F.coalesce(matches(r), F.lit(False)))
+        return j.select(F.col("c.set_id").alias("set_id"), F.col("c.rules").alias("rules"),
+                        F.col("m.yb").alias("yb"), F.coalesce(F.col("m.n"), F.lit(0)).alias("n"),
+                        F.coalesce(F.col("m.s1"), F.lit(0.0)).alias("s1"),
+                        F.coalesce(F.col("m.s2"), F.lit(0.0)).alias("s2"),
+                        flags.alias("flags")).withColumn(
+            "m", F.size(F.filter("flags", lambda v: v)))
+
+    def ruleset_metrics(self, sets: DataFrame, lo_y: int = 0, hi_y: int = 1,
+                        min_rule_recall: float = 0.05) -> DataFrame:
+        """Precision, recall, disjointness, dissimilarity, F, harmonic mean, feasibility, fitness.
+
+        * recall / precision of the union of the rules;
+        * disjointness = traces matched by exactly one rule / matches counted with multiplicity;
+        * dissimilarity = sum over rules of the squared deviations of the target of every trace
+          the rule matches (positives and negatives);
+        * feasible = every rule alone has recall > ``min_rule_recall``; fitness = ``(precision,
+          recall, dissimilarity)`` if feasible else ``(0, 0, inf)``.
+        """
+        P = self.P.get((lo_y, hi_y))
+        if P is None:
+            P = positives_per_interval(self.cube, [(lo_y, hi_y)]).collect()[0]["P"]
+        if P <= 0:
+            raise ValueError("No positives in the target interval")
+        cells = self.ruleset_cells(sets).cache()
+        pos = positive(F.col("yb"), lo_y, hi_y)
+        anym = F.col("m") > 0
+        zero = F.lit(0)
+        per_set = cells.groupBy("set_id", "rules").agg(
+            F.sum(F.when(anym & pos, F.col("n")).otherwise(zero)).cast("long").alias("tp"),
+            F.sum(F.when(anym & ~pos, F.col("n")).otherwise(zero)).cast("long").alias("fp"),
+            F.sum(F.when(F.col("m") == 1, F.col("n")).otherwise(zero)).cast("long").alias("uniq"),
+            F.sum(F.col("n") * F.col("m")).cast("long").alias("tot"))
+        rs = ruleset_rule_stats(cells, lo_y, hi_y)
+        per_rule = rs.groupBy("set_id").agg(
+            F.sum(sq_dev(F.col("n_r").cast("double"), F.col("s1_r"), F.col("s2_r"))).alias("dissimilarity"),
+            F.min(F.col("tp_r") / F.lit(float(P))).alias("min_rule_recall"),
+            F.sort_array(F.collect_list(F.struct("r", "n_r"))).alias("sizes"))
+        out = (per_set.join(per_rule, "set_id")
+                      .withColumn("n_rules", F.size("rules"))
+                      .withColumn("recall", F.col("tp") / F.lit(float(P)))
+                      .withColumn("precision", safe_div(F.col("tp").cast("double"),
+                                                        (F.col("tp") + F.col("fp")).cast("double")))
+                      .withColumn("disjointness", safe_div(F.col("uniq").cast("double"),
+                                                           F.col("tot").cast("double")))
+                      .withColumn("fscore", fmeasure(F.col("precision"), F.col("recall")))
+                      .withColumn("harmonic", harmonic3(F.col("precision"), F.col("recall"),
+                                                        F.col("disjointness")))
+                      .withColumn("feasible", F.col("min_rule_recall") > F.lit(min_rule_recall))
+                      .withColumn("sizes", F.transform("sizes", lambda x: x["n_r"])))
+        inf = F.lit(float("inf"))
+        return (out.withColumn("fit_p", F.when(F.col("feasible"), F.col("precision")).otherwise(F.lit(0.0)))
+                   .withColumn("fit_r", F.when(F.col("feasible"), F.col("recall")).otherwise(F.lit(0.0)))
+                   .withColumn("fit_d", F.when(F.col("feasible"), F.col("dissimilarity")).otherwise(inf)))
+
+
+def rule_counts(cube: DataFrame, rules: DataFrame) -> DataFrame:
+    return Scorer(cube, require_positives=False).rule_counts(rules)
+
+
+def score_rules(cube: DataFrame, rules: DataFrame,
+                intervals: Sequence[tuple[int, int]] = ((0, 1),),
+                require_positives: bool = True, space=None) -> DataFrame:
+    """Scores ``rules`` for every interval (see :meth:`Scorer.score`); raises without positives."""
+    if space is not None:
+        sc = Scorer.for_space(cube, space, intervals, require_positives)
+    else:
+        sc = Scorer(cube, intervals=intervals, require_positives=require_positives)
+    return sc.score(rules)
 
 
 def best_per_interval(scored: DataFrame, by: Sequence[str] = ("j", "i")) -> DataFrame:
@@ -184,26 +315,7 @@ def _set_frame(sets: DataFrame) -> DataFrame:
 
 
 def ruleset_cells(cube: DataFrame, sets: DataFrame) -> DataFrame:
-    """Per (rule set, projected cell): which rules of the set match the cell.
-
-    Output ``set_id, rules, yb, n, s1, s2, flags array<boolean>, m`` (number of matching rules)
-    for the cells at least one rule matches; a set that matches nothing keeps one row, ``n = 0``.
-    """
-    s = _set_frame(sets)
-    marg = marginals(cube, _colsets(s))
-
-    def matches(r):
-        return F.forall(r, lambda x: (x["lo"] < F.col("m.key")[x["k"]]) & (F.col("m.key")[x["k"]] <= x["hi"]))
-
-    # cells no rule matches add nothing to any metric: keep only matched cells
-    j = _join_marginals(s, marg, F.exists(F.col("c.kr"), matches))
-    flags = F.transform(F.col("c.kr"), lambda r: F.coalesce(matches(r), F.lit(False)))
-    return j.select(F.col("c.set_id").alias("set_id"), F.col("c.rules").alias("rules"),
-                    F.col("m.yb").alias("yb"), F.coalesce(F.col("m.n"), F.lit(0)).alias("n"),
-                    F.coalesce(F.col("m.s1"), F.lit(0.0)).alias("s1"),
-                    F.coalesce(F.col("m.s2"), F.lit(0.0)).alias("s2"),
-                    flags.alias("flags")).withColumn(
-        "m", F.size(F.filter("flags", lambda v: v)))
+    return Scorer(cube, require_positives=False).ruleset_cells(sets)
 
 
 def ruleset_rule_stats(cells: DataFrame, lo_y: int = 0, hi_y: int = 1) -> DataFrame:
@@ -219,50 +331,13 @@ def ruleset_rule_stats(cells: DataFrame, lo_y: int = 0, hi_y: int = 1) -> DataFr
 
 
 def ruleset_metrics(cube: DataFrame, sets: DataFrame, lo_y: int = 0, hi_y: int = 1,
-                    min_rule_recall: float = 0.05) -> DataFrame:
-    """Precision, recall, disjointness, dissimilarity, F, harmonic mean, feasibility, fitness.
-
-    * recall / precision of the union of the rules;
-    * disjointness = traces matched by exactly one rule / matches counted with multiplicity;
-    * dissimilarity = sum over rules of the squared deviations of the target of every trace
-      the rule matches (positives and negatives);
-    * feasible = every rule alone has recall > ``min_rule_recall``; fitness = ``(precision,
-      recall, dissimilarity)`` if feasible else ``(0, 0, inf)``.
-    """
-    cells = ruleset_cells(cube, sets).cache()
-    P = cube.agg(F.sum(F.when(positive(F.col("yb"), lo_y, hi_y), F.col("n")).otherwise(F.lit(0))))
-    P = P.collect()[0][0] or 0
-    if P <= 0:
-        raise ValueError("No positives in the target interval")
-    pos = positive(F.col("yb"), lo_y, hi_y)
-    anym = F.col("m") > 0
-    zero = F.lit(0)
-    per_set = cells.groupBy("set_id", "rules").agg(
-        F.sum(F.when(anym & pos, F.col("n")).otherwise(zero)).cast("long").alias("tp"),
-        F.sum(F.when(anym & ~pos, F.col("n")).otherwise(zero)).cast("long").alias("fp"),
-        F.sum(F.when(F.col("m") == 1, F.col("n")).otherwise(zero)).cast("long").alias("uniq"),
-        F.sum(F.col("n") * F.col("m")).cast("long").alias("tot"))
-    rs = ruleset_rule_stats(cells, lo_y, hi_y)
-    per_rule = rs.groupBy("set_id").agg(
-        F.sum(sq_dev(F.col("n_r").cast("double"), F.col("s1_r"), F.col("s2_r"))).alias("dissimilarity"),
-        F.min(F.col("tp_r") / F.lit(float(P))).alias("min_rule_recall"),
-        F.sort_array(F.collect_list(F.struct("r", "n_r"))).alias("sizes"))
-    out = (per_set.join(per_rule, "set_id")
-                  .withColumn("n_rules", F.size("rules"))
-                  .withColumn("recall", F.col("tp") / F.lit(float(P)))
-                  .withColumn("precision", safe_div(F.col("tp").cast("double"),
-                                                    (F.col("tp") + F.col("fp")).cast("double")))
-                  .withColumn("disjointness", safe_div(F.col("uniq").cast("double"),
-                                                       F.col("tot").cast("double")))
-                  .withColumn("fscore", fmeasure(F.col("precision"), F.col("recall")))
-                  .withColumn("harmonic", harmonic3(F.col("precision"), F.col("recall"),
-                                                    F.col("disjointness")))
-                  .withColumn("feasible", F.col("min_rule_recall") > F.lit(min_rule_recall))
-                  .withColumn("sizes", F.transform("sizes", lambda x: x["n_r"])))
-    inf = F.lit(float("inf"))
-    return (out.withColumn("fit_p", F.when(F.col("feasible"), F.col("precision")).otherwise(F.lit(0.0)))
-               .withColumn("fit_r", F.when(F.col("feasible"), F.col("recall")).otherwise(F.lit(0.0)))
-               .withColumn("fit_d", F.when(F.col("feasible"), F.col("dissimilarity")).otherwise(inf)))
+                    min_rule_recall: float = 0.05, space=None) -> DataFrame:
+    """Rule-set metrics (see :meth:`Scorer.ruleset_metrics`)."""
+    if space is not None:
+        sc = Scorer.for_space(cube, space, [(lo_y, hi_y)])
+    else:
+        sc = Scorer(cube, intervals=[(lo_y, hi_y)])
+    return sc.ruleset_metrics(sets, lo_y, hi_y, min_rule_recall)
 
 
 def round_metrics(df: DataFrame, cols: Sequence[str]) -> DataFrame:

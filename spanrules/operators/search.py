@@ -48,26 +48,22 @@ def branch_and_bound(cube: DataFrame, space: Space,
     """
     spark = cube.sparkSession
     feats = list(features if features is not None else bin_feature_list(space))
-    iv = list(intervals)
-    level = scoring.score_rules(cube, with_rule_id(seed_rules(spark)), iv)
-    best = scoring.best_per_interval(level)
-    best = cut_lineage(best)
+    scorer = scoring.Scorer.for_space(cube, space, intervals)
+    level = scorer.score(with_rule_id(seed_rules(spark)))
+    best = cut_lineage(scoring.best_per_interval(level))
     frontier = level.select("rule", "rule_id", "j", "i", "recall")
     for _ in range(len(space.cols)):
-        parents = frontier.select("rule", "j", "i")
-        kids = with_rule_id(extend_rules(parents, feats)).cache()
-        if kids.limit(1).count() == 0:
-            break
-        scored = scoring.score_rules(cube, kids.select("rule", "rule_id").distinct(), iv)
+        kids = with_rule_id(extend_rules(frontier.select("rule", "j", "i"), feats)).cache()
+        scored = scorer.score(kids.select("rule", "rule_id").distinct())
         scored = scored.join(kids.select("rule_id", "j", "i").distinct(), ["rule_id", "j", "i"], "left_semi")
         scored = cut_lineage(scored)
         best = cut_lineage(scoring.best_per_interval(best.unionByName(scored.select(best.columns))))
         bound = best.select("j", "i", (F.col("fmeasure") / (F.lit(2.0) - F.col("fmeasure"))).alias("rb"))
+        # the frontier is small and materialised with ``scored``; an empty one ends the search
         frontier = (scored.join(F.broadcast(bound), ["j", "i"])
                           .filter(F.col("recall") >= F.col("rb"))
-                          .select("rule", "rule_id", "j", "i", "recall"))
-        frontier = cut_lineage(frontier)
-        if frontier.limit(1).count() == 0:
+                          .select("rule", "rule_id", "j", "i", "recall")).cache()
+        if frontier.isEmpty():
             break
     return best
 
@@ -83,7 +79,7 @@ def best_rule(cube: DataFrame, space: Space, depth: int = 2,
               intervals: Sequence[tuple[int, int]] = ((0, 1),)) -> DataFrame:
     """Best rule of at most ``depth`` feasible conditions (exhaustive), per interval."""
     rules = rules_up_to(cube.sparkSession, usable_conditions(space), depth)
-    return scoring.best_per_interval(scoring.score_rules(cube, rules, intervals))
+    return scoring.best_per_interval(scoring.score_rules(cube, rules, intervals, space=space))
 
 
 # ------------------------------------------------------------------ rule neighbourhoods
@@ -164,11 +160,11 @@ def beam_rule(cube: DataFrame, space: Space, width: int = 10, max_rounds: int =
     improve or after ``max_rounds``. Returns the best rule (one row).
     """
     spark = cube.sparkSession
-    iv = [(lo_y, hi_y)]
+    scorer = scoring.Scorer.for_space(cube, space, [(lo_y, hi_y)])
     conds = usable_conditions(space)
     feasible = _feasible_rule(space)
     start = with_rule_id(extend_rules(seed_rules(spark), conds))
-    seen = cut_lineage(scoring.score_rules(cube, start, iv)
+    seen = cut_lineage(scorer.score(start)
                        .withColumn("fit", F.when(feasible, F.col("fmeasure")).otherwise(F.lit(0.0))))
     best_f = None
     for _ in range(max_rounds):
@@ -180,12 +176,9 @@ def beam_rule(cube: DataFrame, space: Space, width: int = 10, max_rounds: int =
         cand = (rule_neighbours(beam, space, conds).select("rule", "rule_id")
                 .unionByName(recombine_rules(beam).select("rule", "rule_id"))
                 .dropDuplicates(["rule_id"])
-                .join(seen.select("rule_id"), "rule_id", "left_anti"))
-        cand = cut_lineage(cand)
-        if cand.limit(1).count() == 0:
-            break
-        new = (scoring.score_rules(cube, cand, iv)
-                      .withColumn("fit", F.when(feasible, F.col("fmeasure")).otherwise(F.lit(0.0))))
+                .join(seen.select("rule_id"), "rule_id", "left_anti")).cache()
+        new = (scorer.score(cand)
+                     .withColumn("fit", F.when(feasible, F.col("fmeasure")).otherwise(F.lit(0.0))))
         seen = cut_lineage(seen.unionByName(new.select(seen.columns)))
     ranked = seen.filter(feasible)
     return (ranked.agg(F.min_by(F.struct(*seen.columns), _best_order()).alias("b")).select("b.*"))
@@ -300,8 +293,9 @@ def beam_ruleset(cube: DataFrame, space: Space, mu: int = 10, max_rounds: int =
     Stops when the front is unchanged or after ``max_rounds``. Returns the final front.
     """
     spark = cube.sparkSession
+    scorer = scoring.Scorer.for_space(cube, space, [(lo_y, hi_y)])
     conds = usable_conditions(space)
-    seen = cut_lineage(scoring.ruleset_metrics(cube, single_condition_sets(spark, conds), lo_y, hi_y))
+    seen = cut_lineage(scorer.ruleset_metrics(single_condition_sets(spark, conds), lo_y, hi_y))
     front_key = None
     front = None
     for _ in range(max_rounds):
@@ -319,10 +313,7 @@ def beam_ruleset(cube: DataFrame, space: Space, mu: int = 10, max_rounds: int =
         cand = (ruleset_neighbours(beam, space, conds).select("set_id", "rules")
                 .unionByName(recombine_sets(beam).select("set_id", "rules"))
                 .dropDuplicates(["set_id"])
-                .join(seen.select("set_id"), "set_id", "left_anti"))
-        cand = cut_lineage(cand)
-        if cand.limit(1).count() == 0:
-            break
-        new = scoring.ruleset_metrics(cube, cand, lo_y, hi_y)
+                .join(seen.select("set_id"), "set_id", "left_anti")).cache()
+        new = scorer.ruleset_metrics(cand, lo_y, hi_y)
         seen = cut_lineage(seen.unionByName(new.select(seen.columns)))
     return front if front is not None else pareto.pareto_front(seen)

@@ -70,7 +70,9 @@ def best_segmentation(scores: DataFrame, n_points: int) -> DataFrame:
                          F.col("s.j").alias("j")))
         pick = step.agg(F.min_by(F.struct("i", "total", "path"),
                                  F.struct((-F.col("total")).alias("t"), F.col("j").alias("j"))).alias("p"))
-        best = cut_lineage(best.unionByName(pick.select("p.*")))
+        best = best.unionByName(pick.select("p.*"))
+        if i % 16 == 0:
+            best = cut_lineage(best)
     last = best.filter(F.col("i") == n_points - 1)
     starts = last.select("total", F.posexplode("path").alias("seg", "j"),
                          F.array_append("path", F.lit(n_points - 1)).alias("ends"))

@@ -160,7 +160,7 @@ def q_rule_decode(spark, data_dir):
 @register("rule_metrics")
 def q_rule_metrics(spark, data_dir):
     ctx = Context(spark, data_dir)
-    return _scored_view(scoring.score_rules(ctx.cube, ctx.rules()))
+    return _scored_view(scoring.score_rules(ctx.cube, ctx.rules(), space=ctx.space))
 
 
 @register("bin_features")
@@ -177,7 +177,7 @@ def q_bin_features(spark, data_dir):
 def q_bin_features_scored(spark, data_dir):
     ctx = Context(spark, data_dir)
     rules = space_ops.rules_up_to(spark, space_ops.bin_feature_list(ctx.space), 1)
-    return _scored_view(scoring.score_rules(ctx.cube, rules))
+    return _scored_view(scoring.score_rules(ctx.cube, rules, space=ctx.space))
 
 
 # ------------------------------------------------------------------ rule sets, Pareto
@@ -190,7 +190,7 @@ SET_METRICS = ("precision", "recall", "disjointness", "dissimilarity", "fscore",
 
 def _pair_set_metrics(ctx: Context) -> DataFrame:
     sets = space_ops.pair_sets(ctx.spark, space_ops.bin_feature_list(ctx.space))
-    return scoring.ruleset_metrics(ctx.cube, sets)
+    return scoring.ruleset_metrics(ctx.cube, sets, space=ctx.space)
 
 
 @register("ruleset_metrics")

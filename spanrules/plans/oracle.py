@@ -55,7 +55,8 @@ def _matrix_cte() -> str:
     cols, notnull = [], []
     for e in ENDPOINTS:
         for src, suf in (("self_duration", "_avg_self_dur"), ("duration", "_avg_dur")):
-            cols.append(f"round(avg(CASE WHEN endpoint = '{e}' THEN {src} END) / 1000.0) AS {e}{suf}")
+            # + 0.0 turns DuckDB's -0.0 into 0.0, as Spark's round gives
+            cols.append(f"round(avg(CASE WHEN endpoint = '{e}' THEN {src} END) / 1000.0) + 0.0 AS {e}{suf}")
             notnull.append(f"{e}{suf} IS NOT NULL")
     return f"""
 wide AS (SELECT traceId, {', '.join(cols)} FROM selfs GROUP BY traceId),
@@ -73,7 +74,7 @@ def base_ctes() -> str:
 
 
 def reshape_sql() -> dict[str, str]:
-    sums = ", ".join(f"round(sum(CASE WHEN endpoint = '{e}' THEN duration END) / 1000.0) AS {e}"
+    sums = ", ".join(f"round(sum(CASE WHEN endpoint = '{e}' THEN duration END) / 1000.0) + 0.0 AS {e}"
                      for e in ENDPOINTS)
     sum_nn = " AND ".join(f"{e} IS NOT NULL" for e in ENDPOINTS)
     head = with_(spans_cte())
