@@ -33,6 +33,9 @@ from spanrules.session import cut_lineage, ship_by_value
 ship_by_value(__name__)
 
 
+BROADCAST_ROWS = 2_000_000
+
+
 def value_histogram(traces: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(col, v, w)``: distinct non-missing values per column with their counts."""
     entries = F.array(*[F.struct(F.lit(c).alias("col"), clean_double(qcol(c)).alias("v")) for c in cols])
@@ -96,36 +99,59 @@ def seeds(hist: DataFrame, bw: DataFrame, min_bin_freq: int = 1) -> DataFrame:
     return s.withColumn("sid", F.dense_rank().over(Window.partitionBy("col").orderBy("mean")))
 
 
-def shift(hist: DataFrame, bw: DataFrame, start: DataFrame, max_iter: int = 300) -> DataFrame:
-    """Mean-shift every seed to convergence: ``(col, sid, mean, intensity)``."""
+def _step(state: DataFrame, keyed: DataFrame, max_iter: int) -> DataFrame:
+    """One mean-shift step for every seed, in one pass (converged seeds pass through).
+
+    Each seed probes its value bucket and the two next to it (equi-join on ``(col, cell)``);
+    points farther than the bandwidth are masked in the sums, not filtered, so every seed keeps
+    its row. A moving seed with no point in reach is dropped.
+    """
+    probe = state.select("*", F.explode(F.array(
+        *[(F.floor(F.col("mean") / F.col("bandwidth")) + F.lit(d)).cast("long") for d in (-1, 0, 1)]))
+        .alias("cell"))
+    joined = probe.join(keyed, ["col", "cell"], "left")
+    inside = F.abs(F.col("v") - F.col("mean")) <= F.col("bandwidth")
+    agg = (joined.groupBy("col", "sid", "mean", "bandwidth", "done", "it", "intensity")
+                 .agg(F.sum(F.when(inside, F.col("v") * F.col("w"))).alias("svw"),
+                      F.sum(F.when(inside, F.col("w"))).alias("sw")))
+    new = F.col("svw") / F.col("sw")
+    moved = (F.abs(new - F.col("mean")) < F.lit(1e-3) * F.col("bandwidth")) | (F.col("it") >= max_iter)
+    return (agg.filter(F.col("done") | (F.coalesce(F.col("sw"), F.lit(0)) > 0))
+               .select("col", "sid",
+                       F.when(F.col("done"), F.col("mean")).otherwise(new).alias("mean"),
+                       "bandwidth",
+                       (F.col("done") | moved).alias("done"),
+                       F.when(F.col("done"), F.col("it")).otherwise(F.col("it") + 1).alias("it"),
+                       F.when(F.col("done"), F.col("intensity")).otherwise(F.col("sw")).cast("long")
+                       .alias("intensity")))
+
+
+def shift(hist: DataFrame, bw: DataFrame, start: DataFrame, max_iter: int = 300,
+          steps_per_job: int = 6) -> DataFrame:
+    """Mean-shift every seed to convergence: ``(col, sid, mean, intensity)``.
+
+    ``steps_per_job`` steps are chained in one plan (each step reads the previous state once,
+    so the plan grows linearly), then the state is checkpointed and checked for active seeds.
+    """
     b = F.broadcast(bw.select("col", "bandwidth").filter(F.col("bandwidth") > 0))
     keyed = (hist.join(b, "col")
                  .withColumn("cell", F.floor(F.col("v") / F.col("bandwidth")).cast("long"))
-                 .select("col", "cell", "v", "w", "bandwidth"))
+                 .select("col", "cell", "v", "w"))
     keyed = cut_lineage(keyed)
+    # the histogram (distinct values per column) is measured once; under the limit every step
+    # broadcasts it and streams the seeds, so a step shuffles only for its aggregate
+    if keyed.count() <= BROADCAST_ROWS:
+        keyed = F.broadcast(keyed)
     state = (start.join(b, "col")
                   .select("col", "sid", "mean", "bandwidth", F.lit(False).alias("done"),
                           F.lit(0).alias("it"), F.lit(0).cast("long").alias("intensity")))
     state = cut_lineage(state)
-    for _ in range(max_iter + 1):
-        active = state.filter(~F.col("done"))
-        if active.limit(1).count() == 0:
+    for _ in range(0, max_iter + 1, steps_per_job):
+        for _ in range(steps_per_job):
+            state = _step(state, keyed, max_iter)
+        state = cut_lineage(state)
+        if state.filter(~F.col("done")).isEmpty():
             break
-        probe = active.select("col", "sid", "mean", "bandwidth", "it", F.explode(F.array(
-            *[(F.floor(F.col("mean") / F.col("bandwidth")) + F.lit(d)).cast("long") for d in (-1, 0, 1)]))
-            .alias("cell"))
-        near = (probe.join(keyed.drop("bandwidth"), ["col", "cell"])
-                     .filter(F.abs(F.col("v") - F.col("mean")) <= F.col("bandwidth"))
-                     .groupBy("col", "sid", "mean", "bandwidth", "it")
-                     .agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("new"),
-                          F.sum("w").alias("cnt")))
-        moved = near.select(
-            "col", "sid", F.col("new").alias("mean"), "bandwidth",
-            ((F.abs(F.col("new") - F.col("mean")) < F.lit(1e-3) * F.col("bandwidth"))
-             | (F.col("it") >= max_iter)).alias("done"),
-            (F.col("it") + 1).alias("it"), F.col("cnt").alias("intensity"))
-        # a seed with no point in reach is dropped (no row in ``near``)
-        state = cut_lineage(state.filter(F.col("done")).unionByName(moved))
     return state.select("col", "sid", "mean", "intensity")
 
 
