@@ -176,7 +176,8 @@ def beam_rule(cube: DataFrame, space: Space, width: int = 10, max_rounds: int =
         cand = (rule_neighbours(beam, space, conds).select("rule", "rule_id")
                 .unionByName(recombine_rules(beam).select("rule", "rule_id"))
                 .dropDuplicates(["rule_id"])
-                .join(seen.select("rule_id"), "rule_id", "left_anti")).cache()
+                .join(seen.select("rule_id"), "rule_id", "left_anti"))
+        cand = cut_lineage(cand)
         new = (scorer.score(cand)
                      .withColumn("fit", F.when(feasible, F.col("fmeasure")).otherwise(F.lit(0.0))))
         seen = cut_lineage(seen.unionByName(new.select(seen.columns)))
@@ -313,7 +314,10 @@ def beam_ruleset(cube: DataFrame, space: Space, mu: int = 10, max_rounds: int =
         cand = (ruleset_neighbours(beam, space, conds).select("set_id", "rules")
                 .unionByName(recombine_sets(beam).select("set_id", "rules"))
                 .dropDuplicates(["set_id"])
-                .join(seen.select("set_id"), "set_id", "left_anti")).cache()
+                .join(seen.select("set_id"), "set_id", "left_anti"))
+        # checkpointed: the generation plan is large, and every later plan of the round then
+        # starts from a plain scan instead of re-planning it
+        cand = cut_lineage(cand)
         new = scorer.ruleset_metrics(cand, lo_y, hi_y)
         seen = cut_lineage(seen.unionByName(new.select(seen.columns)))
     return front if front is not None else pareto.pareto_front(seen)
