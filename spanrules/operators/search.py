@@ -38,31 +38,58 @@ def _best_order() -> Column:
 
 def branch_and_bound(cube: DataFrame, space: Space,
                      intervals: Sequence[tuple[int, int]] = ((0, 1),),
-                     features: Sequence[tuple[int, int, int]] | None = None) -> DataFrame:
+                     features: Sequence[tuple[int, int, int]] | None = None,
+                     support_bound: bool = False) -> DataFrame:
     """Exact best rule over adjacent-bin features, one per column, for every interval.
 
     Better = higher F, then fewer conditions, then smaller rule key. A node whose recall is below
     ``F*/(2 - F*)`` is not expanded: its descendants have no more recall and
     ``F <= 2r/(1 + r)``. Children only take columns after the node's last column, so every
     subset is visited once. Output per interval ``(j, i)``: the best scored rule.
+
+    ``support_bound=True`` adds the support-decrease test of the source model: a child is kept
+    only if ``S_parent - S >= (S_parent - mu) / remaining``, ``mu = min over the path of
+    P / precision``, ``remaining`` = features left to the parent. It is not proven safe (it may
+    drop the optimum), hence off by default.
     """
     spark = cube.sparkSession
     feats = list(features if features is not None else bin_feature_list(space))
+    farr = cond_array(feats)
     scorer = scoring.Scorer.for_space(cube, space, intervals)
     level = scorer.score(with_rule_id(seed_rules(spark)))
     best = cut_lineage(scoring.best_per_interval(level))
-    frontier = level.select("rule", "rule_id", "j", "i", "recall")
+
+    def remaining(rule: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(rule, lambda x: x["c"])), F.lit(-1))
+        return F.size(F.filter(farr, lambda x: x["c"] > last))
+
+    def node_mu(prev: Column) -> Column:
+        own = F.when(F.col("precision") > 0, F.col("P") / F.col("precision")).otherwise(F.lit(float("inf")))
+        return F.least(prev, own)
+
+    frontier = level.select("rule", "rule_id", "j", "i", "recall", "support",
+                            node_mu(F.lit(float("inf"))).alias("mu"),
+                            remaining(F.col("rule")).alias("rem"))
     for _ in range(len(space.cols)):
-        kids = with_rule_id(extend_rules(frontier.select("rule", "j", "i"), feats)).cache()
+        parents = frontier.select("rule", "j", "i", F.col("support").alias("p_support"),
+                                  F.col("mu").alias("p_mu"), F.col("rem").alias("p_rem"))
+        kids = with_rule_id(extend_rules(parents, feats)).cache()
         scored = scorer.score(kids.select("rule", "rule_id").distinct())
-        scored = scored.join(kids.select("rule_id", "j", "i").distinct(), ["rule_id", "j", "i"], "left_semi")
+        scored = scored.join(kids.select("rule_id", "j", "i", "p_support", "p_mu", "p_rem").distinct(),
+                             ["rule_id", "j", "i"])
+        if support_bound:
+            drop = F.col("p_support") - F.col("support")
+            scored = scored.filter(drop >= (F.col("p_support") - F.col("p_mu")) / F.col("p_rem"))
         scored = cut_lineage(scored)
-        best = cut_lineage(scoring.best_per_interval(best.unionByName(scored.select(best.columns))))
+        best = cut_lineage(scoring.best_per_interval(
+            best.unionByName(scored.select(best.columns))))
         bound = best.select("j", "i", (F.col("fmeasure") / (F.lit(2.0) - F.col("fmeasure"))).alias("rb"))
         # the frontier is small and materialised with ``scored``; an empty one ends the search
         frontier = (scored.join(F.broadcast(bound), ["j", "i"])
                           .filter(F.col("recall") >= F.col("rb"))
-                          .select("rule", "rule_id", "j", "i", "recall")).cache()
+                          .select("rule", "rule_id", "j", "i", "recall", "support",
+                                  node_mu(F.col("p_mu")).alias("mu"), remaining(F.col("rule")).alias("rem"))
+                   ).cache()
         if frontier.isEmpty():
             break
     return best

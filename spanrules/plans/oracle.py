@@ -378,8 +378,7 @@ nb AS (
             {rules_ctes('feasible AND c IN (SELECT c FROM nthc WHERE nth >= 3)')}, {MATCH_CTES} {BEST_SELECT}""",
         "rule_neighbours": f"""{head}, {seeds}
             SELECT DISTINCT parent_id, move, rule_id FROM nb WHERE rule_id NOT IN (SELECT fk FROM seeds)""",
-        "segment_intervals": f"{head}, {_seg_ctes()} SELECT j, i, s_from, s_to FROM seg_iv".replace(
-            "WITH ", "WITH RECURSIVE ", 1).replace("allhits AS", "x_unused AS (SELECT 1), allhits AS", 0),
+        "segment_intervals": f"{rhead}, {SUBSET_CTES}, {_seg_ctes()} SELECT j, i, s_from, s_to FROM seg_iv",
         "segment_scores": f"""{rhead}, {SUBSET_CTES}, {_seg_ctes()}
             SELECT j, i, s_from, s_to, rule_id, n_conds, tp, fp, P, round(precision, 6) AS precision,
                    round(recall, 6) AS recall, round(fmeasure, 6) AS fmeasure FROM segbest""",
@@ -415,6 +414,44 @@ kth AS (SELECT c.col, c.v, any_value(c.wa) AS wa, min(c.d) AS dk FROM cum c JOIN
     }
 
 
+# ------------------------------------------------------------------ rule-set neighbourhood
+
+def ruleset_neighbour_sql() -> dict[str, str]:
+    """Neighbours of the one-condition sets of the bin features, moves enumerated by hand."""
+    head = base_ctes() + "," + space_ctes()
+
+    def key(a: str) -> str:
+        return f"{a}.c::VARCHAR || ':' || {a}.lo::VARCHAR || ':' || {a}.hi::VARCHAR"
+
+    def le(a: str, b: str) -> str:
+        return (f"({a}.c < {b}.c OR ({a}.c = {b}.c AND ({a}.lo < {b}.lo OR "
+                f"({a}.lo = {b}.lo AND {a}.hi <= {b}.hi))))")
+
+    def rule2(a: str, b: str) -> str:
+        """Key of the rule {a, b} (distinct columns), sorted by column."""
+        return f"CASE WHEN {a}.c < {b}.c THEN {key(a)} || ';' || {key(b)} ELSE {key(b)} || ';' || {key(a)} END"
+
+    return {"ruleset_neighbours": f"""{head},
+nth AS (SELECT pos AS c, len(th) AS nth FROM qs),
+f AS (SELECT c, lo, hi FROM conds WHERE hi = lo + 1),
+u AS (SELECT conds.c, lo, hi FROM conds JOIN nth USING (c) WHERE feasible AND nth >= 3),
+nb AS (
+  SELECT {key('f')} AS parent_id, 'add_rule' AS move,
+         CASE WHEN {le('f', 'u')} THEN {key('f')} || '|' || {key('u')} ELSE {key('u')} || '|' || {key('f')} END AS set_id
+  FROM f, u
+  UNION ALL
+  SELECT {key('f')}, 'add_cond', {rule2('f', 'u')} FROM f JOIN u ON u.c <> f.c
+  UNION ALL
+  SELECT {key('f')}, 'complement',
+         {rule2('f', 'a')} || '|' || {rule2('f', 'b')}
+  FROM f JOIN nth ON nth.c <> f.c AND nth.nth > 2,
+       LATERAL (SELECT range AS cut FROM range(1, nth.nth - 1)) k,
+       LATERAL (SELECT nth.c AS c, 0 AS lo, k.cut AS hi) a,
+       LATERAL (SELECT nth.c AS c, k.cut AS lo, nth.nth - 1 AS hi) b)
+SELECT DISTINCT parent_id, move, set_id FROM nb
+WHERE set_id NOT IN (SELECT {key('f')} FROM f)"""}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(reshape_sql())
@@ -422,4 +459,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(ruleset_sql())
     out.update(search_sql())
     out.update(meanshift_sql())
+    out.update(ruleset_neighbour_sql())
     return out

@@ -156,3 +156,11 @@ def test_segmentation_matches_enumeration(spark, data):
 def test_segmentation_single_point(spark):
     scores = spark.createDataFrame([], "j int, i int, fmeasure double")
     assert segment.best_segmentation(scores, 1).count() == 0
+
+
+def test_branch_and_bound_support_bound_option(spark, data):
+    _, space, cube = data
+    exact = search.branch_and_bound(cube, space).collect()[0]
+    pruned = search.branch_and_bound(cube, space, support_bound=True).collect()[0]
+    assert pruned["fmeasure"] <= exact["fmeasure"] + 1e-12
+    assert 0 <= pruned["fmeasure"] <= 1
