@@ -65,7 +65,8 @@ def root_experiments(raw: DataFrame, from_, to) -> DataFrame:
 
 def timestamp_micros(ts: Column) -> Column:
     """``timestamp_ntz`` as epoch microseconds, independent of the session time zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz"), ts)
+    # an NTZ literal: no session-zone conversion on either side of the difference
+    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -84,3 +84,16 @@ def test_rounding_half_away_from_zero(spark):
     df = spark.createDataFrame([(1500,), (2500,), (-1500,), (1499,)], "x long")
     got = [r[0] for r in df.select(micros_to_millis(F.col("x"))).collect()]
     assert got == [2.0, 3.0, -2.0, 1.0]
+
+
+def test_timestamp_micros_ignores_session_zone(spark):
+    from pyspark.sql import functions as F
+
+    from spanrules.sources.spans import timestamp_micros
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([(dt.datetime(1997, 1, 15),)], "ts timestamp_ntz")
+        assert df.select(timestamp_micros(F.col("ts"))).collect()[0][0] == 853_286_400_000_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
