@@ -45,8 +45,8 @@ def get_session(master: str | None = None, app: str = "spanrules",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster the folder is set by the deployment and only read here. When it is unset (local
-    tests) a fresh folder is created once per session.
+    On a cluster the folder is set by the deployment and only read here; unset on a cluster is an
+    error. In local mode (tests) an unset folder is replaced by a fresh one, once per session.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +54,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
+                               "(checkpoints and staged tables are written there)")
         configured = tempfile.mkdtemp(prefix="spanrules-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -97,3 +97,21 @@ def test_timestamp_micros_ignores_session_zone(spark):
         assert df.select(timestamp_micros(F.col("ts"))).collect()[0][0] == 853_286_400_000_000
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_self_duration_by_trace_option(spark):
+    rows = [("a", "svc", 10, "s1", "SERVER", 1, None, None),
+            ("a", "svc", 4, "c1", "CLIENT", 2, "s1", None),
+            ("b", "svc", 20, "s1", "SERVER", 3, None, None)]   # same span id in another trace
+    raw = spark.createDataFrame(rows, SCHEMA)
+    spans = spans_by_interval(raw, 0, 10)
+    plain = {r.traceId: r.self_duration for r in reshape.self_duration(spans).collect()}
+    keyed = {r.traceId: r.self_duration for r in reshape.self_duration(spans, by_trace=True).collect()}
+    assert plain == {"a": 6, "b": 16}      # id-only join, as the source model
+    assert keyed == {"a": 6, "b": 20}
+
+
+def test_datetime_bounds(raw):
+    lo = dt.datetime(1970, 1, 1)
+    hi = dt.datetime(1970, 1, 1, 0, 0, 0, 302)
+    assert spans_by_interval(raw, lo, hi).count() == 11   # same spans as [100, 302] us

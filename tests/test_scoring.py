@@ -168,3 +168,16 @@ def test_rule_growth_counts(spark):
     rules = rules_up_to(spark, conds, 2)
     assert rules.count() == 1 + 6 + 9
     assert rules.select("rule_id").distinct().count() == 16
+
+
+def test_no_negatives_allowed(spark):
+    _, _, cube = _unit_space(spark, [0, 1], [], 2)
+    got = scoring.score_rules(cube, rules_frame(spark, [[(0, 0, 1)], []])).collect()
+    by = {r["rule_id"]: r for r in got}
+    assert (by["0:0:1"]["fp"], by["0:0:1"]["precision"], by["0:0:1"]["recall"]) == (0, 1.0, 0.5)
+    assert by[""]["fmeasure"] == 1.0
+
+
+def test_constant_column_thresholds(spark):
+    df = spark.createDataFrame([(5.0, 1.0), (5.0, 2.0)], "x double, y double")
+    assert quantile_thresholds(df, ["x"], [0.0, 0.5])["x"] == [5.0, 6.0]

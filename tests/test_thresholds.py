@@ -109,3 +109,9 @@ def test_forest_predicates(traces):
     assert got[0]["col"] == "x"
     lasts = [(r["col"], r["lo"], r["hi"]) for r in got]
     assert len(lasts) == len(set(lasts))
+
+
+def test_forest_first_tree_only(traces):
+    got = forest.forest_predicates(traces, "y", ["x", "z"], sla=150.0, num_trees=3, max_depth=4,
+                                   trees="first").collect()
+    assert got and all(r["tree"] == 0 for r in got)
