@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,10 +63,42 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_PARQUET_BAD = set(" ,;{}()\n\t=")
+
+
+def _parquet_safe(schema) -> bool:
+    from pyspark.sql import types as T
+
+    def ok(dt) -> bool:
+        if isinstance(dt, T.StructType):
+            return all(not (set(f.name) & _PARQUET_BAD) and ok(f.dataType) for f in dt.fields)
+        if isinstance(dt, T.ArrayType):
+            return ok(dt.elementType)
+        if isinstance(dt, T.MapType):
+            return ok(dt.keyType) and ok(dt.valueType)
+        return True
+
+    return ok(schema)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder; survives executor loss, unlike a local one."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared checkpoint folder and continue from there.
+
+    Written as a parquet table and read back: one job, and later scans get column pruning. (A
+    reliable ``Dataset.checkpoint`` runs the plan twice, once to count and once to write.)
+    Column names parquet cannot store fall back to persist + reliable checkpoint. Either way
+    the data survives the loss of executors, unlike a local checkpoint.
+    """
+    spark = df.sparkSession
+    if _parquet_safe(df.schema):
+        path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    checkpoint_dir(spark)
+    kept = df.persist()
+    out = kept.checkpoint(eager=True)
+    kept.unpersist(blocking=False)
+    return out
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
