@@ -178,20 +178,19 @@ class Scorer:
         P, precision, recall, fmeasure``. The empty rule scores ``P`` true and ``N`` false
         positives.
         """
-        counts = self.rule_counts(rules).cache()
+        # per rule, its counts by target bucket (at most #splits + 2 entries) in one small
+        # array: support and the true positives of every interval come from it in one pass
+        per_rule = (self.rule_counts(rules)
+                    .groupBy("rule_id")
+                    .agg(F.sum("n").cast("long").alias("support"),
+                         F.collect_list(F.when(F.col("yb").isNotNull(), F.struct("yb", "n"))).alias("h")))
         iv = interval_array(self.intervals)
-        support = counts.groupBy("rule_id").agg(F.sum("n").cast("long").alias("support"))
-        tp = (counts.filter(F.col("yb").isNotNull())
-                    .select("rule_id", "n",
-                            F.explode(F.filter(iv, lambda v: (v["j"] < F.col("yb")) & (F.col("yb") <= v["i"])))
-                            .alias("v"))
-                    .groupBy("rule_id", F.col("v.j").alias("j"), F.col("v.i").alias("i"))
-                    .agg(F.sum("n").cast("long").alias("tp")))
-        grid = support.select("rule_id", "support", F.explode(iv).alias("v")).select(
-            "rule_id", "support", F.col("v.j").alias("j"), F.col("v.i").alias("i"))
-        m = (grid.join(tp, ["rule_id", "j", "i"], "left")
+        grid = per_rule.select("rule_id", "support", "h", F.explode(iv).alias("v"))
+        tp = F.aggregate(F.filter("h", lambda x: (F.col("v.j") < x["yb"]) & (x["yb"] <= F.col("v.i"))),
+                         F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+        m = (grid.select("rule_id", "support", F.col("v.j").alias("j"), F.col("v.i").alias("i"),
+                         tp.alias("tp"))
                  .join(F.broadcast(self.pos_frame), ["j", "i"])
-                 .withColumn("tp", F.coalesce("tp", F.lit(0)).cast("long"))
                  .withColumn("fp", (F.col("support") - F.col("tp")).cast("long"))
                  .withColumn("precision", safe_div(F.col("tp").cast("double"), F.col("support").cast("double")))
                  .withColumn("recall", safe_div(F.col("tp").cast("double"), F.col("P").cast("double")))
