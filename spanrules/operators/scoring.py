@@ -249,8 +249,10 @@ class Scorer:
             F.sum(F.when(F.col("m") == 1, F.col("n")).otherwise(zero)).cast("long").alias("uniq"),
             F.sum(F.col("n") * F.col("m")).cast("long").alias("tot"))
         rs = ruleset_rule_stats(cells, lo_y, hi_y)
+        # summed in sorted order, so the result does not depend on shuffle arrival order
+        dev = F.array_sort(F.collect_list(sq_dev(F.col("n_r").cast("double"), F.col("s1_r"), F.col("s2_r"))))
         per_rule = rs.groupBy("set_id").agg(
-            F.sum(sq_dev(F.col("n_r").cast("double"), F.col("s1_r"), F.col("s2_r"))).alias("dissimilarity"),
+            F.aggregate(dev, F.lit(0.0), lambda acc, x: acc + x).alias("dissimilarity"),
             F.min(F.col("tp_r") / F.lit(float(P))).alias("min_rule_recall"),
             F.sort_array(F.collect_list(F.struct("r", "n_r"))).alias("sizes"))
         out = (per_set.join(per_rule, "set_id")

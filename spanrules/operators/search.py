@@ -157,9 +157,9 @@ def rule_neighbours(rules: DataFrame, space: Space,
 
 def recombine_rules(beam: DataFrame) -> DataFrame:
     """Children of every ordered pair of beam rules: ``a`` plus ``b``'s conditions on the
-    columns ``a`` does not use. The beam (bounded by its width) is gathered into one row and
-    exploded twice, so no join is needed."""
-    packed = beam.agg(F.collect_list(F.struct("rule_id", "rule")).alias("bs"))
+    columns ``a`` does not use. The beam (bounded by its width) is gathered into one row, sorted
+    by key so the result does not depend on partition order, and exploded twice (no join)."""
+    packed = beam.agg(F.array_sort(F.collect_list(F.struct("rule_id", "rule"))).alias("bs"))
     pairs = (packed.select(F.posexplode("bs").alias("ia", "a"), "bs")
                    .select("ia", "a", F.posexplode("bs").alias("ib", "b"))
                    .filter(F.col("ia") != F.col("ib")))
@@ -289,7 +289,7 @@ def ruleset_neighbours(sets: DataFrame, space: Space,
 
 def recombine_sets(beam: DataFrame) -> DataFrame:
     """Interleave two beam sets and cut at every inner position (both halves kept)."""
-    packed = beam.agg(F.collect_list(F.struct("set_id", "rules")).alias("bs"))
+    packed = beam.agg(F.array_sort(F.collect_list(F.struct("set_id", "rules"))).alias("bs"))
     pairs = (packed.select(F.posexplode("bs").alias("ia", "a"), "bs")
                    .select("ia", "a", F.posexplode("bs").alias("ib", "b"))
                    .filter(F.col("ia") < F.col("ib")))

@@ -7,11 +7,18 @@ the data folder, over the whole time range, so their work grows with the tables.
 from __future__ import annotations
 
 import datetime as dt
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanrules.operators import reshape
+from spanrules.operators import cube as cube_ops
+from spanrules.operators import forest, meanshift, pareto, reshape, scoring, search, segment
+from spanrules.operators import space as space_ops
+from spanrules.operators.thresholds import exact_quantiles, rule_columns, space_summary, thresholds_frame
+from spanrules.session import cut_lineage, scratch_path
 from spanrules.sources.spans import root_experiments, spans_by_interval
 from spanrules.sources.tables import spans_table
 
@@ -76,24 +83,46 @@ def q_sum_trace_matrix(spark, data_dir):
 
 # ------------------------------------------------------------------ rule space and scoring
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from spanrules.operators import cube as cube_ops  # noqa: E402
-from spanrules.operators import scoring, space as space_ops  # noqa: E402
-from spanrules.operators.thresholds import rule_columns, space_summary  # noqa: E402
-from spanrules.session import cut_lineage  # noqa: E402
 
 TARGET = "checkout_avg_dur"
 QUANTILES = (0.0, 0.25, 0.5, 0.75)
 DEPTH = 2
 
 
+_MATRICES: dict[tuple, tuple[str, DataFrame]] = {}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def trace_matrix(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The average trace matrix of ``data_dir``, materialised once per Spark application.
+
+    As in the source model's workflow, the matrix is built once (the ``avg_trace_matrix`` query)
+    and every explanation analyses that ready table. It is written as parquet into the shared
+    checkpoint folder; a new application, or a folder that is gone, builds it again.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(data_dir), FROM, TO)
+    hit = _MATRICES.get(key)
+    if hit is not None and _exists(spark, hit[0]):
+        return hit[1]
+    m = reshape.avg_trace_matrix(spans_table(spark, data_dir), FROM, TO)
+    path = scratch_path(spark, f"trace-matrix-{uuid.uuid4().hex}")
+    m.write.parquet(path)
+    df = spark.read.schema(m.schema).parquet(path)
+    _MATRICES[key] = (path, df)
+    return df
+
+
 class Context:
     """Trace matrix (checkpointed once, reused by every job of a query), rule space and cube."""
 
     def __init__(self, spark: SparkSession, data_dir: str, quantiles=QUANTILES):
         self.spark = spark
-        self.traces = cut_lineage(reshape.avg_trace_matrix(spans_table(spark, data_dir), FROM, TO))
+        self.traces = trace_matrix(spark, data_dir)
         self.cols = rule_columns(self.traces)
         self.target = TARGET
         th, (median,), top = space_summary(self.traces, self.cols, quantiles, TARGET, [0.5])
@@ -119,7 +148,6 @@ def _scored_view(scored: DataFrame) -> DataFrame:
 @register("quantile_thresholds")
 def q_quantile_thresholds(spark, data_dir):
     ctx = Context(spark, data_dir)
-    from spanrules.operators.thresholds import thresholds_frame
     return thresholds_frame(spark, ctx.space.thresholds, ctx.cols)
 
 
@@ -182,7 +210,6 @@ def q_bin_features_scored(spark, data_dir):
 
 # ------------------------------------------------------------------ rule sets, Pareto
 
-from spanrules.operators import pareto  # noqa: E402
 
 SET_METRICS = ("precision", "recall", "disjointness", "dissimilarity", "fscore", "harmonic",
                "fit_p", "fit_r", "fit_d")
@@ -234,7 +261,6 @@ def q_beta_best(spark, data_dir):
 
 # ------------------------------------------------------------------ searches, segmentation
 
-from spanrules.operators import search, segment  # noqa: E402
 
 SEG_QUANTILES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 
@@ -319,11 +345,9 @@ def q_segmentation(spark, data_dir):
 
 # ------------------------------------------------------------------ mean-shift thresholds
 
-from spanrules.operators import meanshift  # noqa: E402
-
 
 def _matrix(spark, data_dir) -> DataFrame:
-    return cut_lineage(reshape.avg_trace_matrix(spans_table(spark, data_dir), FROM, TO))
+    return trace_matrix(spark, data_dir)
 
 
 @register("value_histogram")
@@ -351,15 +375,12 @@ def q_meanshift_modes(spark, data_dir):
 @register("meanshift_thresholds")
 def q_meanshift_thresholds(spark, data_dir):
     t = _matrix(spark, data_dir)
-    from spanrules.operators.thresholds import thresholds_frame
     cols = rule_columns(t)
     return thresholds_frame(spark, meanshift.meanshift_thresholds(t, cols), cols)
 
 
 # ------------------------------------------------------------------ forest predicates
 
-from spanrules.operators import forest  # noqa: E402
-from spanrules.operators.thresholds import exact_quantiles  # noqa: E402
 
 SLA_QUANTILE = 0.2
 

@@ -164,3 +164,19 @@ def test_branch_and_bound_support_bound_option(spark, data):
     pruned = search.branch_and_bound(cube, space, support_bound=True).collect()[0]
     assert pruned["fmeasure"] <= exact["fmeasure"] + 1e-12
     assert 0 <= pruned["fmeasure"] <= 1
+
+
+def test_beam_searches_do_not_depend_on_partitioning(spark, data):
+    _, space, cube = data
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for parts in ("3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            front = search.beam_ruleset(cube, space, mu=6, max_rounds=3)
+            rule = search.beam_rule(cube, space, width=4, max_rounds=3)
+            got.append((sorted(tuple(r) for r in front.select("set_id", "fit_p", "fit_r", "fit_d").collect()),
+                        rule.select("rule_id").collect()[0][0]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got[0] == got[1]
