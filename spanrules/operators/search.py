@@ -325,12 +325,11 @@ def beam_ruleset(cube: DataFrame, space: Space, mu: int = 10, max_rounds: int =
     conds = usable_conditions(space)
     seen = cut_lineage(scorer.ruleset_metrics(single_condition_sets(spark, conds), lo_y, hi_y))
     front_key = None
-    front = None
     for _ in range(max_rounds):
         front = cut_lineage(pareto.pareto_front(seen))
         key = sorted(r[0] for r in front.select("set_id").collect())
         if key == front_key:
-            break
+            return front
         front_key = key
         crowd = pareto.crowding_distance(front).select("set_id", F.lit(0).alias("tier"),
                                                        (-F.col("crowding")).alias("o"))
@@ -342,9 +341,10 @@ def beam_ruleset(cube: DataFrame, space: Space, mu: int = 10, max_rounds: int =
                 .unionByName(recombine_sets(beam).select("set_id", "rules"))
                 .dropDuplicates(["set_id"])
                 .join(seen.select("set_id"), "set_id", "left_anti"))
-        # checkpointed: the generation plan is large, and every later plan of the round then
+        # materialised: the generation plan is large, and every later plan of the round then
         # starts from a plain scan instead of re-planning it
         cand = cut_lineage(cand)
         new = scorer.ruleset_metrics(cand, lo_y, hi_y)
         seen = cut_lineage(seen.unionByName(new.select(seen.columns)))
-    return front if front is not None else pareto.pareto_front(seen)
+    # the archive after the last round: every scored set counts
+    return pareto.pareto_front(seen)
