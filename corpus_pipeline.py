@@ -6,17 +6,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanrules.llm import exact_dedup
+from spanrules.llm import exact_dedup, quality
 from spanrules.llm.common import table
 from spanrules.session import scratch_path
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with identical text the one with the largest id stays."""
     return exact_dedup.drop_copies(docs)
 
 
 STAGES = [
+    ("quality", quality_stage),
     ("exact_dedup", exact_dedup_stage),
 ]
 

@@ -28,3 +28,37 @@ def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
 def whole_text(col: str | Column = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def text_bytes(column) -> tuple["np.ndarray", "np.ndarray"]:
+    """UTF-8 bytes of an Arrow string column, one after the other, and the n + 1 offsets of the
+    texts in them. A null is an empty text. Arrow's buffers are read without a copy per text."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not pa.types.is_large_string(column.type):
+        column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return raw[at[0]:at[-1]], at - at[0]
+
+
+def slices(batch, limit: int = 4 << 20, column: str = "text"):
+    """Parts of an Arrow batch of about ``limit`` bytes of text each (one row at least), so that
+    the arrays made of a part stay small whatever the lengths of the texts."""
+    import numpy as np
+
+    _, at = text_bytes(batch.column(column))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanrules.llm import exact_dedup
+from spanrules.llm import exact_dedup, quality
 from spanrules.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.with_scores(docs.select("doc_id", "text", "lang", "source"),
+                                 quality.fit(docs, labels))
+    return scored.select("doc_id", "score", (scored["score"] >= quality.THRESHOLD).alias("kept"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op2_exact_dedup,
+    op6_quality,
 )}
 
 ORACLE_SQL: dict[str, str] = {
