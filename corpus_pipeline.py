@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanrules.llm import exact_dedup, quality
+from spanrules.llm import exact_dedup, jaccard_join, quality
 from spanrules.llm.common import table
 from spanrules.session import scratch_path
 
@@ -21,9 +22,15 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_copies(docs)
 
 
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: of five-word shingles, similarity 0.8 or more."""
+    return jaccard_join.keep_one(docs, size=5, threshold=Fraction(4, 5))
+
+
 STAGES = [
     ("quality", quality_stage),
     ("exact_dedup", exact_dedup_stage),
+    ("jaccard_join", jaccard_stage),
 ]
 
 # The classifier is trained, so no SQL gives its rows; the tests hold run() against brute force.

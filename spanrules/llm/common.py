@@ -62,3 +62,19 @@ def slices(batch, limit: int = 4 << 20, column: str = "text"):
         stop = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
+
+
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(written: DataFrame, row_bytes: int) -> DataFrame:
+    """``written`` (a table read back, so that counting it is cheap) with a broadcast hint if its
+    rows of about ``row_bytes`` bytes fit ``BROADCAST_BYTES``; else the join shuffles both sides."""
+    return F.broadcast(written) if written.count() * row_bytes <= BROADCAST_BYTES else written
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``ids`` (a written table)."""
+    (gone,) = fresh(docs.columns, "gone")
+    small = broadcast_if_small(ids, 24).toDF(gone)
+    return docs.join(small, F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
