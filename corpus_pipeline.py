@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanrules.llm import exact_dedup, jaccard_join, quality
+from spanrules.llm import decontaminate, exact_dedup, jaccard_join, quality
 from spanrules.llm.common import table
 from spanrules.session import scratch_path
 
@@ -27,10 +27,16 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return jaccard_join.keep_one(docs, size=5, threshold=Fraction(4, 5))
 
 
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 STAGES = [
     ("quality", quality_stage),
     ("exact_dedup", exact_dedup_stage),
     ("jaccard_join", jaccard_stage),
+    ("decontaminate", decontaminate_stage),
 ]
 
 # The classifier is trained, so no SQL gives its rows; the tests hold run() against brute force.

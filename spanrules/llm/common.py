@@ -51,15 +51,16 @@ def text_bytes(column) -> tuple["np.ndarray", "np.ndarray"]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
-def slices(batch, limit: int = 4 << 20, column: str = "text"):
-    """Parts of an Arrow batch of about ``limit`` bytes of text each (one row at least), so that
-    the arrays made of a part stay small whatever the lengths of the texts."""
+def slices(batch, limit: int = 4 << 20, column: str = "text", rows: int = 4096):
+    """Parts of an Arrow batch of about ``limit`` bytes of text and at most ``rows`` rows each (one
+    row at least), so that the arrays made of a part stay small whatever the lengths of the texts."""
     import numpy as np
 
     _, at = text_bytes(batch.column(column))
     start = 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
+        stop = min(stop, start + rows, batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
 
