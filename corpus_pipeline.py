@@ -7,8 +7,9 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanrules.llm import decontaminate, exact_dedup, jaccard_join, quality
+from spanrules.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, quality
 from spanrules.llm.common import table
+from spanrules.llm.queries import vocabulary_file
 from spanrules.session import scratch_path
 
 
@@ -32,11 +33,17 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every remaining document as token ids, with digests of the ids and of what they decode to."""
+    return byte_bpe.digests(docs, *vocabulary_file())
+
+
 STAGES = [
     ("quality", quality_stage),
     ("exact_dedup", exact_dedup_stage),
     ("jaccard_join", jaccard_stage),
     ("decontaminate", decontaminate_stage),
+    ("byte_bpe", byte_bpe_stage),
 ]
 
 # The classifier is trained, so no SQL gives its rows; the tests hold run() against brute force.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanrules.llm import decontaminate, exact_dedup, jaccard_join, quality
+from spanrules.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, quality
 from spanrules.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,17 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
 
+def vocabulary_file() -> tuple[str, str]:
+    """The rank file of the byte-level vocabulary and the pattern of its pre-tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), *vocabulary_file())
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality.with_scores(docs.select("doc_id", "text", "lang", "source"),
@@ -33,6 +44,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op2_exact_dedup,
+    op5_byte_bpe,
     op6_quality,
     op7_decontaminate,
     op8_jaccard_join,
