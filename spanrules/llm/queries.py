@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanrules.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, quality
+from spanrules.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, langid, quality
 from spanrules.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,12 +43,20 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.learn(docs.where(~held_out))
+    return langid.label_spans(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op2_exact_dedup,
     op5_byte_bpe,
     op6_quality,
     op7_decontaminate,
     op8_jaccard_join,
+    op10_langid,
 )}
 
 ORACLE_SQL: dict[str, str] = {
