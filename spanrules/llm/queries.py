@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanrules.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, langid, quality, substring_dedup
+from spanrules.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, langid, quality, sharding, substring_dedup
 from spanrules.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_of(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op6_quality,
     op7_decontaminate,
     op8_jaccard_join,
+    op9_sharding,
     op10_langid,
 )}
 
@@ -79,4 +84,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op9_sharding": sharding.oracle_sql(),
 }
