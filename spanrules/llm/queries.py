@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanrules.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, langid, quality, sharding, substring_dedup
+from spanrules.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, langid, licenses, quality, sharding, substring_dedup
 from spanrules.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: language and source are the directories of a document."""
+    path = F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files, id_col="doc_id")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
@@ -63,6 +70,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_licenses,
     op2_exact_dedup,
     op3_substring_dedup,
     op4_html_text,
