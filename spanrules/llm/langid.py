@@ -198,7 +198,7 @@ def label(texts: list[str | None], model: dict, penalty: float = SWITCH, part: i
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (state[1:] != state[:-1])
     head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(text)) - 1
+    tail = np.append(head[1:], len(text))[:len(head)] - 1
     sums = np.add.reduceat(letters, head) if len(head) else np.empty(0, np.int64)
     by = np.bincount(text * langs + state, weights=letters, minlength=n * langs).reshape(n, langs)
     total = by.sum(1)
