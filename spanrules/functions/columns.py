@@ -50,9 +50,10 @@ def harmonic3(precision: Column, recall: Column, disjointness: Column) -> Column
 def sq_dev(n: Column, s1: Column, s2: Column) -> Column:
     """Sum of squared deviations from the mean, from count, sum and sum of squares.
 
-    Exact for the integer millisecond values of a trace matrix (sums stay below 2^53).
+    The sums are about a centre (see :func:`spanrules.operators.cube.bucket_cube`), which the result
+    does not depend on; it keeps them of the size of the deviations, so nothing cancels that matters.
     """
-    return F.when(n > 0, s2 - (s1 * s1) / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, F.greatest(s2 - (s1 * s1) / n, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def r6(c: Column) -> Column:

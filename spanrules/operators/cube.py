@@ -7,7 +7,7 @@ bucket ``yb(y) = number of split points < y``. Then
 * ``t_lo <= x < t_hi``  <=>  ``lo < b(x) <= hi``  (threshold indexes, 0-based);
 * ``s_j < y <= s_i``    <=>  ``j < yb(y) <= i``.
 
-:func:`bucket_cube` groups the traces by ``(b, yb)`` and keeps ``n, s1 = sum(y), s2 = sum(y^2)``
+:func:`bucket_cube` groups the traces by ``(b, yb)`` and keeps ``n, s1 = sum(y - s_0), s2 = sum((y - s_0)^2)``
 (one shuffle, partial aggregation on the map side). Its size is bounded by the product of the
 bucket counts, independent of the number of traces. :func:`marginals` projects it onto the column
 sets that candidate rules use; scoring joins candidates with those projections on the column-set
@@ -58,14 +58,17 @@ def bucket_columns(space: Space) -> list[Column]:
 
 
 def bucket_cube(traces: DataFrame, space: Space) -> DataFrame:
-    """``(b array<int>, yb int, n long, s1 double, s2 double)``; traces with no target dropped."""
+    """``(b array<int>, yb int, n long, s1 double, s2 double)``; traces with no target dropped.
+
+    ``s1, s2`` are the sums of the target's distance from the first split point and of its square:
+    about a centre among the data they stay as small as the deviations are."""
     y = clean_double(qcol(space.target))
+    off = F.col("y") - F.lit(float(space.splits[0]) if space.splits else 0.0)
     return (traces.select(F.array(*bucket_columns(space)).alias("b"),
                           ladder(y, space.splits, strict=True).alias("yb"), y.alias("y"))
                   .filter(F.col("y").isNotNull())
                   .groupBy("b", "yb")
-                  .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s1"),
-                       F.sum(F.col("y") * F.col("y")).alias("s2")))
+                  .agg(F.count(F.lit(1)).alias("n"), F.sum(off).alias("s1"), F.sum(off * off).alias("s2")))
 
 
 def colset_key(positions: Sequence[int]) -> str:

@@ -1,58 +1,59 @@
 """Multi-objective selection over scored rule sets: Pareto front, crowding, F-beta sweep.
 
-Objectives: precision (max), recall (max), dissimilarity (min). The candidate pool is the beam of
-a search round, bounded by construction (beam width x moves); its size is measured before it is
-broadcast for the dominance test.
+Objectives: precision (max), recall (max), dissimilarity (min).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanrules.functions.columns import beta_fscore
+from spanrules.session import ship_by_value
 
-BROADCAST_ROWS = 200_000
 OBJECTIVES = (("fit_p", 1.0), ("fit_r", 1.0), ("fit_d", -1.0))
 
+ship_by_value(__name__)
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    df = df.cache()
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
+def _skyline(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The non-dominated ones of a task's distinct points. Sorted by precision, then recall, then
+    dissimilarity, a point can only be dominated by one before it."""
+    front = np.empty((0, 2))
+    for table in [pa.Table.from_batches(list(parts))] if (parts := list(parts)) else []:
+        p, r, d = (table.column(c).to_numpy() for c, _ in OBJECTIVES)
+        kept = []
+        for i in np.lexsort((d, -r, -p)):
+            if not ((front[:, 0] >= r[i]) & (front[:, 1] <= d[i])).any():
+                kept.append(i)
+                front = np.vstack([front, (r[i], d[i])])
+        yield from table.take(pa.array(kept, pa.int64())).combine_chunks().to_batches()
 
-def pareto_front(fit: DataFrame, key: str = "set_id", group: Sequence[str] = ()) -> DataFrame:
+
+def pareto_front(fit: DataFrame, key: str = "set_id") -> DataFrame:
     """Non-dominated rows; equal fitness kept once (smallest key).
 
-    ``fit`` has ``key, fit_p, fit_r, fit_d`` (+ ``group`` columns: one front per group). The
-    dominance test is a ``left_anti`` join of the deduplicated points with themselves.
+    ``fit`` has ``key, fit_p, fit_r, fit_d``. Two phases: every partition keeps its own front, then
+    the partitions' fronts meet in one task, which holds no more than these.
     """
-    grp = list(group)
-    pts = (fit.groupBy(*grp, "fit_p", "fit_r", "fit_d").agg(F.min(key).alias(key)))
-    a, b = pts.alias("a"), _maybe_broadcast(pts).alias("b")
-    ge = ((F.col("b.fit_p") >= F.col("a.fit_p")) & (F.col("b.fit_r") >= F.col("a.fit_r"))
-          & (F.col("b.fit_d") <= F.col("a.fit_d")))
-    gt = ((F.col("b.fit_p") > F.col("a.fit_p")) | (F.col("b.fit_r") > F.col("a.fit_r"))
-          | (F.col("b.fit_d") < F.col("a.fit_d")))
-    cond = ge & gt
-    for g in grp:
-        cond = cond & (F.col(f"a.{g}") == F.col(f"b.{g}"))
-    front = a.join(b, cond, "left_anti").select(*[F.col(f"a.{c}") for c in pts.columns])
-    return fit.join(front.select(*grp, key), [*grp, key], "left_semi")
-
-
-def crowding_distance(front: DataFrame, key: str = "set_id", group: Sequence[str] = (),
-                      objectives=OBJECTIVES) -> DataFrame:
+    pts = fit.groupBy("fit_p", "fit_r", "fit_d").agg(F.min(key).alias(key))
+    local = pts.mapInArrow(_skyline, pts.schema)
+    front = local.coalesce(1).mapInArrow(_skyline, pts.schema)
+    return fit.join(front.select(key), key, "left_semi")
+
+
+def crowding_distance(front: DataFrame, key: str = "set_id", objectives=OBJECTIVES) -> DataFrame:
     """NSGA-II crowding distance (Deb et al. 2002) of each point of a front.
 
     Per objective the points are ordered (ties by ``key``); the two ends get infinity, the others
-    ``(next - prev) / (n_objectives * (max - min))``, skipped when ``max == min``. Windows are
-    partitioned by ``group`` (one front per group; a front is a beam, bounded).
+    ``(next - prev) / (n_objectives * (max - min))``, skipped when ``max == min``. The windows hold
+    the whole front, which is the answer of a search, not its candidates.
     """
-    grp = list(group)
-    part = grp if grp else [F.lit(0)]
+    part = [F.lit(0)]
     out = front
     terms = []
     nobj = float(len(objectives))

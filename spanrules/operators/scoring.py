@@ -159,7 +159,9 @@ class Scorer:
 
         ``rules`` needs ``rule_id`` and ``rule``; a rule without a match gets ``yb = NULL, n = 0``.
         """
-        rules = rules.select("rule_id", "rule").withColumn("cs", rule_colset(F.col("rule")))
+        # a candidate that occurs twice counts its traces once
+        rules = (rules.select("rule_id", "rule").dropDuplicates(["rule_id"])
+                 .withColumn("cs", rule_colset(F.col("rule"))))
         sets = _colsets(rules)
         marg = marginals(self.cube, sets)
         inside = F.forall(F.zip_with(F.col("c.rule"), F.col("m.key"),
@@ -307,7 +309,7 @@ def _set_frame(sets: DataFrame) -> DataFrame:
     """Adds the union column set of each rule set and re-indexes conditions into its key."""
     union = F.array_sort(F.array_distinct(F.flatten(F.transform(
         F.col("rules"), lambda r: F.transform(r, lambda x: x["c"])))))
-    s = sets.select("set_id", "rules", union.alias("u"))
+    s = sets.dropDuplicates(["set_id"]).select("set_id", "rules", union.alias("u"))
     keyed = F.transform(F.col("rules"), lambda r: F.transform(r, lambda x: F.struct(
         (F.array_position(F.col("u"), x["c"]) - 1).cast("int").alias("k"), x["lo"].alias("lo"),
         x["hi"].alias("hi"))))

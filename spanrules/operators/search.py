@@ -2,14 +2,16 @@
 
 * :func:`branch_and_bound` - exact best conjunction of adjacent-bin features (one per column),
   level by level; the frontier is a DataFrame, pruned by the recall bound.
-* :func:`best_rule` - exhaustive best rule of at most ``depth`` feasible conditions.
+* :func:`best_rule` - exhaustive best rule of feasible conditions, of any number or at most ``depth``.
 * :func:`rule_neighbours` / :func:`beam_rule` - complete neighbourhoods (add, remove, modify a
   condition; recombine two rules) scored in one job per round, best ``width`` kept.
 * :func:`ruleset_neighbours` / :func:`beam_ruleset` - the same for rule sets under the three
   objectives (precision, recall, dissimilarity), keeping a Pareto archive.
 
-Every round is one scoring job over all candidates; the driver only sees the best score and the
-number of new candidates. Beams are cut from the lineage with a reliable checkpoint each round.
+The searches end at a fixed point: when every rule of the beam, or every set of the front, has been
+expanded and nothing better came of it. Every round is one scoring job over all candidates; the
+driver only learns whether any are left. What a round adds is written to the shared checkpoint
+folder as a table of its own, so a round writes what is new and no more.
 """
 
 from __future__ import annotations
@@ -102,10 +104,10 @@ def usable_conditions(space: Space) -> list[tuple[int, int, int]]:
     return condition_list(space, feasible_only=True, min_thresholds=3)
 
 
-def best_rule(cube: DataFrame, space: Space, depth: int = 2,
+def best_rule(cube: DataFrame, space: Space, depth: int | None = None,
               intervals: Sequence[tuple[int, int]] = ((0, 1),)) -> DataFrame:
-    """Best rule of at most ``depth`` feasible conditions (exhaustive), per interval."""
-    rules = rules_up_to(cube.sparkSession, usable_conditions(space), depth)
+    """Best rule of feasible conditions (exhaustive), per interval; ``depth`` may bound their number."""
+    rules = rules_up_to(cube.sparkSession, usable_conditions(space), len(space.cols) if depth is None else depth)
     return scoring.best_per_interval(scoring.score_rules(cube, rules, intervals, space=space))
 
 
@@ -177,39 +179,51 @@ def _feasible_rule(space: Space) -> Column:
     return F.forall("rule", lambda x: ~((x["lo"] == 0) & (x["hi"] == nth[x["c"]] - 1)))
 
 
-def beam_rule(cube: DataFrame, space: Space, width: int = 10, max_rounds: int = 10,
-              lo_y: int = 0, hi_y: int = 1) -> DataFrame:
+def _all_of(tables: Sequence[DataFrame], *cols: str) -> DataFrame:
+    out = tables[0].select(*cols) if cols else tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t.select(*cols) if cols else t)
+    return out
+
+
+def beam_rule(cube: DataFrame, space: Space, width: int = 10, lo_y: int = 0, hi_y: int = 1) -> DataFrame:
     """Best single rule by beam search over complete neighbourhoods.
 
-    Start: all single feasible conditions. Round: neighbours (add / remove / modify) and
-    recombinations of the beam, minus everything already scored, scored in one job; the beam is
-    the best ``width`` rules seen (F desc, fewer conditions, key). Stops when the best F does not
-    improve or after ``max_rounds``. Returns the best rule (one row).
+    Start: the empty rule. Round: neighbours (add / remove / modify) of the beam's rules that have
+    not been expanded yet, and recombinations of the beam, minus everything already scored, scored in
+    one job; the beam is the best ``width`` rules seen (F desc, fewer conditions, key). Ends when every
+    rule of the beam has been expanded. Returns the best rule (one row); it is the empty one if the
+    space has no usable condition.
     """
     spark = cube.sparkSession
     scorer = scoring.Scorer.for_space(cube, space, [(lo_y, hi_y)])
     conds = usable_conditions(space)
     feasible = _feasible_rule(space)
-    start = with_rule_id(extend_rules(seed_rules(spark), conds))
-    seen = cut_lineage(scorer.score(start)
-                       .withColumn("fit", F.when(feasible, F.col("fmeasure")).otherwise(F.lit(0.0))))
-    best_f = None
-    for _ in range(max_rounds):
-        beam = cut_lineage(seen.orderBy(F.col("fit").desc(), F.size("rule"), "rule_id").limit(width))
-        top = beam.select(F.max("fit")).collect()[0][0]
-        if best_f is not None and top <= best_f:
+
+    def scored(rules: DataFrame) -> DataFrame:
+        return cut_lineage(scorer.score(rules.select("rule", "rule_id")).withColumn(
+            "fit", F.when(feasible, F.col("fmeasure")).otherwise(F.lit(0.0))))
+
+    def best_of(rows: DataFrame, n: int) -> DataFrame:
+        return rows.orderBy(F.col("fit").desc(), F.size("rule"), "rule_id").limit(n)
+
+    seen = [scored(with_rule_id(seed_rules(spark)))]
+    expanded: list[DataFrame] = []
+    beam = seen[0]
+    while conds:
+        fresh = beam if not expanded else beam.join(_all_of(expanded, "rule_id"), "rule_id", "left_anti")
+        fresh = cut_lineage(fresh)
+        if fresh.isEmpty():
             break
-        best_f = top
-        cand = (rule_neighbours(beam, space, conds).select("rule", "rule_id")
+        expanded.append(fresh.select("rule_id"))
+        cand = (rule_neighbours(fresh, space, conds).select("rule", "rule_id")
                 .unionByName(recombine_rules(beam).select("rule", "rule_id"))
                 .dropDuplicates(["rule_id"])
-                .join(seen.select("rule_id"), "rule_id", "left_anti"))
-        cand = cut_lineage(cand)
-        new = (scorer.score(cand)
-                     .withColumn("fit", F.when(feasible, F.col("fmeasure")).otherwise(F.lit(0.0))))
-        seen = cut_lineage(seen.unionByName(new.select(seen.columns)))
-    ranked = seen.filter(feasible)
-    return (ranked.agg(F.min_by(F.struct(*seen.columns), _best_order()).alias("b")).select("b.*"))
+                .join(_all_of(seen, "rule_id"), "rule_id", "left_anti"))
+        seen.append(scored(cut_lineage(cand)))
+        beam = cut_lineage(best_of(beam.unionByName(seen[-1].select(beam.columns)), width))
+    ranked = beam.where(feasible)
+    return ranked.agg(F.min_by(F.struct(*beam.columns), _best_order()).alias("b")).select("b.*")
 
 
 # ------------------------------------------------------------------ rule-set neighbourhoods
@@ -237,8 +251,9 @@ def ruleset_neighbours(sets: DataFrame, space: Space,
     ``split`` a condition of width > 1 at each inner cut into two rules, ``complement`` a rule
     with ``[t_0, t_cut)`` and ``[t_cut, t_last)`` on a column it does not use (one shared cut).
     Moves on one rule: ``add_cond`` on an unused column, ``remove_cond`` (rules of two or more).
+    Conditions come from the whole space: any column, any two thresholds.
     """
-    conds = list(conds if conds is not None else usable_conditions(space))
+    conds = list(conds if conds is not None else condition_list(space))
     carr = cond_array(conds)
     nth = _nth_array(space)
     base = sets.select(F.col("set_id").alias("parent_id"), "rules")
@@ -261,7 +276,7 @@ def ruleset_neighbours(sets: DataFrame, space: Space,
     out.append(inner.select("parent_id", F.lit("split").alias("move"), _split_at(
         F.col("k"), with_cond(F.col("r"), F.col("q"), F.col("x.lo"), F.col("cut")),
         with_cond(F.col("r"), F.col("q"), F.col("cut"), F.col("x.hi"))).alias("rules")))
-    cols = F.array(*[F.lit(p) for p, c in enumerate(space.cols) if len(space.thresholds[c]) > 2])
+    cols = F.array(*[F.lit(p) for p, c in enumerate(space.cols) if len(space.thresholds[c]) > 2]).cast("array<int>")
     used = F.transform("r", lambda x: x["c"])
     comp = (per_rule.select("*", F.explode(F.filter(cols, lambda c: ~F.array_contains(used, c))).alias("c"))
                     .select("*", F.explode(F.sequence(F.lit(1), nth[F.col("c")] - 2)).alias("cut")))
@@ -288,11 +303,11 @@ def ruleset_neighbours(sets: DataFrame, space: Space,
 
 
 def recombine_sets(beam: DataFrame) -> DataFrame:
-    """Interleave two beam sets and cut at every inner position (both halves kept)."""
+    """Interleave two sets, either one first, and cut at every inner position (both halves kept)."""
     packed = beam.agg(F.array_sort(F.collect_list(F.struct("set_id", "rules"))).alias("bs"))
     pairs = (packed.select(F.posexplode("bs").alias("ia", "a"), "bs")
                    .select("ia", "a", F.posexplode("bs").alias("ib", "b"))
-                   .filter(F.col("ia") < F.col("ib")))
+                   .filter(F.col("ia") != F.col("ib")))
     na, nb = F.size("a.rules"), F.size("b.rules")
     n = F.greatest(na, nb)
     mixed = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.array(
@@ -311,40 +326,35 @@ def single_condition_sets(spark: SparkSession, conds: Sequence[tuple[int, int, i
     return canonical_sets(base.select(F.array(F.array("x")).alias("rules")))
 
 
-def beam_ruleset(cube: DataFrame, space: Space, mu: int = 10, max_rounds: int = 6,
+def beam_ruleset(cube: DataFrame, space: Space, mu: int = 10, max_rounds: int | None = 8,
                  lo_y: int = 0, hi_y: int = 1) -> DataFrame:
     """Rule-set search under (precision max, recall max, dissimilarity min).
 
-    Round: neighbours + recombinations of the beam, minus everything already scored, scored in
-    one job. The archive is the Pareto front of all scored sets (equal fitness kept once); the
-    next beam is the front by crowding distance (ends first), filled up to ``mu`` by F-score.
-    Stops when the front is unchanged or after ``max_rounds``. Returns the final front.
+    Start: every condition of the space as a set of one rule. Round: neighbours and recombinations of
+    the beam, minus everything already scored, scored in one job. The archive is the Pareto front of
+    all scored sets (equal fitness kept once), which is that of the old front and the new sets; the
+    next beam is the ``mu`` sets of the front with the largest crowding distance (ends first). Ends
+    when a round brings no new set into the front, or after ``max_rounds`` (None: no limit), which
+    is the number of generations that a search of this kind is given: sets of rules have no largest
+    size, and a front of many small gains can go on growing for long. Returns the front.
     """
     spark = cube.sparkSession
     scorer = scoring.Scorer.for_space(cube, space, [(lo_y, hi_y)])
-    conds = usable_conditions(space)
-    seen = cut_lineage(scorer.ruleset_metrics(single_condition_sets(spark, conds), lo_y, hi_y))
-    front_key = None
-    for _ in range(max_rounds):
-        front = cut_lineage(pareto.pareto_front(seen))
-        key = sorted(r[0] for r in front.select("set_id").collect())
-        if key == front_key:
-            return front
-        front_key = key
-        crowd = pareto.crowding_distance(front).select("set_id", F.lit(0).alias("tier"),
-                                                       (-F.col("crowding")).alias("o"))
-        rest = (seen.join(front.select("set_id"), "set_id", "left_anti")
-                    .select("set_id", F.lit(1).alias("tier"), (-F.col("fscore")).alias("o")))
-        pick = crowd.unionByName(rest).orderBy("tier", "o", "set_id").limit(mu)
-        beam = cut_lineage(seen.join(pick.select("set_id"), "set_id", "left_semi"))
+    conds = condition_list(space)
+    new = cut_lineage(scorer.ruleset_metrics(single_condition_sets(spark, conds), lo_y, hi_y))
+    seen, front = [new.select("set_id")], cut_lineage(pareto.pareto_front(new))
+    entered, rounds = not front.isEmpty(), 0
+    while entered and (max_rounds is None or rounds < max_rounds):
+        rounds += 1
+        beam = cut_lineage(pareto.crowding_distance(front).orderBy(F.col("crowding").desc(), "set_id").limit(mu)
+                           .select("set_id", "rules"))
         cand = (ruleset_neighbours(beam, space, conds).select("set_id", "rules")
                 .unionByName(recombine_sets(beam).select("set_id", "rules"))
                 .dropDuplicates(["set_id"])
-                .join(seen.select("set_id"), "set_id", "left_anti"))
-        # materialised: the generation plan is large, and every later plan of the round then
-        # starts from a plain scan instead of re-planning it
-        cand = cut_lineage(cand)
-        new = scorer.ruleset_metrics(cand, lo_y, hi_y)
-        seen = cut_lineage(seen.unionByName(new.select(seen.columns)))
-    # the archive after the last round: every scored set counts
-    return pareto.pareto_front(seen)
+                .join(_all_of(seen), "set_id", "left_anti"))
+        # written first: the generation plan is large, and scoring reads it more than once
+        new = cut_lineage(scorer.ruleset_metrics(cut_lineage(cand), lo_y, hi_y))
+        seen.append(new.select("set_id"))
+        before, front = front, cut_lineage(pareto.pareto_front(front.unionByName(new.select(front.columns))))
+        entered = not front.join(before.select("set_id"), "set_id", "left_anti").isEmpty()
+    return front

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanrules.functions.columns import literal_frame
@@ -57,24 +57,35 @@ def best_segmentation(scores: DataFrame, n_points: int) -> DataFrame:
 
     ``scores``: ``j, i, fmeasure`` (+ anything else). Returns one row per chosen interval, in
     order: ``seg, j, i, fmeasure, total`` (``total`` = the best sum for the whole range). With a
-    single split point the answer is empty.
+    single split point the answer is empty, as it is if no chain of intervals spans the range.
+
+    The interval scores, one row per pair of split points, become one row with an array per
+    interval end; one fold over the split points carries the best total and its last start, a second
+    one walks back. The plan has the same size for any number of split points.
     """
-    spark = scores.sparkSession
-    f = scores.select("j", "i", "fmeasure").cache()
-    best = literal_frame(spark, [(0, 0.0, [])], "i int, total double, path array<int>")
-    for i in range(1, n_points):
-        step = (f.filter(F.col("i") == i).alias("s")
-                 .join(best.alias("b"), F.col("s.j") == F.col("b.i"))
-                 .select(F.lit(i).alias("i"), (F.col("b.total") + F.col("s.fmeasure")).alias("total"),
-                         F.array_append(F.col("b.path"), F.col("s.j")).alias("path"),
-                         F.col("s.j").alias("j")))
-        pick = step.agg(F.min_by(F.struct("i", "total", "path"),
-                                 F.struct((-F.col("total")).alias("t"), F.col("j").alias("j"))).alias("p"))
-        best = best.unionByName(pick.select("p.*"))
-        if i % 16 == 0:
-            best = cut_lineage(best)
-    last = best.filter(F.col("i") == n_points - 1)
-    starts = last.select("total", F.posexplode("path").alias("seg", "j"),
-                         F.array_append("path", F.lit(n_points - 1)).alias("ends"))
-    chosen = starts.select("seg", "j", F.col("ends")[F.col("seg") + 1].alias("i"), "total")
+    n = max(n_points - 1, 0)
+    by_end = (scores.where(F.col("fmeasure").isNotNull()).groupBy("i")
+              .agg(F.collect_list(F.struct("j", "fmeasure")).alias("from"))
+              .agg(F.map_from_entries(F.collect_list(F.struct("i", "from"))).alias("ends")))
+    state = "array<struct<loss: double, j: int>>"
+
+    def step(done: Column, i: Column) -> Column:
+        # the least loss (the negated total), then the smallest start
+        reach = F.transform(F.col("ends")[i], lambda e: F.struct(
+            (done[e["j"]]["loss"] - e["fmeasure"]).alias("loss"), e["j"].cast("int").alias("j")))
+        best = F.array_min(F.filter(reach, lambda r: r["loss"].isNotNull()))
+        return F.concat(done, F.array(best).cast(state))
+
+    ends = F.sequence(F.lit(1), F.lit(max(n, 1)))
+    first = F.array(F.struct(F.lit(0.0).alias("loss"), F.lit(-1).alias("j"))).cast(state)
+    done = by_end.select(F.aggregate(ends, first, step).alias("done"))
+
+    def back(path: Column, _: Column) -> Column:
+        return F.when(path[0] <= 0, path).otherwise(F.concat(F.array(F.col("done")[path[0]]["j"]), path))
+
+    path = F.aggregate(ends, F.array(F.lit(n)).cast("array<int>"), back)
+    chosen = (done.where(F.lit(n > 0)).select((-F.get("done", F.lit(n))["loss"]).alias("total"), path.alias("path"))
+              .where("total IS NOT NULL")
+              .select("total", "path", F.posexplode(F.expr("slice(path, 1, size(path) - 1)")).alias("seg", "j"))
+              .select("seg", "j", F.col("path")[F.col("seg") + 1].alias("i"), "total"))
     return chosen.join(scores, ["j", "i"])

@@ -1,14 +1,14 @@
 """Registered queries: each takes ``(spark, data_dir)`` and returns a DataFrame.
 
 All of them start from the span table that Spark derives from ``orders`` and ``lineitem`` of
-the data folder, over the whole time range, so their work grows with the tables.
+the data folder, so their work grows with the tables. ``spans_interval`` and ``root_experiments`` scan
+the interval ``WINDOW``, the others the whole time range. Each query builds the trace matrix that it
+analyses anew, so it answers for the tables as they are.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +18,12 @@ from spanrules.operators import cube as cube_ops
 from spanrules.operators import forest, meanshift, pareto, reshape, scoring, search, segment
 from spanrules.operators import space as space_ops
 from spanrules.operators.thresholds import exact_quantiles, rule_columns, space_summary, thresholds_frame
-from spanrules.session import cut_lineage, scratch_path
+from spanrules.session import cut_lineage
 from spanrules.sources.spans import root_experiments, spans_by_interval
 from spanrules.sources.tables import spans_table
 
-# Whole time range of the fixture (its orders fall in 1995-2001).
-FROM = dt.datetime(1990, 1, 1)
-TO = dt.datetime(2030, 1, 1)
+# A part of the time range of the fixture (its orders fall in 1995-2001).
+WINDOW = (dt.datetime(1996, 3, 1), dt.datetime(1998, 10, 31, 12))
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -38,17 +37,17 @@ def register(name: str):
 
 
 def spans(spark: SparkSession, data_dir: str) -> DataFrame:
-    return spans_by_interval(spans_table(spark, data_dir), FROM, TO)
+    return spans_by_interval(spans_table(spark, data_dir), None, None)
 
 
 @register("spans_interval")
 def q_spans_interval(spark, data_dir):
-    return spans(spark, data_dir)
+    return spans_by_interval(spans_table(spark, data_dir), *WINDOW)
 
 
 @register("root_experiments")
 def q_root_experiments(spark, data_dir):
-    return root_experiments(spans_table(spark, data_dir), FROM, TO)
+    return root_experiments(spans_table(spark, data_dir), *WINDOW)
 
 
 @register("clients_duration")
@@ -73,12 +72,12 @@ def q_sum_per_endpoint(spark, data_dir):
 
 @register("avg_trace_matrix")
 def q_avg_trace_matrix(spark, data_dir):
-    return reshape.avg_trace_matrix(spans_table(spark, data_dir), FROM, TO)
+    return reshape.avg_trace_matrix(spans_table(spark, data_dir), None, None)
 
 
 @register("sum_trace_matrix")
 def q_sum_trace_matrix(spark, data_dir):
-    return reshape.sum_trace_matrix(spans_table(spark, data_dir), FROM, TO)
+    return reshape.sum_trace_matrix(spans_table(spark, data_dir), None, None)
 
 
 # ------------------------------------------------------------------ rule space and scoring
@@ -86,39 +85,16 @@ def q_sum_trace_matrix(spark, data_dir):
 
 TARGET = "checkout_avg_dur"
 QUANTILES = (0.0, 0.25, 0.5, 0.75)
-DEPTH = 2
-
-
-_MATRICES: dict[tuple, tuple[str, DataFrame]] = {}
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+DEPTH = 2  # of the rules that the rule_metrics and rule_decode queries list
 
 
 def trace_matrix(spark: SparkSession, data_dir: str) -> DataFrame:
-    """The average trace matrix of ``data_dir``, materialised once per Spark application.
-
-    As in the source model's workflow, the matrix is built once (the ``avg_trace_matrix`` query)
-    and every explanation analyses that ready table. It is written as parquet into the shared
-    checkpoint folder; a new application, or a folder that is gone, builds it again.
-    """
-    key = (spark.sparkContext.applicationId, os.path.abspath(data_dir), FROM, TO)
-    hit = _MATRICES.get(key)
-    if hit is not None and _exists(spark, hit[0]):
-        return hit[1]
-    m = reshape.avg_trace_matrix(spans_table(spark, data_dir), FROM, TO)
-    path = scratch_path(spark, f"trace-matrix-{uuid.uuid4().hex}")
-    m.write.parquet(path)
-    df = spark.read.schema(m.schema).parquet(path)
-    _MATRICES[key] = (path, df)
-    return df
+    """The average trace matrix of ``data_dir``, written once for all jobs of a query."""
+    return cut_lineage(reshape.avg_trace_matrix(spans_table(spark, data_dir), None, None))
 
 
 class Context:
-    """Trace matrix (checkpointed once, reused by every job of a query), rule space and cube."""
+    """Trace matrix (written once, read by every job of a query), rule space and cube."""
 
     def __init__(self, spark: SparkSession, data_dir: str, quantiles=QUANTILES):
         self.spark = spark
@@ -279,7 +255,7 @@ def q_bnb_best_rule(spark, data_dir):
 @register("best_rule")
 def q_best_rule(spark, data_dir):
     ctx = Context(spark, data_dir)
-    return _best_view(search.best_rule(ctx.cube, ctx.space, depth=DEPTH))
+    return _best_view(search.best_rule(ctx.cube, ctx.space))
 
 
 @register("rule_neighbours")

@@ -13,8 +13,8 @@ from __future__ import annotations
 ENDPOINTS = ["checkout", "svc_A", "svc_N", "svc_R"]
 TARGET = "checkout_avg_dur"
 RULE_COLS = [f"{e}_avg_self_dur" for e in ENDPOINTS]
-FROM_US = 631152000000000      # 1990-01-01 00:00:00 UTC
-TO_US = 1893456000000000       # 2030-01-01 00:00:00 UTC
+FROM_US = 825638400000000      # 1996-03-01 00:00:00 UTC
+TO_US = 909835200000000        # 1998-10-31 12:00:00 UTC
 
 
 def spans_cte() -> str:
@@ -37,11 +37,9 @@ raw AS (
   SELECT CAST(k AS VARCHAR), name, ep, 's' || CAST(k AS VARCHAR), 'SERVER', ts + ln,
          'c' || CAST(k AS VARCHAR), CAST(NULL AS VARCHAR) FROM lines),
 sp AS (
-  SELECT traceId, name AS endpoint, duration, id, kind, timestamp, parentId FROM raw
-  WHERE timestamp BETWEEN {FROM_US} AND {TO_US}),
+  SELECT traceId, name AS endpoint, duration, id, kind, timestamp, parentId FROM raw),
 roots AS (
-  SELECT traceId, experiment FROM raw
-  WHERE timestamp BETWEEN {FROM_US} AND {TO_US} AND parentId IS NULL AND kind = 'SERVER'),
+  SELECT traceId, experiment FROM raw WHERE parentId IS NULL AND kind = 'SERVER'),
 cd AS (
   SELECT parentId, sum(duration) AS clients_duration FROM sp WHERE kind = 'CLIENT' GROUP BY parentId),
 selfs AS (
@@ -79,8 +77,9 @@ def reshape_sql() -> dict[str, str]:
     sum_nn = " AND ".join(f"{e} IS NOT NULL" for e in ENDPOINTS)
     head = with_(spans_cte())
     return {
-        "spans_interval": f"{head} SELECT * FROM sp",
-        "root_experiments": f"{head} SELECT * FROM roots",
+        "spans_interval": f"{head} SELECT * FROM sp WHERE timestamp BETWEEN {FROM_US} AND {TO_US}",
+        "root_experiments": f"""{head} SELECT traceId, experiment FROM raw
+            WHERE timestamp BETWEEN {FROM_US} AND {TO_US} AND parentId IS NULL AND kind = 'SERVER'""",
         "clients_duration": f"{head} SELECT * FROM cd",
         "self_duration": f"{head} SELECT * FROM selfs",
         "avg_per_endpoint": f"""{head} SELECT traceId, endpoint, avg(duration) AS avg_duration,
@@ -158,6 +157,34 @@ fm AS (
                  THEN 2.0 * (precision * recall) / (precision + recall) ELSE 0.0 END AS fmeasure
   FROM metrics)"""
 
+# the same counts for many rules: traces of equal bins of all columns are counted together
+CELL_MATCH_CTES = """
+binned AS (SELECT tv.rid, tv.pos, max(thr.t) AS v FROM tv JOIN thr ON thr.pos = tv.pos AND thr.t <= tv.v
+           GROUP BY tv.rid, tv.pos),
+trace_cell AS (SELECT rid, string_agg(pos::VARCHAR || '=' || v::VARCHAR, ';' ORDER BY pos) AS cell
+               FROM binned GROUP BY rid),
+cell_size AS (SELECT t.cell, count(*) FILTER (WHERE l.pos) AS np, count(*) FILTER (WHERE NOT l.pos) AS nn,
+                     any_value(t.rid) AS rid FROM trace_cell t JOIN lab l ON l.rid = t.rid GROUP BY t.cell),
+cell_bin AS (SELECT c.cell, b.pos, b.v FROM cell_size c JOIN binned b ON b.rid = c.rid),
+cell_hits AS (
+  SELECT rc.rule_id, b.cell FROM rule_conds rc JOIN cell_bin b ON b.pos = rc.c AND b.v >= rc.t_lo AND b.v < rc.t_hi
+  GROUP BY rc.rule_id, b.cell HAVING count(*) = any_value(rc.nc)
+  UNION ALL SELECT r.rule_id, c.cell FROM rules r, cell_size c WHERE r.nc = 0),
+scored AS (
+  SELECT r.rule_id, r.nc AS n_conds, coalesce(sum(c.np), 0)::BIGINT AS tp, coalesce(sum(c.nn), 0)::BIGINT AS fp,
+         coalesce(sum(c.np + c.nn), 0)::BIGINT AS support
+  FROM rules r LEFT JOIN cell_hits h ON h.rule_id = r.rule_id LEFT JOIN cell_size c ON c.cell = h.cell
+  GROUP BY r.rule_id, r.nc),
+pcount AS (SELECT count(*) FILTER (WHERE pos) AS P FROM lab),
+metrics AS (
+  SELECT s.*, CASE WHEN support > 0 THEN tp::DOUBLE / support ELSE 0.0 END AS precision,
+         tp::DOUBLE / P AS recall
+  FROM scored s, pcount),
+fm AS (
+  SELECT *, CASE WHEN precision > 0 OR recall > 0
+                 THEN 2.0 * (precision * recall) / (precision + recall) ELSE 0.0 END AS fmeasure
+  FROM metrics)"""
+
 SCORED_SELECT = """SELECT rule_id, n_conds, tp, fp, support, round(precision, 6) AS precision,
   round(recall, 6) AS recall, round(fmeasure, 6) AS fmeasure FROM fm"""
 
@@ -179,7 +206,7 @@ cells AS (SELECT rid, string_agg(b::VARCHAR, ',' ORDER BY pos) AS b FROM bk GROU
             GROUP BY thr.col, thr.i, thr.t""",
         "bucket_cube": f"""{head}, {bucket_b}
             SELECT c.b, ((l.y > iv.fr)::INT + (l.y > iv.tt)::INT) AS yb, count(*) AS n,
-                   sum(l.y) AS s1, sum(l.y * l.y) AS s2
+                   sum(l.y - iv.fr) AS s1, sum((l.y - iv.fr) * (l.y - iv.fr)) AS s2
             FROM cells c JOIN lab l ON l.rid = c.rid, iv GROUP BY c.b, yb""",
         "condition_space": f"{head} SELECT c::INT AS c, col, lo::INT AS lo, hi::INT AS hi, t_lo, t_hi, feasible FROM conds",
         "rule_decode": f"""{head}, {rules_ctes()}
@@ -297,8 +324,10 @@ def _key(a: str) -> str:
     return f"{a}.c::VARCHAR || ':' || {a}.lo::VARCHAR || ':' || {a}.hi::VARCHAR"
 
 
-SUBSET_CTES = f"""
-feat AS (SELECT c, lo, hi, t_lo, t_hi, {_key('conds')} AS fk FROM conds WHERE hi = lo + 1),
+def subset_ctes(which: str) -> str:
+    """Rules of any number of the conditions that ``which`` selects, one per column."""
+    return f"""
+feat AS (SELECT c, lo, hi, t_lo, t_hi, {_key('conds')} AS fk FROM conds WHERE {which}),
 subsets(rule_id, last_c, nc) AS (
   SELECT '', -1, 0
   UNION ALL
@@ -311,6 +340,10 @@ rule_conds AS (
   JOIN feat f ON f.fk = r.part
   UNION ALL SELECT rule_id, 0, NULL, NULL, NULL FROM rules WHERE nc = 0)"""
 
+
+SUBSET_CTES = subset_ctes("hi = lo + 1")
+USABLE = "feasible AND c IN (SELECT pos FROM qs WHERE len(th) >= 3)"
+
 BEST_SELECT = """SELECT rule_id, n_conds, tp, fp, support, round(precision, 6) AS precision,
   round(recall, 6) AS recall, round(fmeasure, 6) AS fmeasure FROM fm
   ORDER BY fmeasure DESC, n_conds ASC, rule_id ASC LIMIT 1"""
@@ -374,8 +407,17 @@ nb AS (
   WHERE e.a <> e.b AND NOT (least(e.a, e.b) = s.lo AND greatest(e.a, e.b) = s.hi))"""
     return {
         "bnb_best_rule": f"{rhead}, {SUBSET_CTES}, {MATCH_CTES} {BEST_SELECT}",
-        "best_rule": f"""{head}, nthc AS (SELECT pos AS c, len(th) AS nth FROM qs),
-            {rules_ctes('feasible AND c IN (SELECT c FROM nthc WHERE nth >= 3)')}, {MATCH_CTES} {BEST_SELECT}""",
+        "best_rule": f"{rhead}, {subset_ctes(USABLE)}, {CELL_MATCH_CTES} {BEST_SELECT}",
+        # the beam search must end at the rule that the exhaustive one finds
+        "beam_rule": f"""{rhead}, {subset_ctes(USABLE)}, {CELL_MATCH_CTES},
+            best AS ({BEST_SELECT}),
+            parts AS (SELECT best.rule_id, string_split(best.rule_id, ';') AS ps FROM best),
+            words AS (SELECT p.rule_id, string_agg(f.col || ' in [' || f.t_lo::VARCHAR || ', ' || f.t_hi::VARCHAR || ')',
+                                                   ' AND ' ORDER BY f.c) AS rule_text
+                      FROM parts p, (SELECT conds.*, {_key('conds')} AS fk FROM conds) f
+                      WHERE list_contains(p.ps, f.fk) GROUP BY p.rule_id)
+            SELECT best.*, coalesce(words.rule_text, '') AS rule_text
+            FROM best LEFT JOIN words USING (rule_id)""",
         "rule_neighbours": f"""{head}, {seeds}
             SELECT DISTINCT parent_id, move, rule_id FROM nb WHERE rule_id NOT IN (SELECT fk FROM seeds)""",
         "segment_intervals": f"{rhead}, {SUBSET_CTES}, {_seg_ctes()} SELECT j, i, s_from, s_to FROM seg_iv",
@@ -434,7 +476,7 @@ def ruleset_neighbour_sql() -> dict[str, str]:
     return {"ruleset_neighbours": f"""{head},
 nth AS (SELECT pos AS c, len(th) AS nth FROM qs),
 f AS (SELECT c, lo, hi FROM conds WHERE hi = lo + 1),
-u AS (SELECT conds.c, lo, hi FROM conds JOIN nth USING (c) WHERE feasible AND nth >= 3),
+u AS (SELECT c, lo, hi FROM conds),
 nb AS (
   SELECT {key('f')} AS parent_id, 'add_rule' AS move,
          CASE WHEN {le('f', 'u')} THEN {key('f')} || '|' || {key('u')} ELSE {key('u')} || '|' || {key('f')} END AS set_id

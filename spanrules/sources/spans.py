@@ -41,11 +41,14 @@ def read_spans(spark: SparkSession, path: str | None = None, fmt: str = "parquet
 
 
 def _in_interval(from_, to) -> Column:
-    return F.col("timestamp").between(F.lit(to_micros(from_)), F.lit(to_micros(to)))
+    """Both ends inclusive; an end that is None is open."""
+    t = F.col("timestamp")
+    keep = t.isNotNull() if from_ is None else t >= F.lit(to_micros(from_))
+    return keep if to is None else keep & (t <= F.lit(to_micros(to)))
 
 
 def spans_by_interval(raw: DataFrame, from_, to) -> DataFrame:
-    """Spans whose start lies in ``[from_, to]`` (both ends inclusive), ``name`` as ``endpoint``."""
+    """Spans whose start lies in ``[from_, to]`` (both ends inclusive, None: open), ``name`` as ``endpoint``."""
     return (raw.filter(_in_interval(from_, to))
                .select("traceId", F.col("name").alias("endpoint"), "duration", "id", "kind",
                        "timestamp", "parentId"))

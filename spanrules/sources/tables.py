@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanrules.session import scratch_path
 from spanrules.sources.spans import tpch_spans
 
 
@@ -15,16 +13,7 @@ def load_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(data_dir, f"{name}.parquet"))
 
 
-def spans_table(spark: SparkSession, data_dir: str, stage: bool = True) -> DataFrame:
-    """Raw spans (index schema) built from ``orders`` and ``lineitem`` of ``data_dir``.
-
-    With ``stage`` the derived spans are written once as parquet into the shared checkpoint
-    folder and read back, like a span table in production: every later scan of it gets column
-    pruning and filter pushdown instead of recomputing the derivation.
-    """
-    spans = tpch_spans(load_table(spark, data_dir, "orders"), load_table(spark, data_dir, "lineitem"))
-    if not stage:
-        return spans
-    path = scratch_path(spark, f"spans-{uuid.uuid4().hex}")
-    spans.write.parquet(path)
-    return spark.read.parquet(path)
+def spans_table(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Raw spans (index schema) built from ``orders`` and ``lineitem`` of ``data_dir``; nothing is
+    written, so filters and column pruning reach the two tables."""
+    return tpch_spans(load_table(spark, data_dir, "orders"), load_table(spark, data_dir, "lineitem"))

@@ -115,3 +115,18 @@ def test_datetime_bounds(raw):
     lo = dt.datetime(1970, 1, 1)
     hi = dt.datetime(1970, 1, 1, 0, 0, 0, 302)
     assert spans_by_interval(raw, lo, hi).count() == 11   # same spans as [100, 302] us
+
+
+def test_read_spans_with_format_and_options(spark, tmp_path):
+    from spanrules.sources.spans import read_spans, spans_by_interval
+
+    path = str(tmp_path / "spans.csv")
+    with open(path, "w") as f:
+        f.write("traceId;name;duration;id;kind;timestamp;parentId;experiment\n"
+                "t1;api;10;a;SERVER;100;;x\nt1;db;4;b;CLIENT;200;a;\nt2;api;7;c;SERVER;300;;y\n")
+    raw = read_spans(spark, path, "csv", {"header": "true", "sep": ";", "inferSchema": "true"})
+    assert raw.count() == 3
+    assert {r["id"] for r in spans_by_interval(raw, 100, 200).collect()} == {"a", "b"}
+    assert {r["id"] for r in spans_by_interval(raw, None, 250).collect()} == {"a", "b"}
+    assert {r["id"] for r in spans_by_interval(raw, 101, None).collect()} == {"b", "c"}
+    assert read_spans(spark, fmt="csv", options={"path": path, "header": "true", "sep": ";"}).count() == 3

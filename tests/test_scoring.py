@@ -1,7 +1,6 @@
 """Rule and rule-set metrics: exact unit vectors and cube-vs-direct differential checks."""
 
-import random
-
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,18 +30,15 @@ def rules_frame(spark, rules):
     return with_rule_id(spark.createDataFrame(rows, f"rule {scoring.RULE_TYPE}"))
 
 
-def test_threshold_counts_two_rows(spark):
-    # two traces b = 1000, 2000 with f = 3000; thresholds 1000, 1500, 3000
-    _, space, cube = make_space(spark, [(1000.0, 3000.0), (2000.0, 3000.0)], ["b"],
-                                {"b": [1000.0, 1500.0, 3000.0]}, "f", 2000, 4000)
+def test_threshold_counts_match_numpy(spark):
+    rng = np.random.default_rng(31)
+    x, y = rng.integers(0, 12, 90).astype(float), rng.normal(70.0, 15.0, 90)
+    cuts = [0.0, 3.0, 5.0, 11.0, 13.0]
+    _, space, cube = make_space(spark, list(zip(x.tolist(), y.tolist())), ["x"], {"x": cuts}, "y", 62.5, 81.0)
+    inside = (y > 62.5) & (y <= 81.0)
     got = {r["threshold"]: (r["positives"], r["negatives"])
            for r in cube_ops.threshold_counts(cube, space).collect()}
-    assert got == {1000.0: (2, 0), 1500.0: (1, 0), 3000.0: (0, 0)}
-    _, space2, cube2 = make_space(spark, [(1000.0, 3000.0), (2000.0, 3000.0)], ["b"],
-                                  {"b": [1000.0, 1500.0, 3000.0]}, "f", 2000, 2500)
-    got = {r["threshold"]: (r["positives"], r["negatives"])
-           for r in cube_ops.threshold_counts(cube2, space2).collect()}
-    assert got == {1000.0: (0, 2), 1500.0: (0, 1), 3000.0: (0, 0)}
+    assert got == {t: (int((inside & (x >= t)).sum()), int((~inside & (x >= t)).sum())) for t in cuts}
 
 
 def _unit_space(spark, pos_x, neg_x, n_bins):
@@ -125,40 +121,44 @@ def test_nan_and_null_match_nothing(spark):
     assert (got["tp"], got["fp"], got["P"]) == (1, 1, 3)
 
 
-def test_cube_scores_equal_direct_filters(spark):
-    """Differential, as the source model's metric test: random rules, seeded."""
-    rnd = random.Random(10)
-    cols = ["a", "b", "c", "d"]
-    rows = [tuple(float(rnd.randint(0, 30)) for _ in cols) + (float(rnd.randint(0, 100)),)
-            for _ in range(400)]
-    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols + ["y"])).cache()
-    th = quantile_thresholds(df, cols, [0.0, 0.4, 0.6, 0.8])
-    space = Space(tuple(cols), th, "y", (50.0, 100.0))
-    cube = cube_ops.bucket_cube(df, space).cache()
-    rules = []
-    for _ in range(10):
-        picked = sorted(rnd.sample(range(len(cols)), 3))
-        rule = []
-        for p in picked:
-            lo, hi = sorted(rnd.sample(range(len(th[cols[p]])), 2))
-            rule.append((p, lo, hi))
-        rules.append(rule)
-    got = {r["rule_id"]: r for r in scoring.score_rules(cube, rules_frame(spark, rules)).collect()}
-    pos = df.filter((F.col("y") > 50.0) & (F.col("y") <= 100.0))
-    neg = df.filter((F.col("y") <= 50.0) | (F.col("y") > 100.0))
-    P = pos.count()
-    for rule in rules:
-        cond = F.lit(True)
-        for p, lo, hi in rule:
-            c = cols[p]
-            cond = cond & (F.col(c) >= th[c][lo]) & (F.col(c) < th[c][hi])
-        tp, fp = pos.filter(cond).count(), neg.filter(cond).count()
-        prec = tp / (tp + fp) if tp + fp else 0
-        rec = tp / P
-        fm = 2 * (prec * rec) / (prec + rec) if prec + rec > 0 else 0
-        key = ";".join(f"{p}:{lo}:{hi}" for p, lo, hi in rule)
-        assert (got[key]["tp"], got[key]["fp"]) == (tp, fp)
-        assert got[key]["fmeasure"] == pytest.approx(fm, abs=1e-12)
+def test_every_pair_rule_matches_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, (150, 3)).astype(float)
+    y = 10 * x[:, 0] - 4 * x[:, 2] + rng.normal(0, 6, 150)
+    cols = ["u", "v", "w"]
+    cuts = {"u": [0.0, 2.0, 7.0], "v": [1.0, 4.0, 8.0, 9.0], "w": [0.0, 5.0, 9.0]}
+    space = Space(tuple(cols), cuts, "y", (5.0, 55.0))
+    rows = [(*map(float, r), float(v)) for r, v in zip(x, y)]
+    df = spark.createDataFrame(rows, "u double, v double, w double, y double")
+    rules = rules_up_to(spark, condition_list(space), 2)
+    scored = scoring.score_rules(cube_ops.bucket_cube(df, space), rules).collect()
+    assert len(scored) == rules.count()
+    positive = (y > 5.0) & (y <= 55.0)
+    for r in scored:
+        hit = np.ones(len(y), bool)
+        for c in r["rule"]:
+            v = x[:, c["c"]]
+            hit &= (v >= cuts[cols[c["c"]]][c["lo"]]) & (v < cuts[cols[c["c"]]][c["hi"]])
+        tp, support = int((hit & positive).sum()), int(hit.sum())
+        assert (r["tp"], r["fp"]) == (tp, support - tp)
+        f = 2 * tp / (support + positive.sum()) if support else 0.0
+        assert r["fmeasure"] == pytest.approx(f, abs=1e-12)
+
+
+def test_repeated_candidates_count_once(spark):
+    _, _, cube = _unit_space(spark, [0, 1], [0], 2)
+    rows = scoring.score_rules(cube, rules_frame(spark, [[(0, 0, 1)], [(0, 0, 1)]])).collect()
+    assert len(rows) == 2
+    assert {(r["tp"], r["fp"], r["recall"]) for r in rows} == {(1, 1, 0.5)}
+    sets = scoring.ruleset_metrics(cube, sets_frame(spark, [[[(0, 0, 1)]], [[(0, 0, 1)]]])).collect()
+    assert {(r["tp"], r["fp"], r["recall"]) for r in sets} == {(1, 1, 0.5)}
+
+
+def test_dissimilarity_far_from_zero(spark):
+    rows = [(0.0, 1e8 + 0.1), (0.0, 1e8 + 0.2), (0.0, 1e8 + 0.3), (1.0, 1e8 + 5.0)]
+    _, _, cube = make_space(spark, rows, ["x"], {"x": [0.0, 1.0, 2.0]}, "y", 1e8 + 0.15, 1e8 + 9.0)
+    (r,) = _set_metrics(spark, cube, [[[(0, 0, 1)]]]).values()
+    assert r["dissimilarity"] == pytest.approx(0.02, abs=1e-6) and r["dissimilarity"] >= 0
 
 
 def test_rule_growth_counts(spark):

@@ -41,8 +41,8 @@ def _best_by_enumeration(spark, cube, conds, depth, intervals=((0, 1),)):
 
 
 def test_bin_features():
-    space = Space(("b1", "b2"), {"b1": [0, 1, 2], "b2": [0, 1, 2]}, "y", (0, 1))
-    assert set(bin_feature_list(space)) == {(0, 0, 1), (0, 1, 2), (1, 0, 1), (1, 1, 2)}
+    space = Space(("u", "v", "w"), {"u": [3.5, 7.0], "v": [1.0, 2.0, 9.0, 12.0], "w": [4.0]}, "y", (0, 1))
+    assert bin_feature_list(space) == [(0, 0, 1), (1, 0, 1), (1, 1, 2), (1, 2, 3)]
 
 
 def test_branch_and_bound_is_exact(spark, data):
@@ -55,14 +55,43 @@ def test_branch_and_bound_is_exact(spark, data):
 
 def test_best_rule_is_exact(spark, data):
     _, space, cube = data
-    got = search.best_rule(cube, space, depth=2).collect()[0]
-    want = _best_by_enumeration(spark, cube, search.usable_conditions(space), 2)[(0, 1)]
-    assert (-got["fmeasure"], len(got["rule"]), got["rule_id"]) == want
+    for depth in (2, None):
+        got = search.best_rule(cube, space, depth=depth).collect()[0]
+        want = _best_by_enumeration(spark, cube, search.usable_conditions(space), depth or len(COLS))[(0, 1)]
+        assert (-got["fmeasure"], len(got["rule"]), got["rule_id"]) == want
+
+
+def test_beam_rule_ends_at_the_best_rule(spark, data):
+    _, space, cube = data
+    got = search.beam_rule(cube, space).collect()[0]
+    want = search.best_rule(cube, space).collect()[0]
+    assert (got["rule_id"], got["fmeasure"]) == (want["rule_id"], want["fmeasure"])
+
+
+def test_searches_without_usable_conditions(spark):
+    df = spark.createDataFrame([(5.0, 1.0), (5.0, 2.0), (5.0, 3.0)], "a double, y double")
+    space = Space(("a",), {"a": [5.0, 6.0]}, "y", (1.5, 3.0))
+    cube = cube_ops.bucket_cube(df, space)
+    for found in (search.beam_rule(cube, space), search.best_rule(cube, space)):
+        (r,) = found.collect()
+        assert (r["rule_id"], r["tp"], r["fp"]) == ("", 2, 1)
+    # a column of two thresholds still gives its one condition to rule sets
+    front = search.beam_ruleset(cube, space, max_rounds=None).collect()
+    assert {r["set_id"] for r in front} == {"0:0:1"}
+
+
+def test_sets_recombine_in_either_order(spark):
+    sets = spark.createDataFrame(
+        [([[{"c": 0, "lo": 0, "hi": 1}], [{"c": 0, "lo": 1, "hi": 2}]],), ([[{"c": 1, "lo": 0, "hi": 1}]],)],
+        "rules array<array<struct<c:int,lo:int,hi:int>>>")
+    got = {r["set_id"] for r in search.recombine_sets(search.canonical_sets(sets)).collect()}
+    assert {"0:0:1", "1:0:1", "0:0:1|1:0:1", "0:1:2", "0:1:2|1:0:1", "0:0:1|0:1:2"} >= got
+    assert {"0:0:1", "1:0:1"} <= got  # either set comes first
 
 
 def test_beam_rule_beats_single_conditions(spark, data):
     _, space, cube = data
-    got = search.beam_rule(cube, space, width=5, max_rounds=4).collect()[0]
+    got = search.beam_rule(cube, space, width=5).collect()[0]
     singles = _best_by_enumeration(spark, cube, search.usable_conditions(space), 1)[(0, 1)]
     assert got["fmeasure"] >= -singles[0] - 1e-12
     nth = {p: len(space.thresholds[c]) for p, c in enumerate(COLS)}
@@ -153,6 +182,49 @@ def test_segmentation_matches_enumeration(spark, data):
     assert len(got) < len(splits)
 
 
+def test_segmentation_of_many_points(spark):
+    n = 41
+    rnd = random.Random(5)
+    f = {(j, i): rnd.random() / (1 + abs(i - j - 3)) for i in range(1, n) for j in range(i)}
+    scores = spark.createDataFrame([(j, i, v) for (j, i), v in f.items()], "j int, i int, fmeasure double")
+    best = [(0.0, [])]
+    for i in range(1, n):
+        best.append(max(((best[j][0] + f[j, i], [*best[j][1], j]) for j in range(i)), key=lambda b: (b[0], -b[1][-1])))
+    seg = segment.best_segmentation(scores, n)
+    got = seg.orderBy("seg").collect()
+    assert [r["j"] for r in got] == best[-1][1]
+    assert [r["i"] for r in got] == [*best[-1][1][1:], n - 1]
+    assert got[0]["total"] == pytest.approx(best[-1][0])
+    size = [len(segment.best_segmentation(scores, m)._jdf.queryExecution().analyzed().toString().splitlines())
+            for m in (4, 40)]
+    assert size[0] == size[1]
+
+
+def test_front_and_crowding_of_many_points(spark):
+    rnd = random.Random(11)
+    pairs = [(k / 300, (k * 7 % 300) / 300) for k in range(300)]
+    pts = [(f"s{k:03d}", p, r, 10 * (p + r) + rnd.random()) for k, (p, r) in enumerate(pairs)]  # better costs more
+    pts += [("zz", *pts[0][1:])]
+    df = spark.createDataFrame(pts, "set_id string, fit_p double, fit_r double, fit_d double").repartition(5)
+
+    def beats(b, a):
+        return b[1] >= a[1] and b[2] >= a[2] and b[3] <= a[3] and b[1:] != a[1:]
+
+    want = sorted(a for a in pts if a[0] != "zz" and not any(beats(b, a) for b in pts))
+    front = pareto.pareto_front(df)
+    assert sorted(map(tuple, front.collect())) == want and len(want) > 20
+    plan = front._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    crowd = {r["set_id"]: r["crowding"] for r in pareto.crowding_distance(front).collect()}
+    total = dict.fromkeys(crowd, 0.0)
+    for col, sign in ((1, 1), (2, 1), (3, -1)):
+        order = sorted(want, key=lambda p: (sign * p[col], p[0]))
+        span = 3 * (order[-1][col] - order[0][col]) * sign
+        for before, p, after in zip([None, *order], order, [*order[1:], None]):
+            total[p[0]] += float("inf") if before is None or after is None else sign * (after[col] - before[col]) / span
+    assert crowd == pytest.approx(total)
+
+
 def test_segmentation_single_point(spark):
     scores = spark.createDataFrame([], "j int, i int, fmeasure double")
     assert segment.best_segmentation(scores, 1).count() == 0
@@ -173,8 +245,8 @@ def test_beam_searches_do_not_depend_on_partitioning(spark, data):
     try:
         for parts in ("3", "11"):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
-            front = search.beam_ruleset(cube, space, mu=6, max_rounds=3)
-            rule = search.beam_rule(cube, space, width=4, max_rounds=3)
+            front = search.beam_ruleset(cube, space, mu=6, max_rounds=2)
+            rule = search.beam_rule(cube, space, width=4)
             got.append((sorted(tuple(r) for r in front.select("set_id", "fit_p", "fit_r", "fit_d").collect()),
                         rule.select("rule_id").collect()[0][0]))
     finally:

@@ -115,3 +115,25 @@ def test_forest_first_tree_only(traces):
     got = forest.forest_predicates(traces, "y", ["x", "z"], sla=150.0, num_trees=3, max_depth=4,
                                    trees="first").collect()
     assert got and all(r["tree"] == 0 for r in got)
+
+
+def test_forest_extraction_from_a_known_tree(spark):
+    """Inherited scope is the predicate of the anomalous side, whichever child follows."""
+    from spanrules.operators import forest
+
+    nodes = spark.createDataFrame(
+        [(0, 0, 1, 2, 0, 4.0, 6.0, 4.0), (0, 1, 3, 4, 1, 9.0, 5.0, 1.0), (0, 2, -1, -1, -1, None, 1.0, 3.0),
+         (0, 3, -1, -1, -1, None, 1.0, 1.0), (0, 4, -1, -1, -1, None, 4.0, 0.0),
+         (1, 0, 1, 2, 0, 4.0, 5.0, 5.0), (1, 1, -1, -1, -1, None, 4.0, 1.0), (1, 2, -1, -1, -1, None, 1.0, 4.0)],
+        "tree int, id int, left int, right int, feature int, threshold double, neg double, pos double")
+    splits = {(r["tree"], r["id"]): r for r in forest.split_predicates(nodes, ["u", "v"]).collect()}
+    assert splits[0, 0]["score"] == pytest.approx(1 / 6 - 3 / 4) and tuple(splits[0, 0]["pred"])[:2] == ("u", 5.0)
+    assert splits[0, 1]["score"] == pytest.approx(1 / 2) and tuple(splits[0, 1]["pred"]) == ("v", 0.0, 10.0)
+    scoped = forest.scoped_predicates(forest.split_predicates(nodes, ["u", "v"]))
+    paths = {(r["tree"], r["id"]): [p["col"] for p in r["path"]] for r in scoped.collect()}
+    assert paths == {(0, 0): ["u"], (0, 1): ["u", "v"], (1, 0): ["u"]}
+    top = forest.explain(scoped, k=2).orderBy("rank").collect()
+    # the same last predicate counts once, with its better score: 0.6 of the second tree
+    assert [(r["col"], r["tree"], r["rank"]) for r in top] == [("u", 1, 1), ("v", 0, 2)]
+    assert top[0]["score"] == pytest.approx(0.6) and top[1]["score"] == pytest.approx(0.5)
+    assert forest.explain(scoped, k=1).count() == 1
