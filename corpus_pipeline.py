@@ -24,8 +24,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: of five-word shingles, similarity 0.8 or more."""
-    return jaccard_join.keep_one(docs, size=5, threshold=Fraction(4, 5))
+    """One document of each group stays: of five-word shingles, similarity 0.9 or more."""
+    return jaccard_join.keep_one(docs, size=5, threshold=Fraction(9, 10))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

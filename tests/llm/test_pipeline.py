@@ -62,7 +62,7 @@ def test_exact_dedup_stage(steps):
 
 
 def test_jaccard_stage(steps):
-    want = jaccard_components(texts(steps[2]), 5, 0.8)
+    want = jaccard_components(texts(steps[2]), 5, 0.9)
     assert ids(steps[3]) == sorted(i for i, c in want.items() if i == c)
 
 
