@@ -62,10 +62,19 @@ def test_exact_dedup_stage(steps):
 
 
 def test_jaccard_stage(steps):
-    want = jaccard_components(texts(steps[2]), 5, 0.9)
+    want = jaccard_components(texts(steps[2]), 5, 0.8)
     assert ids(steps[3]) == sorted(i for i, c in want.items() if i == c)
 
 
+def test_jaccard_stage_links_from_four_fifths(spark):
+    words = [f"w{i}" for i in range(104)]
+    near = words[:92] + [f"x{i}" for i in range(12)]  # 88 of 112 shingles in common: 0.79
+    close = words[:95] + [f"y{i}" for i in range(9)]  # 91 of 109: 0.83
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(close)), (3, " ".join(near))],
+                                 "doc_id long, text string")
+    assert ids(corpus_pipeline.jaccard_stage(spark, docs, SF)) == [1, 3]
+
+
 def test_decontaminate_stage(spark, steps):
     items = [decontaminate.normalise(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [(i, decontaminate.normalise(t)) for i, t in texts(steps[3])]
