@@ -110,3 +110,38 @@ def test_empty_table(spark):
 def test_real_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     check(spark, [(r["doc_id"], f"{r['lang']}/{r['source']}/{r['doc_id']}.txt", r["text"]) for r in docs])
+
+
+def wrapped(text, mark, width):
+    out, line = [], ""
+    for w in text.split():
+        if len(line) + len(w) > width:
+            out.append(line)
+            line = ""
+        line += w + " "
+    return "\n".join(mark + x for x in [*out, line])
+
+
+def test_licence_texts_and_wrapped_headers(spark):
+    texts = licenses.long_templates()
+    docs = [(r["doc_id"], f"docs/{r['doc_id']}", r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()]
+    mit = texts["MIT"].replace("MIT License", "The MIT License (MIT)").replace("(c)", "(c) 2019 Some Body and contributors")
+    bsd = texts["BSD-3-Clause"].replace("(c)", "(c) 2001-2011, Example Inc").replace("\n\n", "\r\n\r\n")
+    gpl = "widget.c - draws widgets\nCopyright (C) 2020 Some Body <some@body.example>\n\n" + licenses.HEADERS["GPL-3.0"].replace("program;", "program:")
+    apache = "Copyright 2021 The Example Authors. All rights reserved.\n" + licenses.HEADERS["Apache-2.0"]
+    code = "\n\nint value = compute(other, thing);\nwhile (value) { step(value); }" * 40
+    files = [
+        (10**6 + 1, "m/LICENSE", mit), (10**6 + 2, "m/src/a.c", "int main;"),
+        (10**6 + 3, "b/COPYING", bsd), (10**6 + 4, "g/COPYING", texts["GPL-2.0"]), (10**6 + 5, "p/LICENSE", texts["Apache-2.0"]),
+        (10**6 + 6, "p/x/y.py", "x = 1"), (10**6 + 7, "h/a.c", "/*\n" + wrapped(gpl, " * ", 60) + "\n */" + code),
+        (10**6 + 8, "h/b.py", "#!/usr/bin/env python\n" + wrapped(apache, "# ", 50) + code),
+        (10**6 + 9, "h/c.cc", wrapped("Copyright 2010 The Project Authors. " + licenses.HEADERS["MPL-2.0"], "// ", 40) + code),
+        (10**6 + 10, "h/d.html", "<!--\n" + wrapped(licenses.TEMPLATES["GPL-2.0"], "  ", 30) + "\n-->" + code),
+        (10**6 + 11, "h/e.c", "/* draws widgets */" + code), (10**6 + 12, "a/COPYING", texts["AGPL-3.0"]),
+        (10**6 + 13, "h/f.py", "# a remark\n" * 20_000 + code)]
+    got = run(spark, docs + files)
+    own = {i - 10**6: (got[i]["license"], got[i]["how"]) for i, _, _ in files}
+    assert own == {
+        1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("BSD-3-Clause", "file"), 4: ("GPL-2.0", "file"),
+        5: ("Apache-2.0", "file"), 6: ("Apache-2.0", "inherited"), 7: ("GPL-3.0", "header"), 8: ("Apache-2.0", "header"),
+        9: ("MPL-2.0", "header"), 10: ("GPL-2.0", "header"), 11: (None, None), 12: ("AGPL-3.0", "file"), 13: (None, None)}
