@@ -5,15 +5,20 @@ the hash are zero, ``MIN_CHUNK`` bytes after the last end at the earliest and ne
 character. Since the hash sees the last 32 bytes only, an insertion moves no chunk that lies
 beyond it: the same passage has the same chunks wherever it stands, but for a chunk or so at
 either end. Chunks are compared by 128-bit digests; a run of neighbouring chunks that also stand
-elsewhere is a repeated passage if it has ``MIN_CHARS`` characters.
+elsewhere is a seed. The texts around both are compared to grow it left and right, character by
+character, as far as they are the same; what is then ``MIN_CHARS`` long is a repeated passage. A
+passage is missed only if it holds no whole chunk.
 
 Of a passage in several documents the one with the smallest id keeps it, and of several places in
-a document the first.
+a document the first. Chunks of a run that have different owners grow apart; where they meet, the
+passage goes to the smallest owner that has it whole, or else to the smallest that has a part.
 
 Chunks leave the one pass over the texts as an array per document, are counted by digest with a
 map-side combine (a passage that a third of all documents share is one row per task), and the
 digests that two or more documents have select the repeated ones. Runs are found within a
-document, whose chunks are bounded by its text.
+document, whose chunks are bounded by its text. A seed grows by the ``CONTEXT`` characters beside it
+and beside its first and last chunk in the owner's text, both cut out in a pass over the texts;
+those that are the same throughout take another pass with four times as many, until none is.
 
 Defined cases: a null or empty text has no chunks; rows that repeat an id count as one document; a
 text that never meets the mask is one chunk; an empty table gives an empty result; other columns
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,7 @@ MASK_BITS = 5
 MIN_CHUNK = 16
 WINDOW = 32
 MIN_CHARS = 100
+CONTEXT = 96
 
 
 def _gear() -> np.ndarray:
@@ -105,22 +112,98 @@ def _chunks(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, chunks array<struct<start, size, d1, d2, again>>`` per document."""
+    """``id, chunks array<struct<start, size, d1, d2, again, first>>`` per document; ``first`` is where a chunk
+    that the text has again stands first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 offsets, (start, size, d1, d2, again) = _chunks(batch.column("text"))
+                first: list[int | None] = [None] * len(again)
+                for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    if again[i:j].any():
+                        seen: dict[tuple[int, int], int] = {}
+                        for x, at, a, b in zip(range(i, j), start[i:j].tolist(), d1[i:j].tolist(), d2[i:j].tolist()):
+                            place = seen.setdefault((a, b), at)
+                            if again[x]:
+                                first[x] = place
                 items = pa.StructArray.from_arrays(
                     [pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(d1, pa.int64()),
-                     pa.array(d2, pa.int64()), pa.array(again, pa.bool_())],
-                    names=["start", "size", "d1", "d2", "again"])
+                     pa.array(d2, pa.int64()), pa.array(again, pa.bool_()), pa.array(first, pa.int32())],
+                    names=["start", "size", "d1", "d2", "again", "first"])
                 yield pa.record_batch([batch.column("id"),
                                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)],
                                       names=["id", "chunks"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, chunks array<struct<start: int, size: int, d1: long, d2: long, "
-                                "again: boolean>>")
+                                "again: boolean, first: int>>")
+
+
+def _contexts(docs: DataFrame, points: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    """For ``points`` (``doc, at, size, d1, left, off``: a chunk, a side and how far from the chunk) the
+    ``length`` characters there, those on the left in reverse."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1 << 20):
+                out: list[tuple] = []
+                for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wanted"))):
+                    for w in wanted:
+                        a, b = w["at"], w["at"] + w["size"]
+                        # another row of the same id may hold something else there
+                        own = hashlib.blake2b(text[a:b].encode(), digest_size=16).digest()[:8]
+                        if int.from_bytes(own, "little", signed=True) != w["d1"]:
+                            continue
+                        a, b = max(0, a - w["off"]), b + w["off"]
+                        near = text[max(0, a - length):a][::-1] if w["left"] else text[b:b + length]
+                        out.append((doc, w["at"], w["left"], w["off"], near))
+                cols = list(zip(*out)) or [()] * 5
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (
+                    pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.string()))],
+                    names=["doc", "at", "left", "off", "near"])
+
+    wanted = cut_lineage(points.groupBy("doc").agg(
+        F.collect_set(F.struct("at", "size", "d1", "left", "off")).alias("wanted")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    return cut_lineage(rows.where("text IS NOT NULL").join(broadcast_if_small(wanted, 2048), "doc")
+                       .select("doc", "text", "wanted")
+                       .mapInArrow(cut, "doc long, at int, left boolean, off int, near string"))
+
+
+def _grown(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, at, left, owner, src, grown``: for either side of the removed ``runs`` the chunk at that end,
+    the same chunk in the owner's text, and by how many characters the run grows there."""
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = []
+            for x, y in zip(batch.column("near").to_pylist(), batch.column("far").to_pylist()):
+                n.append(len(commonprefix((x, y))))
+            yield pa.record_batch([*(batch.column(c) for c in ("id", "at", "left", "size", "d1", "owner", "src", "off")),
+                                   pa.array(n, pa.int32())],
+                                  names=["id", "at", "left", "size", "d1", "owner", "src", "off", "more"])
+
+    sides = [runs.where("removed").select("id", F.col(f"{end}.start").alias("at"), F.lit(end == "head").alias("left"),
+                                          *[f"{end}.{c}" for c in ("size", "d1", "owner", "src")],
+                                          F.lit(0).alias("off")) for end in ("head", "tail")]
+    open_ends = cut_lineage(sides[0].unionByName(sides[1]).distinct())
+    done, length = None, CONTEXT
+    while True:
+        mark = ["size", "d1", "left", "off"]
+        points = (open_ends.select(F.col("id").alias("doc"), "at", *mark)
+                  .unionByName(open_ends.select(F.col("owner").alias("doc"), F.col("src").alias("at"), *mark)))
+        near = _contexts(docs, points, length, id_col, text_col)
+        # written tables, so that AQE splits the partition of a passage that many documents have
+        own = cut_lineage(open_ends.join(near.withColumnRenamed("doc", "id"), ["id", "at", "left", "off"]))
+        far = near.toDF("owner", "src", "left", "off", "far")
+        found = cut_lineage(
+            own.join(broadcast_if_small(far, 128 + 2 * length), ["owner", "src", "left", "off"])
+            .mapInArrow(common, "id long, at int, left boolean, size int, d1 long, owner long, src int, off int, more int")
+            .groupBy("id", "at", "left", "size", "d1", "owner", "src", "off").agg(F.max("more").alias("more")))
+        grown = found.select("id", "at", "left", "owner", "src", (F.col("off") + F.col("more")).alias("grown"))
+        done = grown if done is None else done.unionByName(grown)
+        open_ends = cut_lineage(found.where(F.col("more") == length).withColumn("off", F.col("off") + length).drop("more"))
+        if open_ends.isEmpty():
+            return cut_lineage(done)
+        length *= 4
 
 
 def repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
@@ -130,18 +213,50 @@ def repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
     every = cut_lineage(chunks(docs, id_col, text_col).where("id IS NOT NULL"))
     rows = every.select("id", F.posexplode("chunks").alias("at", "c")).select("id", "at", "c.*")
     shared = cut_lineage(rows.where("NOT again").groupBy("d1", "d2")
-                         .agg(F.min("id").alias("low"), F.max("id").alias("high"))
-                         .where("low < high").select("d1", "d2", F.col("low").alias("owner")))
+                         .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("start", "id").alias("src"))
+                         .where("low < high").select("d1", "d2", F.col("low").alias("owner"), "src"))
     found = (rows.join(broadcast_if_small(shared, 64), ["d1", "d2"], "left")
              .where("owner IS NOT NULL OR again")
              .withColumn("owner", F.coalesce("owner", "id"))
-             .withColumn("removed", F.expr("again OR owner <> id")))
-    # neighbours keep the same distance to their rank; the chunks of a document are all that a window holds
-    rank = F.dense_rank().over(Window.partitionBy("id", "removed").orderBy("at"))
-    runs = (found.withColumn("run", F.col("at") - rank).groupBy("id", "removed", "run")
-            .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("stop"),
-                 F.min("owner").alias("keep_id")))
-    return (runs.where(F.col("stop") - F.col("start") >= min_chars)
+             .withColumn("removed", F.expr("again OR owner <> id"))
+             .repartition("id"))
+    # neighbours, in the owner's text too, keep the same distance to their rank; the chunks of a document
+    # are all that a window holds
+    rank = F.dense_rank().over(Window.partitionBy("id", "removed", "owner", "shift").orderBy("at"))
+    end = F.struct("at", "start", "size", "d1", "owner", "src")
+    runs = cut_lineage(found.withColumn("src", F.when(F.col("owner") == F.col("id"), F.coalesce("first", "start"))
+                                      .otherwise(F.col("src")))
+                       .withColumn("shift", F.col("start") - F.col("src")).withColumn("run", F.col("at") - rank)
+                       .groupBy("id", "removed", "owner", "shift", "run")
+                       .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("stop"),
+                            F.min(end).alias("head"), F.max(end).alias("tail")))
+    grown = _grown(docs, runs, id_col, text_col)
+    # what the copies of a passage grow by, its first place grows by too
+    ends = cut_lineage(
+        grown.select("id", "at", "left", F.lit(True).alias("removed"), "grown")
+        .unionByName(grown.select(F.col("owner").alias("id"), F.col("src").alias("at"), "left",
+                                  F.lit(False).alias("removed"), "grown"))
+        .groupBy("id", "at", "left", "removed").agg(F.max("grown").alias("grown")))
+    sides = {True: ends.where("left").toDF("id", "head_at", "left", "removed", "before").drop("left"),
+             False: ends.where("NOT left").toDF("id", "tail_at", "left", "removed", "after").drop("left")}
+    spans = (runs.withColumn("head_at", F.col("head.start")).withColumn("tail_at", F.col("tail.start"))
+             .join(sides[True], ["id", "removed", "head_at"], "left")
+             .join(sides[False], ["id", "removed", "tail_at"], "left")
+             .select("id", "removed", "owner", (F.col("start") - F.coalesce("before", F.lit(0))).alias("start"),
+                     (F.col("stop") + F.coalesce("after", F.lit(0))).alias("stop")))
+    # seeds that have grown into each other are one passage, of the first owner that has it whole if one has
+    order = Window.partitionBy("id", "removed").orderBy("start", "stop")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.col("start") > F.max("stop").over(before), F.lit(True)).cast("int")
+    whole = (spans.withColumn("apart", apart)
+             .withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+             .groupBy("id", "removed", "run")
+             .agg(F.max("stop").alias("stop"), F.min("owner").alias("least"),
+                  F.min(F.struct("start", (-F.col("stop")).alias("end"), "owner")).alias("widest"))
+             .select("id", "removed", "widest.start", "stop",
+                     F.when(F.col("widest.end") == -F.col("stop"), F.col("widest.owner")).otherwise(F.col("least"))
+                     .alias("keep_id")))
+    return (whole.where(F.col("stop") - F.col("start") >= min_chars)
             .select(F.col("id").alias(id_col), F.col("start").cast("long").alias("start"),
                     F.col("stop").cast("long").alias("stop"), "keep_id", "removed"))
 

@@ -85,3 +85,37 @@ def test_cases(spark):
     assert {i for i, _ in by} <= {5, 6, 7, 9}
     assert sd.repeats(frame(spark, [])).count() == 0
     assert sd.without_repeats(frame(spark, [])).count() == 0
+
+
+def test_whole_passages_of_51_words(spark):
+    rng = random.Random(5)
+    vocabulary = prose(rng, 3000).split()
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows, holds = [], {}
+    for i in range(300):  # each passage stands in two documents
+        p = text(51)
+        for j in (2 * i, 2 * i + 1):
+            a, b = text(40) + " <", "> " + text(40)
+            rows.append((j, a + p + b))
+            holds[j] = (len(a), len(a) + len(p))
+    got = {}
+    for r in sd.repeats(frame(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["stop"], r["keep_id"], r["removed"]))
+    missed = [j for j in holds if j not in got]
+    assert len(missed) <= 4
+    for j, spans in got.items():  # " <" and "> " stand beside every passage
+        (start, stop, keep, removed) = max(spans, key=lambda s: s[1] - s[0])
+        assert start <= holds[j][0] and stop >= holds[j][1]
+        assert (keep, removed) == (j // 2 * 2, j % 2 == 1)
+        assert stop - start <= holds[j][1] - holds[j][0] + 16
+
+
+def test_seeds_grow_over_text_without_chunks(spark):
+    rng = random.Random(6)
+    p = prose(rng, 30)
+    # no chunk ends in a run of one letter: it takes several passes
+    rows = [(1, "a " + p + "x" * 3000 + "1 end"), (2, "b " + p + "x" * 3000 + "2 other")]
+    (cut,) = [r for r in sd.repeats(frame(spark, rows)).collect() if r["removed"]]
+    assert (cut["doc_id"], cut["start"], cut["stop"]) == (2, 1, 2 + len(p) + 3000)
+    out = {r["doc_id"]: r["text"] for r in sd.without_repeats(frame(spark, rows)).collect()}
+    assert out == {1: rows[0][1], 2: "b2 other"}
