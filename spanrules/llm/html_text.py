@@ -8,13 +8,17 @@ entropy that so many pages allow. What is composed of a node is as important as
 presentation and its branches: ``(1 - G^l) presentation + G^l mean of the l branches``. Branches
 that many pages of the host repeat are noise and leave each page.
 
+Pages of a host with the same text outside of the elements that are noise by what they are count once:
+copies of a page say nothing about what its site repeats. A page without ``article`` or ``main`` never
+loses the branch with the largest share of its text, at any level of the tree.
+
 Some elements are noise by what they are (navigation, headers and footers of pages, asides, forms,
 scripts, and those that class, id or role name as menus, adverts, notices or comments): these
 go whatever their entropy, since a host of a few pages has none to measure. An ``article`` or
 ``main`` element is never pruned by entropy: a host may well repeat an article.
 
-The pages are parsed twice, first for the counts of each style node, which combine map-side, so
-that a host with a third of all pages is no hot key, then for the texts. The importances of a
+The pages are parsed twice, first for the style nodes of each distinct page and their counts, which both
+combine map-side, so that a host with a third of all pages is no hot key, then for the texts. The importances of a
 host, one row, come to its pages by a join on the host (a broadcast if they are few), which AQE can
 split where a host is hot.
 
@@ -172,6 +176,33 @@ class Page:
         return {k: (xxhash.xxh3_64_intdigest("\n".join(text.get(k, ()))) >> 1,
                     xxhash.xxh3_64_intdigest(repr(below.get(k, ()))) >> 1) for k in set(self.key)}
 
+    def own_text(self) -> str:
+        """The blocks that no noise element holds."""
+        return "\n".join(text for node, text in self.blocks if not self.noise[node])
+
+    def _largest(self) -> set[int]:
+        """The nodes with the largest share of the page's text at each level, those of one style together."""
+        n = len(self.parent)
+        chars = [0] * n
+        for node, text in self.blocks:
+            if not self.noise[node]:
+                chars[node] += len(text)
+        below: list[list[int]] = [[] for _ in range(n)]
+        for node in range(n - 1, 0, -1):
+            chars[self.parent[node]] += chars[node]
+            below[self.parent[node]].append(node)
+        level, kept = [0], set()
+        while level:
+            kept.update(level)
+            share: dict[int, int] = {}
+            for node in level:
+                for child in below[node]:
+                    share[self.key[child]] = share.get(self.key[child], 0) + chars[child]
+            top = max(share.values(), default=0)
+            keys = {k for k, x in share.items() if x == top and top}
+            level = [child for node in level for child in below[node] if self.key[child] in keys]
+        return kept
+
     def main_text(self, content: dict[int, float], presentation: dict[int, float], threshold: float) -> str:
         """The blocks that no noise element and no branch of low importance holds."""
         n = len(self.parent)
@@ -194,6 +225,8 @@ class Page:
                 while up >= 0 and up not in kept_main:  # a branch that holds the article stays
                     kept_main.add(up)
                     up = self.parent[up]
+        if not kept_main and any(low):
+            kept_main = self._largest()
         gone = [False] * n
         for node in range(1, n):
             gone[node] = gone[self.parent[node]] or self.noise[node] or (low[node] and node not in kept_main)
@@ -207,8 +240,36 @@ def _host(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def site_styles(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, keys, content, presentation``: the importances of the style nodes of every host."""
+def _distinct_counts(rows: DataFrame) -> DataFrame:
+    """``host, key, kind, value, n`` over the distinct pages of ``host, text``; of pages with the same text of
+    their own the one with the least style counts."""
+    def styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 8 << 20):
+                seen: dict[tuple[str, bytes], list[int]] = {}
+                for host, text in zip(batch.column("host").to_pylist(), batch.column("text").to_pylist()):
+                    page = Page(text or "")
+                    own = xxhash.xxh3_128_digest(page.own_text())
+                    flat = [x for key, (content, order) in sorted(page.style().items()) for x in (key, content, order)]
+                    seen[host, own] = min(flat, seen.get((host, own), flat))
+                yield pa.record_batch([
+                    pa.array([h for h, _ in seen], pa.string()), pa.array([d for _, d in seen], pa.binary()),
+                    pa.array(list(seen.values()), pa.list_(pa.int64()))], names=["host", "own", "style"])
+
+    once = (rows.mapInArrow(styles, "host string, own binary, style array<long>")
+            .groupBy("host", "own").agg(F.min("style").alias("style")))
+    parts = F.expr("transform(sequence(0, size(style) - 3, 3), i -> struct(style[i] AS key, style[i + 1] AS content, "
+                   "style[i + 2] AS nodes))")
+    nodes = once.select("host", F.explode(parts).alias("s"))
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("s.content").alias("value")),
+                              F.struct(F.lit(1).alias("kind"), F.col("s.nodes").alias("value"))))
+    return (nodes.select("host", "s.key", kinds.alias("v")).groupBy("host", "key", "v.kind", "v.value")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def site_styles(pages: DataFrame, url_col: str = "url", html_col: str = "html", distinct: bool = False) -> DataFrame:
+    """``host, keys, content, presentation``: the importances of the style nodes of every host, over all
+    ``pages`` or the ``distinct`` ones of a host."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 8 << 20):
@@ -224,8 +285,9 @@ def site_styles(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                     names=["host", "key", "kind", "value", "n"])
 
     rows = pages.select(_host(url_col).alias("host"), F.col(html_col).cast("string").alias("text"))
-    counts = (rows.mapInArrow(count, "host string, key long, kind int, value long, n long")
-              .groupBy("host", "key", "kind", "value").agg(F.sum("n").alias("n")))
+    counts = _distinct_counts(rows) if distinct else (
+        rows.mapInArrow(count, "host string, key long, kind int, value long, n long")
+        .groupBy("host", "key", "kind", "value").agg(F.sum("n").alias("n")))
     nodes = (counts.groupBy("host", "key", "kind")
              .agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
              .where(F.col("m") >= MIN_PAGES)
@@ -241,7 +303,7 @@ def site_styles(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 def extract(pages: DataFrame, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url",
             html_col: str = "html") -> DataFrame:
     """One row per page: ``id_col, url_col, text, n_chars``."""
-    styles = site_styles(pages, url_col, html_col)
+    styles = site_styles(pages, url_col, html_col, distinct=True)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, known = None, ({}, {})

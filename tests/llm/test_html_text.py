@@ -53,6 +53,24 @@ def test_style_tree_drops_what_a_host_repeats(spark):
     assert all(got[200 + i] == "The same article" for i in range(30))
 
 
+def test_copies_of_a_page_say_nothing_about_its_host(spark):
+    def page(story, i, top="Top of the site"):
+        return (f"<body><div class='x'>{top}</div><div class='story'><p>{story}</p><p>And more of it.</p></div>"
+                f"<aside>Visitor {i}</aside></body>")
+
+    copy = "The one story that this host has in many copies"
+    rows = [(i, "http://a.example/", page(copy, i)) for i in range(8)]
+    rows += [(100 + i, "http://b.example/", page(copy, i)) for i in range(80)]
+    rows += [(200 + i, "http://b.example/", page(f"A story of its own, number {i}, of some length", i)) for i in range(20)]
+    # the top line of each differs, so that all are distinct: the story is the largest part and stays
+    rows += [(300 + i, "http://c.example/", page(copy, i, f"Seen {i}")) for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == f"Top of the site\n{copy}\nAnd more of it." for i in range(8))   # one page tells nothing
+    assert all(got[100 + i] == f"{copy}\nAnd more of it." for i in range(80))
+    assert all(got[200 + i] == f"A story of its own, number {i}, of some length\nAnd more of it." for i in range(20))
+    assert all(f"{copy}\nAnd more of it." in got[300 + i] for i in range(40))
+
+
 def test_importance_is_normalised_entropy(spark):
     rows = [(i, "http://a.example/", f"<body><p>{i % 4}</p></body>") for i in range(16)]
     page = html_text.Page("<body><p>0</p></body>")
