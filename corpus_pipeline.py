@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with identical text the one with the largest id stays."""
-    return exact_dedup.drop_copies(docs)
+    """Of documents with identical text the one with the largest id stays, in one row."""
+    return exact_dedup.drop_copies(docs, one_row=True)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

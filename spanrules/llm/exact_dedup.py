@@ -14,8 +14,8 @@ rows shuffle, and the result stays the same.
 
 Defined cases: a null text is the empty text; rows are equal when their texts are identical
 (no normalisation); the row with the largest id stays, a null id losing to any other; rows
-that repeat both id and text count one by one and share their fate; an empty table gives an
-empty result; other columns of the table pass through ``drop_copies`` untouched.
+that repeat both id and text count one by one and share their fate, but for ``drop_copies`` with
+``one_row``, where one of them stays; an empty table gives an empty result; other columns of the table pass through ``drop_copies`` untouched.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanrules.llm.common import fresh, whole_text
+from spanrules.llm.common import broadcast_if_small, fresh, whole_text
 from spanrules.session import cut_lineage
 
 HASHES = 2
@@ -112,19 +112,27 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text a row with a larger id repeats, columns unchanged."""
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_row: bool = False) -> DataFrame:
+    """``docs`` without the rows whose text a row with a larger id repeats, columns unchanged. With
+    ``one_row``, of rows that repeat both id and text the one that is least by all its columns stays."""
     found = find_copies(docs, id_col, text_col)
-    lost = (_split(found.rows, found.filter, "sha", found.cells).where("maybe")
-            .join(found.groups, "sha")
-            .where(~F.col("id").eqNullSafe(F.col("keep_id")))
-            .select("id", "sha").distinct())
+    copies = (_split(found.rows, found.filter, "sha", found.cells).where("maybe").join(found.groups, "sha"))
+    lost = copies.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "sha").distinct()
     sha, maybe, lid, lsha = fresh(docs.columns, "sha", "maybe", "lost_id", "lost_sha")
     lost = cut_lineage(lost.toDF(lid, lsha))
     rows = _split(docs.withColumn(sha, text_digest(text_col)), found.filter, sha, found.cells, maybe)
     whole = [f"`{c}`" for c in docs.columns]
     alone = rows.where(~F.col(maybe)).select(*whole)
     kept = (rows.where(F.col(maybe))
-            .join(lost, F.col(id_col).eqNullSafe(F.col(lid)) & (F.col(sha) == F.col(lsha)), "left_anti")
-            .select(*whole))
-    return alone.unionByName(kept)
+            .join(lost, F.col(id_col).eqNullSafe(F.col(lid)) & (F.col(sha) == F.col(lsha)), "left_anti"))
+    if not one_row:
+        return alone.unionByName(kept.select(*whole))
+    # only texts whose kept id has several rows are grouped, and that combines map-side
+    again = cut_lineage(copies.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("sha").count()
+                        .where("count > 1").select(F.col("sha").alias(lsha)))
+    small = broadcast_if_small(again, 64)
+    single = kept.join(small, F.col(sha) == F.col(lsha), "left_anti").select(*whole)
+    (row,) = fresh([*docs.columns, sha], "row")
+    one = (kept.join(small, F.col(sha) == F.col(lsha), "left_semi").groupBy(sha)
+           .agg(F.min(F.struct(*whole)).alias(row)).select(f"{row}.*"))
+    return alone.unionByName(single).unionByName(one)

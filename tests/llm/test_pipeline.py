@@ -61,6 +61,16 @@ def test_exact_dedup_stage(steps):
     assert ids(steps[2]) == sorted(last.values())
 
 
+def test_exact_dedup_stage_leaves_one_row_of_each_text(spark):
+    rows = [(1, "a", 2), (1, "a", 1), (1, "a", None), (2, "b", 1), (3, "b", 2), (3, "b", 1), (None, "c", 2), (None, "c", 1),
+            (None, "d", 1), (4, "d", 1), (4, "e", 1), (5, "f", 1), (5, "g", 1), (6, "", 1), (6, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.exact_dedup_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(
+        [(1, "a"), (3, "b"), (None, "c"), (4, "d"), (4, "e"), (5, "f"), (5, "g"), (6, None)], key=repr)
+
+
 def test_jaccard_stage(steps):
     want = jaccard_components(texts(steps[2]), 5, 0.8)
     assert ids(steps[3]) == sorted(i for i, c in want.items() if i == c)
