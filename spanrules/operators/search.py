@@ -8,8 +8,9 @@
 * :func:`ruleset_neighbours` / :func:`beam_ruleset` - the same for rule sets under the three
   objectives (precision, recall, dissimilarity), keeping a Pareto archive.
 
-The searches end at a fixed point: when every rule of the beam, or every set of the front, has been
-expanded and nothing better came of it. Every round is one scoring job over all candidates; the
+The searches for a rule end at a fixed point: when every rule of the beam has been expanded and nothing
+better came of it. That for rule sets does so only without ``max_rounds``; by default, and in the
+registered query, it returns the front of the last round allowed. Every round is one scoring job over all candidates; the
 driver only learns whether any are left. What a round adds is written to the shared checkpoint
 folder as a table of its own, so a round writes what is new and no more.
 """
