@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanrules.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, langid, licenses, quality, sharding, substring_dedup
+from spanrules.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, langid, licenses, quality, sharding, substring_dedup, token_files
 from spanrules.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,12 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.label_spans(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_licenses,
     op2_exact_dedup,
@@ -80,6 +86,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op8_jaccard_join,
     op9_sharding,
     op10_langid,
+    op11_token_files,
 )}
 
 ORACLE_SQL: dict[str, str] = {
