@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanrules.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, langid, licenses, quality, sharding, substring_dedup, token_files
+from spanrules.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, langid, licenses, merkle, quality, sharding, substring_dedup, token_files
 from spanrules.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_licenses,
     op2_exact_dedup,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op9_sharding,
     op10_langid,
     op11_token_files,
+    op12_merkle,
 )}
 
 ORACLE_SQL: dict[str, str] = {
@@ -100,4 +105,5 @@ ORACLE_SQL: dict[str, str] = {
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
     "op9_sharding": sharding.oracle_sql(),
+    "op12_merkle": merkle.oracle_sql(),
 }
