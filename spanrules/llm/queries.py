@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanrules.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, langid, licenses, merkle, quality, sharding, substring_dedup, token_files
+from spanrules.llm import (byte_bpe, collocations, decontaminate, exact_dedup, html_text, jaccard_join, langid, licenses,
+                           merkle, quality, sharding, substring_dedup, token_files)
 from spanrules.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +80,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_licenses,
     op2_exact_dedup,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op10_langid,
     op11_token_files,
     op12_merkle,
+    op13_collocations,
 )}
 
 ORACLE_SQL: dict[str, str] = {
@@ -106,4 +112,5 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op9_sharding": sharding.oracle_sql(),
     "op12_merkle": merkle.oracle_sql(),
+    "op13_collocations": collocations.oracle_sql(),
 }
