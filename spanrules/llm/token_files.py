@@ -28,9 +28,11 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,7 @@ MAGIC = b"SPANTOK1"
 SAMPLE = 512
 FILE_BYTES = 64 << 20  # of text a file, counting ROW_BYTES for each document
 ROW_BYTES = 64
+SLICE_BYTES = 16 << 20  # of text encoded at once
 MEMO = 1 << 20         # words whose ids a task remembers
 READ_IDS = 1 << 22     # ids read at once
 
@@ -202,68 +205,78 @@ class _Words:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        # a run of letters is one piece to the pre-tokenizer; its last id, and no other, closes a word
+        closes = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        closes[[i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
+        self.closes = closes
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
         self.flat, self.first, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def learn(self, words: list[str]) -> None:
+    def slots(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of each of the (distinct) words are."""
+        known = words.to_pylist()
+        new = pa.array([w for w in known if w not in self.slot], words.type)
+        letters = pc.match_substring_regex(new, r"^\p{L}+$")
+        self._letters(new.filter(letters).to_pylist())
+        self._learn(new.filter(pc.invert(letters)).to_pylist())
+        return np.fromiter(map(self.slot.__getitem__, known), np.int64, len(known))
+
+    def _letters(self, words: list[str]) -> None:
+        """Words of letters only, many in one text: cut where a word closes."""
+        for at in range(0, len(words), JOINED):
+            some = words[at:at + JOINED]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):  # each word closes once at least, so here exactly once
+                self._keep(some, ids, np.diff(ends, prepend=0))
+            else:  # a letter whose lower case holds a mark
+                self._learn(some)
+
+    def _learn(self, words: list[str]) -> None:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        first = len(self.flat) + np.cumsum(size) - size
-        self.slot.update(zip(words, range(len(self.size), len(self.size) + len(words))))
-        self.flat = np.concatenate([self.flat, np.fromiter((x for ids in got for x in ids), np.int32, size.sum())])
-        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
-
-
-ENDINGS = frozenset(".,;:!?")
-SEPARATORS = "\x1c\x1d\x1e\x1f"  # blanks to ``str.split``, not to the vocabulary
-
-
-def _split(text: str) -> list[str]:
-    if any(c in text for c in SEPARATORS):
-        import re
+        self._keep(words, np.fromiter(chain.from_iterable(got), np.int32),
+                   np.fromiter(map(len, got), np.int64, len(got)))
 
-        return re.findall(r"[^ \t\n\r]+", text)
-    return text.split()
+    def _keep(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.slot.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, size])
 
 
-def _pieces(word: str) -> tuple[str, ...]:
-    """Parts of a word that can be encoded apart: a closing mark after an ASCII letter is a piece
-    of its own to the pre-tokenizer. ASCII words are lowered first, as the normaliser does."""
-    if word.isascii():
-        word = word.lower()
-        if len(word) > 1 and word[-1] in ENDINGS and word[-2].isalpha():
-            return word[:-1], word[-1]
-    return (word,)
+WORD_END = "</w>"
+JOINED = 20_000
+# a closing mark after an ASCII letter is a piece of its own to the pre-tokenizer
+CLOSED = r"^[\x00-\x7f]*[a-z][.,;:!?]$"
 
 
-def encode_texts(texts: list[str], words: _Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: pa.Array, words: _Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, each closed by ``end_id``; and how many each has."""
-    from itertools import chain
-
     if len(words.slot) > MEMO:
         words.clear()
-    split = [_split(t) for t in texts]
-    n_words = np.fromiter(map(len, split), np.int64, len(split))
-    # distinct words of the batch, in the order they come (dict keeps it)
-    seen = dict.fromkeys(chain.from_iterable(split))
-    cut = {w: _pieces(w) for w in seen}
-    new = [p for p in dict.fromkeys(chain.from_iterable(cut.values())) if p not in words.slot]
-    if new:
-        words.learn(new)
-    pieces = [words.slot[p] for w in seen for p in cut[w]]
-    per_word = np.fromiter((len(cut[w]) for w in seen), np.int64, len(seen))
-    flat, size = _gather(words, np.asarray(pieces, np.int64))
-    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per_word)])]
-    number = dict(zip(seen, range(len(seen))))
-    order = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
-    first, size = ends[:-1][order], np.diff(ends)[order]
-    out = _spread(flat, first, size)
-    after = np.concatenate([[0], np.cumsum(size)])[np.cumsum(n_words)]
-    lengths = np.diff(after, prepend=0) + 1
-    return np.insert(out, after, end_id), lengths
+    split = pc.ascii_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    # distinct words: ASCII ones lowered as the normaliser does, in two pieces: all but a closing mark, and the mark
+    word = coded.dictionary
+    word = pc.if_else(pc.string_is_ascii(word), pc.ascii_lower(word), word)
+    closed = pc.match_substring_regex(word, CLOSED)
+    pieces = []
+    for piece in (pc.if_else(closed, pc.utf8_slice_codeunits(word, 0, -1), word),
+                  pc.if_else(closed, pc.utf8_slice_codeunits(word, -1), "")):
+        piece = piece.dictionary_encode()
+        pieces.append(words.slots(piece.dictionary)[piece.indices.to_numpy()])
+    slot = np.stack(pieces, 1).ravel()
+    flat = _spread(words.flat, words.first[slot], words.size[slot])
+    ends = np.concatenate([[0], np.cumsum(words.size[slot])])[::2]
+    # and all words of the texts, by their distinct word
+    order = coded.indices.to_numpy()
+    size = np.diff(ends)[order]
+    out = _spread(flat, ends[:-1][order], size)
+    n_words = np.cumsum(split.value_lengths().to_numpy())
+    after = np.concatenate([[0], np.cumsum(size)])[n_words]
+    return np.insert(out, after, end_id), np.diff(after, prepend=0) + 1
 
 
 def _spread(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -273,11 +286,6 @@ def _spread(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.arange(total) + np.repeat(first - (ends - size), size)]
 
 
-def _gather(words: _Words, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = words.size[slots]
-    return _spread(words.flat, words.first[slots], size), size
-
-
 def _by_words(spec: dict) -> bool:
     """Whether words can be encoded one by one: every step works within runs of non-blanks."""
     steps = (spec.get("normalizer") or {}).get("normalizers", [])
@@ -328,12 +336,12 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2, id_col: str = "
         part = TaskContext.get().partitionId()
         file, words = None, None
         for whole in batches:
-            for batch in slices(whole, 4 << 20):
+            for batch in slices(whole, SLICE_BYTES, rows=1 << 20):
                 if file is None:
                     words = _Words(Tokenizer.from_str(shared.value))
                     name = f"part-{part:05d}-{uuid.uuid4().hex}.tok"
                     file = _Writer(f"{out.rstrip('/')}/{name}", width)
-                file.add(batch.column("id"), *encode_texts(batch.column("text").to_pylist(), words, end_id))
+                file.add(batch.column("id"), *encode_texts(batch.column("text"), words, end_id))
         if file is not None:
             n_docs, n_ids = file.close()
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([name]), pa.array([n_docs], pa.int64()),
