@@ -6,11 +6,14 @@ A piece's last words have edges to :data:`END` (piece-end corrections), so each
 starts exactly one edge and all shorter counts are flows: a pair occurs as often as its node's
 edges leave it, a word as often as the nodes that begin with it are left.
 
-1. Each task cuts its texts into pieces and words and adds up the edges of a slice of them; words travel as
-   64-bit hashes (a vocabulary pass proves that no two words share one, or takes another seed).
-2. The edges are dealt by their first node, so their sums, the flows of the nodes and the edges heavy
-   enough come from one shuffle. Nodes with a large share of all words are dealt by their third word
-   too. Rare nodes go on only as part of the flow of their first word.
+1. A vocabulary pass counts the words. Words travel as 64-bit hashes; the pass proves that no two share one,
+   or takes another seed. No candidate holds a word that is rarer than a candidate has to be, so what such
+   words need not be told apart: a Bloom filter of the frequent words (of bounded size, a rare word that it lets
+   through changes nothing) pools them as :data:`OTHER`, and edges that start with one are left out.
+2. Each task cuts its texts into pieces and words and adds up the edges of a slice of them. The edges are
+   dealt by their first node, so their sums, the flows of the nodes and the edges heavy enough come
+   from one shuffle. Nodes with a large share of all words are dealt by their third word too. Rare
+   nodes go on only as part of the flow of their first word.
 3. A node whose whole flow takes one edge, into a node that has no other, lies on a unary path. Paths are
    found by pointer doubling and compacted into one row of words and one weight: all counts along
    a path equal its weight, and all its pairs are covered by longer phrases.
@@ -18,7 +21,7 @@ edges leave it, a word as often as the nodes that begin with it are left.
 
 Defined cases: a null text is empty; a null language is ``und``; texts, pieces and words that are
 empty count nothing; repeated rows count each time; an empty table gives no phrase; ties of score and
-count are ordered by the phrase; other columns are ignored. A slice is 16 MB of text or one
+count are ordered by the phrase; other columns are ignored. A slice is 8 MB of text or one
 longer text.
 """
 
@@ -35,13 +38,16 @@ from spanrules.llm.common import broadcast_if_small, slices, text_bytes
 from spanrules.session import cut_lineage, ship_by_value
 
 END = 0            # hash of "no word": what follows the last word of a piece
+OTHER = 1          # hash of all rare words
 MIN_COUNT = 10
 COVER = 50         # percent
 TOP = 2000
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 HOT = 1000         # nodes with a thousandth of a slice's words are looked at as hot
 SALTS = 64
 SEEDS = 8
+FILTER_BITS = 16          # of the Bloom filter per frequent word
+MAX_FILTER = 1 << 27      # bits of the filter at most: 16 MiB
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
@@ -68,17 +74,19 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     raw, at = text_bytes(texts)
     raw = lower[raw]
     kinds = kind[raw]
+    breaks = np.flatnonzero(kinds == 2)
     inside = kinds == 0
-    first = np.zeros(len(raw) + 1, bool)  # a word may start where a text does
-    first[at] = True
-    before = np.concatenate([[False], inside[:-1]]) if len(raw) else inside
-    starts = np.flatnonzero(inside & (first[:-1] | ~before))
-    breaks = np.cumsum(kinds == 2, dtype=np.int32)[starts]
+    edge = np.diff(inside, prepend=False) & inside
+    here = at[:-1][at[:-1] < at[1:]]
+    edge[here] = inside[here]  # a word may start where a text does
+    starts = np.flatnonzero(edge)
     text = np.searchsorted(at, starts, "right") - 1
+    before = np.searchsorted(breaks, starts)
     joined = np.zeros(len(starts), bool)
-    joined[1:] = (breaks[1:] == breaks[:-1]) & (text[1:] == text[:-1])
-    place = np.cumsum(inside, dtype=np.int64)[starts] - 1 if len(starts) else starts
-    offsets = np.append(place, int(inside.sum())).astype(np.int64)
+    joined[1:] = (before[1:] == before[:-1]) & (text[1:] == text[:-1])
+    # the bytes of words alone, one word after the other
+    size = np.add.reduceat(inside, starts, dtype=np.int64) if len(starts) else starts
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
     return words, text, joined
 
@@ -99,9 +107,15 @@ class Slice:
         names = {x: i for i, x in enumerate(dict.fromkeys("und" if x is None else x for x in langs))}
         lang = np.fromiter((names["und" if x is None else x] for x in langs), np.int64, len(langs))
         n = max(1, len(coded.dictionary))
-        pair, ids = np.unique(lang[text] * n + coded.indices.to_numpy(), return_inverse=True)
-        self.ids, names = ids + 1, list(names)
-        voc = coded.dictionary.to_pylist()
+        pair = lang[text] * n + coded.indices.to_numpy()
+        if n * len(names) <= 8 * len(pair):
+            used = np.zeros(n * len(names), bool)
+            used[pair] = True
+            self.ids, pair = np.cumsum(used, dtype=np.int64)[pair], np.flatnonzero(used)
+        else:
+            pair, ids = np.unique(pair, return_inverse=True)
+            self.ids = ids + 1
+        names, voc = list(names), coded.dictionary.to_pylist()
         self.words = [voc[i] for i in pair % n]
         self.langs = [names[i] for i in pair // n]
         self.hash = np.concatenate([[END], _hashes([x.encode() for x in self.langs], self.words, seed)])
@@ -121,13 +135,37 @@ class Slice:
         node, at = np.unique(self.ids * len(self.hash) + second, return_inverse=True)
         return node // len(self.hash), node % len(self.hash), at
 
-    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct edges as three ids, and their weights."""
-        a, b, at = self.nodes()
-        third = self._next(self._next(self.ids))
-        edge, n = np.unique(at * len(self.hash) + third, return_counts=True)
-        node = edge // len(self.hash)
-        return a[node], b[node], edge % len(self.hash), n
+    def edges(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct edges that start with a frequent word, and their weights."""
+        other = len(self.hash)
+        hashes, size = np.append(self.hash, OTHER), other + 1
+        frequent = np.append(frequent, True)
+        frequent[END] = True
+        second = self._next(self.ids)
+        third = self._next(second)
+        keep = frequent[self.ids]
+        first, second, third = self.ids[keep], second[keep], third[keep]
+        second = np.where(frequent[second], second, other)
+        third = np.where(frequent[third] & (second != other), third, other)
+        node, at = np.unique(first * size + second, return_inverse=True)
+        edge, n = np.unique(at * size + third, return_counts=True)
+        node, third = node[edge // size], edge % size
+        return hashes[node // size], hashes[node % size], hashes[third], n
+
+
+class Filter:
+    """Bloom filter of hashes in ``2^bits`` cells, packed eight to a byte."""
+
+    def __init__(self, cells: np.ndarray, bits: int):
+        self.cells, self.bits = cells, bits
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for k in range(2):
+            # two disjoint runs of bits of the hash
+            cell = (h.view(np.uint64) >> np.uint64(32 * k)) & np.uint64((1 << self.bits) - 1)
+            out &= (self.cells[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return out
 
 
 def _mix(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -152,8 +190,11 @@ def vocabulary(rows: DataFrame) -> tuple[DataFrame, list[tuple[int, int]], int]:
         def run(batches: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
             for s in _slices(batches, seed):
                 n = s.counts()
-                yield pa.record_batch([pa.array(s.hash[1:]), pa.nulls(len(n), pa.int64()), pa.array(s.langs, pa.string()),
-                                       pa.array(s.words, pa.binary()), pa.array(n, pa.int64())], names=["h", "h2", "lang", "word", "n"])
+                for at in range(0, len(n), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    yield pa.record_batch([pa.array(s.hash[1:][part]), pa.nulls(len(n[part]), pa.int64()), pa.array(s.langs[part], pa.string()),
+                                           pa.array(s.words[part], pa.binary()), pa.array(n[part], pa.int64())],
+                                          names=["h", "h2", "lang", "word", "n"])
                 a, b, at = s.nodes()
                 n = np.bincount(at)
                 top = np.flatnonzero(n * HOT >= n.sum())
@@ -161,11 +202,11 @@ def vocabulary(rows: DataFrame) -> tuple[DataFrame, list[tuple[int, int]], int]:
                                        pa.nulls(len(top), pa.binary()), pa.array(n[top], pa.int64())],
                                       names=["h", "h2", "lang", "word", "n"])
 
-        name = F.struct("lang", "word")
         seen = cut_lineage(rows.mapInArrow(run, "h long, h2 long, lang string, word binary, n long")
-                           .groupBy("h", "h2").agg(F.min(name).alias("one"), F.max(name).alias("other"), F.sum("n").alias("n")))
+                           .groupBy("h", "h2", "lang", "word").agg(F.sum("n").alias("n")))
         words = seen.where("h2 IS NULL")
-        if words.where((F.col("one") != F.col("other")) | (F.col("h") == END)).isEmpty():
+        shared = words.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where((F.col("k") > 1) | F.col("h").isin(END, OTHER))
+        if shared.isEmpty():
             break
     else:
         raise RuntimeError("no seed keeps all words apart")
@@ -173,33 +214,52 @@ def vocabulary(rows: DataFrame) -> tuple[DataFrame, list[tuple[int, int]], int]:
     # a node with 1/HOT of all words has that share of some slice; what was seen of it sums to half of that
     # at least for a node worth dealing out, so there are at most 2 * HOT
     hot = seen.where(F.col("h2").isNotNull() & (F.col("n") * 2 * HOT >= total)).select("h", "h2").collect()
-    return (words.select("h", "one.lang", F.col("one.word").cast("string").alias("word"), "n"),
+    return (words.select("h", "lang", F.col("word").cast("string").alias("word"), "n"),
             [(r["h"], r["h2"]) for r in hot], seed)
 
 
-def graph(rows: DataFrame, hot: list[tuple[int, int]], seed: int, min_count: int) -> DataFrame:
+def frequent_words(words: DataFrame, min_count: int) -> Filter:
+    """Bloom filter of the words with ``min_count`` occurrences; at most ``MAX_FILTER`` bits come to the driver."""
+    frequent = words.where(F.col("n") >= min_count).select("h")
+    bits = max(15, min(MAX_FILTER, max(1, frequent.count()) * FILTER_BITS - 1).bit_length())
+    bits = min(bits, MAX_FILTER.bit_length() - 1)
+    mask = F.lit((1 << bits) - 1).cast("long")
+    cells = frequent.select(F.explode(F.array(*[F.shiftrightunsigned("h", 32 * k).bitwiseAND(mask) + 1 for k in range(2)])).alias("c"))
+    blocks = (cells.groupBy(F.bitmap_bucket_number("c").alias("block"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))).collect()
+    size = 1 << 12  # bytes of a block
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in blocks:
+        raw = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["block"] - 1) * size:r["block"] * size] = raw[:len(out) - (r["block"] - 1) * size]
+    return Filter(out, bits)
+
+
+def graph(rows: DataFrame, hot: list[tuple[int, int]], seed: int, frequent: Filter, min_count: int) -> DataFrame:
     """``h1, h2, h3, n``, written: flows of nodes (``h3`` null), of the rare nodes of a word together (``h2`` null
     too), and the weights of heavy edges."""
     known = _mix(*(np.array([x[i] for x in hot], np.int64) for i in range(2)))
+    shared = rows.sparkSession.sparkContext.broadcast((frequent.cells, frequent.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filt = Filter(*shared.value)
         for s in _slices(batches, seed):
-            a, b, c, n = s.edges()
-            h1, h2, h3 = s.hash[a], s.hash[b], s.hash[c]
+            h1, h2, h3, n = s.edges(filt.has(s.hash))
             salt = np.where(np.isin(_mix(h1, h2), known), 1 + (h3.view(np.uint64) >> np.uint64(32)) % np.uint64(SALTS), 0)
-            for at in range(0, len(n), 1 << 18):
-                part = slice(at, at + (1 << 18))
+            for at in range(0, len(n), 1 << 16):
+                part = slice(at, at + (1 << 16))
                 yield pa.record_batch([pa.array(x[part]) for x in (h1, h2, h3, salt.astype(np.int32), n.astype(np.int64))],
                                       names=["h1", "h2", "h3", "salt", "n"])
 
     edges = (rows.mapInArrow(run, "h1 long, h2 long, h3 long, salt int, n long")
              .repartition("h1", "h2", "salt").groupBy("h1", "h2", "salt", "h3").agg(F.sum("n").alias("n")))
     # each edge adds to its node, and stands for itself if it is heavy; all in the same partition
-    heavy = F.when((F.col("n") >= min_count) & (F.col("h3") != END), F.col("h3"))
-    parts = edges.select("h1", "h2", "salt", "n", F.explode(F.array_distinct(F.array(F.lit(None).cast("long"), heavy))).alias("h3"))
+    none = F.lit(None).cast("long")
+    heavy = (F.col("n") >= min_count) & ~F.col("h3").isin(END, OTHER)
+    parts = edges.select("h1", "h2", "salt", "n", F.explode(F.when(heavy, F.array(none, "h3")).otherwise(F.array(none))).alias("h3"))
     flows = parts.groupBy("h1", "h2", "salt", "h3").agg(F.sum("n").alias("n"))
     # (a hot node is in parts, so its flow is not known yet)
-    kept = (F.col("h2") != END) & ((F.col("n") >= min_count) | (F.col("salt") > 0))
+    kept = ~F.col("h2").isin(END, OTHER) & ((F.col("n") >= min_count) | (F.col("salt") > 0))
     return cut_lineage(flows.select("h1", F.when(kept, F.col("h2")).alias("h2"), "h3", "n")
                        .groupBy("h1", "h2", "h3").agg(F.sum("n").alias("n")))
 
@@ -269,7 +329,7 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, cover: int = COVER, top
     """The best phrases of each language: ``lang, rank, phrase, a, l, r, n, score``."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     words, hot, seed = vocabulary(rows)
-    found = graph(rows, hot, seed, min_count)
+    found = graph(rows, hot, seed, frequent_words(words, min_count), min_count)
     # the count of a word is the flow of all nodes that begin with it
     flow = found.where("h3 IS NULL").groupBy(F.col("h1").alias("h")).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
     named = cut_lineage(flow.join(words.select("h", "lang", "word"), "h"))

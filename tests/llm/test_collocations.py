@@ -98,6 +98,20 @@ def test_words_of_neighbouring_texts_stay_apart():
     assert len(none) == 0
 
 
+def test_filter_of_frequent_words(spark):
+    rows = [(int(h), "en", "w", 20 if i % 3 else 2) for i, h in enumerate(np.random.default_rng(1).integers(-2**63, 2**63 - 1, 5000))]
+    filt = collocations.frequent_words(spark.createDataFrame(rows, "h long, lang string, word string, n long"), 10)
+    inside = filt.has(np.array([r[0] for r in rows], np.int64))
+    assert all(inside[i] for i, r in enumerate(rows) if r[3] == 20)
+    assert sum(inside[i] for i, r in enumerate(rows) if r[3] == 2) < 100
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "MAX_FILTER", 1 << 15)
+    rows = [("en", " ".join(f"w{i * j % 97}" for j in range(60))) for i in range(50)]
+    assert got(collocations.phrases(frame(spark, rows), 3)) == brute(rows, 3, 50, 2000)
+
+
 def test_scores_pass_64_bits(spark):
     row = spark.createDataFrame([(3_000_000_000, 4_000_000_000, 3_500_000_001)], "a long, x long, y long")
     got = row.select(collocations._score("a", "x", "y")).first()[0]
