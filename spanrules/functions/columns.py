@@ -24,27 +24,27 @@ def micros_to_millis(c: Column) -> Column:
 
 def safe_div(num: Column, den: Column) -> Column:
     """``num / den``, or 0 when ``den`` is 0 (the reference's convention for empty rules)."""
-    return F.when(den != 0, num / den).otherwise(F.lit(0.0))
+    return F.when(den != 0, F.try_divide(num, den)).otherwise(F.lit(0.0))
 
 
 def fmeasure(precision: Column, recall: Column) -> Column:
     """``2pr / (p + r)``, 0 when both are 0. Same operation order as the reference."""
     return F.when((precision > 0) | (recall > 0),
-                  F.lit(2.0) * (precision * recall) / (precision + recall)).otherwise(F.lit(0.0))
+                  F.try_divide(F.lit(2.0) * (precision * recall), precision + recall)).otherwise(F.lit(0.0))
 
 
 def beta_fscore(precision: Column, recall: Column, beta: Column) -> Column:
     """``(1 + b^2) * (p r / (b^2 p + r))``, 0 when the denominator is 0."""
     b2 = beta * beta
     den = b2 * precision + recall
-    return F.when(den != 0, (F.lit(1.0) + b2) * ((precision * recall) / den)).otherwise(F.lit(0.0))
+    return F.when(den != 0, (F.lit(1.0) + b2) * F.try_divide(precision * recall, den)).otherwise(F.lit(0.0))
 
 
 def harmonic3(precision: Column, recall: Column, disjointness: Column) -> Column:
     """``3prd / (pr + pd + rd)``, 0 when the denominator is 0."""
     p, r, d = precision, recall, disjointness
     den = p * r + p * d + r * d
-    return F.when(den != 0, (F.lit(3.0) * p * r * d) / den).otherwise(F.lit(0.0))
+    return F.when(den != 0, F.try_divide(F.lit(3.0) * p * r * d, den)).otherwise(F.lit(0.0))
 
 
 def sq_dev(n: Column, s1: Column, s2: Column) -> Column:
@@ -53,7 +53,7 @@ def sq_dev(n: Column, s1: Column, s2: Column) -> Column:
     The sums are about a centre (see :func:`spanrules.operators.cube.bucket_cube`), which the result
     does not depend on; it keeps them of the size of the deviations, so nothing cancels that matters.
     """
-    return F.when(n > 0, F.greatest(s2 - (s1 * s1) / n, F.lit(0.0))).otherwise(F.lit(0.0))
+    return F.when(n > 0, F.greatest(s2 - F.try_divide(s1 * s1, n), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def r6(c: Column) -> Column:

@@ -10,8 +10,8 @@ bucket ``yb(y) = number of split points < y``. Then
 :func:`bucket_cube` groups the traces by ``(b, yb)`` and keeps ``n, s1 = sum(y - s_0), s2 = sum((y - s_0)^2)``
 (one shuffle, partial aggregation on the map side). Its size is bounded by the product of the
 bucket counts, independent of the number of traces. :func:`marginals` projects it onto the column
-sets that candidate rules use; scoring joins candidates with those projections on the column-set
-key (equi-join), so no candidate ever rescans the traces.
+sets that candidate rules use; scoring looks up sums over those projections, so no candidate ever
+rescans the traces.
 """
 
 from __future__ import annotations
@@ -57,18 +57,24 @@ def bucket_columns(space: Space) -> list[Column]:
     return [ladder(clean_double(qcol(c)), space.thresholds[c]) for c in space.cols]
 
 
-def bucket_cube(traces: DataFrame, space: Space) -> DataFrame:
-    """``(b array<int>, yb int, n long, s1 double, s2 double)``; traces with no target dropped.
+def bucket_rows(traces: DataFrame, space: Space) -> DataFrame:
+    """``(b array<int>, yb int, n long, s1 double, s2 double)`` of every trace (``n = 1``); traces with no
+    target dropped.
 
-    ``s1, s2`` are the sums of the target's distance from the first split point and of its square:
-    about a centre among the data they stay as small as the deviations are."""
+    ``s1, s2`` are the target's distance from the first split point and its square: about a centre
+    among the data their sums stay as small as the deviations are."""
     y = clean_double(qcol(space.target))
     off = F.col("y") - F.lit(float(space.splits[0]) if space.splits else 0.0)
     return (traces.select(F.array(*bucket_columns(space)).alias("b"),
                           ladder(y, space.splits, strict=True).alias("yb"), y.alias("y"))
                   .filter(F.col("y").isNotNull())
-                  .groupBy("b", "yb")
-                  .agg(F.count(F.lit(1)).alias("n"), F.sum(off).alias("s1"), F.sum(off * off).alias("s2")))
+                  .select("b", "yb", F.lit(1).cast("long").alias("n"), off.alias("s1"), (off * off).alias("s2")))
+
+
+def bucket_cube(traces: DataFrame, space: Space) -> DataFrame:
+    """The rows of :func:`bucket_rows` summed by ``(b, yb)``."""
+    return (bucket_rows(traces, space).groupBy("b", "yb")
+            .agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")))
 
 
 def colset_key(positions: Sequence[int]) -> str:

@@ -1,14 +1,16 @@
-"""Rule and rule-set scoring on the bucket cube, all candidates in one job.
+"""Rule and rule-set scoring, all candidates in one job.
 
 A *condition* is ``struct<c int, lo int, hi int>``: column position ``c`` and threshold indexes,
 meaning ``t_lo <= x < t_hi``, i.e. bucket ``lo < b <= hi``. A *rule* is an array of conditions on
 distinct columns, sorted by ``c`` (empty = matches every trace). A *rule set* is an array of rules
 (their disjunction).
 
-Candidates are joined with the cube projections (:func:`cube.marginals`) on the column-set key,
-an equi-join; the range test is the join's residual predicate. The side that is broadcast is the
-one whose row count was just measured to be under the limit; otherwise both are shuffled on the
-key and AQE balances skewed keys.
+Rules are counted by corner sums (:mod:`spanrules.operators.corners`): a rule looks up ``2^k`` places of the
+summed-area table of its column set. Rules on so many columns that the table would not be small are counted
+by a bitmap index (:mod:`spanrules.operators.bitmaps`), over the cells of the cube or, where the cube saves
+nothing, over the traces (:func:`scorer_for` measures that). Rule sets are counted by inclusion and
+exclusion over the meets of their rules, which are rules again; a meet that many sets share is counted
+once.
 """
 
 from __future__ import annotations
@@ -19,11 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanrules.functions.columns import fmeasure, harmonic3, literal_frame, r6, safe_div, sq_dev
-from spanrules.operators.cube import marginals, positive
+from spanrules.operators.bitmaps import BitmapIndex
+from spanrules.operators.corners import area_table, corner_counts, grid_cells, meets, table_bytes
+from spanrules.operators.cube import Space, bucket_cube, bucket_rows, colset_key, positive
+from spanrules.session import cut_lineage
 
 COND_TYPE = "struct<c:int,lo:int,hi:int>"
 RULE_TYPE = f"array<{COND_TYPE}>"
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 16 << 20
+GRID_CELLS = 1 << 16  # places of one column set's table; rules on wider sets are counted by bitmaps
 
 
 def cond(c, lo, hi) -> Column:
@@ -58,11 +64,6 @@ def rule_text(rule: Column, cols: Sequence[str], thresholds: dict[str, list[floa
         "%s in [%s, %s)", names[x["c"]], ths[x["c"]][x["lo"]], ths[x["c"]][x["hi"]])), " AND ")
 
 
-def _measured(df: DataFrame) -> tuple[DataFrame, int]:
-    df = df.cache()
-    return df, df.count()
-
-
 def _colsets(df: DataFrame, cs: str = "cs") -> list[tuple[int, ...]]:
     """Distinct column sets used by the candidates (bounded by the column subsets, small)."""
     out = []
@@ -71,32 +72,6 @@ def _colsets(df: DataFrame, cs: str = "cs") -> list[tuple[int, ...]]:
     return out
 
 
-def _join_marginals(cands: DataFrame, marg: DataFrame, residual, bound: int | None = None) -> DataFrame:
-    """Left join candidates with the marginal cells of their column set.
-
-    The marginal side is broadcast when its size is proven small: by ``bound`` (rows, from the
-    bucket counts) or else by counting it. Otherwise the candidates are broadcast if they are
-    measured small, and failing both the join shuffles on the column-set key.
-    """
-    if bound is not None and bound <= BROADCAST_ROWS:
-        n_m = bound
-    else:
-        marg, n_m = _measured(marg)
-    m = marg.alias("m")
-    c = cands.alias("c")
-    if n_m <= BROADCAST_ROWS:
-        m = F.broadcast(m)
-    else:
-        cands, n_c = _measured(cands)
-        c = cands.alias("c")
-        if n_c <= BROADCAST_ROWS:
-            c = F.broadcast(c)
-    cond_ = (F.col("c.cs") == F.col("m.cs"))
-    if residual is not None:
-        cond_ = cond_ & residual
-    return c.join(m, cond_, "left")
-
-
 def interval_array(intervals: Sequence[tuple[int, int]]) -> Column:
     return F.array(*[F.struct(F.lit(int(j)).alias("j"), F.lit(int(i)).alias("i")) for j, i in intervals])
 
@@ -117,15 +92,21 @@ class Scorer:
     """Scores rules and rule sets against one cube.
 
     Built once per search: it counts the positives of every target interval (one small job, the
-    answer is a handful of numbers) and knows the bucket counts, so the size of any cube
-    projection is bounded on the driver without a job (``prod(buckets) x target buckets``).
+    answer is a handful of numbers). The area tables of the column sets that candidates use are
+    written once each and kept for later rounds.
     """
 
     def __init__(self, cube: DataFrame, sizes: Sequence[int] | None = None, n_yb: int | None = None,
-                 intervals: Sequence[tuple[int, int]] = ((0, 1),), require_positives: bool = True):
+                 intervals: Sequence[tuple[int, int]] = ((0, 1),), require_positives: bool = True,
+                 grid: int = GRID_CELLS):
+        """``sizes``: thresholds per column; ``n_yb``: target buckets; both measured if not given."""
         self.cube = cube
-        self.sizes = list(sizes) if sizes is not None else None
-        self.n_yb = n_yb
+        if sizes is None:  # a row for each column
+            top = cube.select(F.posexplode("b").alias("p", "x")).groupBy("p").agg(F.max("x").alias("x")).collect()
+            sizes = [r["x"] + 1 for r in sorted(top, key=lambda r: r["p"])]
+        if n_yb is None:
+            n_yb = 1 + (cube.agg(F.max("yb")).first()[0] or 0)
+        self.sizes, self.n_yb, self.grid = list(sizes), n_yb, grid
         self.intervals = [(int(j), int(i)) for j, i in intervals]
         pos = {(r["j"], r["i"]): int(r["P"]) for r in positives_per_interval(cube, self.intervals).collect()}
         self.P = pos
@@ -135,42 +116,61 @@ class Scorer:
                 raise ValueError(f"No positives in target interval(s) {empty}")
         self.pos_frame = literal_frame(cube.sparkSession, [(j, i, pos.get((j, i), 0)) for j, i in self.intervals],
                                        "j int, i int, P long")
+        self._tables: list[tuple[set, DataFrame]] = []
+        self._index: BitmapIndex | None = None
 
     @classmethod
-    def for_space(cls, cube: DataFrame, space, intervals=((0, 1),), require_positives: bool = True):
-        sizes = [len(space.thresholds[c]) + 1 for c in space.cols]
-        return cls(cube, sizes, len(space.splits) + 1, intervals, require_positives)
-
-    def bound(self, colsets: Sequence[Sequence[int]]) -> int | None:
-        if self.sizes is None or self.n_yb is None:
-            return None
-        total = 0
-        for s in colsets or [()]:
-            cells = self.n_yb
-            for p in s:
-                cells *= self.sizes[p]
-            total += cells
-        return total
-
-    # -------------------------------------------------------------- single rules
-
-    def rule_counts(self, rules: DataFrame) -> DataFrame:
+    def for_space(cls, cube: DataFrame, space: Space, intervals=((0, 1),), require_positives: bool = True, **options):
+        sizes = [len(space.thresholds[c]) for c in space.cols]
+        return cls(cube, sizes, len(space.splits) + 1, intervals, require_positives, **options)
+
+    # -------------------------------------------------------------- counts
+
+    def _area(self, colsets: list[tuple[int, ...]]) -> tuple[DataFrame, bool]:
+        """The area tables of the column sets, and whether they are small enough to be broadcast."""
+        known = set().union(*(have for have, _ in self._tables))
+        new = [s for s in colsets if s not in known]
+        if new or not self._tables:
+            self._tables.append((set(new or [()]), cut_lineage(area_table(self.cube, new, self.sizes))))
+        used = [(have, t) for have, t in self._tables if have & set(colsets)] or self._tables[:1]
+        table = used[0][1]
+        for _, t in used[1:]:
+            table = table.unionByName(t)
+        held = [s for have, _ in used for s in have]
+        return table, table_bytes(held, self.sizes, self.n_yb) <= BROADCAST_BYTES
+
+    def wide(self, colset: Sequence[int]) -> bool:
+        """Whether rules on these columns are counted by bitmaps."""
+        return grid_cells(colset, self.sizes) > self.grid
+
+    def index(self) -> BitmapIndex:
+        if self._index is None:
+            self._index = BitmapIndex(self.cube, self.sizes)
+        return self._index
+
+    def rule_counts(self, rules: DataFrame, sums: bool = False) -> DataFrame:
         """Per (rule, target bucket): ``n, s1, s2`` of the traces the rule matches.
 
-        ``rules`` needs ``rule_id`` and ``rule``; a rule without a match gets ``yb = NULL, n = 0``.
+        ``rules`` needs ``rule_id`` and ``rule``; a candidate that occurs twice counts its traces once. Each
+        rule has a row with ``yb = NULL, n = 0`` or rows that add up to its traces. ``s1, s2`` are null for
+        rules counted by bitmaps; ``sums=True`` takes the area tables for all rules.
         """
-        # a candidate that occurs twice counts its traces once
         rules = (rules.select("rule_id", "rule").dropDuplicates(["rule_id"])
                  .withColumn("cs", rule_colset(F.col("rule"))))
         sets = _colsets(rules)
-        marg = marginals(self.cube, sets)
-        inside = F.forall(F.zip_with(F.col("c.rule"), F.col("m.key"),
-                                     lambda x, b: (x["lo"] < b) & (b <= x["hi"])), lambda v: v)
-        j = _join_marginals(rules, marg, inside, self.bound(sets))
-        return (j.groupBy(F.col("c.rule_id").alias("rule_id"), F.col("m.yb").alias("yb"))
-                 .agg(F.coalesce(F.sum("m.n"), F.lit(0)).cast("long").alias("n"),
-                      F.coalesce(F.sum("m.s1"), F.lit(0.0)).alias("s1"),
-                      F.coalesce(F.sum("m.s2"), F.lit(0.0)).alias("s2")))
+        wide = [s for s in sets if self.wide(s) and not sums]
+        if not wide:
+            return corner_counts(rules, self.sizes, *self._area(sets))
+        names = [colset_key(s) for s in wide]
+        is_wide = F.array_contains(F.array(*[F.lit(x) for x in names]), F.col("cs"))
+        of_wide = self.index().counts(rules.where(is_wide))
+        none = F.lit(None)
+        out = (rules.where(is_wide).select("rule_id", none.cast("int").alias("yb"), F.lit(0).cast("long").alias("n"))
+               .unionByName(of_wide).withColumn("s1", none.cast("double")).withColumn("s2", none.cast("double")))
+        narrow = [s for s in sets if s not in wide]
+        if narrow:
+            out = out.unionByName(corner_counts(rules.where(~is_wide), self.sizes, *self._area(narrow)))
+        return out
 
     def score(self, rules: DataFrame) -> DataFrame:
         """Precision, recall and F-measure of every rule for every target interval.
@@ -201,30 +201,6 @@ class Scorer:
 
     # -------------------------------------------------------------- rule sets
 
-    def ruleset_cells(self, sets: DataFrame) -> DataFrame:
-        """Per (rule set, projected cell): which rules of the set match the cell.
-
-        Output ``set_id, rules, yb, n, s1, s2, flags array<boolean>, m`` (number of matching
-        rules) for the cells at least one rule matches; a set that matches nothing keeps one
-        row, ``n = 0``.
-        """
-        s = _set_frame(sets)
-        cs = _colsets(s)
-        marg = marginals(self.cube, cs)
-
-        def matches(r):
-            return F.forall(r, lambda x: (x["lo"] < F.col("m.key")[x["k"]]) & (F.col("m.key")[x["k"]] <= x["hi"]))
-
-        # cells no rule matches add nothing to any metric: keep only matched cells
-        j = _join_marginals(s, marg, F.exists(F.col("c.kr"), matches), self.bound(cs))
-        flags = F.transform(F.col("c.kr"), lambda r: F.coalesce(matches(r), F.lit(False)))
-        return j.select(F.col("c.set_id").alias("set_id"), F.col("c.rules").alias("rules"),
-                        F.col("m.yb").alias("yb"), F.coalesce(F.col("m.n"), F.lit(0)).alias("n"),
-                        F.coalesce(F.col("m.s1"), F.lit(0.0)).alias("s1"),
-                        F.coalesce(F.col("m.s2"), F.lit(0.0)).alias("s2"),
-                        flags.alias("flags")).withColumn(
-            "m", F.size(F.filter("flags", lambda v: v)))
-
     def ruleset_metrics(self, sets: DataFrame, lo_y: int = 0, hi_y: int = 1,
                         min_rule_recall: float = 0.05) -> DataFrame:
         """Precision, recall, disjointness, dissimilarity, F, harmonic mean, feasibility, fitness.
@@ -235,29 +211,41 @@ class Scorer:
           the rule matches (positives and negatives);
         * feasible = every rule alone has recall > ``min_rule_recall``; fitness = ``(precision,
           recall, dissimilarity)`` if feasible else ``(0, 0, inf)``.
+
+        With ``N(M)`` the traces in the meet of ``m`` rules of the set, the union has ``sum (-1)^(m+1) N(M)``
+        traces and ``sum (-1)^(m+1) m N(M)`` of them match exactly one rule.
         """
         P = self.P.get((lo_y, hi_y))
         if P is None:
             P = positives_per_interval(self.cube, [(lo_y, hi_y)]).collect()[0]["P"]
         if P <= 0:
             raise ValueError("No positives in the target interval")
-        cells = self.ruleset_cells(sets).cache()
+        s = sets.dropDuplicates(["set_id"]).select("set_id", "rules")
+        met = (s.select("set_id", F.explode(meets(F.col("rules"), RULE_TYPE)).alias("x"))
+               .select("set_id", F.col("x.rule").cast(RULE_TYPE).alias("rule"), F.col("x.m").alias("m"))
+               .withColumn("rule_id", rule_key(F.col("rule"))))
         pos = positive(F.col("yb"), lo_y, hi_y)
-        anym = F.col("m") > 0
-        zero = F.lit(0)
-        per_set = cells.groupBy("set_id", "rules").agg(
-            F.sum(F.when(anym & pos, F.col("n")).otherwise(zero)).cast("long").alias("tp"),
-            F.sum(F.when(anym & ~pos, F.col("n")).otherwise(zero)).cast("long").alias("fp"),
-            F.sum(F.when(F.col("m") == 1, F.col("n")).otherwise(zero)).cast("long").alias("uniq"),
-            F.sum(F.col("n") * F.col("m")).cast("long").alias("tot"))
-        rs = ruleset_rule_stats(cells, lo_y, hi_y)
+        stats = cut_lineage(self.rule_counts(met).groupBy("rule_id").agg(
+            F.sum("n").cast("long").alias("n_r"), F.sum(F.when(pos, F.col("n")).otherwise(F.lit(0))).cast("long").alias("tp_r"),
+            F.sum("s1").alias("s1_r"), F.sum("s2").alias("s2_r")))
+        sign = F.when(F.col("m") % 2 == 1, F.lit(1)).otherwise(F.lit(-1))
+        per_set = met.select("set_id", "rule_id", "m").join(stats, "rule_id").groupBy("set_id").agg(
+            F.sum(sign * F.col("tp_r")).cast("long").alias("tp"),
+            F.sum(sign * (F.col("n_r") - F.col("tp_r"))).cast("long").alias("fp"),
+            F.sum(sign * F.col("m") * F.col("n_r")).cast("long").alias("uniq"),
+            F.sum(F.when(F.col("m") == 1, F.col("n_r"))).cast("long").alias("tot"))
+        single = (s.select("set_id", F.posexplode("rules").alias("r", "rule"))
+                  .withColumn("rule", F.col("rule").cast(RULE_TYPE)).withColumn("rule_id", rule_key(F.col("rule"))))
+        if any(self.wide(x) for x in _colsets(single.select(rule_colset(F.col("rule")).alias("cs")))):
+            sums = self.rule_counts(single, sums=True).groupBy("rule_id").agg(F.sum("s1").alias("s1_r"), F.sum("s2").alias("s2_r"))
+            stats = stats.drop("s1_r", "s2_r").join(sums, "rule_id", "left")
         # summed in sorted order, so the result does not depend on shuffle arrival order
         dev = F.array_sort(F.collect_list(sq_dev(F.col("n_r").cast("double"), F.col("s1_r"), F.col("s2_r"))))
-        per_rule = rs.groupBy("set_id").agg(
+        per_rule = single.drop("rule").join(stats, "rule_id").groupBy("set_id").agg(
             F.aggregate(dev, F.lit(0.0), lambda acc, x: acc + x).alias("dissimilarity"),
             F.min(F.col("tp_r") / F.lit(float(P))).alias("min_rule_recall"),
             F.sort_array(F.collect_list(F.struct("r", "n_r"))).alias("sizes"))
-        out = (per_set.join(per_rule, "set_id")
+        out = (s.join(per_set, "set_id").join(per_rule, "set_id")
                       .withColumn("n_rules", F.size("rules"))
                       .withColumn("recall", F.col("tp") / F.lit(float(P)))
                       .withColumn("precision", safe_div(F.col("tp").cast("double"),
@@ -275,6 +263,17 @@ class Scorer:
                    .withColumn("fit_d", F.when(F.col("feasible"), F.col("dissimilarity")).otherwise(inf)))
 
 
+def scorer_for(traces: DataFrame, space: Space, intervals: Sequence[tuple[int, int]] = ((0, 1),),
+               require_positives: bool = True) -> Scorer:
+    """A scorer of the traces: over their cube, or, where nearly every trace has a cell of its own (a
+    measured share of more than a half), over the traces, with rules of several conditions by bitmaps."""
+    rows = cut_lineage(bucket_rows(traces, space))
+    cells, n = rows.agg(F.approx_count_distinct(F.xxhash64("b", "yb")), F.count(F.lit(1))).first()
+    if cells * 2 <= n:
+        return Scorer.for_space(cut_lineage(bucket_cube(traces, space)), space, intervals, require_positives)
+    return Scorer.for_space(rows, space, intervals, require_positives, grid=max(len(space.thresholds[c]) for c in space.cols))
+
+
 def rule_counts(cube: DataFrame, rules: DataFrame) -> DataFrame:
     return Scorer(cube, require_positives=False).rule_counts(rules)
 
@@ -305,34 +304,6 @@ def best_per_interval(scored: DataFrame, by: Sequence[str] = ("j", "i")) -> Data
 
 # ---------------------------------------------------------------- rule sets
 
-def _set_frame(sets: DataFrame) -> DataFrame:
-    """Adds the union column set of each rule set and re-indexes conditions into its key."""
-    union = F.array_sort(F.array_distinct(F.flatten(F.transform(
-        F.col("rules"), lambda r: F.transform(r, lambda x: x["c"])))))
-    s = sets.dropDuplicates(["set_id"]).select("set_id", "rules", union.alias("u"))
-    keyed = F.transform(F.col("rules"), lambda r: F.transform(r, lambda x: F.struct(
-        (F.array_position(F.col("u"), x["c"]) - 1).cast("int").alias("k"), x["lo"].alias("lo"),
-        x["hi"].alias("hi"))))
-    return s.select("set_id", "rules", keyed.alias("kr"),
-                    F.array_join(F.transform("u", lambda x: x.cast("string")), ",").alias("cs"))
-
-
-def ruleset_cells(cube: DataFrame, sets: DataFrame) -> DataFrame:
-    return Scorer(cube, require_positives=False).ruleset_cells(sets)
-
-
-def ruleset_rule_stats(cells: DataFrame, lo_y: int = 0, hi_y: int = 1) -> DataFrame:
-    """Per (set, rule index r): support ``n_r``, true positives, ``s1, s2`` of matched traces."""
-    pos = positive(F.col("yb"), lo_y, hi_y)
-    ex = cells.select("set_id", "yb", "n", "s1", "s2", F.posexplode("flags").alias("r", "hit"))
-    hit = F.col("hit")
-    return (ex.groupBy("set_id", "r")
-              .agg(F.sum(F.when(hit, F.col("n")).otherwise(F.lit(0))).cast("long").alias("n_r"),
-                   F.sum(F.when(hit & pos, F.col("n")).otherwise(F.lit(0))).cast("long").alias("tp_r"),
-                   F.sum(F.when(hit, F.col("s1")).otherwise(F.lit(0.0))).alias("s1_r"),
-                   F.sum(F.when(hit, F.col("s2")).otherwise(F.lit(0.0))).alias("s2_r")))
-
-
 def ruleset_metrics(cube: DataFrame, sets: DataFrame, lo_y: int = 0, hi_y: int = 1,
                     min_rule_recall: float = 0.05, space=None) -> DataFrame:
     """Rule-set metrics (see :meth:`Scorer.ruleset_metrics`)."""

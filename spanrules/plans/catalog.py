@@ -40,6 +40,11 @@ def spans(spark: SparkSession, data_dir: str) -> DataFrame:
     return spans_by_interval(spans_table(spark, data_dir), None, None)
 
 
+def staged_spans(spark: SparkSession, data_dir: str, service=("l_returnflag",)) -> DataFrame:
+    """The span table, derived and written once, for queries that scan it for servers, calls, roots and names."""
+    return cut_lineage(spans_table(spark, data_dir, service))
+
+
 @register("spans_interval")
 def q_spans_interval(spark, data_dir):
     return spans_by_interval(spans_table(spark, data_dir), *WINDOW)
@@ -72,12 +77,12 @@ def q_sum_per_endpoint(spark, data_dir):
 
 @register("avg_trace_matrix")
 def q_avg_trace_matrix(spark, data_dir):
-    return reshape.avg_trace_matrix(spans_table(spark, data_dir), None, None)
+    return reshape.avg_trace_matrix(staged_spans(spark, data_dir), None, None)
 
 
 @register("sum_trace_matrix")
 def q_sum_trace_matrix(spark, data_dir):
-    return reshape.sum_trace_matrix(spans_table(spark, data_dir), None, None)
+    return reshape.sum_trace_matrix(staged_spans(spark, data_dir), None, None)
 
 
 # ------------------------------------------------------------------ rule space and scoring
@@ -85,12 +90,11 @@ def q_sum_trace_matrix(spark, data_dir):
 
 TARGET = "checkout_avg_dur"
 QUANTILES = (0.0, 0.25, 0.5, 0.75)
-DEPTH = 2  # of the rules that the rule_metrics and rule_decode queries list
 
 
 def trace_matrix(spark: SparkSession, data_dir: str) -> DataFrame:
     """The average trace matrix of ``data_dir``, written once for all jobs of a query."""
-    return cut_lineage(reshape.avg_trace_matrix(spans_table(spark, data_dir), None, None))
+    return cut_lineage(reshape.avg_trace_matrix(staged_spans(spark, data_dir), None, None))
 
 
 class Context:
@@ -108,8 +112,9 @@ class Context:
     def conds(self, feasible_only=False):
         return space_ops.condition_list(self.space, feasible_only=feasible_only)
 
-    def rules(self, depth=DEPTH, feasible_only=False):
-        return space_ops.rules_up_to(self.spark, self.conds(feasible_only), depth)
+    def rules(self):
+        """Rules of any number of conditions, one per column."""
+        return space_ops.rules_up_to(self.spark, self.conds(), len(self.cols))
 
 
 METRIC_COLS = ("precision", "recall", "fmeasure")
@@ -167,6 +172,27 @@ def q_rule_metrics(spark, data_dir):
     return _scored_view(scoring.score_rules(ctx.cube, ctx.rules(), space=ctx.space))
 
 
+WIDE_SERVICE = ("l_returnflag", "l_linestatus", "l_linenumber")
+
+
+def wide_traces(spark: SparkSession, data_dir: str) -> DataFrame:
+    """A row per trace and a column per service told by flag, status and line number: its average time (ms),
+    null where a trace does not reach it."""
+    servers = reshape.server_spans(spans_by_interval(staged_spans(spark, data_dir, WIDE_SERVICE), None, None))
+    return cut_lineage(reshape.round_to_millis(reshape.pivot_by_trace(servers, [("duration", "avg", "_avg_dur")])))
+
+
+@register("wide_rule_metrics")
+def q_wide_rule_metrics(spark, data_dir):
+    """Rules of one and two adjacent-bin conditions over more columns than a cube can group by."""
+    t = wide_traces(spark, data_dir)
+    cols = [c for c in rule_columns(t, "_avg_dur") if c != TARGET]
+    th, (median,), top = space_summary(t, cols, QUANTILES, TARGET, [0.5])
+    space = cube_ops.Space(tuple(cols), th, TARGET, (median, top))
+    rules = space_ops.rules_up_to(spark, space_ops.bin_feature_list(space), 2)
+    return _scored_view(scoring.scorer_for(t, space).score(rules))
+
+
 @register("bin_features")
 def q_bin_features(spark, data_dir):
     ctx = Context(spark, data_dir)

@@ -49,6 +49,33 @@ selfs AS (
   FROM sp s LEFT JOIN cd ON s.id = cd.parentId WHERE s.kind = 'SERVER')"""
 
 
+WIDE_SERVICE = ("l_returnflag", "l_linestatus", "l_linenumber")
+
+
+def wide_ctes() -> str:
+    """``tv`` and ``lab`` of the table with a column per service told by flag, status and line number."""
+    name = " || '_' || ".join(f"l.{c}::VARCHAR" for c in WIDE_SERVICE)
+    return f"""
+lines AS (
+  SELECT l.l_orderkey AS k, CAST(round(l.l_extendedprice) AS BIGINT) AS ep, 'svc_' || {name} AS name,
+         CAST(round(o.o_totalprice) AS BIGINT) AS tp
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+names AS (SELECT name || '_avg_dur' AS col, row_number() OVER (ORDER BY name || '_avg_dur') - 1 AS pos
+          FROM (SELECT DISTINCT name FROM lines)),
+tv AS (SELECT k AS rid, names.pos, names.col, round(avg(ep) / 1000.0) + 0.0 AS v
+       FROM lines JOIN names ON names.col = lines.name || '_avg_dur' GROUP BY k, names.pos, names.col),
+qs AS (SELECT pos, col, list_sort(list_distinct(list_append(quantile_disc(v, [0.0, 0.25, 0.5, 0.75]), max(v) + 1))) AS th
+       FROM tv GROUP BY pos, col),
+thr AS (SELECT pos, col, unnest(th) AS t, generate_subscripts(th, 1) - 1 AS i, len(th) AS nth FROM qs),
+target AS (SELECT k AS rid, round((sum(ep) + any_value(tp)) / 1000.0) + 0.0 AS y FROM lines GROUP BY k),
+iv AS (SELECT quantile_disc(y, 0.5) AS fr, max(y) AS tt FROM target),
+lab AS (SELECT rid, y, (y > iv.fr AND y <= iv.tt) AS pos FROM target, iv),
+conds AS (
+  SELECT a.pos AS c, a.col, a.i AS lo, b.i AS hi, a.t AS t_lo, b.t AS t_hi,
+         NOT (a.i = 0 AND b.i = a.nth - 1) AS feasible
+  FROM thr a JOIN thr b ON a.pos = b.pos AND a.i < b.i)"""
+
+
 def _matrix_cte() -> str:
     cols, notnull = [], []
     for e in ENDPOINTS:
@@ -191,6 +218,7 @@ SCORED_SELECT = """SELECT rule_id, n_conds, tp, fp, support, round(precision, 6)
 
 def scoring_sql() -> dict[str, str]:
     head = base_ctes() + "," + space_ctes()
+    rhead = head.replace("WITH ", "WITH RECURSIVE ", 1)
     bucket_b = """
 bk AS (SELECT tv.rid, tv.pos, count(thr.t) FILTER (WHERE thr.t <= tv.v) AS b
        FROM tv JOIN thr ON thr.pos = tv.pos GROUP BY tv.rid, tv.pos),
@@ -209,10 +237,11 @@ cells AS (SELECT rid, string_agg(b::VARCHAR, ',' ORDER BY pos) AS b FROM bk GROU
                    sum(l.y - iv.fr) AS s1, sum((l.y - iv.fr) * (l.y - iv.fr)) AS s2
             FROM cells c JOIN lab l ON l.rid = c.rid, iv GROUP BY c.b, yb""",
         "condition_space": f"{head} SELECT c::INT AS c, col, lo::INT AS lo, hi::INT AS hi, t_lo, t_hi, feasible FROM conds",
-        "rule_decode": f"""{head}, {rules_ctes()}
+        "rule_decode": f"""{rhead}, {subset_ctes("TRUE")}
             SELECT rc.rule_id, cc.col, rc.t_lo, rc.t_hi FROM rule_conds rc
             JOIN (SELECT DISTINCT c, col FROM conds) cc ON cc.c = rc.c WHERE rc.nc > 0""",
-        "rule_metrics": f"{head}, {rules_ctes()}, {MATCH_CTES} {SCORED_SELECT}",
+        "rule_metrics": f"{rhead}, {subset_ctes('TRUE')}, {CELL_MATCH_CTES} {SCORED_SELECT}",
+        "wide_rule_metrics": f"{with_(wide_ctes())}, {rules_ctes('hi = lo + 1')}, {MATCH_CTES} {SCORED_SELECT}",
         "bin_features": f"{head} SELECT c::INT AS c, col, lo::INT AS lo, hi::INT AS hi, t_lo, t_hi FROM conds WHERE hi = lo + 1",
         "bin_features_scored": f"{head}, {rules_ctes('hi = lo + 1', depth=1)}, {MATCH_CTES} {SCORED_SELECT}",
     }

@@ -9,7 +9,7 @@ options are arguments, so the connector package is the caller's choice.
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,13 +85,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def tpch_spans(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+def tpch_spans(orders: DataFrame, lineitem: DataFrame, service: Sequence[str] = ("l_returnflag",)) -> DataFrame:
     """Spans derived from ``orders`` and ``lineitem``: one trace per order that has lines.
 
     * root SERVER ``checkout`` span: duration = sum of the rounded line prices + rounded order
       price, carries ``o_orderpriority`` as ``experiment``;
     * per line a CLIENT span ``svc_<returnflag>`` (rounded price + 500, parent = root) and a SERVER
-      span of the same name (rounded price, parent = the client span).
+      span of the same name (rounded price, parent = the client span); ``service`` names other columns
+      of the line that its service is told by.
 
     Lines and orders meet in one join on the order key; the root durations come from a partial
     aggregate of the joined lines, so an order with very many lines is combined map-side.
@@ -103,7 +104,8 @@ def tpch_spans(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     lines = (spread(lineitem).select(F.col("l_orderkey").alias("k"),
                                      F.col("l_linenumber").cast("bigint").alias("ln"),
                                      F.round("l_extendedprice").cast("bigint").alias("ep"),
-                                     F.concat(F.lit("svc_"), F.col("l_returnflag")).alias("name"))
+                                     F.concat(F.lit("svc"), *[F.concat(F.lit("_"), F.col(c).cast("string")) for c in service])
+                                     .alias("name"))
                                      .join(o, "k"))
     key = F.col("k").cast("string")
     roots = (lines.groupBy("k", "tp", "ts", "experiment")

@@ -181,3 +181,112 @@ def test_no_negatives_allowed(spark):
 def test_constant_column_thresholds(spark):
     df = spark.createDataFrame([(5.0, 1.0), (5.0, 2.0)], "x double, y double")
     assert quantile_thresholds(df, ["x"], [0.0, 0.5])["x"] == [5.0, 6.0]
+
+
+def _wide(spark, n=300, k=12, seed=5):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 5, (n, k)).astype(float)
+    x[rng.random((n, k)) < 0.05] = np.nan
+    y = np.nansum(x[:, :3], 1) * 10 + rng.integers(0, 9, n)
+    cols = [f"c{i}" for i in range(k)]
+    cuts = {c: [0.0, 1.0, 3.0, 5.0] if i % 2 else [0.0, 2.0, 4.0] for i, c in enumerate(cols)}
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], ", ".join(f"{c} double" for c in cols) + ", y double")
+    return x, y, df, Space(tuple(cols), cuts, "y", (30.0, 70.0))
+
+
+def _expected(x, y, space, rule):
+    hit = np.ones(len(y), bool)
+    for c, lo, hi in rule:
+        v, t = x[:, c], space.thresholds[space.cols[c]]
+        hit &= (v >= t[lo]) & (v < t[hi])
+    pos = (y > space.splits[0]) & (y <= space.splits[1])
+    return int((hit & pos).sum()), int((hit & ~pos).sum())
+
+
+def _some_rules(space, n, seed=9):
+    rng = np.random.default_rng(seed)
+    out = {()}
+    while len(out) < n:
+        k = int(rng.choice([1, 2, 2, 3, 5, 12]))
+        rule = []
+        for c in sorted(rng.choice(len(space.cols), k, replace=False)):
+            m = len(space.thresholds[space.cols[c]])
+            lo = int(rng.integers(0, m - 1))
+            rule.append((int(c), lo, int(rng.integers(lo + 1, m)) if k < 5 else m - 1))
+        out.add(tuple(rule))
+    return [list(r) for r in sorted(out)]
+
+
+@pytest.mark.parametrize("grid", [1 << 16, 60, 1])
+def test_twelve_columns_by_corners_and_bitmaps(spark, grid):
+    x, y, df, space = _wide(spark)
+    rules = _some_rules(space, 60)
+    sc = scoring.Scorer.for_space(cube_ops.bucket_cube(df, space), space, grid=grid)
+    got = sc.score(rules_frame(spark, rules)).collect()
+    assert len(got) == len(rules)
+    for r in got:
+        assert (r["tp"], r["fp"]) == _expected(x, y, space, [(c["c"], c["lo"], c["hi"]) for c in r["rule"]])
+
+
+def test_bitmaps_over_cells_that_stand_for_many_traces(spark):
+    x, y, df, space = _wide(spark, n=900, k=2)
+    rules = [[], [(0, 0, 1), (1, 1, 3)], [(1, 0, 2)], [(0, 1, 2)]]
+    sc = scoring.Scorer.for_space(cube_ops.bucket_cube(df, space), space, grid=0)
+    assert sc.index().targets.agg(F.max("digit")).first()[0] > 3
+    for r in sc.score(rules_frame(spark, rules)).collect():
+        assert (r["tp"], r["fp"]) == _expected(x, y, space, [(c["c"], c["lo"], c["hi"]) for c in r["rule"]])
+
+
+def test_bitmap_portions(spark, monkeypatch):
+    from spanrules.operators import bitmaps
+    monkeypatch.setattr(bitmaps, "PORTION_KEYS", 40)
+    x, y, df, space = _wide(spark, n=120, k=6)
+    rules = [[(0, 0, 1), (1, 0, 2)], [(2, 0, 2), (3, 1, 3), (5, 0, 1)], [(4, 0, 1), (5, 1, 2)]]
+    got = scoring.Scorer.for_space(cube_ops.bucket_rows(df, space), space, grid=1).score(rules_frame(spark, rules)).collect()
+    assert len(got) == 3
+    for r in got:
+        assert (r["tp"], r["fp"]) == _expected(x, y, space, [(c["c"], c["lo"], c["hi"]) for c in r["rule"]])
+
+
+def test_rule_sets_by_inclusion_and_exclusion(spark):
+    x, y, df, space = _wide(spark, n=250, k=5)
+    sets = [[[(0, 0, 1)], [(0, 1, 2), (1, 0, 2)], [(1, 0, 3)], [(2, 0, 2), (3, 1, 3)]],
+            [[(0, 0, 2)], [(0, 0, 2)], [(0, 0, 1), (4, 0, 1)]], [[(3, 0, 1)], [(3, 1, 2)], [(3, 2, 3)]], [[]]]
+    cube = cube_ops.bucket_cube(df, space)
+    for sc in (scoring.Scorer.for_space(cube, space), scoring.Scorer.for_space(cube, space, grid=3)):
+        got = {r["set_id"]: r for r in sc.ruleset_metrics(sets_frame(spark, sets)).collect()}
+        pos = (y > 30) & (y <= 70)
+        for rules in sets:
+            hits = []
+            for rule in rules:
+                hit = np.ones(len(y), bool)
+                for c, lo, hi in rule:
+                    t = space.thresholds[space.cols[c]]
+                    hit &= (x[:, c] >= t[lo]) & (x[:, c] < t[hi])
+                hits.append(hit)
+            m = np.sum(hits, 0)
+            key = "|".join(";".join(f"{c}:{lo}:{hi}" for c, lo, hi in rule) for rule in rules)
+            r = got[key]
+            assert (r["tp"], r["fp"]) == (int(((m > 0) & pos).sum()), int(((m > 0) & ~pos).sum()))
+            assert r["disjointness"] == pytest.approx((m == 1).sum() / m.sum())
+            assert r["sizes"] == [int(h.sum()) for h in hits]
+            assert r["dissimilarity"] == pytest.approx(sum(((y[h] - y[h].mean()) ** 2).sum() for h in hits if h.any()))
+
+
+def test_scorer_measures_whether_the_cube_saves_anything(spark):
+    x, y, df, space = _wide(spark, n=200, k=12)
+    wide = scoring.scorer_for(df, space)
+    assert wide.wide((0, 1)) and not wide.wide((3,))
+    narrow = Space(space.cols[:1], {space.cols[0]: space.thresholds[space.cols[0]]}, "y", space.splits)
+    assert not scoring.scorer_for(df, narrow).wide((0,))
+    rules = [[(0, 0, 1)], [(0, 0, 2), (5, 0, 2)], []]
+    for r in wide.score(rules_frame(spark, rules)).collect():
+        assert (r["tp"], r["fp"]) == _expected(x, y, space, [(c["c"], c["lo"], c["hi"]) for c in r["rule"]])
+
+
+def test_no_rule_meets_the_cells_of_its_column_set(spark):
+    _, _, df, space = _wide(spark, n=50, k=3)
+    sc = scoring.Scorer.for_space(cube_ops.bucket_cube(df, space), space)
+    plan = sc.rule_counts(rules_frame(spark, [[(0, 0, 1), (1, 0, 2)], [(2, 0, 1)]]))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert joins and all("at#" in x and "cs#" in x for x in joins)
