@@ -1,19 +1,25 @@
 """Split values by 1-D mean-shift (flat kernel, binned seeds), all rule columns in the same jobs.
 
 Every step works on the value histogram ``(col, v, w)`` (``w`` = number of traces with value
-``v``), which Spark builds with one partial aggregation; millisecond values keep it small.
+``v``), which Spark builds with one partial aggregation, and is a DataFrame plan in which no column, whatever
+its number of values, goes through one task.
 
 1. bandwidth: mean over all points of the distance to their ``k``-th nearest neighbour, the point
-   itself included, ``k = max(1, int(0.1 n))``; exact, per column in ``applyInPandas`` (a binary
-   search over the sorted histogram, ``O(m log m)`` for ``m`` distinct values).
+   itself included, ``k = max(1, int(0.1 n))``; exact. The ``k`` points around a value are ``k``
+   neighbours in the order of all points, a window with first value ``a`` and last value ``b``; the distance
+   is the least ``max(v - a, b - v)`` over all windows, which the last window with ``a + b <= 2 v`` or the
+   first one after it gives. Windows come from running weights, both lookups are running last values
+   over values and windows sorted together (:mod:`spanrules.operators.ordered`).
 2. seeds: bins ``round_half_even(v / bw)`` holding at least ``min_bin_freq`` points, at
    ``bin * bw``.
 3. shift: every seed moves to the mean of the points within ``bw`` (inclusive) until it moves
-   less than ``1e-3 bw`` or ``max_iter``; seeds with no point are dropped. The neighbourhood is a
+   less than ``1e-3 bw``; seeds with no point are dropped. The neighbourhood is a
    band join: histogram keyed by ``floor(v / bw)``, seeds probing their bucket and the two next
-   to it (an equi-join), then ``|v - mean| <= bw``.
-4. modes: by intensity (points within), a mode closer than ``bw`` to a stronger one is dropped
-   (greedy, per column in ``applyInPandas`` over the few modes).
+   to it (an equi-join), then ``|v - mean| <= bw``. A seed climbs, so it comes to rest on its own; ``max_iter``
+   may end it before.
+4. modes: by intensity (points within), a mode closer than ``bw`` to a stronger kept one is dropped: a fixed
+   point. In each round the strongest undecided mode of a cell of width ``bw`` is kept if no stronger
+   undecided one of the cells beside it is within reach, and what is within reach of a kept one falls.
 5. labels: nearest mode; thresholds = the smallest value of each cluster, plus ``max + 1``.
    ``min == max`` gives ``[min, min + 1]``; bandwidth 0 gives ``[min, max + 1]``.
 """
@@ -22,18 +28,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanrules.functions.columns import clean_double, qcol
-from spanrules.session import cut_lineage, ship_by_value
+from spanrules.operators.ordered import positions, running
+from spanrules.session import cut_lineage
 
-ship_by_value(__name__)
-
-
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 16 << 20
+HIST_BYTES = 64  # of a histogram row, beside the name of its column
 
 
 def value_histogram(traces: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -44,45 +47,44 @@ def value_histogram(traces: DataFrame, cols: Sequence[str]) -> DataFrame:
                   .groupBy("col", "v").agg(F.count(F.lit(1)).alias("w")))
 
 
-def _kth_distance(v: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
-    """Distance of every value to its k-th nearest point (itself included), exact."""
-    cw = np.concatenate([[0], np.cumsum(w)])
-    lo = np.zeros(len(v))
-    hi = np.full(len(v), float(v[-1] - v[0]) if len(v) else 0.0)
-
-    def inside(d):
-        left = np.searchsorted(v, v - d, side="left")
-        right = np.searchsorted(v, v + d, side="right")
-        return cw[right] - cw[left]
-
-    for _ in range(64):
-        mid = (lo + hi) / 2.0
-        ok = inside(mid) >= k
-        hi = np.where(ok, mid, hi)
-        lo = np.where(ok, lo, mid)
-    # snap to the largest real distance inside the final window: an actual point distance
-    left = np.searchsorted(v, v - hi, side="left")
-    right = np.searchsorted(v, v + hi, side="right") - 1
-    return np.maximum(v - v[left], v[right] - v)
-
-
-def _bandwidth_group(pdf: pd.DataFrame, quantile: float) -> pd.DataFrame:
-    pdf = pdf.sort_values("v")
-    v = pdf["v"].to_numpy(dtype=float)
-    w = pdf["w"].to_numpy(dtype=np.int64)
-    n = int(w.sum())
-    k = max(1, int(n * quantile))
-    d = _kth_distance(v, w, k)
-    bw = float((d * w).sum() / n) if n else 0.0
-    return pd.DataFrame({"col": [pdf["col"].iloc[0]], "n": [n], "k": [k], "bandwidth": [bw],
-                         "vmin": [float(v[0])], "vmax": [float(v[-1])]})
+def _windows(hist: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows of ``k`` points in order: ``(col, a, b)``, and the least ``k`` needed of each column's values."""
+    ranked = cut_lineage(running(hist, "col", ["v"], sums={"upto": "w"}).join(F.broadcast(sizes), "col"))
+    # a window changes where its first or its last point takes a new value
+    first = ranked.select("col", "k", "n", (F.col("upto") - F.col("w") + 1).alias("rank"), F.col("v").alias("a"), F.lit(None).cast("double").alias("b"))
+    last = ranked.select("col", "k", "n", (F.col("upto") - F.col("w") + 2 - F.col("k")).alias("rank"), F.lit(None).cast("double").alias("a"), F.col("v").alias("b"))
+    # what a window starts and ends with at any rank are the last values given for it
+    starts = running(first.unionByName(last), "col", ["rank"], lasts={"first": "a", "end": "b"})
+    # (of equal ranks the row that has seen all of them has the greatest of both)
+    whole = (starts.where((F.col("rank") >= 1) & (F.col("rank") <= F.col("n") - F.col("k") + 1))
+             .groupBy("col", "rank").agg(F.max("first").alias("a"), F.max("end").alias("b")))
+    return whole.select("col", "a", "b"), ranked
+
+
+def kth_distance(hist: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(col, v, w, d)``: distance of every value to its ``k``-th nearest point, itself included. ``sizes`` has
+    ``col, n, k``."""
+    windows, ranked = _windows(hist, sizes)
+    none = F.lit(None).cast("double")
+    windows = windows.select("col", (F.col("a") + F.col("b")).alias("at"), F.lit(0).alias("kind"), "a", "b", none.alias("v"), F.lit(None).cast("long").alias("w"))
+    values = ranked.select("col", (2 * F.col("v")).alias("at"), F.lit(1).alias("kind"), none.alias("a"), none.alias("b"), "v", "w")
+    # upwards: the last window with a + b <= 2 v; downwards: the last one with a + b > 2 v
+    up = running(windows.unionByName(values), "col", ["at", "kind"], lasts={"below": "a"})
+    down = running(up.withColumn("back", -F.col("at")).withColumn("turn", -F.col("kind")), "col", ["back", "turn"], lasts={"above": "b"})
+    far = F.lit(float("inf"))
+    return down.where("kind = 1").select("col", "v", "w", F.least(
+        F.coalesce(F.col("v") - F.col("below"), far), F.coalesce(F.col("above") - F.col("v"), far)).alias("d"))
 
 
 def bandwidth(hist: DataFrame, quantile: float = 0.1) -> DataFrame:
     """``(col, n, k, bandwidth, vmin, vmax)`` per column."""
-    return hist.groupBy("col").applyInPandas(
-        lambda pdf: _bandwidth_group(pdf, quantile),
-        "col string, n long, k long, bandwidth double, vmin double, vmax double")
+    hist = cut_lineage(hist)
+    sizes = cut_lineage(hist.groupBy("col").agg(F.sum("w").alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
+                        .withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(quantile))).cast("long")))
+    far = kth_distance(hist, sizes.select("col", "n", "k"))
+    total = far.groupBy("col").agg(F.sum(F.col("d") * F.col("w")).alias("total"))
+    return (total.join(sizes, "col")
+            .select("col", "n", "k", (F.col("total") / F.col("n")).alias("bandwidth"), "vmin", "vmax"))
 
 
 def seeds(hist: DataFrame, bw: DataFrame, min_bin_freq: int = 1) -> DataFrame:
@@ -96,26 +98,31 @@ def seeds(hist: DataFrame, bw: DataFrame, min_bin_freq: int = 1) -> DataFrame:
     binned = (binned.join(nbins, "col").filter((F.col("nb") != F.col("n")) & (F.col("f") >= min_bin_freq))
                     .select("col", (F.col("bin") * F.col("bandwidth")).alias("mean")))
     s = binned.unionByName(own)
-    return s.withColumn("sid", F.dense_rank().over(Window.partitionBy("col").orderBy("mean")))
+    return positions(s, "col", ["mean"], "sid")
+
+
+def _cells(x: str, reach: tuple[int, ...]) -> Column:
+    """The cell of a value, one bandwidth wide, and those beside it."""
+    return F.array(*[(F.floor(F.col(x) / F.col("bandwidth")) + F.lit(d)).cast("long") for d in reach])
 
 
-def _step(state: DataFrame, keyed: DataFrame, max_iter: int) -> DataFrame:
+def _step(state: DataFrame, keyed: DataFrame, max_iter: int | None) -> DataFrame:
     """One mean-shift step for every seed, in one pass (converged seeds pass through).
 
     Each seed probes its value bucket and the two next to it (equi-join on ``(col, cell)``);
     points farther than the bandwidth are masked in the sums, not filtered, so every seed keeps
     its row. A moving seed with no point in reach is dropped.
     """
-    probe = state.select("*", F.explode(F.array(
-        *[(F.floor(F.col("mean") / F.col("bandwidth")) + F.lit(d)).cast("long") for d in (-1, 0, 1)]))
-        .alias("cell"))
+    probe = state.select("*", F.explode(_cells("mean", (-1, 0, 1))).alias("cell"))
     joined = probe.join(keyed, ["col", "cell"], "left")
     inside = F.abs(F.col("v") - F.col("mean")) <= F.col("bandwidth")
     agg = (joined.groupBy("col", "sid", "mean", "bandwidth", "done", "it", "intensity")
                  .agg(F.sum(F.when(inside, F.col("v") * F.col("w"))).alias("svw"),
                       F.sum(F.when(inside, F.col("w"))).alias("sw")))
     new = F.col("svw") / F.col("sw")
-    moved = (F.abs(new - F.col("mean")) < F.lit(1e-3) * F.col("bandwidth")) | (F.col("it") >= max_iter)
+    moved = F.abs(new - F.col("mean")) < F.lit(1e-3) * F.col("bandwidth")
+    if max_iter is not None:
+        moved = moved | (F.col("it") >= max_iter)
     return (agg.filter(F.col("done") | (F.coalesce(F.col("sw"), F.lit(0)) > 0))
                .select("col", "sid",
                        F.when(F.col("done"), F.col("mean")).otherwise(new).alias("mean"),
@@ -126,7 +133,7 @@ def _step(state: DataFrame, keyed: DataFrame, max_iter: int) -> DataFrame:
                        .alias("intensity")))
 
 
-def shift(hist: DataFrame, bw: DataFrame, start: DataFrame, max_iter: int = 300,
+def shift(hist: DataFrame, bw: DataFrame, start: DataFrame, max_iter: int | None = None,
           steps_per_job: int = 6) -> DataFrame:
     """Mean-shift every seed to convergence: ``(col, sid, mean, intensity)``.
 
@@ -135,18 +142,19 @@ def shift(hist: DataFrame, bw: DataFrame, start: DataFrame, max_iter: int = 300,
     """
     b = F.broadcast(bw.select("col", "bandwidth").filter(F.col("bandwidth") > 0))
     keyed = (hist.join(b, "col")
-                 .withColumn("cell", F.floor(F.col("v") / F.col("bandwidth")).cast("long"))
+                 .withColumn("cell", _cells("v", (0,))[0])
                  .select("col", "cell", "v", "w"))
     keyed = cut_lineage(keyed)
     # the histogram (distinct values per column) is measured once; under the limit every step
     # broadcasts it and streams the seeds, so a step shuffles only for its aggregate
-    if keyed.count() <= BROADCAST_ROWS:
+    name = keyed.agg(F.max(F.octet_length("col"))).first()[0] or 0
+    if keyed.count() * (HIST_BYTES + name) <= BROADCAST_BYTES:
         keyed = F.broadcast(keyed)
     state = (start.join(b, "col")
                   .select("col", "sid", "mean", "bandwidth", F.lit(False).alias("done"),
                           F.lit(0).alias("it"), F.lit(0).cast("long").alias("intensity")))
     state = cut_lineage(state)
-    for _ in range(0, max_iter + 1, steps_per_job):
+    while True:
         for _ in range(steps_per_job):
             state = _step(state, keyed, max_iter)
         state = cut_lineage(state)
@@ -155,29 +163,41 @@ def shift(hist: DataFrame, bw: DataFrame, start: DataFrame, max_iter: int = 300,
     return state.select("col", "sid", "mean", "intensity")
 
 
-def _suppress(pdf: pd.DataFrame, bw: float) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates("mean").sort_values(["intensity", "mean"], ascending=[False, True])
-    kept: list[float] = []
-    flags = []
-    for m in pdf["mean"].to_numpy(dtype=float):
-        ok = all(abs(m - k) > bw for k in kept)
-        flags.append(ok)
-        if ok:
-            kept.append(m)
-    pdf = pdf.assign(kept=flags, rank=np.arange(len(pdf)))
-    return pdf[["col", "mean", "intensity", "kept", "rank"]]
+def _within_reach(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of a row and another (``o_mean, o_rank, o_cell``) at most a bandwidth away: an equi-join on cells, the
+    row's own and those beside it (one more for the rounding of a cell's edge)."""
+    probe = rows.select("*", F.explode(_cells("mean", (-2, -1, 0, 1, 2))).alias("at"))
+    there = others.select(F.col("col").alias("o_col"), F.col("mean").alias("o_mean"), F.col("rank").alias("o_rank"), F.col("cell").alias("o_cell"))
+    return probe.join(there, (F.col("col") == F.col("o_col")) & (F.col("at") == F.col("o_cell"))
+                      & (F.abs(F.col("mean") - F.col("o_mean")) <= F.col("bandwidth"))).drop("at", "o_col")
 
 
 def modes(shifted: DataFrame, bw: DataFrame) -> DataFrame:
-    """``(col, mean, intensity, kept, rank)``: converged seeds, strongest first; ``kept`` marks
-    the cluster centres (no stronger centre within the bandwidth)."""
-    withbw = shifted.join(F.broadcast(bw.select("col", "bandwidth")), "col")
-
-    def per_col(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _suppress(pdf, float(pdf["bandwidth"].iloc[0]))
-
-    return withbw.groupBy("col").applyInPandas(
-        per_col, "col string, mean double, intensity long, kept boolean, rank long")
+    """``(col, mean, intensity, kept, rank)``: converged seeds (equal means once), strongest first (ties: the smaller
+    mean); ``kept`` marks the cluster centres (no stronger centre within the bandwidth)."""
+    found = shifted.groupBy("col", "mean").agg(F.max("intensity").alias("intensity"))
+    found = positions(found.withColumn("weak", -F.col("intensity")), "col", ["weak", "mean"], "rank")
+    ranked = cut_lineage(found.join(F.broadcast(bw.select("col", "bandwidth")), "col")
+                         .select("col", "mean", "intensity", (F.col("rank") - 1).alias("rank"), "bandwidth", _cells("mean", (0,))[0].alias("cell")))
+    undecided, kept = ranked, []
+    while True:
+        # one of a cell can be kept at most: its strongest
+        lead = undecided.groupBy("col", "cell").agg(F.min_by(F.struct("mean", "rank", "bandwidth"), "rank").alias("x")).select("col", "cell", "x.*")
+        beaten = _within_reach(lead, undecided).where(F.col("o_rank") < F.col("rank")).select("col", "rank").distinct()
+        new = cut_lineage(lead.join(beaten, ["col", "rank"], "left_anti"))
+        if new.isEmpty():
+            break
+        kept.append(new.select("col", "rank"))
+        fallen = _within_reach(undecided, new).select("col", "rank").distinct()
+        undecided = cut_lineage(undecided.join(fallen, ["col", "rank"], "left_anti"))
+    out = ranked.select("col", "mean", "intensity", "rank")
+    if not kept:
+        return out.withColumn("kept", F.lit(False)).select("col", "mean", "intensity", "kept", "rank")
+    centres = kept[0]
+    for more in kept[1:]:
+        centres = centres.unionByName(more)
+    return (out.join(centres.withColumn("kept", F.lit(True)), ["col", "rank"], "left")
+            .select("col", "mean", "intensity", F.coalesce("kept", F.lit(False)).alias("kept"), "rank"))
 
 
 def labels(hist: DataFrame, centres: DataFrame) -> DataFrame:
@@ -204,7 +224,7 @@ def labels(hist: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def meanshift_thresholds(traces: DataFrame, cols: Sequence[str], bw_value: float | None = None,
-                         min_bin_freq: int = 1, max_iter: int = 300,
+                         min_bin_freq: int = 1, max_iter: int | None = None,
                          quantile: float = 0.1) -> dict[str, list[float]]:
     """Mean-shift thresholds per column, ``{col: [..., max + 1]}``."""
     hist = cut_lineage(value_histogram(traces, cols))

@@ -1,30 +1,99 @@
-"""Split values per column: exact quantiles (in-plan ``percentile_disc``).
+"""Split values per column: exact quantiles by narrowing value ranges.
 
 A threshold list is sorted, has distinct values and ends with ``max + 1``, so every condition
 ``t_lo <= x < t_hi`` is a range of buckets (see :mod:`spanrules.operators.cube`). Lists are small
 (one value per quantile) and are returned to the driver as ``{column: [t0, t1, ...]}``.
+
+:func:`select_quantiles` finds all quantiles of all columns together. Each pass counts the values of every
+open range in ``BINS`` bins of equal width, with the least and greatest value of each bin; the bin that
+holds the wanted rank, cut to these two values, is the next range. A range whose ends are equal is the answer.
+Passes combine map-side and return ``BINS`` rows per open range at most, whatever the number of
+distinct values; two or three passes are the rule, as each cuts a range to a thousandth or less.
 """
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanrules.functions.columns import clean_double, literal_frame, qcol
 
 
-def _sql_name(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+BINS = 1024
 
 
-def percentile_disc(col: str, q: float):
-    """Exact discrete quantile (SQL ``percentile_disc``), NaN treated as missing."""
-    x = f"CAST({_sql_name(col)} AS DOUBLE)"
-    return F.expr(f"percentile_disc({float(q)!r}) WITHIN GROUP "
-                  f"(ORDER BY CASE WHEN isnan({x}) THEN NULL ELSE {x} END)")
+def select_quantiles(traces: DataFrame, wanted: dict[str, Sequence[float]]
+                     ) -> tuple[dict[str, list[float | None]], dict[str, tuple[float | None, float | None]]]:
+    """Exact discrete quantiles (SQL ``percentile_disc``: the least value with at least ``q`` of the values at or
+    below it; NULL and NaN are missing) of several columns, and the least and greatest value of each."""
+    cols = list(wanted)
+    ends = traces.agg(*[x for i, c in enumerate(cols) for x in (
+        F.min(clean_double(qcol(c))).alias(f"lo{i}"), F.max(clean_double(qcol(c))).alias(f"hi{i}"),
+        F.count(clean_double(qcol(c))).alias(f"n{i}"))]).first()
+    span = {c: (ends[f"lo{i}"], ends[f"hi{i}"]) for i, c in enumerate(cols)}
+    found: dict[tuple[int, int], float | None] = {}
+    # of each wanted value: the range it lies in, and its rank among the values of that range
+    open_: dict[tuple[int, int], tuple[float, float, int]] = {}
+    for i, c in enumerate(cols):
+        for j, q in enumerate(wanted[c]):
+            n = ends[f"n{i}"]
+            if not n:
+                found[i, j] = None
+            else:
+                open_[i, j] = (*span[c], max(1, math.ceil(q * n)))
+    while True:
+        for key, (lo, hi, _) in list(open_.items()):
+            if lo == hi:
+                found[key] = lo
+                del open_[key]
+        if not open_:
+            break
+        ranges = sorted({(i, lo, hi) for (i, _), (lo, hi, _) in open_.items()})
+        counted: dict[tuple[int, float, float], list] = {r: [] for r in ranges}
+        for r in _bin_counts(traces, cols, ranges).collect():
+            counted[ranges[r["r"]]].append(r)
+        for key, (lo, hi, rank) in open_.items():
+            for b in sorted(counted[key[0], lo, hi], key=lambda b: b["bin"]):
+                if rank <= b["n"]:
+                    open_[key] = (b["least"], b["most"], rank)
+                    break
+                rank -= b["n"]
+    return {c: [found[i, j] for j in range(len(wanted[c]))] for i, c in enumerate(cols)}, span
+
+
+def _bin(x: Column, lo: float, hi: float) -> Column:
+    """Bin of a value of ``[lo, hi]``: the first holds ``lo``, the last ``hi``, so no bin holds all."""
+    low, high = max(lo, -sys.float_info.max), min(hi, sys.float_info.max)
+    if math.isfinite(high - low):
+        part = (x - F.lit(low)) / F.lit(high - low)
+    else:  # halves have a finite distance
+        part = (x / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
+    return (F.when(x >= F.lit(high), F.lit(BINS - 1)).when(x <= F.lit(low), F.lit(0))
+            .otherwise(F.least(F.floor(part * BINS), F.lit(BINS - 1)))).cast("int")
+
+
+def _bin_counts(traces: DataFrame, cols: Sequence[str], ranges: Sequence[tuple[int, float, float]]) -> DataFrame:
+    """``(r, bin, n, least, most)``: the values in bins of each range ``(column, lo, hi)``; ranges of a column
+    are disjoint or the same."""
+    entries = []
+    for i, c in enumerate(cols):
+        own = [(k, lo, hi) for k, (p, lo, hi) in enumerate(ranges) if p == i]
+        if own:
+            x = clean_double(qcol(c))
+            at = F.lit(None).cast("int")
+            cell = F.lit(None).cast("int")
+            for k, lo, hi in own:
+                inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
+                at = F.when(inside, F.lit(k)).otherwise(at)
+                cell = F.when(inside, _bin(x, lo, hi)).otherwise(cell)
+            entries.append(F.struct(at.alias("r"), cell.alias("bin"), x.alias("v")))
+    return (traces.select(F.explode(F.array(*entries)).alias("e")).select("e.r", "e.bin", "e.v").where("r IS NOT NULL")
+            .groupBy("r", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")))
 
 
 def rule_columns(traces: DataFrame, suffix: str = "avg_self_dur") -> list[str]:
@@ -41,55 +110,26 @@ def _finish(values: list, top) -> list[float]:
 
 def quantile_thresholds(traces: DataFrame, cols: Sequence[str], quantiles: Sequence[float],
                         with_min: bool = False) -> dict[str, list[float]]:
-    """``[min?, q1, .., qk, max + 1]`` per column, exact (``percentile_disc``), one job for all.
-
-    ``percentile_disc`` keeps a value -> count map per column, so memory follows the number of
-    distinct values, not rows, and partial aggregation runs before the shuffle.
-    """
-    aggs = []
-    for i, c in enumerate(cols):
-        x = clean_double(qcol(c))
-        for j, q in enumerate(quantiles):
-            aggs.append(percentile_disc(c, q).alias(f"q{i}_{j}"))
-        aggs.append(F.max(x).alias(f"mx{i}"))
-        aggs.append(F.min(x).alias(f"mn{i}"))
-    row = traces.agg(*aggs).collect()[0]
-    out = {}
-    for i, c in enumerate(cols):
-        vals = [row[f"q{i}_{j}"] for j in range(len(quantiles))]
-        if with_min:
-            vals.append(row[f"mn{i}"])
-        out[c] = _finish(vals, row[f"mx{i}"])
-    return out
+    """``[min?, q1, .., qk, max + 1]`` per column, exact, all columns in the same passes."""
+    values, ends = select_quantiles(traces, {c: quantiles for c in cols})
+    return {c: _finish([*values[c], *([ends[c][0]] if with_min else [])], ends[c][1]) for c in cols}
 
 
 def space_summary(traces: DataFrame, cols: Sequence[str], quantiles: Sequence[float], target: str,
                   target_quantiles: Sequence[float], with_min: bool = False
                   ) -> tuple[dict[str, list[float]], list[float], float]:
-    """Thresholds of the rule columns, quantiles and max of the target, in one aggregation job."""
-    aggs = []
-    for i, c in enumerate(cols):
-        x = clean_double(qcol(c))
-        aggs += [percentile_disc(c, q).alias(f"q{i}_{j}") for j, q in enumerate(quantiles)]
-        aggs += [F.max(x).alias(f"mx{i}"), F.min(x).alias(f"mn{i}")]
-    aggs += [percentile_disc(target, q).alias(f"tq{j}") for j, q in enumerate(target_quantiles)]
-    aggs.append(F.max(clean_double(qcol(target))).alias("tmax"))
-    row = traces.agg(*aggs).collect()[0]
-    th = {}
-    for i, c in enumerate(cols):
-        vals = [row[f"q{i}_{j}"] for j in range(len(quantiles))]
-        if with_min:
-            vals.append(row[f"mn{i}"])
-        th[c] = _finish(vals, row[f"mx{i}"])
-    tq = [float(row[f"tq{j}"]) for j in range(len(target_quantiles))]
-    return th, tq, float(row["tmax"])
+    """Thresholds of the rule columns, quantiles and max of the target, in the same passes."""
+    wanted = {c: list(quantiles) for c in cols}
+    both = wanted.get(target, [])
+    values, ends = select_quantiles(traces, wanted | {target: [*both, *target_quantiles]})
+    th = {c: _finish([*values[c][:len(quantiles)], *([ends[c][0]] if with_min else [])], ends[c][1]) for c in cols}
+    return th, [float(v) for v in values[target][len(both):]], float(ends[target][1])
 
 
 def exact_quantiles(traces: DataFrame, col: str, quantiles: Sequence[float]) -> list[float]:
     """Exact discrete quantiles of one column (e.g. split points of the target)."""
-    row = traces.agg(*[percentile_disc(col, q).alias(f"q{j}")
-                       for j, q in enumerate(quantiles)]).collect()[0]
-    return [float(row[f"q{j}"]) for j in range(len(quantiles))]
+    values, _ = select_quantiles(traces, {col: quantiles})
+    return [float(v) for v in values[col]]
 
 
 def column_max(traces: DataFrame, col: str) -> float:

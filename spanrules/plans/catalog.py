@@ -362,7 +362,7 @@ def q_value_histogram(spark, data_dir):
 def q_bandwidth(spark, data_dir):
     t = _matrix(spark, data_dir)
     bw = meanshift.bandwidth(meanshift.value_histogram(t, rule_columns(t)))
-    return scoring.round_metrics(bw.select("col", "n", "k", "bandwidth"), ("bandwidth",))
+    return bw.select("col", "n", "k", "bandwidth")
 
 
 @register("meanshift_modes")

@@ -467,8 +467,41 @@ nb AS (
 
 # ------------------------------------------------------------------ mean-shift thresholds
 
+# seeds moved one by one, over all points; modes taken one by one, strongest first
+MODE_CTES = """
+bw AS (SELECT k.col, n.n, sum(k.wa * k.dk) / n.n AS bandwidth, min(k.v) AS vmin, max(k.v) AS vmax
+       FROM kth k JOIN ncol n USING (col) GROUP BY k.col, n.n),
+points AS (SELECT col, list({'v': v, 'w': w} ORDER BY v) AS pts FROM hist GROUP BY col),
+bins AS (SELECT h.col, round_even(h.v / b.bandwidth, 0) AS bin, b.bandwidth, b.n
+         FROM hist h JOIN bw b USING (col) WHERE b.bandwidth > 0 GROUP BY ALL),
+nbins AS (SELECT col, count(*) AS nb FROM bins GROUP BY col),
+seeds AS (
+  SELECT bins.col, bin * bandwidth AS mean, bandwidth FROM bins JOIN nbins USING (col) WHERE nb <> n
+  UNION ALL
+  SELECT h.col, h.v, b.bandwidth FROM hist h JOIN bw b USING (col) JOIN nbins c USING (col) WHERE c.nb = b.n),
+moved(col, seed, mean, bandwidth, intensity, done) AS (
+  SELECT col, mean, mean, bandwidth, 0::DOUBLE, FALSE FROM seeds
+  UNION ALL
+  SELECT col, seed, new, bandwidth, sw, abs(new - mean) < 1e-3::DOUBLE * bandwidth
+  FROM (SELECT *, svw / sw AS new FROM (
+          SELECT m.col, m.seed, m.mean, m.bandwidth,
+                 list_sum(list_transform(list_filter(p.pts, lambda x: abs(x.v - m.mean) <= m.bandwidth), lambda x: x.v * x.w)) AS svw,
+                 list_sum(list_transform(list_filter(p.pts, lambda x: abs(x.v - m.mean) <= m.bandwidth), lambda x: x.w))::DOUBLE AS sw
+          FROM moved m JOIN points p USING (col) WHERE NOT m.done) WHERE sw > 0)),
+found AS (SELECT col, mean, any_value(bandwidth) AS bandwidth, max(intensity) AS intensity FROM moved WHERE done GROUP BY col, mean),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY intensity DESC, mean) - 1 AS rank FROM found),
+taken(col, rank, kept) AS (
+  SELECT DISTINCT col, -1::BIGINT, []::DOUBLE[] FROM ranked
+  UNION ALL
+  SELECT t.col, r.rank, CASE WHEN len(list_filter(t.kept, lambda x: abs(x - r.mean) <= r.bandwidth)) = 0
+                             THEN list_append(t.kept, r.mean) ELSE t.kept END
+  FROM taken t JOIN ranked r ON r.col = t.col AND r.rank = t.rank + 1),
+centres AS (SELECT col, kept FROM taken QUALIFY row_number() OVER (PARTITION BY col ORDER BY rank DESC) = 1)"""
+
+
 def meanshift_sql() -> dict[str, str]:
     head = base_ctes() + "," + space_ctes()
+    rhead = head.replace("WITH ", "WITH RECURSIVE ", 1)
     hist = """
 hist AS (SELECT col, v, count(*) AS w FROM tv WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY col, v),
 ncol AS (SELECT col, sum(w) AS n, greatest(1, floor(sum(w) * 0.1::DOUBLE))::BIGINT AS k FROM hist GROUP BY col),
@@ -480,8 +513,22 @@ kth AS (SELECT c.col, c.v, any_value(c.wa) AS wa, min(c.d) AS dk FROM cum c JOIN
     return {
         "value_histogram": f"{head}, {hist} SELECT col, v, w FROM hist",
         "bandwidth": f"""{head}, {hist}
-            SELECT k.col, n.n, n.k, round(sum(k.wa * k.dk) / n.n, 6) AS bandwidth
+            SELECT k.col, n.n, n.k, sum(k.wa * k.dk) / n.n AS bandwidth
             FROM kth k JOIN ncol n USING (col) GROUP BY k.col, n.n, n.k""",
+        "meanshift_modes": f"""{rhead}, {hist}, {MODE_CTES}
+            SELECT m.col, m.mean, m.intensity::BIGINT AS intensity, list_contains(k.kept, m.mean) AS kept, m.rank
+            FROM ranked m JOIN centres k USING (col)""",
+        "meanshift_thresholds": f"""{rhead}, {hist}, {MODE_CTES},
+            near AS (SELECT h.col, h.v, m.mean AS label FROM hist h JOIN ranked m USING (col) JOIN centres k USING (col)
+                     WHERE list_contains(k.kept, m.mean)
+                     QUALIFY row_number() OVER (PARTITION BY h.col, h.v ORDER BY abs(h.v - m.mean), m.rank) = 1),
+            firsts AS (SELECT col, min(v) AS t FROM near GROUP BY col, label),
+            cuts AS (SELECT b.col, CASE WHEN b.vmin = b.vmax THEN [b.vmin, b.vmin + 1]
+                                        WHEN b.bandwidth <= 0 OR count(f.t) = 0 THEN [b.vmin, b.vmax + 1]
+                                        ELSE list_sort(list_distinct(list_append(list(f.t), b.vmax + 1))) END AS th
+                     FROM bw b LEFT JOIN firsts f USING (col) GROUP BY b.col, b.vmin, b.vmax, b.bandwidth)
+            SELECT col, (row_number() OVER (ORDER BY col) - 1)::INT AS pos, unnest(range(len(th)))::INT AS i, unnest(th) AS threshold
+            FROM cuts""",
     }
 
 
