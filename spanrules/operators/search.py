@@ -2,21 +2,22 @@
 
 * :func:`branch_and_bound` - exact best conjunction of adjacent-bin features (one per column),
   level by level; the frontier is a DataFrame, pruned by the recall bound.
-* :func:`best_rule` - exhaustive best rule of feasible conditions, of any number or at most ``depth``.
+* :func:`best_rule` - exact best rule of feasible conditions, of any number or at most ``depth``, best first.
 * :func:`rule_neighbours` / :func:`beam_rule` - complete neighbourhoods (add, remove, modify a
   condition; recombine two rules) scored in one job per round, best ``width`` kept.
 * :func:`ruleset_neighbours` / :func:`beam_ruleset` - the same for rule sets under the three
-  objectives (precision, recall, dissimilarity), keeping a Pareto archive.
+  objectives (precision, recall, dissimilarity), keeping an archive of boxes.
+* :func:`ruleset_front` - the exact Pareto front of all sets of a pool of rules, by branch and bound.
 
-The searches for a rule end at a fixed point: when every rule of the beam has been expanded and nothing
-better came of it. That for rule sets does so only without ``max_rounds``; by default, and in the
-registered query, it returns the front of the last round allowed. Every round is one scoring job over all candidates; the
+The searches end at a fixed point: when every rule of the beam, or every set of the archive, has been
+expanded and nothing better came of it. Every round is one scoring job over all candidates; the
 driver only learns whether any are left. What a round adds is written to the shared checkpoint
 folder as a table of its own, so a round writes what is new and no more.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,18 +99,56 @@ def branch_and_bound(cube: DataFrame, space: Space,
     return best
 
 
-# ------------------------------------------------------------------ exhaustive best rule
+# ------------------------------------------------------------------ best rule
 
 def usable_conditions(space: Space) -> list[tuple[int, int, int]]:
     """Feasible conditions on columns with more than two thresholds."""
     return condition_list(space, feasible_only=True, min_thresholds=3)
 
 
+PORTION = 4096  # nodes opened in a round
+
+
 def best_rule(cube: DataFrame, space: Space, depth: int | None = None,
-              intervals: Sequence[tuple[int, int]] = ((0, 1),)) -> DataFrame:
-    """Best rule of feasible conditions (exhaustive), per interval; ``depth`` may bound their number."""
-    rules = rules_up_to(cube.sparkSession, usable_conditions(space), len(space.cols) if depth is None else depth)
-    return scoring.best_per_interval(scoring.score_rules(cube, rules, intervals, space=space))
+              intervals: Sequence[tuple[int, int]] = ((0, 1),), portion: int = PORTION) -> DataFrame:
+    """Best rule of feasible conditions per interval, exact: best-first branch and bound.
+
+    A node is a rule and an interval; its children add a condition on a column after its last one, so each
+    rule comes up once. Conditions only take matches away, so a rule below a node has at most the node's true
+    positives and at best no false ones: ``F <= 2 r / (1 + r)``. In each round the ``portion`` nodes of the highest bound
+    are opened and their children scored in one job; nodes whose bound is below the best F found so far
+    are dropped (not those that reach it: a rule of equal F may have fewer conditions or a smaller key). The
+    search ends when no node is left, whatever the number of columns. ``depth`` may bound the number
+    of conditions.
+    """
+    spark = cube.sparkSession
+    conds = usable_conditions(space)
+    scorer = scoring.Scorer.for_space(cube, space, intervals)
+    last = max((c for c, _, _ in conds), default=-1)
+    depth = len(space.cols) if depth is None else depth
+    start = cut_lineage(scorer.score(with_rule_id(seed_rules(spark))))
+    best = cut_lineage(scoring.best_per_interval(start))
+
+    def nodes(scored: DataFrame) -> DataFrame:
+        top = F.coalesce(F.array_max(F.transform("rule", lambda x: x["c"])), F.lit(-1))
+        return (scored.where((top < last) & (F.size("rule") < depth))
+                .select("rule", "rule_id", "j", "i", F.try_divide(2 * F.col("recall"), 1 + F.col("recall")).alias("bound")))
+
+    def promising(open_: DataFrame) -> DataFrame:
+        reach = best.select(F.col("j").alias("b_j"), F.col("i").alias("b_i"), F.col("fmeasure").alias("goal"))
+        return open_.join(F.broadcast(reach), (F.col("j") == F.col("b_j")) & (F.col("i") == F.col("b_i"))
+                          & (F.col("bound") >= F.col("goal"))).select(*open_.columns)  # a row for each interval
+
+    open_ = cut_lineage(promising(nodes(start)))
+    while not open_.isEmpty():
+        taken = cut_lineage(open_.orderBy(F.desc("bound"), "rule_id", "j", "i").limit(portion))
+        kids = cut_lineage(with_rule_id(extend_rules(taken.select("rule", "j", "i"), conds)))
+        scored = scorer.score(kids.select("rule", "rule_id").distinct())
+        scored = cut_lineage(scored.join(kids.select("rule_id", "j", "i"), ["rule_id", "j", "i"]))
+        best = cut_lineage(scoring.best_per_interval(best.unionByName(scored.select(best.columns))))
+        rest = open_.join(taken.select("rule_id", "j", "i"), ["rule_id", "j", "i"], "left_anti").select(*open_.columns)
+        open_ = cut_lineage(promising(rest.unionByName(nodes(scored))))
+    return best
 
 
 # ------------------------------------------------------------------ rule neighbourhoods
@@ -327,35 +366,132 @@ def single_condition_sets(spark: SparkSession, conds: Sequence[tuple[int, int, i
     return canonical_sets(base.select(F.array(F.array("x")).alias("rules")))
 
 
-def beam_ruleset(cube: DataFrame, space: Space, mu: int = 10, max_rounds: int | None = 8,
-                 lo_y: int = 0, hi_y: int = 1) -> DataFrame:
-    """Rule-set search under (precision max, recall max, dissimilarity min).
+# ------------------------------------------------------------------ exact front of rule sets
 
-    Start: every condition of the space as a set of one rule. Round: neighbours and recombinations of
-    the beam, minus everything already scored, scored in one job. The archive is the Pareto front of
-    all scored sets (equal fitness kept once), which is that of the old front and the new sets; the
-    next beam is the ``mu`` sets of the front with the largest crowding distance (ends first). Ends
-    when a round brings no new set into the front, or after ``max_rounds`` (None: no limit), which
-    is the number of generations that a search of this kind is given: sets of rules have no largest
-    size, and a front of many small gains can go on growing for long. Returns the front.
+def ruleset_front(cube: DataFrame, space: Space, pool: Sequence[Sequence[tuple[int, int, int]]] | None = None,
+                  lo_y: int = 0, hi_y: int = 1, min_rule_recall: float = 0.05) -> DataFrame:
+    """The Pareto front (precision max, recall max, dissimilarity min) of all sets of rules of ``pool`` (by
+    default the adjacent-bin conditions, one rule each), of any size: branch and bound by size.
+
+    Only rules that are feasible alone take part. A set grows by rules after its last one, so each set
+    comes up once. What a set can still become is bounded by
+
+    * recall: its true positives and those of the union of the rules left, ``T``, at most;
+    * precision: ``T / (T + FP)``, as false positives only grow;
+    * dissimilarity: its own and the least that one rule left adds.
+
+    A set whose bound some set of the front dominates is not grown further. The search ends when none is left
+    to grow; the answer is that of full enumeration.
+    """
+    scorer = scoring.Scorer.for_space(cube, space, [(lo_y, hi_y)])
+    spark = cube.sparkSession
+    if pool is None:
+        pool = [[x] for x in bin_feature_list(space)]
+    rules = sorted({tuple(sorted((int(c), int(lo), int(hi)) for c, lo, hi in r)) for r in pool})
+
+    def sets_of(which: Sequence[Sequence[int]]) -> DataFrame:
+        """Sets given by places in ``rules``: bounded by the pool."""
+        sets = F.array(*[F.array(*[scoring.rule_lit(rules[i]) for i in w]) for w in which])
+        return canonical_sets(spark.range(1).select(F.explode(sets).alias("rules")))
+
+    if not rules:
+        raise ValueError("no rules to make sets of")
+    single = scorer.ruleset_metrics(sets_of([[i] for i in range(len(rules))]), lo_y, hi_y, min_rule_recall).collect()
+    stats = {tuple((x["c"], x["lo"], x["hi"]) for x in r["rules"][0]): r for r in single}
+    feasible = [r for r in rules if stats[r]["feasible"]]
+    if not feasible:  # all sets have the same, worst fitness
+        return scorer.ruleset_metrics(sets_of([[0]]), lo_y, hi_y, min_rule_recall)
+    rules = feasible
+    P = scorer.P[lo_y, hi_y]
+    # of the rules from each place on: true positives of their union, least dissimilarity of one
+    rest = scorer.ruleset_metrics(sets_of([range(i, len(rules)) for i in range(len(rules))]), lo_y, hi_y).select("n_rules", "tp").collect()
+    union = {len(rules) - r["n_rules"]: r["tp"] for r in rest}
+    tail = F.array(*[F.lit(union[i]) for i in range(len(rules))], F.lit(0)).cast("array<long>")
+    least = [stats[r]["dissimilarity"] for r in rules] + [float("inf")]
+    for i in range(len(rules) - 1, -1, -1):
+        least[i] = min(least[i], least[i + 1])
+    least = F.array(*[F.lit(float(x)) for x in least])
+    every = F.array(*[F.struct(F.lit(i).alias("at"), scoring.rule_lit(r).alias("rule")) for i, r in enumerate(rules)])
+
+    def measured(sets: DataFrame) -> DataFrame:
+        sets = cut_lineage(canonical_sets(sets))
+        got = scorer.ruleset_metrics(sets.select("set_id", "rules"), lo_y, hi_y, min_rule_recall)
+        return cut_lineage(got.join(sets.select("set_id", "last"), "set_id"))
+
+    level = measured(spark.range(1).select(F.inline(every)).select(F.array("rule").alias("rules"), F.col("at").alias("last")))
+    front = cut_lineage(pareto.pareto_front(level).drop("last"))
+    while True:
+        top = F.least(F.col("tp") + tail[F.col("last") + 1], F.lit(P))
+        bound = level.where(F.col("last") < len(rules) - 1).select(
+            "set_id", "rules", "last", (top / (top + F.col("fp"))).alias("fit_p"), (top / F.lit(float(P))).alias("fit_r"),
+            (F.col("dissimilarity") + least[F.col("last") + 1]).alias("fit_d"))
+        bound = cut_lineage(bound)
+        open_ = cut_lineage(bound.join(pareto.dominated(bound, front), "set_id", "left_anti"))
+        if open_.isEmpty():
+            return front
+        grown = open_.select("rules", F.explode(F.filter(every, lambda x: x["at"] > F.col("last"))).alias("x"))
+        level = measured(grown.select(F.array_append("rules", F.col("x.rule")).alias("rules"), F.col("x.at").alias("last")))
+        front = cut_lineage(pareto.pareto_front(front.unionByName(level.select(front.columns))))
+
+
+def _boxes(sets: DataFrame, width: float) -> DataFrame:
+    """The boxes of the objectives: ``width`` wide in precision and recall, that share apart in dissimilarity."""
+    near = F.when(F.col("fit_d") > 0, F.log("fit_d")).otherwise(F.lit(0.0)) / F.lit(math.log1p(width))
+    far = F.lit(float("inf"))
+    return sets.select("set_id", *[F.ceil(F.col(c) / F.lit(width)).cast("double").alias(c) for c in ("fit_p", "fit_r")],
+                       F.when(F.col("fit_d") == far, far).otherwise(F.greatest(F.floor(near), F.lit(0)).cast("double")).alias("fit_d"))
+
+
+def _archive(old: DataFrame | None, new: DataFrame, width: float) -> DataFrame:
+    """The archive after ``new`` sets: the boxes that no other box dominates, one set each. A set takes the place of
+    the one in its box only if it dominates that one, so every change is a gain and there are finitely many."""
+    both = new.withColumn("held", F.lit(False))
+    if old is not None:
+        both = old.withColumn("held", F.lit(True)).unionByName(both)
+    both = cut_lineage(both.where("feasible"))
+    boxes = _boxes(both, width).toDF("set_id", "b_p", "b_r", "b_d")
+    placed = cut_lineage(both.join(boxes, "set_id"))
+    open_ = pareto.pareto_front(placed.select(F.concat_ws("/", "b_p", "b_r", "b_d").alias("set_id"), F.col("b_p").alias("fit_p"),
+                                              F.col("b_r").alias("fit_r"), F.col("b_d").alias("fit_d")).distinct())
+    inside = placed.join(open_.select(F.col("fit_p").alias("b_p"), F.col("fit_r").alias("b_r"), F.col("fit_d").alias("b_d")), ["b_p", "b_r", "b_d"])
+    # the one held, if any, and the best of those that dominate it (or of all) by a total order
+    kept = inside.groupBy("b_p", "b_r", "b_d").agg(F.min_by(F.struct("fit_p", "fit_r", "fit_d"), F.when(F.col("held"), F.col("set_id"))).alias("h"))
+    rival = (inside.join(kept, ["b_p", "b_r", "b_d"])
+             .where(F.col("held") | F.col("h").isNull() | ((F.col("fit_p") >= F.col("h.fit_p")) & (F.col("fit_r") >= F.col("h.fit_r"))
+                                                         & (F.col("fit_d") <= F.col("h.fit_d")) & (F.struct("fit_p", "fit_r", "fit_d") != F.col("h")))))
+    best = rival.groupBy("b_p", "b_r", "b_d").agg(F.min_by("set_id", F.struct((-F.col("fit_p")).alias("p"), (-F.col("fit_r")).alias("r"), F.col("fit_d").alias("d"), "set_id")).alias("set_id"))
+    return cut_lineage(both.join(best.select("set_id"), "set_id", "left_semi").drop("held"))
+
+
+def beam_ruleset(cube: DataFrame, space: Space, width: float = 0.1, lo_y: int = 0, hi_y: int = 1) -> DataFrame:
+    """Rule-set search under (precision max, recall max, dissimilarity min), to a fixed point.
+
+    Start: every condition of the space as a set of one rule. The archive divides the objectives into
+    boxes (``width`` wide; dissimilarity by its logarithm) and holds one set for each box that no other box
+    dominates: all sets scored so far are within a box of some set of it, and it has at most ``(1 + 1/width)^2``
+    sets. Round: neighbours of the archive's sets that have not been expanded, and recombinations of these,
+    minus everything already scored, scored in one job. A set enters only into a box that is better or if it
+    dominates the one there, so the archive cannot change for ever; the search ends when all of its sets have
+    been expanded. Returns the archive.
     """
     spark = cube.sparkSession
     scorer = scoring.Scorer.for_space(cube, space, [(lo_y, hi_y)])
     conds = condition_list(space)
     new = cut_lineage(scorer.ruleset_metrics(single_condition_sets(spark, conds), lo_y, hi_y))
-    seen, front = [new.select("set_id")], cut_lineage(pareto.pareto_front(new))
-    entered, rounds = not front.isEmpty(), 0
-    while entered and (max_rounds is None or rounds < max_rounds):
-        rounds += 1
-        beam = cut_lineage(pareto.crowding_distance(front).orderBy(F.col("crowding").desc(), "set_id").limit(mu)
-                           .select("set_id", "rules"))
-        cand = (ruleset_neighbours(beam, space, conds).select("set_id", "rules")
-                .unionByName(recombine_sets(beam).select("set_id", "rules"))
+    seen, expanded, front = [new.select("set_id")], [], _archive(None, new, width)
+    while True:
+        fresh = front.select("set_id", "rules")
+        if expanded:
+            fresh = fresh.join(_all_of(expanded), "set_id", "left_anti")
+        fresh = cut_lineage(fresh)
+        if fresh.isEmpty():
+            return front
+        expanded.append(fresh.select("set_id"))
+        cand = (ruleset_neighbours(fresh, space, conds).select("set_id", "rules")
+                .unionByName(recombine_sets(fresh).select("set_id", "rules"))
                 .dropDuplicates(["set_id"])
                 .join(_all_of(seen), "set_id", "left_anti"))
         # written first: the generation plan is large, and scoring reads it more than once
         new = cut_lineage(scorer.ruleset_metrics(cut_lineage(cand), lo_y, hi_y))
         seen.append(new.select("set_id"))
-        before, front = front, cut_lineage(pareto.pareto_front(front.unionByName(new.select(front.columns))))
-        entered = not front.join(before.select("set_id"), "set_id", "left_anti").isEmpty()
-    return front
+        front = _archive(front, new.select(front.columns), width)

@@ -235,12 +235,25 @@ def q_ruleset_sizes(spark, data_dir):
     return m.select("set_id", F.posexplode("sizes").alias("r", "size"))
 
 
+FRONT_QUANTILES = (0.0, 0.2, 0.4, 0.6, 0.8)
+
+
 def _front(spark, data_dir) -> DataFrame:
-    m = _pair_set_metrics(Context(spark, data_dir)).cache()
+    """Front of all sets of one or two rules of one condition each."""
+    ctx = Context(spark, data_dir, FRONT_QUANTILES)
+    m = cut_lineage(scoring.ruleset_metrics(ctx.cube, space_ops.pair_sets(spark, ctx.conds()), space=ctx.space))
     return pareto.pareto_front(m.select("set_id", "precision", "recall", "dissimilarity",
                                         "fit_p", "fit_r", "fit_d"))
 
 
+@register("ruleset_front")
+def q_ruleset_front(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    front = search.ruleset_front(ctx.cube, ctx.space)
+    out = front.select("set_id", "n_rules", "tp", "fp", "fit_p", "fit_r", F.round("fit_d", 2).alias("fit_d"))
+    return scoring.round_metrics(out, ("fit_p", "fit_r"))
+
+
 @register("pareto_front")
 def q_pareto_front(spark, data_dir):
     return scoring.round_metrics(_front(spark, data_dir).select("set_id", "fit_p", "fit_r", "fit_d"),

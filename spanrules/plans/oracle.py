@@ -251,10 +251,10 @@ cells AS (SELECT rid, string_agg(b::VARCHAR, ',' ORDER BY pos) AS b FROM bk GROU
 
 SET_CTES = """
 feat AS (SELECT c, lo, hi, t_lo, t_hi, c::VARCHAR || ':' || lo::VARCHAR || ':' || hi::VARCHAR AS fk
-         FROM conds WHERE hi = lo + 1),
+         FROM conds WHERE {which}),
 fpair AS (SELECT f.fk AS f_fk, g.fk AS g_fk, f.c AS fc, f.t_lo AS flo, f.t_hi AS fhi,
                  g.c AS gc, g.t_lo AS glo, g.t_hi AS ghi
-          FROM feat f JOIN feat g ON f.c < g.c OR (f.c = g.c AND f.lo < g.lo)),
+          FROM feat f JOIN feat g ON (f.c, f.lo, f.hi) < (g.c, g.lo, g.hi)),
 set_conds AS (
   SELECT fk AS set_id, 0 AS r, 1 AS nc, c, t_lo, t_hi FROM feat
   UNION ALL SELECT f_fk || '|' || g_fk, 0, 1, fc, flo, fhi FROM fpair
@@ -314,8 +314,33 @@ def _crowd_term(expr: str, i: int) -> str:
              / (3.0 * (max({expr}) OVER () - min({expr}) OVER ())) END"""
 
 
+FRONT_QUANTILES = (0.0, 0.2, 0.4, 0.6, 0.8)
+
+# all sets of the bin features as bit masks, over traces counted by the mask of the features they match
+SUBSET_FRONT_CTES = """
+fl AS (SELECT f.*, row_number() OVER (ORDER BY c, lo, hi) - 1 AS bit FROM (
+         SELECT c, lo, hi, t_lo, t_hi, c::VARCHAR || ':' || lo::VARCHAR || ':' || hi::VARCHAR AS fk FROM conds WHERE hi = lo + 1) f),
+fh AS (SELECT fl.bit, l.rid, l.pos, l.y FROM fl JOIN tv ON tv.pos = fl.c AND tv.v >= fl.t_lo AND tv.v < fl.t_hi JOIN lab l ON l.rid = tv.rid),
+pcount AS (SELECT count(*) FILTER (WHERE pos) AS P FROM lab),
+fs AS (SELECT bit, count(*) FILTER (WHERE pos) AS tp, sum(y * y) - sum(y) * sum(y) / count(*) AS dev FROM fh GROUP BY bit),
+ok AS (SELECT fs.*, fl.fk, row_number() OVER (ORDER BY fl.c, fl.lo, fl.hi) - 1 AS nr FROM fs JOIN fl USING (bit), pcount WHERE fs.tp / P > 0.05),
+mask AS (SELECT rid, any_value(fh.pos) AS pos, sum(1::BIGINT << ok.nr) AS m FROM fh JOIN ok USING (bit) GROUP BY rid),
+cell AS (SELECT m::BIGINT AS m, count(*) FILTER (WHERE pos) AS np, count(*) FILTER (WHERE NOT pos) AS nn FROM mask GROUP BY m),
+sets AS (SELECT range AS s FROM range(1, (SELECT 1::BIGINT << count(*) FROM ok))),
+cover AS (SELECT s, sum(np)::BIGINT AS tp, sum(nn)::BIGINT AS fp FROM sets JOIN cell ON (sets.s & cell.m) <> 0 GROUP BY s),
+parts AS (SELECT s, sum(dev) AS d, string_agg(fk, '|' ORDER BY nr) AS set_id, count(*) AS n_rules
+          FROM sets JOIN ok ON (sets.s >> ok.nr) & 1 = 1 GROUP BY s),
+pts AS (SELECT c.tp, c.fp, p.d, p.set_id, p.n_rules FROM cover c JOIN parts p USING (s)
+        QUALIFY row_number() OVER (PARTITION BY c.tp, c.fp ORDER BY round(p.d, 4), p.set_id) = 1),
+best AS (SELECT *, tp::DOUBLE / (tp + fp) AS prec FROM pts),
+front AS (SELECT a.* FROM best a WHERE NOT EXISTS (
+            SELECT 1 FROM best b WHERE b.tp >= a.tp AND b.prec >= a.prec AND b.d <= a.d AND (b.tp > a.tp OR b.prec > a.prec OR b.d < a.d)))"""
+
+
 def ruleset_sql() -> dict[str, str]:
-    head = base_ctes() + "," + space_ctes() + "," + SET_CTES
+    plain = base_ctes() + "," + space_ctes()
+    head = plain + "," + SET_CTES.format(which="hi = lo + 1")
+    fhead = base_ctes() + "," + space_ctes(FRONT_QUANTILES) + "," + SET_CTES.format(which="TRUE")
     r6 = lambda c: f"round({c}, 6) AS {c}"
     metrics = ", ".join(r6(c) for c in ("precision", "recall", "disjointness", "dissimilarity", "fscore",
                                         "harmonic", "fit_p", "fit_r", "fit_d"))
@@ -326,11 +351,14 @@ def ruleset_sql() -> dict[str, str]:
         "ruleset_metrics": f"SELECT set_id, n_rules, tp, fp, {metrics}, feasible FROM sm2".join(
             [head + " ", ""]),
         "ruleset_sizes": f"{head} SELECT set_id, r::INT AS r, n_r AS size FROM ruleagg",
-        "pareto_front": f"{head} SELECT set_id, {r6('fit_p')}, {r6('fit_r')}, {r6('fit_d')} FROM front",
-        "pareto_crowding": f"""{head}, cr AS (SELECT set_id, fit_p, fit_r, fit_d, {crowd} AS crowding
+        "ruleset_front": f"""{plain}, {SUBSET_FRONT_CTES}
+            SELECT set_id, n_rules::INT AS n_rules, tp, fp, round(prec, 6) AS fit_p, round(tp::DOUBLE / pcount.P, 6) AS fit_r, round(d, 2) AS fit_d
+            FROM front, pcount""",
+        "pareto_front": f"{fhead} SELECT set_id, {r6('fit_p')}, {r6('fit_r')}, {r6('fit_d')} FROM front",
+        "pareto_crowding": f"""{fhead}, cr AS (SELECT set_id, fit_p, fit_r, fit_d, {crowd} AS crowding
             FROM front WINDOW {windows})
             SELECT set_id, {r6('fit_p')}, {r6('fit_r')}, {r6('fit_d')}, {r6('crowding')} FROM cr""",
-        "beta_best": f"""{head},
+        "beta_best": f"""{fhead},
             betas AS (SELECT i::DOUBLE / 100.0::DOUBLE AS beta FROM range(10, 101) t(i)),
             fb AS (SELECT f.set_id, f.precision, f.recall, f.dissimilarity, b.beta,
                      CASE WHEN (b.beta * b.beta) * f.precision + f.recall <> 0

@@ -133,3 +133,59 @@ def test_quantiles_of_skewed_values(spark):
 def test_thresholds_of_an_empty_table(spark):
     df = spark.createDataFrame([], "x double")
     assert quantile_thresholds(df, ["x"], [0.5]) == {"x": []}
+
+
+def _dominates(a, b):
+    return a[0] >= b[0] and a[1] >= b[1] and a[2] <= b[2] and a != b
+
+
+def _points(kind, n, seed=4):
+    rng = np.random.default_rng(seed)
+    if kind == "grid":  # many ties in every objective
+        return [tuple(map(float, x)) for x in rng.integers(0, 6, (n, 3))]
+    if kind == "same precision":
+        return [(0.5, float(a), float(b)) for a, b in rng.integers(0, 40, (n, 2))]
+    if kind == "surface":  # nearly all of them are in the front
+        a, b = rng.random(n), rng.random(n)
+        return [(float(x), float(y), float(x + y)) for x, y in zip(a, b)]
+    return [(float(x), float(y), float(z)) for x, y, z in rng.random((n, 3))] + [(0.0, 0.0, float("inf"))] * 5
+
+
+@pytest.mark.parametrize("kind", ["grid", "same precision", "surface", "cloud"])
+@pytest.mark.parametrize("block", [50_000, 20])
+def test_front_of_many_blocks(spark, monkeypatch, small_ranges, kind, block):
+    from spanrules.operators import pareto
+    monkeypatch.setattr(pareto, "BLOCK_POINTS", block)
+    pts = _points(kind, 220)
+    df = spark.createDataFrame([(f"k{i:03d}", *p) for i, p in enumerate(pts)], "set_id string, fit_p double, fit_r double, fit_d double")
+    got = {r["set_id"] for r in pareto.pareto_front(df.repartition(3)).collect()}
+    first = {}
+    for i, p in enumerate(pts):
+        first.setdefault(p, f"k{i:03d}")
+    assert got == {k for p, k in first.items() if not any(_dominates(q, p) for q in first)}
+    if kind == "surface":
+        assert len(got) > 150
+
+
+def test_what_a_front_dominates(spark, monkeypatch):
+    from spanrules.operators import pareto
+    monkeypatch.setattr(pareto, "BLOCK_POINTS", 15)
+    front, pts = _points("surface", 60), _points("grid", 40) + _points("cloud", 150, 9) + _points("surface", 20)
+    frame = lambda rows: spark.createDataFrame([(f"k{i:03d}", *p) for i, p in enumerate(rows)], "set_id string, fit_p double, fit_r double, fit_d double")
+    got = {r["set_id"] for r in pareto.dominated(frame(pts), frame(front)).collect()}
+    # a point that is itself in the front is left alone
+    assert got == {f"k{i:03d}" for i, p in enumerate(pts) if p not in front and any(_dominates(q, p) for q in front)}
+
+
+def test_crowding_over_many_ranges(spark, small_ranges):
+    from spanrules.operators import pareto
+    pts = sorted(set(_points("surface", 90)))
+    df = spark.createDataFrame([(f"k{i:03d}", *p) for i, p in enumerate(pts)], "set_id string, fit_p double, fit_r double, fit_d double")
+    got = {r["set_id"]: r["crowding"] for r in pareto.crowding_distance(df).collect()}
+    want = dict.fromkeys(got, 0.0)
+    for axis, sign in ((0, 1), (1, 1), (2, -1)):
+        order = sorted(range(len(pts)), key=lambda i: (sign * pts[i][axis], f"k{i:03d}"))
+        v = [sign * pts[i][axis] for i in order]
+        for n, i in enumerate(order):
+            want[f"k{i:03d}"] += float("inf") if n in (0, len(order) - 1) else (v[n + 1] - v[n - 1]) / (3 * (v[-1] - v[0]))
+    assert got == {k: pytest.approx(x) for k, x in want.items()}

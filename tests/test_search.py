@@ -76,7 +76,7 @@ def test_searches_without_usable_conditions(spark):
         (r,) = found.collect()
         assert (r["rule_id"], r["tp"], r["fp"]) == ("", 2, 1)
     # a column of two thresholds still gives its one condition to rule sets
-    front = search.beam_ruleset(cube, space, max_rounds=None).collect()
+    front = search.beam_ruleset(cube, space).collect()
     assert {r["set_id"] for r in front} == {"0:0:1"}
 
 
@@ -151,12 +151,107 @@ def test_pareto_front_non_dominated(spark, data):
     assert len(best) == 1 and 0.1 <= best[0]["beta"] <= 1.0
 
 
-def test_beam_ruleset_front(spark, data):
-    _, space, cube = data
-    front = search.beam_ruleset(cube, space, mu=5, max_rounds=2).collect()
-    assert front
+@pytest.fixture(scope="module")
+def small(spark):
+    """Two columns of three bins: every set of up to three rules can be listed."""
+    rnd = random.Random(3)
+    rows = [(float(rnd.randint(0, 2)), float(rnd.randint(0, 2))) for _ in range(160)]
+    rows = [(a, b, 10 * a + 7 * (b == 1) + rnd.randint(0, 6)) for a, b in rows]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    th = {"a": [0.0, 1.0, 2.0, 3.0], "b": [0.0, 1.0, 2.0, 3.0]}
+    space = Space(("a", "b"), th, "y", (11.0, 40.0))
+    return rows, space, cube_ops.bucket_cube(df, space)
+
+
+def _fitness(rows, rules):
+    hits = [[all(lo <= r[c] < hi for c, lo, hi in rule) for r in rows] for rule in rules]
+    pos = [11 < r[2] <= 40 for r in rows]
+    if any(sum(h and p for h, p in zip(hit, pos)) <= 0.05 * sum(pos) for hit in hits):
+        return None
+    union = [any(x) for x in zip(*hits)]
+    tp = sum(u and p for u, p in zip(union, pos))
+    d = 0.0
+    for hit in hits:
+        y = [r[2] for r, h in zip(rows, hit) if h]
+        d += sum((v - sum(y) / len(y)) ** 2 for v in y)
+    return tp / sum(union), tp / sum(pos), d
+
+
+def _better(a, b):
+    return a[0] >= b[0] - 1e-12 and a[1] >= b[1] - 1e-12 and a[2] <= b[2] + 1e-6
+
+
+def test_exact_front_of_all_sets_of_a_pool(spark, small):
+    rows, space, cube = small
+    pool = [[(0, 0, 1)], [(0, 1, 2)], [(0, 1, 3)], [(0, 2, 3)], [(1, 0, 2)], [(1, 1, 2)], [(0, 1, 2), (1, 1, 2)], [(0, 2, 3), (1, 0, 3)]]
+    every = {}
+    for n in range(1, len(pool) + 1):
+        for w in itertools.combinations(pool, n):
+            fit = _fitness(rows, w)
+            if fit:
+                every[tuple(map(tuple, w))] = fit
+    front = [f for f in every.values() if not any(_better(g, f) and not _better(f, g) for g in every.values())]
+    got = search.ruleset_front(cube, space, pool).collect()
+    found = [(r["fit_p"], r["fit_r"], r["fit_d"]) for r in got]
+    assert len({tuple(round(x, 5) for x in f) for f in front}) == len(found) >= 5
     for f in front:
-        assert 0 <= f["fit_p"] <= 1 and 0 <= f["fit_r"] <= 1
+        assert any(g == pytest.approx(f) for g in found)
+
+
+def test_front_of_a_pool_without_feasible_rules(spark, small):
+    _, space, cube = small
+    (r,) = search.ruleset_front(cube, space, [[(0, 0, 1), (1, 0, 1)]]).collect()
+    assert (r["fit_p"], r["fit_r"], r["feasible"]) == (0.0, 0.0, False)
+    with pytest.raises(ValueError):
+        search.ruleset_front(cube, space, [])
+
+
+def test_archive_search_covers_what_enumeration_finds(spark, small):
+    """Every set of up to two rules is within a box (a tenth, and a tenth of dissimilarity) of a set of the archive."""
+    rows, space, cube = small
+    width = 0.1
+    got = [(r["fit_p"], r["fit_r"], r["fit_d"]) for r in search.beam_ruleset(cube, space, width).collect()]
+    assert all(0 <= p <= 1 and 0 <= r <= 1 for p, r, _ in got)
+    conds = [(c, lo, hi) for c in (0, 1) for lo in range(3) for hi in range(lo + 1, 4)]
+    rules = [[x] for x in conds] + [[x, y] for x in conds for y in conds if x[0] < y[0]]
+    missed = 0
+    for n in (1, 2):
+        for w in itertools.combinations(rules, n):
+            fit = _fitness(rows, w)
+            if fit and not any(p >= fit[0] - width and r >= fit[1] - width and d <= fit[2] * (1 + width) + 1 for p, r, d in got):
+                missed += 1
+    assert missed == 0
+
+
+def test_best_first_at_twelve_columns(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(400):
+        x = [float(rng.randint(0, 3)) for _ in range(12)]
+        hit = x[2] >= 1 and x[7] < 2 and x[11] >= 2
+        rows.append((*x, (100.0 if hit else 0.0) + rng.randint(0, 9) + (100 if rng.random() < 0.03 else 0)))
+    cols = [f"c{i:02d}" for i in range(12)]
+    space = Space(tuple(cols), {c: [0.0, 1.0, 2.0, 4.0] for c in cols}, "y", (90.0, 300.0))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols) + ", y double")
+    cube = cube_ops.bucket_cube(df, space)
+    (r,) = search.best_rule(cube, space).collect()
+    assert {(x["c"], x["lo"], x["hi"]) for x in r["rule"]} >= {(2, 1, 3), (7, 0, 2), (11, 2, 3)}
+    (few,) = search.best_rule(cube, space, depth=2).collect()
+    want = _best_by_enumeration(spark, cube, search.usable_conditions(space), 2)[(0, 1)]
+    assert (-few["fmeasure"], len(few["rule"]), few["rule_id"]) == want and r["fmeasure"] > few["fmeasure"]
+
+
+@pytest.mark.parametrize("portion", [40, 4096])
+def test_best_first_on_four_columns_is_exhaustive(spark, portion):
+    rng = random.Random(portion)
+    rows = [(*[float(rng.randint(0, 3)) for _ in range(4)], float(rng.randint(0, 40))) for _ in range(200)]
+    rows = [(*r[:4], r[4] + 15 * (r[0] > 1) + 9 * (r[3] == 2)) for r in rows]
+    cols = list("abcd")
+    space = Space(tuple(cols), {c: [0.0, 1.0, 3.0, 4.0] for c in cols}, "y", (10.0, 30.0, 60.0))
+    cube = cube_ops.bucket_cube(spark.createDataFrame(rows, "a double, b double, c double, d double, y double"), space)
+    ivs = [(0, 1), (1, 2), (0, 2)]
+    got = {(r["j"], r["i"]): (-r["fmeasure"], len(r["rule"]), r["rule_id"]) for r in search.best_rule(cube, space, intervals=ivs, portion=portion).collect()}
+    assert got == _best_by_enumeration(spark, cube, search.usable_conditions(space), 4, ivs)
 
 
 def test_segmentation_matches_enumeration(spark, data):
@@ -238,14 +333,14 @@ def test_branch_and_bound_support_bound_option(spark, data):
     assert 0 <= pruned["fmeasure"] <= 1
 
 
-def test_beam_searches_do_not_depend_on_partitioning(spark, data):
+def test_beam_searches_do_not_depend_on_partitioning(spark, data, small):
     _, space, cube = data
     old = spark.conf.get("spark.sql.shuffle.partitions")
     got = []
     try:
         for parts in ("3", "11"):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
-            front = search.beam_ruleset(cube, space, mu=6, max_rounds=2)
+            front = search.beam_ruleset(small[2], small[1])
             rule = search.beam_rule(cube, space, width=4)
             got.append((sorted(tuple(r) for r in front.select("set_id", "fit_p", "fit_r", "fit_d").collect()),
                         rule.select("rule_id").collect()[0][0]))
