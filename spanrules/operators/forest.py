@@ -1,68 +1,149 @@
-"""Forest predicates: range predicates read off a random forest that separates slow requests.
+"""Forest predicates: range predicates read off a forest of exact-split trees that separates slow requests.
 
-The forest is trained by ``pyspark.ml`` (distributed). Its trees are saved into the shared
-checkpoint folder and read back as a parquet node table, so the predicate extraction is again a
-DataFrame plan:
+Trees are grown level by level, all of a forest together, as DataFrame plans. A *region* is the box of values
+that a node stands for; nodes of different trees with the same region (most of those near the roots) share
+all work on it. Per level:
+
+* histogram: the traces of each region counted by (column, value) and class, map-side first;
+* running sums over the values give the classes left and right of every possible threshold, the midpoint
+  of neighbouring values (exact splits, no bins); the best one per (region, column) has the least
+  weighted Gini impurity, with enough traces on either side;
+* a node takes the best column of those drawn for it (a hash of seed, tree and node orders the columns; if none
+  of those drawn can be split, the next in that order that can); rows move to the regions of the children.
+
+A missing value is above every threshold: it goes right, and is no value of the histogram. Nodes are numbered
+like a heap: the children of ``i`` are ``2 i + 1`` and ``2 i + 2``.
+
+Predicates:
 
 * split score of an inner node = P(anomaly | left child) - P(anomaly | right child);
 * predicate of a split on ``x <= t``: score >= 0 -> ``[0, t + 1)``, else ``[t + 1, 10^6)``;
 * a node's scope is the list of predicates of its ancestors; both children inherit the parent's
   anomalous-side predicate (not the branch taken), as in the source model;
 * per last predicate the best-scoring path is kept, then the top ``k`` by ``|score|``.
-
-Paths are built level by level (one join parent -> children per tree level).
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanrules.functions.columns import clean_double, qcol
-from spanrules.session import cut_lineage, scratch_path
+from spanrules.operators import ordered
+from spanrules.session import cut_lineage
 
 UPPER = 10.0 ** 6
-
-
-def train_forest(traces: DataFrame, target: str, cols: Sequence[str], sla: float,
-                 num_trees: int = 50, feature_fraction: float = 0.6, leaf_fraction: float = 0.05,
-                 max_depth: int = 30, max_bins: int = 256, seed: int = 42
-                 ) -> RandomForestClassificationModel:
-    """Forest of ``num_trees`` trees, no bootstrap, ``feature_fraction`` of the columns per
-    split, leaves of at least ``leaf_fraction`` of the anomalies (``target > sla``)."""
-    data = traces.select(*[clean_double(qcol(c)).alias(f"f{i}") for i, c in enumerate(cols)],
-                         F.when(clean_double(qcol(target)) > F.lit(float(sla)), 1.0).otherwise(0.0)
-                         .alias("label"))
-    data = data.na.fill(0.0)
-    anomalies = data.filter(F.col("label") > 0).count()
+MAX_DEPTH = 60  # node numbers are 64 bits
+BROADCAST_BOXES = 1 << 13  # boxes of a level (16 bytes a column and their names) that are broadcast
+
+
+def _key(box: str) -> Column:
+    """Name of a region: the ends of its box."""
+    return F.array_join(F.transform(box, lambda e: F.concat_ws(":", e["lo"], e["hi"])), ";")
+
+
+def _best_splits(members: DataFrame, min_leaf: int) -> tuple[DataFrame, DataFrame]:
+    """``(region, n, p)``: traces and anomalies of each region; ``(region, f, t, gain)``: the best split of
+    each region and column that leaves ``min_leaf`` traces on either side."""
+    totals = cut_lineage(members.groupBy("region").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p")))
+    values = members.select("region", "y", "w", F.posexplode("x").alias("f", "v")).where("v IS NOT NULL")
+    hist = cut_lineage(values.groupBy(F.concat_ws("/", "f", "region").alias("g"), "region", "f", "v")
+                       .agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("a")))
+    if hist.count() <= ordered.ROWS_PER_RANGE:
+        place = Window.partitionBy("g").orderBy("v")
+        upto = hist.select("region", "f", "v", F.sum("w").over(place).alias("nl"), F.sum("a").over(place).alias("pl"), F.lead("v").over(place).alias("after"))
+    else:
+        upto = ordered.running(hist, "g", ["v"], sums={"nl": "w", "pl": "a"})
+        upto = ordered.neighbours(upto, "g", ["v"], F.col("v"), "before", "after")
+    parts = upto.where("after IS NOT NULL").join(totals, "region")
+
+    def share(p: Column, n: Column) -> Column:
+        p, q = p.cast("double"), (n - p).cast("double")
+        return F.try_divide(p * p + q * q, n.cast("double"))
+
+    nl, pl, nr, pr = F.col("nl"), F.col("pl"), F.col("n") - F.col("nl"), F.col("p") - F.col("pl")
+    # what is left and right of it, purer the larger this is
+    parts = (parts.where((nl >= min_leaf) & (nr >= min_leaf))
+             .select("region", "f", (F.col("v") / 2 + F.col("after") / 2).alias("t"), (share(pl, nl) + share(pr, nr)).alias("gain")))
+    best = parts.groupBy("region", "f").agg(F.min_by(F.struct("t", "gain"), F.struct((-F.col("gain")).alias("g"), "t")).alias("s"))
+    return totals, best.select("region", "f", "s.t", "s.gain")
+
+
+def _drawn(n_cols: int, seed: int) -> Column:
+    """All columns in the order of a node's draw."""
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(n_cols - 1)),
+                         lambda f: F.struct(F.md5(F.concat_ws(":", F.lit(seed), "tree", "id", f)).alias("h"), f.alias("f")))
+    return F.transform(F.array_sort(hashed), lambda x: x["f"])
+
+
+def grow_forest(traces: DataFrame, target: str, cols: Sequence[str], sla: float,
+                num_trees: int = 50, feature_fraction: float = 0.6, leaf_fraction: float = 0.05,
+                max_depth: int = MAX_DEPTH, seed: int = 42) -> DataFrame:
+    """``(tree, id, left, right, feature, threshold, neg, pos)`` of every node of ``num_trees`` trees, no bootstrap,
+    ``feature_fraction`` of the columns per split, leaves of at least ``leaf_fraction`` of the anomalies
+    (``target > sla``). A leaf has -1 for its children and feature. A table without rows gives no node.
+    """
+    spark = traces.sparkSession
+    slow = F.when(clean_double(qcol(target)) > F.lit(float(sla)), F.lit(1)).otherwise(F.lit(0))
+    rows = cut_lineage(traces.select(F.array(*[clean_double(qcol(c)) for c in cols]).alias("x"), slow.alias("y"))
+                       .groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
+    anomalies = rows.agg(F.sum(F.col("w") * F.col("y"))).first()[0] or 0
     min_leaf = max(1, int(anomalies * leaf_fraction))
-    feats = VectorAssembler(inputCols=[f"f{i}" for i in range(len(cols))], outputCol="features")
-    rf = RandomForestClassifier(numTrees=num_trees, bootstrap=False,
-                                featureSubsetStrategy=str(feature_fraction),
-                                minInstancesPerNode=min_leaf, maxDepth=max_depth, maxBins=max_bins,
-                                seed=seed, labelCol="label", featuresCol="features")
-    return rf.fit(feats.transform(data))
-
-
-def node_table(model: RandomForestClassificationModel) -> DataFrame:
-    """``(tree, id, left, right, feature, threshold, neg, pos)`` of every node of every tree."""
-    spark = SparkSession.getActiveSession()
-    path = scratch_path(spark, f"forest-{uuid.uuid4().hex}")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
-    n = F.col("nodeData")
-    stats = n["impurityStats"]
-    return nodes.select(F.col("treeID").alias("tree"), n["id"].alias("id"),
-                        n["leftChild"].alias("left"), n["rightChild"].alias("right"),
-                        n["split"]["featureIndex"].alias("feature"),
-                        F.get(n["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"),
-                        F.coalesce(F.get(stats, 0), F.lit(0.0)).alias("neg"),
-                        F.coalesce(F.get(stats, 1), F.lit(0.0)).alias("pos"))
+    drawn = max(1, int(feature_fraction * len(cols)))
+    inf = F.lit(float("inf"))
+    whole = F.array(*[F.struct((-inf).alias("lo"), inf.alias("hi"))] * len(cols))
+    members = rows.withColumn("box", whole).withColumn("region", _key("box"))
+    nodes = (spark.range(num_trees).select(F.col("id").cast("int").alias("tree"), F.lit(0).cast("long").alias("id"), whole.alias("box"))
+             .withColumn("region", _key("box")).drop("box"))
+    out = []
+    for depth in range(min(max_depth, MAX_DEPTH) + 1):
+        totals, best = _best_splits(members, min_leaf)
+        order = nodes.withColumn("draw", _drawn(len(cols), seed))
+        place = F.array_position("draw", F.col("f")) - 1
+        # columns drawn compete, the others come one after the other
+        turn = F.when(place < drawn, F.lit(0)).otherwise(place).cast("int")
+        found = (order.join(best, "region").withColumn("turn", turn).groupBy("tree", "id")
+                 .agg(F.min_by(F.struct("f", "t"), F.struct("turn", (-F.col("gain")).alias("g"), "f")).alias("s")))
+        level = nodes.join(totals, "region").join(found, ["tree", "id"], "left")
+        inner = F.col("s").isNotNull() & (F.col("p") > 0) & (F.col("p") < F.col("n")) & F.lit(depth < max_depth)
+        level = cut_lineage(level.select("tree", "id", "region", "n", "p", F.when(inner, F.col("s.f")).alias("f"),
+                                         F.when(inner, F.col("s.t")).alias("t")))
+        none = F.lit(-1)
+        out.append(level.select("tree", "id", F.when(F.col("f").isNull(), none).otherwise(2 * F.col("id") + 1).cast("long").alias("left"),
+                                F.when(F.col("f").isNull(), none).otherwise(2 * F.col("id") + 2).cast("long").alias("right"),
+                                F.coalesce("f", none).cast("int").alias("feature"), F.col("t").alias("threshold"),
+                                (F.col("n") - F.col("p")).alias("neg"), F.col("p").alias("pos")))
+        splits = cut_lineage(level.where("f IS NOT NULL").select("region", "f", "t").distinct())
+        if splits.isEmpty():
+            break
+
+        def child(side: str) -> Column:
+            """The box of one side of a split."""
+            return F.transform("box", lambda e, i: F.when(i == F.col("f"), F.struct(
+                *((e["lo"].alias("lo"), F.col("t").alias("hi")) if side == "left" else (F.col("t").alias("lo"), e["hi"].alias("hi"))))).otherwise(e))
+
+        # every box once, with its splits; then the nodes and the rows of the two sides
+        boxes = (members.select("region", "box").distinct().join(splits, "region")
+                 .select(F.col("region").alias("from"), "f", "t", F.posexplode(F.array(child("left"), child("right"))).alias("side", "box")))
+        boxes = cut_lineage(boxes.withColumn("region", _key("box")))
+        # a region reached on several ways is one region
+        few = boxes.count() <= BROADCAST_BOXES
+        small = F.broadcast(boxes) if few else boxes
+        went = F.when(F.coalesce(F.get("x", F.col("f")) <= F.col("t"), F.lit(False)), F.lit(0)).otherwise(F.lit(1))
+        ways = boxes.groupBy("region", "box").agg(F.min_by(F.struct("from", "f", "t", "side"), F.struct("from", "f", "t")).alias("way"))
+        ways = ways.select("region", "box", "way.*")
+        ways = F.broadcast(ways) if few else ways
+        members = cut_lineage(members.select(F.col("region").alias("from"), "x", "y", "w").join(ways, "from")
+                              .where(went == F.col("side")).select("region", "box", "x", "y", "w"))
+        reach = small.select(F.col("from").alias("b_from"), F.col("f").alias("b_f"), F.col("t").alias("b_t"), "side", F.col("region").alias("to"))
+        nodes = cut_lineage(level.where("f IS NOT NULL").join(reach, (F.col("region") == F.col("b_from")) & (F.col("f") == F.col("b_f")) & (F.col("t") == F.col("b_t")))
+                            .select("tree", (2 * F.col("id") + 1 + F.col("side")).alias("id"), F.col("to").alias("region")))
+    table = out[0]
+    for more in out[1:]:
+        table = table.unionByName(more)
+    return table
 
 
 def split_predicates(nodes: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -86,24 +167,17 @@ def split_predicates(nodes: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def scoped_predicates(splits: DataFrame, first_tree_only: bool = False) -> DataFrame:
-    """``(tree, id, path array<pred>, score)`` for every inner node, root first."""
+    """``(tree, id, path array<pred>, score)`` for every inner node, root first. A node's ancestors follow from
+    its number, so all paths come from one join."""
     if first_tree_only:
         splits = splits.filter(F.col("tree") == 0)
     splits = cut_lineage(splits)
-    level = splits.filter(F.col("id") == 0).select(
-        "tree", "id", "left", "right", F.array(F.col("pred")).alias("path"), "score")
-    out = level
-    while True:
-        level = cut_lineage(level)
-        if level.limit(1).count() == 0:
-            break
-        kids = level.select("tree", F.explode(F.array("left", "right")).alias("id"),
-                            F.col("path").alias("scope"))
-        level = (kids.join(splits, ["tree", "id"])
-                     .select("tree", "id", "left", "right",
-                             F.array_append("scope", F.col("pred")).alias("path"), "score"))
-        out = out.unionByName(level)
-    return out.select("tree", "id", "path", "score")
+    depth = F.floor(F.log2(F.col("id") + 1) + 1e-9).cast("int")
+    up = F.transform(F.sequence(F.lit(0), depth), lambda j: F.struct(j.alias("up"), (F.call_function("shiftright", F.col("id") + 1, j) - 1).alias("over")))
+    asked = splits.select("tree", "id", "score", F.inline(up))
+    held = splits.select("tree", F.col("id").alias("over"), "pred")
+    path = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("down"), "pred"))), lambda x: x["pred"])
+    return asked.join(held, ["tree", "over"]).groupBy("tree", "id", "score").agg(path.alias("path")).select("tree", "id", "path", "score")
 
 
 def explain(scoped: DataFrame, k: int = 10) -> DataFrame:
@@ -126,7 +200,6 @@ def explain(scoped: DataFrame, k: int = 10) -> DataFrame:
 
 def forest_predicates(traces: DataFrame, target: str, cols: Sequence[str], sla: float, k: int = 10,
                       trees: str = "all", **forest_args) -> DataFrame:
-    model = train_forest(traces, target, cols, sla, **forest_args)
-    nodes = cut_lineage(node_table(model))
+    nodes = cut_lineage(grow_forest(traces, target, cols, sla, **forest_args))
     scoped = scoped_predicates(split_predicates(nodes, cols), first_tree_only=(trees == "first"))
     return explain(scoped, k)

@@ -405,7 +405,7 @@ def q_forest_nodes(spark, data_dir):
     t = _matrix(spark, data_dir)
     cols = rule_columns(t)
     sla = exact_quantiles(t, TARGET, [SLA_QUANTILE])[0]
-    return forest.node_table(forest.train_forest(t, TARGET, cols, sla))
+    return forest.grow_forest(t, TARGET, cols, sla)
 
 
 @register("forest_predicates")
@@ -413,4 +413,4 @@ def q_forest_predicates(spark, data_dir):
     t = _matrix(spark, data_dir)
     cols = rule_columns(t)
     sla = exact_quantiles(t, TARGET, [SLA_QUANTILE])[0]
-    return forest.forest_predicates(t, TARGET, cols, sla)
+    return scoring.round_metrics(forest.forest_predicates(t, TARGET, cols, sla), ("score",))

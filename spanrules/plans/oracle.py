@@ -598,8 +598,70 @@ SELECT DISTINCT parent_id, move, set_id FROM nb
 WHERE set_id NOT IN (SELECT {key('f')} FROM f)"""}
 
 
+# ------------------------------------------------------------------ forest
+
+TREES, DRAWN, FOREST_SEED, LEVELS = 50, 2, 42, 24
+
+
+def forest_ctes() -> str:
+    """``nodes`` of the forest, every trace moved down every tree, level by level."""
+    k = len(RULE_COLS)
+    x = ", ".join(RULE_COLS)
+    parts = [f"""
+sla AS (SELECT quantile_disc({TARGET}, 0.2) AS v FROM traces),
+data AS MATERIALIZED (SELECT row_number() OVER () AS rid, [{x}] AS x, ({TARGET} > sla.v)::INT AS y FROM traces, sla),
+leaf AS (SELECT greatest(1, floor(sum(y) * 0.05::DOUBLE))::BIGINT AS least FROM data),
+at0 AS MATERIALIZED (SELECT t.tree, 0::BIGINT AS id, d.rid, d.x, d.y FROM data d, range({TREES}) t(tree))"""]
+    for d in range(LEVELS):
+        parts.append(f"""
+tot{d} AS MATERIALIZED (SELECT tree, id, count(*) AS n, sum(y)::BIGINT AS p FROM at{d} GROUP BY tree, id),
+hist{d} AS (SELECT tree, id, f, x[f + 1] AS v, count(*) AS w, sum(y) AS a FROM at{d}, range({k}) r(f)
+            WHERE x[f + 1] IS NOT NULL GROUP BY tree, id, f, v),
+run{d} AS (SELECT tree, id, f, v, lead(v) OVER o AS nxt, sum(w) OVER o AS nl, sum(a) OVER o AS pl FROM hist{d}
+           WINDOW o AS (PARTITION BY tree, id, f ORDER BY v)),
+cand{d} AS (SELECT r.tree, r.id, r.f, v / 2 + nxt / 2 AS t, nl::DOUBLE AS nl, pl::DOUBLE AS pl, (n - nl)::DOUBLE AS nr, (p - pl)::DOUBLE AS pr
+            FROM run{d} r JOIN tot{d} USING (tree, id), leaf
+            WHERE nxt IS NOT NULL AND nl >= least AND n - nl >= least AND p > 0 AND p < n),
+gain{d} AS (SELECT tree, id, f, t, (pl * pl + (nl - pl) * (nl - pl)) / nl + (pr * pr + (nr - pr) * (nr - pr)) / nr AS gain FROM cand{d}),
+best{d} AS (SELECT * FROM gain{d} QUALIFY row_number() OVER (PARTITION BY tree, id, f ORDER BY gain DESC, t) = 1),
+draw{d} AS (SELECT tree, id, f, row_number() OVER (PARTITION BY tree, id
+                     ORDER BY md5('{FOREST_SEED}:' || tree::VARCHAR || ':' || id::VARCHAR || ':' || f::VARCHAR)) - 1 AS place
+            FROM tot{d}, range({k}) r(f)),
+split{d} AS MATERIALIZED (SELECT b.tree, b.id, b.f, b.t FROM best{d} b JOIN draw{d} USING (tree, id, f)
+             QUALIFY row_number() OVER (PARTITION BY b.tree, b.id ORDER BY CASE WHEN place < {DRAWN} THEN 0 ELSE place END, gain DESC, b.f) = 1),
+at{d + 1} AS MATERIALIZED (SELECT a.tree, CASE WHEN coalesce(a.x[s.f + 1] <= s.t, FALSE) THEN 2 * a.id + 1 ELSE 2 * a.id + 2 END AS id, a.rid, a.x, a.y
+             FROM at{d} a JOIN split{d} s USING (tree, id))""")
+    every = " UNION ALL ".join(f"""SELECT t.tree::INT AS tree, t.id, CASE WHEN s.f IS NULL THEN -1 ELSE 2 * t.id + 1 END AS "left",
+        CASE WHEN s.f IS NULL THEN -1 ELSE 2 * t.id + 2 END AS "right", coalesce(s.f, -1)::INT AS feature, s.t AS threshold,
+        t.n - t.p AS neg, t.p AS pos FROM tot{d} t LEFT JOIN split{d} s USING (tree, id)""" for d in range(LEVELS))
+    return ",".join(parts) + f", nodes AS MATERIALIZED ({every})"
+
+
+def forest_sql() -> dict[str, str]:
+    head = base_ctes().replace("WITH ", "WITH RECURSIVE ", 1)
+    names = "[" + ", ".join(f"'{c}'" for c in RULE_COLS) + "]"
+    return {
+        "forest_nodes": f"{head}, {forest_ctes()} SELECT * FROM nodes",
+        "forest_predicates": f"""{head}, {forest_ctes()},
+            kid AS (SELECT tree, id, pos::DOUBLE / (pos + neg) AS pr FROM nodes),
+            inner_ AS (SELECT n.tree, n.id, n."left" AS lc, n."right" AS rc, {names}[n.feature + 1] AS col, l.pr - r.pr AS score, n.threshold + 1 AS t1
+                       FROM nodes n JOIN kid l ON l.tree = n.tree AND l.id = n."left" JOIN kid r ON r.tree = n.tree AND r.id = n."right"),
+            pred AS (SELECT *, CASE WHEN score >= 0 THEN 0.0::DOUBLE ELSE t1 END AS lo, CASE WHEN score >= 0 THEN t1 ELSE 1000000.0::DOUBLE END AS hi FROM inner_),
+            paths(tree, id, lc, rc, text, col, lo, hi, score) AS (
+              SELECT tree, id, lc, rc, col || ' in [' || lo::VARCHAR || ', ' || hi::VARCHAR || ')', col, lo, hi, abs(score) FROM pred WHERE id = 0
+              UNION ALL
+              SELECT p.tree, p.id, p.lc, p.rc, q.text || ' AND ' || p.col || ' in [' || p.lo::VARCHAR || ', ' || p.hi::VARCHAR || ')',
+                     p.col, p.lo, p.hi, abs(p.score)
+              FROM paths q JOIN pred p ON p.tree = q.tree AND (p.id = q.lc OR p.id = q.rc)),
+            one AS (SELECT * FROM paths QUALIFY row_number() OVER (PARTITION BY col, lo, hi ORDER BY score DESC, tree, id) = 1)
+            SELECT row_number() OVER (ORDER BY score DESC, tree, id)::INT AS rank, text AS predicate, col, lo, hi, round(score, 6) AS score, tree, id
+            FROM one QUALIFY rank <= 10""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
+    out.update(forest_sql())
     out.update(reshape_sql())
     out.update(scoring_sql())
     out.update(ruleset_sql())

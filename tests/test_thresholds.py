@@ -137,3 +137,60 @@ def test_forest_extraction_from_a_known_tree(spark):
     assert [(r["col"], r["tree"], r["rank"]) for r in top] == [("u", 1, 1), ("v", 0, 2)]
     assert top[0]["score"] == pytest.approx(0.6) and top[1]["score"] == pytest.approx(0.5)
     assert forest.explain(scoped, k=1).count() == 1
+
+
+def _grow(x, y, w_min, drawn, tree, seed):
+    """One tree, node by node (test reference): ``{id: (feature, threshold, neg, pos)}``."""
+    import hashlib
+    out, todo = {}, [(0, np.arange(len(y)))]
+    while todo:
+        i, rows = todo.pop()
+        n, p = len(rows), int(y[rows].sum())
+        best = []
+        for f in range(x.shape[1]):
+            v = x[rows, f]
+            known = np.unique(v[~np.isnan(v)])
+            for a, b in zip(known, known[1:]):
+                left = v <= a
+                nl, pl = int(left.sum()), int(y[rows][left].sum())
+                if nl >= w_min and n - nl >= w_min:
+                    gain = (pl**2 + (nl - pl)**2) / nl + ((p - pl)**2 + (n - nl - p + pl)**2) / (n - nl)
+                    best.append((f, -gain, a / 2 + b / 2))
+        order = sorted(range(x.shape[1]), key=lambda f: hashlib.md5(f"{seed}:{tree}:{i}:{f}".encode()).hexdigest())
+        turn = {f: 0 if order.index(f) < drawn else order.index(f) for f in order}
+        pick = min(((turn[f], g, f, t) for f, g, t in best), default=None) if 0 < p < n else None
+        out[i] = (pick[2] if pick else -1, pick[3] if pick else None, n - p, p)
+        if pick:
+            left = x[rows, pick[2]] <= pick[3]
+            todo += [(2 * i + 1, rows[left]), (2 * i + 2, rows[~left])]
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1 << 20, 30])
+def test_trees_are_those_grown_node_by_node(spark, monkeypatch, ranges):
+    from spanrules.operators import ordered
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", ranges)
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 12, (220, 3)).astype(float)
+    x[rng.random(x.shape) < 0.08] = np.nan
+    x[:, 2] = np.where(rng.random(220) < 0.5, 0.0, x[:, 2])
+    y = ((np.nan_to_num(x[:, 0], nan=20) > 6) ^ (rng.random(220) < 0.15)).astype(int)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, y double")
+    got = forest.grow_forest(df, "y", ["a", "b", "c"], 0.5, num_trees=3, feature_fraction=0.7, max_depth=60 if ranges > 30 else 2).collect()
+    least = max(1, int(y.sum() * 0.05))
+    for tree in range(3):
+        mine = {r["id"]: (r["feature"], r["threshold"], r["neg"], r["pos"]) for r in got if r["tree"] == tree}
+        want = _grow(x, y, least, 2, tree, 42)
+        if ranges > 30:
+            assert mine == want
+        else:  # cut at depth 2
+            assert all(mine[i][2:] == want[i][2:] for i in mine) and max(mine) <= 6
+    assert all(r["left"] == (-1 if r["feature"] < 0 else 2 * r["id"] + 1) for r in got)
+
+
+def test_forest_of_one_class_and_of_nothing(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, 6.0)], "a double, y double")
+    (r,) = forest.grow_forest(df, "y", ["a"], 1.0, num_trees=1).collect()
+    assert (r["id"], r["left"], r["neg"], r["pos"]) == (0, -1, 0, 2)
+    assert forest.grow_forest(df.limit(0), "y", ["a"], 1.0, num_trees=2).count() == 0
+    assert forest.forest_predicates(df, "y", ["a"], 1.0, num_trees=1).count() == 0
