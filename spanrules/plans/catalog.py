@@ -9,6 +9,7 @@ analyses anew, so it answers for the tables as they are.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ from spanrules.operators import cube as cube_ops
 from spanrules.operators import forest, meanshift, pareto, reshape, scoring, search, segment
 from spanrules.operators import space as space_ops
 from spanrules.operators.thresholds import exact_quantiles, rule_columns, space_summary, thresholds_frame
-from spanrules.session import cut_lineage
+from spanrules.session import cut_lineage, scratch_path
+from spanrules.sources.span_dump import read_dump, write_dump
 from spanrules.sources.spans import root_experiments, spans_by_interval
 from spanrules.sources.tables import spans_table
 
@@ -50,6 +52,14 @@ def q_spans_interval(spark, data_dir):
     return spans_by_interval(spans_table(spark, data_dir), *WINDOW)
 
 
+@register("dump_interval")
+def q_dump_interval(spark, data_dir):
+    """Server spans of the interval, read back from a dump of the whole span table with both filters pushed."""
+    path = scratch_path(spark, f"dump-{uuid.uuid4().hex}")
+    write_dump(spans_table(spark, data_dir), path)
+    return reshape.server_spans(spans_by_interval(read_dump(spark, path), *WINDOW))
+
+
 @register("root_experiments")
 def q_root_experiments(spark, data_dir):
     return root_experiments(spans_table(spark, data_dir), *WINDOW)
@@ -312,11 +322,35 @@ def q_beam_rule(spark, data_dir):
                               ctx.space).drop("rule")
 
 
+def _set_seeds(ctx: Context) -> DataFrame:
+    """Sets of one condition (any of the space), and of two bin features of the first two columns, as two rules and
+    as one."""
+    one = search.single_condition_sets(ctx.spark, ctx.conds())
+    bins = space_ops.bin_feature_list(ctx.space)
+    f, g = ([x for x in bins if x[0] == c] for c in (0, 1))
+    pairs = [(x, y) for x in f for y in g]
+    two = [F.array(scoring.rule_lit([x]), scoring.rule_lit([y])) for x, y in pairs]
+    both = [F.array(scoring.rule_lit([x, y])) for x, y in pairs]
+    more = ctx.spark.range(1).select(F.explode(F.array(*two, *both)).alias("rules"))
+    return one.unionByName(search.canonical_sets(more))
+
+
 @register("ruleset_neighbours")
 def q_ruleset_neighbours(spark, data_dir):
     ctx = Context(spark, data_dir)
-    seeds = search.single_condition_sets(spark, space_ops.bin_feature_list(ctx.space))
-    return search.ruleset_neighbours(seeds, ctx.space).select("parent_id", "move", "set_id")
+    return search.ruleset_neighbours(_set_seeds(ctx), ctx.space).select("parent_id", "move", "set_id")
+
+
+@register("ruleset_recombined")
+def q_ruleset_recombined(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    return search.recombine_sets(_set_seeds(ctx)).select("parent_id", "set_id").distinct()
+
+
+@register("bnb_support_bound")
+def q_bnb_support_bound(spark, data_dir):
+    ctx = Context(spark, data_dir)
+    return _best_view(search.branch_and_bound(ctx.cube, ctx.space, support_bound=True))
 
 
 @register("beam_ruleset")

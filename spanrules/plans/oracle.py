@@ -105,6 +105,8 @@ def reshape_sql() -> dict[str, str]:
     head = with_(spans_cte())
     return {
         "spans_interval": f"{head} SELECT * FROM sp WHERE timestamp BETWEEN {FROM_US} AND {TO_US}",
+        "dump_interval": f"""{head} SELECT traceId, endpoint, duration, id, timestamp FROM sp
+            WHERE timestamp BETWEEN {FROM_US} AND {TO_US} AND kind = 'SERVER'""",
         "root_experiments": f"""{head} SELECT traceId, experiment FROM raw
             WHERE timestamp BETWEEN {FROM_US} AND {TO_US} AND parentId IS NULL AND kind = 'SERVER'""",
         "clients_duration": f"{head} SELECT * FROM cd",
@@ -562,40 +564,79 @@ kth AS (SELECT c.col, c.v, any_value(c.wa) AS wa, min(c.d) AS dk FROM cum c JOIN
 
 # ------------------------------------------------------------------ rule-set neighbourhood
 
-def ruleset_neighbour_sql() -> dict[str, str]:
-    """Neighbours of the one-condition sets of the bin features, moves enumerated by hand."""
-    head = base_ctes() + "," + space_ctes()
+RULES = "STRUCT(c BIGINT, lo BIGINT, hi BIGINT)[][]"
+NAMED = ("array_to_string(list_transform(rules, lambda r: array_to_string(list_transform(r, "
+         "lambda x: x.c::VARCHAR || ':' || x.lo::VARCHAR || ':' || x.hi::VARCHAR), ';')), '|')")
+SEED_CTES = f"""
+nth AS (SELECT pos::BIGINT AS c, len(th) AS nth FROM qs),
+u AS (SELECT {{'c': c::BIGINT, 'lo': lo::BIGINT, 'hi': hi::BIGINT}} AS x FROM conds),
+b AS (SELECT x FROM u WHERE x.hi = x.lo + 1),
+sets AS (
+  SELECT [[x]]::{RULES} AS rules FROM u
+  UNION ALL SELECT [[f.x], [g.x]] FROM b f JOIN b g ON f.x.c = 0 AND g.x.c = 1
+  UNION ALL SELECT [[f.x, g.x]] FROM b f JOIN b g ON f.x.c = 0 AND g.x.c = 1),
+seeds AS (SELECT {NAMED} AS parent_id, rules FROM sets)"""
 
-    def key(a: str) -> str:
-        return f"{a}.c::VARCHAR || ':' || {a}.lo::VARCHAR || ':' || {a}.hi::VARCHAR"
 
-    def le(a: str, b: str) -> str:
-        return (f"({a}.c < {b}.c OR ({a}.c = {b}.c AND ({a}.lo < {b}.lo OR "
-                f"({a}.lo = {b}.lo AND {a}.hi <= {b}.hi))))")
+def _canonical(inner: str) -> str:
+    """Sets of ``inner`` (with columns ``rules`` and others) with the rules sorted inside, and the set sorted."""
+    return f"(SELECT * REPLACE (list_sort(list_transform(rules, lambda r: list_sort(r))) AS rules) FROM ({inner}))"
 
-    def rule2(a: str, b: str) -> str:
-        """Key of the rule {a, b} (distinct columns), sorted by column."""
-        return f"CASE WHEN {a}.c < {b}.c THEN {key(a)} || ';' || {key(b)} ELSE {key(b)} || ';' || {key(a)} END"
 
-    return {"ruleset_neighbours": f"""{head},
-nth AS (SELECT pos AS c, len(th) AS nth FROM qs),
-f AS (SELECT c, lo, hi FROM conds WHERE hi = lo + 1),
-u AS (SELECT c, lo, hi FROM conds),
-nb AS (
-  SELECT {key('f')} AS parent_id, 'add_rule' AS move,
-         CASE WHEN {le('f', 'u')} THEN {key('f')} || '|' || {key('u')} ELSE {key('u')} || '|' || {key('f')} END AS set_id
-  FROM f, u
+def ruleset_neighbour_sql() -> dict[str, str]:
+    """Every move on every set, by list functions."""
+    head = base_ctes() + "," + space_ctes()
+    rhead = head.replace("WITH ", "WITH RECURSIVE ", 1)
+    rest = "list_filter(rules, lambda r, i: i <> k)"  # the set without its rule k
+    moves = f"""
+rule_at AS (SELECT parent_id, rules, unnest(range(1, len(rules) + 1)) AS k FROM seeds),
+rl AS (SELECT *, rules[k] AS r FROM rule_at),
+cond_at AS (SELECT *, unnest(range(1, len(r) + 1)) AS q FROM rl),
+moved AS (
+  SELECT parent_id, 'add_rule' AS move, list_append(rules, [u.x]) AS rules FROM seeds, u
+  UNION ALL SELECT parent_id, 'remove_rule', {rest} FROM rl WHERE len(rules) > 1
+  UNION ALL
+  SELECT parent_id, 'split', list_concat({rest}, [
+           list_append(list_filter(r, lambda y, i: i <> q), {{'c': r[q].c, 'lo': r[q].lo, 'hi': cut}}),
+           list_append(list_filter(r, lambda y, i: i <> q), {{'c': r[q].c, 'lo': cut, 'hi': r[q].hi}})])
+  FROM (SELECT *, unnest(range(r[q].lo + 1, r[q].hi)) AS cut FROM cond_at)
+  UNION ALL
+  SELECT parent_id, 'complement', list_concat({rest}, [
+           list_append(r, {{'c': c, 'lo': 0::BIGINT, 'hi': cut}}), list_append(r, {{'c': c, 'lo': cut, 'hi': nth - 1}})])
+  FROM (SELECT rl.*, nth.c, nth.nth, unnest(range(1, nth.nth - 1)) AS cut FROM rl, nth
+        WHERE nth.nth > 2 AND NOT list_contains(list_transform(r, lambda y: y.c), nth.c))
   UNION ALL
-  SELECT {key('f')}, 'add_cond', {rule2('f', 'u')} FROM f JOIN u ON u.c <> f.c
+  SELECT parent_id, 'add_cond', list_append({rest}, list_append(r, u.x)) FROM rl, u
+  WHERE NOT list_contains(list_transform(r, lambda y: y.c), u.x.c)
   UNION ALL
-  SELECT {key('f')}, 'complement',
-         {rule2('f', 'a')} || '|' || {rule2('f', 'b')}
-  FROM f JOIN nth ON nth.c <> f.c AND nth.nth > 2,
-       LATERAL (SELECT range AS cut FROM range(1, nth.nth - 1)) k,
-       LATERAL (SELECT nth.c AS c, 0 AS lo, k.cut AS hi) a,
-       LATERAL (SELECT nth.c AS c, k.cut AS lo, nth.nth - 1 AS hi) b)
-SELECT DISTINCT parent_id, move, set_id FROM nb
-WHERE set_id NOT IN (SELECT {key('f')} FROM f)"""}
+  SELECT parent_id, 'remove_cond', list_append({rest}, list_filter(r, lambda y, i: i <> q)) FROM cond_at WHERE len(r) > 1)"""
+    mixed = """list_filter(flatten(list_transform(range(1, greatest(len(a.rules), len(b.rules)) + 1), lambda t: [a.rules[t], b.rules[t]])),
+               lambda r: r IS NOT NULL)"""
+    return {
+        "ruleset_neighbours": f"""{head}, {SEED_CTES}, {moves}
+            SELECT DISTINCT parent_id, move, set_id FROM (SELECT parent_id, move, {NAMED} AS set_id FROM {_canonical('SELECT * FROM moved')})
+            WHERE set_id NOT IN (SELECT parent_id FROM seeds)""",
+        "ruleset_recombined": f"""{head}, {SEED_CTES},
+            mix AS (SELECT a.parent_id, {mixed} AS m FROM seeds a JOIN seeds b ON a.parent_id <> b.parent_id),
+            cuts AS (SELECT parent_id, m, unnest(range(1, len(m))) AS cut FROM mix),
+            halves AS (SELECT parent_id, m[1:cut] AS rules FROM cuts UNION ALL SELECT parent_id, m[cut + 1:] FROM cuts)
+            SELECT DISTINCT parent_id, {NAMED} AS set_id FROM {_canonical('SELECT * FROM halves')}""",
+        # the nodes that the support test reaches, and the best of them
+        "bnb_support_bound": f"""{rhead}, {SUBSET_CTES}, {MATCH_CTES},
+            lastc AS (SELECT rule_id, coalesce(max(c), -1) AS last_c FROM rule_conds GROUP BY rule_id),
+            node AS (SELECT fm.*, lastc.last_c, (SELECT count(*) FROM feat WHERE feat.c > lastc.last_c) AS rem,
+                            CASE WHEN precision > 0 THEN P / precision ELSE 'inf'::DOUBLE END AS own
+                     FROM fm JOIN lastc USING (rule_id), pcount),
+            reach(rule_id, support, last_c, rem, n_conds, mu) AS (
+              SELECT rule_id, support, last_c, rem, n_conds, own FROM node WHERE rule_id = ''
+              UNION ALL
+              SELECT c.rule_id, c.support, c.last_c, c.rem, c.n_conds, least(p.mu, c.own)
+              FROM reach p JOIN feat f ON f.c > p.last_c
+              JOIN node c ON c.rule_id = CASE WHEN p.n_conds = 0 THEN f.fk ELSE p.rule_id || ';' || f.fk END
+              WHERE p.support - c.support >= (p.support - p.mu) / p.rem)
+            SELECT b.* FROM ({SCORED_SELECT} WHERE rule_id IN (SELECT rule_id FROM reach)
+                             ORDER BY fm.fmeasure DESC, n_conds, rule_id LIMIT 1) b""",
+    }
 
 
 # ------------------------------------------------------------------ forest
