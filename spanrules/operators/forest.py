@@ -40,24 +40,23 @@ BROADCAST_BOXES = 1 << 13  # boxes of a level (16 bytes a column and their names
 
 
 def _key(box: str) -> Column:
-    """Name of a region: the ends of its box."""
+    """What tells regions apart: the ends of the box."""
     return F.array_join(F.transform(box, lambda e: F.concat_ws(":", e["lo"], e["hi"])), ";")
 
 
-def _best_splits(members: DataFrame, min_leaf: int) -> tuple[DataFrame, DataFrame]:
-    """``(region, n, p)``: traces and anomalies of each region; ``(region, f, t, gain)``: the best split of
-    each region and column that leaves ``min_leaf`` traces on either side."""
-    totals = cut_lineage(members.groupBy("region").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p")))
+def _best_splits(members: DataFrame, regions: DataFrame, min_leaf: int) -> DataFrame:
+    """``(region, f, t, gain, nl, pl)``: the best split of each region and column that leaves ``min_leaf`` traces on
+    either side, with the traces and anomalies on its left. ``regions`` has ``region, n, p``."""
     values = members.select("region", "y", "w", F.posexplode("x").alias("f", "v")).where("v IS NOT NULL")
-    hist = cut_lineage(values.groupBy(F.concat_ws("/", "f", "region").alias("g"), "region", "f", "v")
-                       .agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("a")))
+    hist = cut_lineage(values.groupBy("region", "f", "v").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("a")))
     if hist.count() <= ordered.ROWS_PER_RANGE:
-        place = Window.partitionBy("g").orderBy("v")
+        place = Window.partitionBy("region", "f").orderBy("v")
         upto = hist.select("region", "f", "v", F.sum("w").over(place).alias("nl"), F.sum("a").over(place).alias("pl"), F.lead("v").over(place).alias("after"))
     else:
+        hist = hist.withColumn("g", F.concat_ws("/", "region", "f"))
         upto = ordered.running(hist, "g", ["v"], sums={"nl": "w", "pl": "a"})
         upto = ordered.neighbours(upto, "g", ["v"], F.col("v"), "before", "after")
-    parts = upto.where("after IS NOT NULL").join(totals, "region")
+    parts = upto.where("after IS NOT NULL").join(regions.select("region", "n", "p"), "region")
 
     def share(p: Column, n: Column) -> Column:
         p, q = p.cast("double"), (n - p).cast("double")
@@ -66,9 +65,9 @@ def _best_splits(members: DataFrame, min_leaf: int) -> tuple[DataFrame, DataFram
     nl, pl, nr, pr = F.col("nl"), F.col("pl"), F.col("n") - F.col("nl"), F.col("p") - F.col("pl")
     # what is left and right of it, purer the larger this is
     parts = (parts.where((nl >= min_leaf) & (nr >= min_leaf))
-             .select("region", "f", (F.col("v") / 2 + F.col("after") / 2).alias("t"), (share(pl, nl) + share(pr, nr)).alias("gain")))
-    best = parts.groupBy("region", "f").agg(F.min_by(F.struct("t", "gain"), F.struct((-F.col("gain")).alias("g"), "t")).alias("s"))
-    return totals, best.select("region", "f", "s.t", "s.gain")
+             .select("region", "f", (F.col("v") / 2 + F.col("after") / 2).alias("t"), (share(pl, nl) + share(pr, nr)).alias("gain"), "nl", "pl"))
+    best = parts.groupBy("region", "f").agg(F.min_by(F.struct("t", "gain", "nl", "pl"), F.struct((-F.col("gain")).alias("g"), "t")).alias("s"))
+    return best.select("region", "f", "s.*")
 
 
 def _drawn(n_cols: int, seed: int) -> Column:
@@ -89,57 +88,58 @@ def grow_forest(traces: DataFrame, target: str, cols: Sequence[str], sla: float,
     slow = F.when(clean_double(qcol(target)) > F.lit(float(sla)), F.lit(1)).otherwise(F.lit(0))
     rows = cut_lineage(traces.select(F.array(*[clean_double(qcol(c)) for c in cols]).alias("x"), slow.alias("y"))
                        .groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
-    anomalies = rows.agg(F.sum(F.col("w") * F.col("y"))).first()[0] or 0
+    all_, anomalies = rows.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(F.col("w") * F.col("y")), F.lit(0))).first()
     min_leaf = max(1, int(anomalies * leaf_fraction))
     drawn = max(1, int(feature_fraction * len(cols)))
-    inf = F.lit(float("inf"))
+    inf, none = F.lit(float("inf")), F.lit(-1)
     whole = F.array(*[F.struct((-inf).alias("lo"), inf.alias("hi"))] * len(cols))
-    members = rows.withColumn("box", whole).withColumn("region", _key("box"))
-    nodes = (spark.range(num_trees).select(F.col("id").cast("int").alias("tree"), F.lit(0).cast("long").alias("id"), whole.alias("box"))
-             .withColumn("region", _key("box")).drop("box"))
+    # both classes and room for two leaves: only such regions keep their rows
+    splittable = (F.col("p") > 0) & (F.col("p") < F.col("n")) & (F.col("n") >= 2 * min_leaf)
+    root = spark.range(1).select(whole.alias("box"), F.lit(all_).cast("long").alias("n"), F.lit(anomalies).cast("long").alias("p")).where("n > 0")
+    regions = root.withColumn("region", F.lit(0).cast("long"))
+    nodes = cut_lineage(regions.select(F.explode(F.sequence(F.lit(0), F.lit(num_trees - 1))).alias("tree"), F.lit(0).cast("long").alias("id"), "region", "n", "p"))
+    regions = cut_lineage(regions.where(splittable))
+    members = rows.join(F.broadcast(regions.select("region")), F.lit(True))  # the root, or nothing
     out = []
     for depth in range(min(max_depth, MAX_DEPTH) + 1):
-        totals, best = _best_splits(members, min_leaf)
-        order = nodes.withColumn("draw", _drawn(len(cols), seed))
-        place = F.array_position("draw", F.col("f")) - 1
+        best = cut_lineage(_best_splits(members, regions, min_leaf))
         # columns drawn compete, the others come one after the other
+        place = F.array_position("draw", F.col("f")) - 1
         turn = F.when(place < drawn, F.lit(0)).otherwise(place).cast("int")
-        found = (order.join(best, "region").withColumn("turn", turn).groupBy("tree", "id")
-                 .agg(F.min_by(F.struct("f", "t"), F.struct("turn", (-F.col("gain")).alias("g"), "f")).alias("s")))
-        level = nodes.join(totals, "region").join(found, ["tree", "id"], "left")
-        inner = F.col("s").isNotNull() & (F.col("p") > 0) & (F.col("p") < F.col("n")) & F.lit(depth < max_depth)
-        level = cut_lineage(level.select("tree", "id", "region", "n", "p", F.when(inner, F.col("s.f")).alias("f"),
-                                         F.when(inner, F.col("s.t")).alias("t")))
-        none = F.lit(-1)
-        out.append(level.select("tree", "id", F.when(F.col("f").isNull(), none).otherwise(2 * F.col("id") + 1).cast("long").alias("left"),
-                                F.when(F.col("f").isNull(), none).otherwise(2 * F.col("id") + 2).cast("long").alias("right"),
+        found = (nodes.withColumn("draw", _drawn(len(cols), seed)).join(best, "region").withColumn("turn", turn).groupBy("tree", "id")
+                 .agg(F.min_by(F.struct("f", "t", "nl", "pl"), F.struct("turn", (-F.col("gain")).alias("g"), "f")).alias("s")))
+        inner = F.lit(depth < min(max_depth, MAX_DEPTH))
+        level = cut_lineage(nodes.join(found, ["tree", "id"], "left")
+                            .select("tree", "id", "region", "n", "p", *[F.when(inner, F.col(f"s.{c}")).alias(c) for c in ("f", "t", "nl", "pl")]))
+        leaf = F.col("f").isNull()
+        out.append(level.select("tree", "id", F.when(leaf, none).otherwise(2 * F.col("id") + 1).cast("long").alias("left"),
+                                F.when(leaf, none).otherwise(2 * F.col("id") + 2).cast("long").alias("right"),
                                 F.coalesce("f", none).cast("int").alias("feature"), F.col("t").alias("threshold"),
                                 (F.col("n") - F.col("p")).alias("neg"), F.col("p").alias("pos")))
-        splits = cut_lineage(level.where("f IS NOT NULL").select("region", "f", "t").distinct())
-        if splits.isEmpty():
+        splits = level.where("f IS NOT NULL").select("region", "f", "t", "nl", "pl").distinct()
+        # every split once, with the boxes of its two sides
+        right = F.transform("box", lambda e, i: F.when(i == F.col("f"), F.struct(F.col("t").alias("lo"), e["hi"].alias("hi"))).otherwise(e))
+        left = F.transform("box", lambda e, i: F.when(i == F.col("f"), F.struct(e["lo"].alias("lo"), F.col("t").alias("hi"))).otherwise(e))
+        sides = F.array(F.struct(F.lit(0).alias("side"), left.alias("box"), F.col("nl").alias("n"), F.col("pl").alias("p")),
+                        F.struct(F.lit(1).alias("side"), right.alias("box"), (F.col("n") - F.col("nl")).alias("n"), (F.col("p") - F.col("pl")).alias("p")))
+        ways = regions.join(splits, "region").select(F.col("region").alias("from"), "f", "t", F.inline(sides))
+        ways = cut_lineage(ways.withColumn("key", _key("box")))
+        n_ways = ways.count()
+        if not n_ways:
             break
-
-        def child(side: str) -> Column:
-            """The box of one side of a split."""
-            return F.transform("box", lambda e, i: F.when(i == F.col("f"), F.struct(
-                *((e["lo"].alias("lo"), F.col("t").alias("hi")) if side == "left" else (F.col("t").alias("lo"), e["hi"].alias("hi"))))).otherwise(e))
-
-        # every box once, with its splits; then the nodes and the rows of the two sides
-        boxes = (members.select("region", "box").distinct().join(splits, "region")
-                 .select(F.col("region").alias("from"), "f", "t", F.posexplode(F.array(child("left"), child("right"))).alias("side", "box")))
-        boxes = cut_lineage(boxes.withColumn("region", _key("box")))
-        # a region reached on several ways is one region
-        few = boxes.count() <= BROADCAST_BOXES
-        small = F.broadcast(boxes) if few else boxes
+        numbers = cut_lineage(ways.select("key").distinct().withColumn("region", F.monotonically_increasing_id()))
+        ways = cut_lineage(ways.join(numbers, "key").drop("key"))
+        sent = F.broadcast(ways) if n_ways <= BROADCAST_BOXES else ways
+        nodes = cut_lineage(level.where("f IS NOT NULL").select("tree", "id", F.col("region").alias("from"), "f", "t").join(sent, ["from", "f", "t"])
+                            .select("tree", (2 * F.col("id") + 1 + F.col("side")).alias("id"), "region", "n", "p"))
+        # a region reached on several ways is one region; its rows come by one of them
+        once = ways.where(splittable).groupBy("region").agg(F.min_by(F.struct("from", "f", "t", "side", "box", "n", "p"), F.struct("from", "f", "t")).alias("way"))
+        once = cut_lineage(once.select("region", "way.*"))
+        regions = once.select("region", "box", "n", "p")
+        once = F.broadcast(once) if n_ways <= BROADCAST_BOXES else once
         went = F.when(F.coalesce(F.get("x", F.col("f")) <= F.col("t"), F.lit(False)), F.lit(0)).otherwise(F.lit(1))
-        ways = boxes.groupBy("region", "box").agg(F.min_by(F.struct("from", "f", "t", "side"), F.struct("from", "f", "t")).alias("way"))
-        ways = ways.select("region", "box", "way.*")
-        ways = F.broadcast(ways) if few else ways
-        members = cut_lineage(members.select(F.col("region").alias("from"), "x", "y", "w").join(ways, "from")
-                              .where(went == F.col("side")).select("region", "box", "x", "y", "w"))
-        reach = small.select(F.col("from").alias("b_from"), F.col("f").alias("b_f"), F.col("t").alias("b_t"), "side", F.col("region").alias("to"))
-        nodes = cut_lineage(level.where("f IS NOT NULL").join(reach, (F.col("region") == F.col("b_from")) & (F.col("f") == F.col("b_f")) & (F.col("t") == F.col("b_t")))
-                            .select("tree", (2 * F.col("id") + 1 + F.col("side")).alias("id"), F.col("to").alias("region")))
+        members = cut_lineage(members.select(F.col("region").alias("from"), "x", "y", "w").join(once.select("from", "f", "t", "side", "region"), "from")
+                              .where(went == F.col("side")).select("region", "x", "y", "w"))
     table = out[0]
     for more in out[1:]:
         table = table.unionByName(more)
