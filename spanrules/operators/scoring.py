@@ -148,16 +148,17 @@ class Scorer:
             self._index = BitmapIndex(self.cube, self.sizes)
         return self._index
 
-    def rule_counts(self, rules: DataFrame, sums: bool = False) -> DataFrame:
+    def rule_counts(self, rules: DataFrame, sums: bool = False, sets: list[tuple[int, ...]] | None = None) -> DataFrame:
         """Per (rule, target bucket): ``n, s1, s2`` of the traces the rule matches.
 
         ``rules`` needs ``rule_id`` and ``rule``; a candidate that occurs twice counts its traces once. Each
         rule has a row with ``yb = NULL, n = 0`` or rows that add up to its traces. ``s1, s2`` are null for
-        rules counted by bitmaps; ``sums=True`` takes the area tables for all rules.
+        rules counted by bitmaps; ``sums=True`` takes the area tables for all rules. ``sets``: the column sets that
+        the rules use, where they are known.
         """
         rules = (rules.select("rule_id", "rule").dropDuplicates(["rule_id"])
                  .withColumn("cs", rule_colset(F.col("rule"))))
-        sets = _colsets(rules)
+        sets = _colsets(rules) if sets is None else sets
         wide = [s for s in sets if self.wide(s) and not sums]
         if not wide:
             return corner_counts(rules, self.sizes, *self._area(sets))
@@ -225,7 +226,8 @@ class Scorer:
                .select("set_id", F.col("x.rule").cast(RULE_TYPE).alias("rule"), F.col("x.m").alias("m"))
                .withColumn("rule_id", rule_key(F.col("rule"))))
         pos = positive(F.col("yb"), lo_y, hi_y)
-        stats = cut_lineage(self.rule_counts(met).groupBy("rule_id").agg(
+        used = _colsets(met.select(rule_colset(F.col("rule")).alias("cs")))
+        stats = cut_lineage(self.rule_counts(met, sets=used).groupBy("rule_id").agg(
             F.sum("n").cast("long").alias("n_r"), F.sum(F.when(pos, F.col("n")).otherwise(F.lit(0))).cast("long").alias("tp_r"),
             F.sum("s1").alias("s1_r"), F.sum("s2").alias("s2_r")))
         sign = F.when(F.col("m") % 2 == 1, F.lit(1)).otherwise(F.lit(-1))
@@ -236,7 +238,7 @@ class Scorer:
             F.sum(F.when(F.col("m") == 1, F.col("n_r"))).cast("long").alias("tot"))
         single = (s.select("set_id", F.posexplode("rules").alias("r", "rule"))
                   .withColumn("rule", F.col("rule").cast(RULE_TYPE)).withColumn("rule_id", rule_key(F.col("rule"))))
-        if any(self.wide(x) for x in _colsets(single.select(rule_colset(F.col("rule")).alias("cs")))):
+        if any(self.wide(x) for x in used):
             sums = self.rule_counts(single, sums=True).groupBy("rule_id").agg(F.sum("s1").alias("s1_r"), F.sum("s2").alias("s2_r"))
             stats = stats.drop("s1_r", "s2_r").join(sums, "rule_id", "left")
         # summed in sorted order, so the result does not depend on shuffle arrival order

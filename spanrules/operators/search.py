@@ -77,7 +77,7 @@ def branch_and_bound(cube: DataFrame, space: Space,
     for _ in range(len(space.cols)):
         parents = frontier.select("rule", "j", "i", F.col("support").alias("p_support"),
                                   F.col("mu").alias("p_mu"), F.col("rem").alias("p_rem"))
-        kids = with_rule_id(extend_rules(parents, feats)).cache()
+        kids = cut_lineage(with_rule_id(extend_rules(parents, feats)))
         scored = scorer.score(kids.select("rule", "rule_id").distinct())
         scored = scored.join(kids.select("rule_id", "j", "i", "p_support", "p_mu", "p_rem").distinct(),
                              ["rule_id", "j", "i"])
@@ -88,12 +88,10 @@ def branch_and_bound(cube: DataFrame, space: Space,
         best = cut_lineage(scoring.best_per_interval(
             best.unionByName(scored.select(best.columns))))
         bound = best.select("j", "i", (F.col("fmeasure") / (F.lit(2.0) - F.col("fmeasure"))).alias("rb"))
-        # the frontier is small and materialised with ``scored``; an empty one ends the search
-        frontier = (scored.join(F.broadcast(bound), ["j", "i"])
+        frontier = cut_lineage(scored.join(F.broadcast(bound), ["j", "i"])
                           .filter(F.col("recall") >= F.col("rb"))
                           .select("rule", "rule_id", "j", "i", "recall", "support",
-                                  node_mu(F.col("p_mu")).alias("mu"), remaining(F.col("rule")).alias("rem"))
-                   ).cache()
+                                  node_mu(F.col("p_mu")).alias("mu"), remaining(F.col("rule")).alias("rem")))
         if frontier.isEmpty():
             break
     return best
@@ -434,33 +432,33 @@ def ruleset_front(cube: DataFrame, space: Space, pool: Sequence[Sequence[tuple[i
         front = cut_lineage(pareto.pareto_front(front.unionByName(level.select(front.columns))))
 
 
-def _boxes(sets: DataFrame, width: float) -> DataFrame:
-    """The boxes of the objectives: ``width`` wide in precision and recall, that share apart in dissimilarity."""
+def _boxes(width: float) -> list[Column]:
+    """The box of a set: ``width`` wide in precision and recall, that share apart in dissimilarity."""
     near = F.when(F.col("fit_d") > 0, F.log("fit_d")).otherwise(F.lit(0.0)) / F.lit(math.log1p(width))
     far = F.lit(float("inf"))
-    return sets.select("set_id", *[F.ceil(F.col(c) / F.lit(width)).cast("double").alias(c) for c in ("fit_p", "fit_r")],
-                       F.when(F.col("fit_d") == far, far).otherwise(F.greatest(F.floor(near), F.lit(0)).cast("double")).alias("fit_d"))
+    return [F.ceil(F.col("fit_p") / F.lit(width)).cast("double").alias("b_p"), F.ceil(F.col("fit_r") / F.lit(width)).cast("double").alias("b_r"),
+            F.when(F.col("fit_d") == far, far).otherwise(F.greatest(F.floor(near), F.lit(0)).cast("double")).alias("b_d")]
 
 
 def _archive(old: DataFrame | None, new: DataFrame, width: float) -> DataFrame:
     """The archive after ``new`` sets: the boxes that no other box dominates, one set each. A set takes the place of
     the one in its box only if it dominates that one, so every change is a gain and there are finitely many."""
+    box = ["b_p", "b_r", "b_d"]
     both = new.withColumn("held", F.lit(False))
     if old is not None:
         both = old.withColumn("held", F.lit(True)).unionByName(both)
-    both = cut_lineage(both.where("feasible"))
-    boxes = _boxes(both, width).toDF("set_id", "b_p", "b_r", "b_d")
-    placed = cut_lineage(both.join(boxes, "set_id"))
-    open_ = pareto.pareto_front(placed.select(F.concat_ws("/", "b_p", "b_r", "b_d").alias("set_id"), F.col("b_p").alias("fit_p"),
+    placed = cut_lineage(both.where("feasible").select("*", *_boxes(width)))
+    open_ = pareto.pareto_front(placed.select(F.concat_ws("/", *box).alias("set_id"), F.col("b_p").alias("fit_p"),
                                               F.col("b_r").alias("fit_r"), F.col("b_d").alias("fit_d")).distinct())
-    inside = placed.join(open_.select(F.col("fit_p").alias("b_p"), F.col("fit_r").alias("b_r"), F.col("fit_d").alias("b_d")), ["b_p", "b_r", "b_d"])
+    inside = placed.join(open_.toDF("at", *box), box)
     # the one held, if any, and the best of those that dominate it (or of all) by a total order
-    kept = inside.groupBy("b_p", "b_r", "b_d").agg(F.min_by(F.struct("fit_p", "fit_r", "fit_d"), F.when(F.col("held"), F.col("set_id"))).alias("h"))
-    rival = (inside.join(kept, ["b_p", "b_r", "b_d"])
-             .where(F.col("held") | F.col("h").isNull() | ((F.col("fit_p") >= F.col("h.fit_p")) & (F.col("fit_r") >= F.col("h.fit_r"))
-                                                         & (F.col("fit_d") <= F.col("h.fit_d")) & (F.struct("fit_p", "fit_r", "fit_d") != F.col("h")))))
-    best = rival.groupBy("b_p", "b_r", "b_d").agg(F.min_by("set_id", F.struct((-F.col("fit_p")).alias("p"), (-F.col("fit_r")).alias("r"), F.col("fit_d").alias("d"), "set_id")).alias("set_id"))
-    return cut_lineage(both.join(best.select("set_id"), "set_id", "left_semi").drop("held"))
+    kept = inside.groupBy(*box).agg(F.min_by(F.struct("fit_p", "fit_r", "fit_d"), F.when(F.col("held"), F.col("set_id"))).alias("h"))
+    gains = ((F.col("fit_p") >= F.col("h.fit_p")) & (F.col("fit_r") >= F.col("h.fit_r")) & (F.col("fit_d") <= F.col("h.fit_d"))
+             & (F.struct("fit_p", "fit_r", "fit_d") != F.col("h")))
+    rival = inside.join(kept, box).where(F.col("held") | F.col("h").isNull() | gains)
+    order = F.struct((-F.col("fit_p")).alias("p"), (-F.col("fit_r")).alias("r"), F.col("fit_d").alias("d"), "set_id")
+    best = rival.groupBy(*box).agg(F.min_by(F.struct(*new.columns), order).alias("x"))
+    return cut_lineage(best.select("x.*"))
 
 
 def beam_ruleset(cube: DataFrame, space: Space, width: float = 0.1, lo_y: int = 0, hi_y: int = 1) -> DataFrame:

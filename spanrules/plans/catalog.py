@@ -370,13 +370,20 @@ def q_segment_intervals(spark, data_dir):
     return segment.segment_intervals(spark, _splits(ctx))
 
 
-def _segment_scores(ctx: Context) -> DataFrame:
-    return segment.segment_scores(ctx.traces, ctx.space, _splits(ctx))
-
-
 @register("segment_scores")
 def q_segment_scores(spark, data_dir):
-    s = _segment_scores(Context(spark, data_dir))
+    ctx = Context(spark, data_dir)
+    return _segments_view(segment.segment_scores(ctx.traces, ctx.space, _splits(ctx)))
+
+
+@register("segment_best_rules")
+def q_segment_best_rules(spark, data_dir):
+    """Every interval explained by the best rule of any feasible conditions."""
+    ctx = Context(spark, data_dir)
+    return _segments_view(segment.segment_scores(ctx.traces, ctx.space, _splits(ctx), explainer="rule"))
+
+
+def _segments_view(s: DataFrame) -> DataFrame:
     out = s.select("j", "i", "s_from", "s_to", "rule_id", F.size("rule").alias("n_conds"),
                    "tp", "fp", "P", *METRIC_COLS)
     return scoring.round_metrics(out, METRIC_COLS)

@@ -408,20 +408,41 @@ BEST_SELECT = """SELECT rule_id, n_conds, tp, fp, support, round(precision, 6) A
   ORDER BY fmeasure DESC, n_conds ASC, rule_id ASC LIMIT 1"""
 
 
-def _seg_ctes() -> str:
-    qs = "[" + ", ".join(repr(float(q)) for q in SEG_QUANTILES) + "]"
-    return f"""
-spts AS (SELECT list_sort(list_distinct(quantile_disc({TARGET}, {qs}))) AS pts FROM traces),
-seg_iv AS (SELECT a.j::INT AS j, b.i::INT AS i, pts[a.j + 1] AS s_from, pts[b.i + 1] AS s_to
-           FROM spts, range(0, len(pts)) a(j), range(0, len(pts)) b(i) WHERE a.j < b.i),
-allhits AS (
+SEG_HIT_CTES = """allhits AS (
   SELECT rc.rule_id, tv.rid FROM rule_conds rc JOIN tv ON tv.pos = rc.c AND tv.v >= rc.t_lo AND tv.v < rc.t_hi
   GROUP BY rc.rule_id, tv.rid HAVING count(*) = any_value(rc.nc)
   UNION ALL SELECT r.rule_id, lab.rid FROM rules r, lab WHERE r.nc = 0),
 rsup AS (SELECT r.rule_id, r.nc, count(h.rid) AS support FROM rules r LEFT JOIN allhits h USING (rule_id)
          GROUP BY r.rule_id, r.nc),
 rtp AS (SELECT h.rule_id, iv.j, iv.i, count(*) AS tp FROM allhits h JOIN lab l ON l.rid = h.rid
-        JOIN seg_iv iv ON l.y > iv.s_from AND l.y <= iv.s_to GROUP BY h.rule_id, iv.j, iv.i),
+        JOIN seg_iv iv ON l.y > iv.s_from AND l.y <= iv.s_to GROUP BY h.rule_id, iv.j, iv.i),"""
+
+SEG_CELL_CTES = """binned AS (SELECT tv.rid, tv.pos, max(thr.t) AS v FROM tv JOIN thr ON thr.pos = tv.pos AND thr.t <= tv.v
+           GROUP BY tv.rid, tv.pos),
+trace_cell AS (SELECT rid, string_agg(pos::VARCHAR || '=' || v::VARCHAR, ';' ORDER BY pos) AS cell FROM binned GROUP BY rid),
+cell_one AS (SELECT cell, any_value(rid) AS rid, count(*) AS n FROM trace_cell GROUP BY cell),
+cell_bin AS (SELECT c.cell, b.pos, b.v FROM cell_one c JOIN binned b ON b.rid = c.rid),
+cell_iv AS (SELECT t.cell, iv.j, iv.i, count(*) AS n FROM trace_cell t JOIN lab l ON l.rid = t.rid
+            JOIN seg_iv iv ON l.y > iv.s_from AND l.y <= iv.s_to GROUP BY t.cell, iv.j, iv.i),
+cell_hits AS (
+  SELECT rc.rule_id, b.cell FROM rule_conds rc JOIN cell_bin b ON b.pos = rc.c AND b.v >= rc.t_lo AND b.v < rc.t_hi
+  GROUP BY rc.rule_id, b.cell HAVING count(*) = any_value(rc.nc)
+  UNION ALL SELECT r.rule_id, c.cell FROM rules r, cell_one c WHERE r.nc = 0),
+rsup AS (SELECT r.rule_id, r.nc, coalesce(sum(c.n), 0)::BIGINT AS support FROM rules r LEFT JOIN cell_hits h USING (rule_id)
+         LEFT JOIN cell_one c ON c.cell = h.cell GROUP BY r.rule_id, r.nc),
+rtp AS (SELECT h.rule_id, v.j, v.i, sum(v.n)::BIGINT AS tp FROM cell_hits h JOIN cell_iv v USING (cell) GROUP BY h.rule_id, v.j, v.i),"""
+
+
+def _seg_ctes(cells: bool = False) -> str:
+    """Best rule per interval, by the traces that each rule matches, or (``cells``, for many rules) by those of equal
+    bins of all columns counted together."""
+    hits = SEG_CELL_CTES if cells else SEG_HIT_CTES
+    qs = "[" + ", ".join(repr(float(q)) for q in SEG_QUANTILES) + "]"
+    return f"""
+spts AS (SELECT list_sort(list_distinct(quantile_disc({TARGET}, {qs}))) AS pts FROM traces),
+seg_iv AS (SELECT a.j::INT AS j, b.i::INT AS i, pts[a.j + 1] AS s_from, pts[b.i + 1] AS s_to
+           FROM spts, range(0, len(pts)) a(j), range(0, len(pts)) b(i) WHERE a.j < b.i),
+{hits}
 ivp AS (SELECT iv.j, iv.i, count(l.rid) AS P FROM seg_iv iv LEFT JOIN lab l ON l.y > iv.s_from AND l.y <= iv.s_to
         GROUP BY iv.j, iv.i),
 segm AS (
@@ -483,6 +504,9 @@ nb AS (
         "segment_scores": f"""{rhead}, {SUBSET_CTES}, {_seg_ctes()}
             SELECT j, i, s_from, s_to, rule_id, n_conds, tp, fp, P, round(precision, 6) AS precision,
                    round(recall, 6) AS recall, round(fmeasure, 6) AS fmeasure FROM segbest""",
+        "segment_best_rules": f"""{rhead}, {subset_ctes(USABLE)}, {_seg_ctes(cells=True)}
+            SELECT j, i, s_from, s_to, rule_id, n_conds, tp, fp, P, round(precision, 6) AS precision,
+                   round(recall, 6) AS recall, round(fmeasure, 6) AS fmeasure FROM segbest""",
         "segmentation": f"""{rhead}, {SUBSET_CTES}, {_seg_ctes()},
             chosen AS (SELECT bp.total, g.seg::INT - 1 AS seg, g.j
                        FROM bestpath bp, LATERAL (SELECT unnest(bp.starts) AS j,

@@ -340,7 +340,7 @@ def test_beam_searches_do_not_depend_on_partitioning(spark, data, small):
     try:
         for parts in ("3", "11"):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
-            front = search.beam_ruleset(small[2], small[1])
+            front = search.beam_ruleset(small[2], small[1], width=0.3)
             rule = search.beam_rule(cube, space, width=4)
             got.append((sorted(tuple(r) for r in front.select("set_id", "fit_p", "fit_r", "fit_d").collect()),
                         rule.select("rule_id").collect()[0][0]))
