@@ -66,34 +66,30 @@ def select_quantiles(traces: DataFrame, wanted: dict[str, Sequence[float]]
     return {c: [found[i, j] for j in range(len(wanted[c]))] for i, c in enumerate(cols)}, span
 
 
-def _bin(x: Column, lo: float, hi: float) -> Column:
-    """Bin of a value of ``[lo, hi]``: the first holds ``lo``, the last ``hi``, so no bin holds all."""
+def _range(k: int, lo: float, hi: float) -> Column:
+    """Range ``k`` as a literal: its ends, the finite ends that its bins divide, and their distance. Where that is not
+    finite, all is taken by halves."""
     low, high = max(lo, -sys.float_info.max), min(hi, sys.float_info.max)
-    if math.isfinite(high - low):
-        part = (x - F.lit(low)) / F.lit(high - low)
-    else:  # halves have a finite distance
-        part = (x / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
-    return (F.when(x >= F.lit(high), F.lit(BINS - 1)).when(x <= F.lit(low), F.lit(0))
-            .otherwise(F.least(F.floor(part * BINS), F.lit(BINS - 1)))).cast("int")
+    part = 1.0 if math.isfinite(high - low) else 0.5
+    values = {"lo": lo, "hi": hi, "low": low, "high": high, "part": part, "width": high * part - low * part}
+    return F.struct(F.lit(k).alias("k"), *[F.lit(v).alias(n) for n, v in values.items()])
 
 
 def _bin_counts(traces: DataFrame, cols: Sequence[str], ranges: Sequence[tuple[int, float, float]]) -> DataFrame:
     """``(r, bin, n, least, most)``: the values in bins of each range ``(column, lo, hi)``; ranges of a column
-    are disjoint or the same."""
-    entries = []
-    for i, c in enumerate(cols):
-        own = [(k, lo, hi) for k, (p, lo, hi) in enumerate(ranges) if p == i]
-        if own:
-            x = clean_double(qcol(c))
-            at = F.lit(None).cast("int")
-            cell = F.lit(None).cast("int")
-            for k, lo, hi in own:
-                inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
-                at = F.when(inside, F.lit(k)).otherwise(at)
-                cell = F.when(inside, _bin(x, lo, hi)).otherwise(cell)
-            entries.append(F.struct(at.alias("r"), cell.alias("bin"), x.alias("v")))
-    return (traces.select(F.explode(F.array(*entries)).alias("e")).select("e.r", "e.bin", "e.v").where("r IS NOT NULL")
-            .groupBy("r", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")))
+    are disjoint or the same. The first bin holds the range's least value and the last one its greatest, so no
+    bin holds all."""
+    used = sorted({p for p, _, _ in ranges})
+    values = F.array(*[F.struct(F.lit(u).alias("u"), clean_double(qcol(cols[i])).alias("v")) for u, i in enumerate(used)])
+    of_column = F.array(*[F.array(*[_range(k, lo, hi) for k, (p, lo, hi) in enumerate(ranges) if p == i]) for i in used])
+    found = traces.select(F.inline(values)).where("v IS NOT NULL").select(
+        "v", F.get(F.filter(of_column[F.col("u")], lambda r: (F.col("v") >= r["lo"]) & (F.col("v") <= r["hi"])), F.lit(0)).alias("r"))
+    r, v = F.col("r"), F.col("v")
+    share = F.try_divide(v * r["part"] - r["low"] * r["part"], r["width"])
+    cell = (F.when(v >= r["high"], F.lit(BINS - 1)).when(v <= r["low"], F.lit(0))
+            .otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)))).cast("int")
+    return (found.where("r IS NOT NULL").select(r["k"].alias("r"), cell.alias("bin"), "v").groupBy("r", "bin")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")))
 
 
 def rule_columns(traces: DataFrame, suffix: str = "avg_self_dur") -> list[str]:
