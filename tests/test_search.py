@@ -241,7 +241,7 @@ def test_best_first_at_twelve_columns(spark):
     assert (-few["fmeasure"], len(few["rule"]), few["rule_id"]) == want and r["fmeasure"] > few["fmeasure"]
 
 
-@pytest.mark.parametrize("portion", [40, 4096])
+@pytest.mark.parametrize("portion", [40])
 def test_best_first_on_four_columns_is_exhaustive(spark, portion):
     rng = random.Random(portion)
     rows = [(*[float(rng.randint(0, 3)) for _ in range(4)], float(rng.randint(0, 40))) for _ in range(200)]
@@ -340,7 +340,7 @@ def test_beam_searches_do_not_depend_on_partitioning(spark, data, small):
     try:
         for parts in ("3", "11"):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
-            front = search.beam_ruleset(small[2], small[1], width=0.3)
+            front = search.beam_ruleset(small[2], small[1], width=0.6)
             rule = search.beam_rule(cube, space, width=4)
             got.append((sorted(tuple(r) for r in front.select("set_id", "fit_p", "fit_r", "fit_d").collect()),
                         rule.select("rule_id").collect()[0][0]))
