@@ -12,10 +12,13 @@ Pages of a host with the same text outside of the elements that are noise by wha
 copies of a page say nothing about what its site repeats. A page without ``article`` or ``main`` never
 loses the branch with the largest share of its text, at any level of the tree.
 
-Some elements are noise by what they are (navigation, headers and footers of pages, asides, forms,
-scripts, and those that class, id or role name as menus, adverts, notices or comments): these
-go whatever their entropy, since a host of a few pages has none to measure. An ``article`` or
-``main`` element is never pruned by entropy: a host may well repeat an article.
+Some elements are noise by what they are (navigation, headers and footers of pages, asides, scripts, by tag
+or role): these go whatever their entropy, since a host of a few pages has none to measure. A class or
+id only raises a suspicion, and so does a form: wrappers of whole pages carry such names too. A suspect
+that holds half of the text of the page, or half of that of its articles, is a wrapper and stays; others go. Names of
+comments and cookie notices always count, ``related`` and the like do unless half of the text is theirs. A name with a word
+such as ``no``, ``with`` or ``free`` states what the element has, not what it is. An ``article`` or ``main`` element
+is never pruned by entropy: a host may well repeat an article.
 
 The pages are parsed twice, first for the style nodes of each distinct page and their counts, which both
 combine map-side, so that a host with a third of all pages is no hot key, then for the texts. The importances of a
@@ -52,14 +55,20 @@ figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html l
 option p pre search section summary table tbody td tfoot th thead tr ul""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
-NOISE = set("""nav aside footer form button select option dialog menu object audio video canvas head
-datalist fieldset search""".split())
+NOISE = set("""nav aside footer option dialog menu head fieldset search""".split())
+SKIPPED = set("button select object audio video canvas datalist".split())  # within a line of text
 NOISE_ROLES = set("""navigation banner contentinfo complementary search alert alertdialog dialog menu menubar
 toolbar tablist""".split())
-NOISE_NAMES = set("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments
-commentlist consent cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation
-newsletter notice notices pagination pager popup promo promotion related replies reply respond share sharing sidebar
-signup skip social sponsor sponsored subscribe subscription topbar toolbar widget widgets""".split())
+READER_NAMES = set("""comment comments commentlist consent cookie cookies disqus gdpr replies reply respond""".split())
+TEASER_NAMES = set("""ad ads advert adverts advertisement advertising promo promotion related sponsor sponsored widget
+widgets""".split())
+FRAME_NAMES = set("""banner breadcrumb breadcrumbs copyright footer header masthead menu modal nav navbar navigation
+newsletter notice notices pagination pager popup share sharing sidebar signup skip social subscribe subscription toolbar
+topbar""".split())
+STATES = set("closed disabled enabled free has have hide no non not off on open show with without".split())
+# what a name makes of an element, from the weakest suspicion to none that text could lift
+PLAIN, FORM, FRAME, TEASER, READER = range(5)
+HEADINGS = set("h1 h2 h3 h4 h5 h6 p".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
             "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
@@ -69,33 +78,84 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>
                    r"""|[^<]+|<""", re.S)
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 NAME = re.compile(r"[a-z]+")
+BASE, MODULUS = 0x9E3779B97F4A7C15, (1 << 61) - 1
+
+
+def suspicion(names: str, article: bool = False, inside: bool = False) -> int:
+    """What the class and id ``names`` of an element make of it, an ``article`` or ``main`` itself or one ``inside``."""
+    found = PLAIN
+    for name in names.split():
+        words = set(NAME.findall(name))
+        if words & STATES:
+            continue
+        if words & READER_NAMES:
+            return READER
+        if words & TEASER_NAMES:
+            found = TEASER
+        elif not article and words & FRAME_NAMES and not (inside and "header" in words):
+            found = max(found, FRAME)
+    return found
 
 
 class Page:
     """A page as style nodes (parent, key, kind) and blocks of text (node, text), in page order."""
 
     def __init__(self, source: str):
-        self.parent, self.key, self.noise, self.main = [-1], [1], [False], [False]
+        self.parent, self.key, self.first = [-1], [1], [0]
+        self.inside, self.article, self.fixed, self.suspect, self.heading = [False], [False], [False], [PLAIN], [False]
         self.blocks: list[tuple[int, str]] = []
         self._read(source)
+        self.noise, self.main = self._settled()
 
     def _node(self, above: int, tag: str, attrs: str) -> int:
         marks = {m[1].lower(): m[2].strip("\"'").lower() for m in ATTR.finditer(attrs)} if "=" in attrs else {}
         named = f"{marks.get('class', '')} {marks.get('id', '')}"
         label = f"{tag} {re.sub(r'[0-9]+', '0', named)}"
-        body_main = tag in ("article", "main") or marks.get("role") == "main"
-        noise = (tag in NOISE or tag == "header" and not self.main[above] or marks.get("role") in NOISE_ROLES
-                 or tag not in ("html", "body") and bool(NOISE_NAMES & set(NAME.findall(named))))
+        article = tag in ("article", "main") or marks.get("role") == "main"
         self.parent.append(above)
         self.key.append(xxhash.xxh3_64_intdigest(label, seed=self.key[above]) >> 1)
-        self.noise.append(self.noise[above] or noise)
-        self.main.append(self.main[above] or body_main and not self.noise[-1])
+        self.first.append(len(self.blocks))
+        self.fixed.append(tag in NOISE or tag == "header" and not self.inside[above] or marks.get("role") in NOISE_ROLES)
+        self.suspect.append(PLAIN if tag in ("html", "body") else
+                            max(suspicion(named, article, self.inside[above]), FORM if tag == "form" else PLAIN))
+        self.article.append(article)
+        self.inside.append(self.inside[above] or article)
+        self.heading.append(tag in HEADINGS)
         return len(self.parent) - 1
 
+    def _settled(self) -> tuple[list[bool], list[bool]]:
+        """By node: whether it is noise by what it is or by its name, and whether it belongs to an article."""
+        n = len(self.parent)
+        # noise whatever the shares, and text that no suspicion of comments can count for
+        out, articles = [False] * n, [False] * n
+        for node in range(1, n):
+            up = self.parent[node]
+            out[node] = out[up] or self.fixed[node] or self.suspect[node] == READER
+            articles[node] = articles[up] or self.article[node] and self.suspect[node] < TEASER
+        chars, own, heading = [0] * n, [0] * n, self.heading[:]
+        for node, text in self.blocks:
+            if not out[node]:
+                chars[node] += len(text)
+                own[node] += len(text) if articles[node] else 0
+        for node in range(n - 1, 0, -1):
+            up = self.parent[node]
+            chars[up] += chars[node]
+            own[up] += own[node]
+            heading[up] = heading[up] or heading[node]
+        noise, main = out, [False] * n
+        for node in range(1, n):
+            up, kind = self.parent[node], self.suspect[node]
+            wraps = 0 < chars[0] <= 2 * chars[node] and (kind != FORM or heading[node])
+            wraps = wraps or kind < TEASER and 0 < own[0] <= 2 * own[node]
+            noise[node] = noise[up] or noise[node] or kind != PLAIN and not wraps
+            main[node] = main[up] or self.article[node] and not noise[node]
+        return noise, main
+
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]   # open block elements and their nodes
+        places: dict[str, list[int]] = {}          # by tag, where in the stack it is open
         hold: list[str] = []                       # text of the open block
-        raw = ""
+        endless: set[str] = set()                  # tags that are not closed any more
 
         def flush() -> None:
             if hold:
@@ -104,14 +164,25 @@ class Page:
                     self.blocks.append((stack[-1][1], text))
                 hold.clear()
 
+        def innermost(tags: set[str]) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
         def close(tags: set[str], fence: set[str]) -> None:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in tags:
-                    flush()
-                    del stack[i:]
-                    return
-                if stack[i][0] in fence:
-                    return
+            at = innermost(tags)
+            if at and at >= innermost(fence):
+                flush()
+                for tag, _ in stack[at:]:
+                    places[tag].pop()
+                del stack[at:]
+
+        def after(tag: str, pos: int) -> int:
+            """Where the element ends that began before ``pos``, or -1."""
+            if tag in endless:
+                return -1
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, pos)
+            if end is None:
+                endless.add(tag)
+            return end.end() if end else -1
 
         pos, n = 0, len(source)
         while pos < n:
@@ -128,18 +199,21 @@ class Page:
             if m[1]:
                 if tag == "br":
                     hold.append(" ")
-                elif tag in BLOCKS:
+                elif tag in BLOCKS or tag == "head":
                     close({tag}, set() if tag in ("article", "main", "body", "html", *LISTS) else {"article", "main"})
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, pos)
                 if not m[3].rstrip().endswith("/"):
-                    pos = end.end() if end else n
+                    end = after(tag, pos)
+                    pos = end if end >= 0 else n
                 hold.append(" " if tag in ("svg", "math") else "")
                 continue
             if tag == "br":
                 hold.append(" ")
                 continue
+            if tag in SKIPPED:  # one that is never closed is read on
+                pos = max(pos, after(tag, pos))
+                continue
             if tag not in BLOCKS and tag not in NOISE:
                 continue
             flush()
@@ -147,34 +221,36 @@ class Page:
                 continue
             if tag in SIBLINGS:
                 close(SIBLINGS[tag], LISTS | {"article", "main"})
-            elif tag in CLOSES_P:
-                close({"p"}, BLOCKS - {"p"})
+            elif tag in CLOSES_P and stack[-1][0] == "p":
+                close({"p"}, set())
             if tag in ("article", "main"):  # these do not stand in a menu that was left open
                 close({"nav", "head"}, {"article", "main"})
             if tag == "body":
                 close({"head"}, set())
-            if tag in NOISE and tag not in BLOCKS and tag != "head":
-                stack.append((tag, self._node(stack[-1][1], tag, m[3])))
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, pos)
-                flush()
-                pos = end.end() if end else n
-                stack.pop()
-                continue
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, self._node(stack[-1][1], tag, m[3])))
         flush()
 
     def style(self) -> dict[int, tuple[int, int]]:
         """By style key: hashes of the text below it and of the sequence of its children."""
-        text: dict[int, list[str]] = {}
-        for node, block in self.blocks:
-            while node >= 0:
-                text.setdefault(self.key[node], []).append(block)
-                node = self.parent[node]
+        # the blocks below a node lie one after the other: their hash comes from those of two prefixes
+        prefix, power = [0], [1]
+        for _, block in self.blocks:
+            prefix.append((prefix[-1] * BASE + xxhash.xxh3_64_intdigest(block) + 1) % MODULUS)
+            power.append(power[-1] * BASE % MODULUS)
+        count = [0] * len(self.parent)
+        for node, _ in self.blocks:
+            count[node] += 1
+        for node in range(len(self.parent) - 1, 0, -1):
+            count[self.parent[node]] += count[node]
+        text: dict[int, int] = {}
+        for node, (key, a, c) in enumerate(zip(self.key, self.first, count)):
+            part = prefix[a + c] - prefix[a] * power[c]
+            text[key] = (text.get(key, 0) * power[c] + part) % MODULUS
         below: dict[int, list[int]] = {}
         for node in range(1, len(self.parent)):
             below.setdefault(self.key[self.parent[node]], []).append(self.key[node])
-        return {k: (xxhash.xxh3_64_intdigest("\n".join(text.get(k, ()))) >> 1,
-                    xxhash.xxh3_64_intdigest(repr(below.get(k, ()))) >> 1) for k in set(self.key)}
+        return {k: (text[k], xxhash.xxh3_64_intdigest(repr(below.get(k, ()))) >> 1) for k in set(self.key)}
 
     def own_text(self) -> str:
         """The blocks that no noise element holds."""

@@ -1,5 +1,8 @@
 import html as entities
 import re
+import time
+
+import pytest
 
 from spanrules.llm import html_text
 
@@ -34,6 +37,59 @@ def test_broken_markup():
     assert text_of("<div>" * 3000 + "deep") == "deep"
 
 
+STORY = "<h1>Title</h1><p>The story of the page, told at some length.</p><p>It goes on here.</p>"
+TOLD = "Title\nThe story of the page, told at some length.\nIt goes on here."
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='container with-sidebar'>{}</div>", "<div class='content no-sidebar'>{}</div>",
+    "<main class='has-header'>{}</main>", "<form id='aspnetForm'>{}</form>", "<div class='sidebar layout'>{}</div>",
+    "<div class='ads-free'>{}</div>", "<div id='popup'><div class='widget'>{}</div></div>"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<article class='topic social'>{}</article>",
+                                   "<article class='post comment-open'>{}</article>", "<div class='text'>{}</div>"])
+def test_wrappers_with_names_of_noise(wrapper, inner):
+    noise = ("<nav>Menu</nav><div class='sidebar'><p>Popular now</p></div><form><p>Your mail</p></form>"
+             "<div class='cookie-notice'>We use cookies, and so on and so forth, at more length than any story has"
+             " on this page, as such notices do when lawyers had a hand in them, twice over and again.</div>")
+    assert text_of(f"<body>{wrapper.format(inner.format(STORY) + noise)}<footer>End</footer></body>") == TOLD
+    assert text_of(f"<body>{noise}{wrapper.format(inner.format(STORY))}</body>") == TOLD
+
+
+def test_names_inside_an_article():
+    assert text_of("<article><div class='post-header'><h1>Title</h1></div><p>Text</p></article>") == "Title\nText"
+    long = "<p>" + "So many words of a reader. " * 50 + "</p>"
+    assert text_of(f"<article><p>Short</p><section class='comments'>{long}</section></article>") == "Short"
+    assert text_of(f"<article><p>Short</p></article><div id='comments'><article>{long}</article></div>") == "Short"
+    assert text_of(f"<article>{STORY}</article><div class='related'><article>Other</article></div>") == TOLD
+    assert text_of(f"<div class='x'>{STORY}</div><div class='related'><article>Other</article></div>") == TOLD
+    assert text_of("<div class='cookie-notice'><p>Only this</p></div>") == ""
+
+
+def test_elements_within_a_line():
+    assert text_of("<p>a<button>b</button>c <select><option>d</select>e</p>") == "ac e"
+    assert text_of("<p>a<button>b <p>c") == "ab\nc"   # never closed: read on
+    assert text_of("<head><title>T</title></head><p>no body tag</p>") == "no body tag"
+
+
+@pytest.mark.parametrize("part", ["<script/>", "<div>x", "</section><div>", "<button>x", "<p>x", "<article>x</div>",
+                                  "<li>x", "<a title='"])
+def test_long_unclosed_markup_takes_linear_time(part):
+    start = time.process_time()
+    html_text.Page(part * 40_000).style()
+    text_of(part * 40_000)
+    assert time.process_time() - start < 8
+
+
+def test_style_hashes_tell_texts_apart():
+    def of(source):
+        page = html_text.Page(source)
+        return {page.key[i]: page.style()[page.key[i]][0] for i in range(len(page.key))}
+
+    one, two = of("<ul><li>a<li>b</ul><p>c"), of("<ul><li>a<li>d</ul><p>c")
+    assert one.keys() == two.keys() and [one[k] == two[k] for k in one] == [False, False, False, True]
+    assert of("<div>a</div><div>b</div>") == of("<div>a</div><div>b</div>") != of("<div>b</div><div>a</div>")
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(i, u, h, 1, "k") for i, u, h in rows],
                                  "page_id long, url string, html string, keys int, host string")
