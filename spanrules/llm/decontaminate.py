@@ -4,8 +4,10 @@ A passage of ``L`` characters and a stretch of a document within ``e`` edits of
 ``L + 1 - q - q e`` character q-grams, and their diagonals (position in the document less
 position in the passage) span at most ``e``. So the shared q-grams of every passage are counted
 in bands of ``2 (e + 1)`` diagonals, one beginning every ``e + 1``; a band that reaches the bound is
-a region, and a banded alignment of the passage with the region settles whether it holds the
-passage with at most ``e`` edits.
+a region, and an alignment of the passage with the stretch of text that the band covers settles whether it holds the
+passage with at most ``e`` edits. Bands whose stretches overlap are aligned as one, and passages with the same
+beginning together until they part, or until none can be within its budget: benchmarks are full of passages with
+a stem in common, and a document that holds the stem is a region of each.
 
 The budget ``e`` is ``EDIT_RATE`` of the passage's length, less where the lemma would ask for no
 shared q-gram. Texts are compared in lower case with every run of white space as one space.
@@ -22,6 +24,7 @@ document the one with the fewest edits counts, then the first; empty tables give
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,8 @@ Q = 8
 EDIT_RATE = 0.08
 BLOCK_CHARS = 2_000_000
 TABLE_BITS = 21
+POSTINGS = 1 << 22    # expanded at a time
+CHECK_EVERY = 64      # characters between two looks at the fewest edits
 STOP = 0x110001  # no character: stands between texts
 FROM = 1 << 24  # diagonals count from here below the start of the text: longer than any block of passages
 BAND_BITS = 31  # for texts of up to 2^31 characters, Arrow's own limit for a string
@@ -93,30 +98,91 @@ def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(first, count)
 
 
-def align(passage: np.ndarray, chars: np.ndarray, low: int, width: int, edits: int) -> tuple[int, int, int] | None:
-    """Banded alignment of the whole passage with a stretch of ``chars`` that begins on one of the
-    ``width`` diagonals from ``low`` on. Returns (edits, start, stop) of the best, or None if it takes
-    more than ``edits``. Paths keep to the diagonals up to ``edits`` outside the band."""
-    lo, cells = low - edits, width + 2 * edits
-    idx = np.arange(cells)
-    cost = np.where((idx + lo >= 0) & (idx + lo <= len(chars)), 0, 1 << 20)  # begins anywhere
-    begin = idx + lo
-    padded = np.full(len(passage) + cells + 1, STOP, np.int64)
-    a, b = max(0, lo), min(len(chars), lo + len(padded))
-    padded[a - lo:b - lo] = chars[a:b] if b > a else chars[:0]
-    for i, ch in enumerate(passage):
-        same = cost + (padded[i:i + cells] != ch)      # one character of each
-        skip = np.append(cost[1:] + 1, 1 << 20)         # a character of the passage is missing
-        take = skip < same
-        now = np.where(take, skip, same)
-        from_ = np.where(take, np.append(begin[1:], 0), begin)
-        run = np.minimum.accumulate(now - idx)          # characters too many in the document
-        src = np.maximum.accumulate(np.where(now - idx == run, idx, 0))
-        cost, begin = run + idx, from_[src]
-    best = int(cost.argmin())
-    if cost[best] > edits:
-        return None
-    return int(cost[best]), int(begin[best]), int(min(len(chars), lo + best + len(passage)))
+class Stretch:
+    """A stretch of text, to be aligned with passages: a bit for each of its characters, and as state after some
+    characters of a passage the steps up and down, from one end of the stretch to the next, of the
+    fewest edits that turn these characters into what ends there."""
+
+    def __init__(self, text: str):
+        self.size = len(text)
+        self.every = (1 << self.size) - 1
+        places: dict[str, list[int]] = {}
+        for i, ch in enumerate(text):
+            places.setdefault(ch, []).append(i)
+        self.places = {}
+        for ch, found in places.items():
+            bits = np.zeros(self.size, bool)
+            bits[found] = True
+            self.places[ch] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        self.anywhere = (0, 0)          # the passage may begin anywhere
+        self.at_start = (self.every, 0)
+
+    def after(self, state: tuple[int, int], chars: str) -> tuple[int, int]:
+        up, down = state
+        every, places = self.every, self.places
+        for ch in chars:
+            same = places.get(ch, 0)
+            across = (((same & up) + up) ^ up) | same
+            more = down | (every & ~(across | up))
+            less = up & across
+            more = (more << 1) | 1
+            less <<= 1
+            same |= down
+            up = every & (less | ~(same | more))
+            down = every & more & same
+        return up, down
+
+    def edits(self, state: tuple[int, int], taken: int) -> np.ndarray:
+        """Fewest edits by end of the match, 0 to the size of the stretch, after ``taken`` characters."""
+        width = self.size // 8 + 1
+        up, down = (np.unpackbits(np.frombuffer(x.to_bytes(width, "little"), np.uint8), bitorder="little")[:self.size]
+                    for x in state)
+        out = np.full(self.size + 1, taken, np.int64)
+        out[1:] += np.cumsum(up.astype(np.int64) - down)
+        return out
+
+
+def place(passage: str, stretch: str, edits: int) -> tuple[int, int]:
+    """Start and stop of the first match with just as many ``edits``, the fewest there are."""
+    back = Stretch(stretch[::-1])
+    ends = back.edits(back.after(back.anywhere, passage[::-1]), len(passage))
+    start = len(stretch) - int(np.flatnonzero(ends == edits)[-1])
+    rest = Stretch(stretch[start:])
+    return start, start + int((rest.edits(rest.after(rest.at_start, passage), len(passage)) == edits).argmax())
+
+
+def align(passages: list[str], budgets: list[int], stretch: str) -> dict[int, tuple[int, int, int]]:
+    """By number in ``passages`` (sorted texts): (edits, start, stop) of the best match of the whole passage
+    with a part of ``stretch``, of those with at most as many edits as its budget."""
+    bits, found = Stretch(stretch), {}
+    todo = [(0, len(passages), 0, bits.anywhere)]   # passages that begin alike, how far they are read, the state
+    while todo:
+        first, stop, depth, state = todo.pop()
+        one, other = passages[first], passages[stop - 1]
+        x, y = _chars(one), _chars(other)
+        both = min(len(x), len(y))
+        apart = np.flatnonzero(x[:both] != y[:both])[:1]
+        shared, most = int(apart[0]) if len(apart) else both, max(budgets[first:stop])
+        while depth < shared:
+            step = min(shared, depth + CHECK_EVERY)
+            state, depth = bits.after(state, one[depth:step]), step
+            if bits.edits(state, depth).min() > most:
+                break
+        if depth < shared or bits.edits(state, depth).min() > most:
+            continue
+        # shorter passages come first among those that begin alike
+        while first < stop and len(passages[first]) == depth:
+            least = int(bits.edits(state, depth).min())
+            if least <= budgets[first]:
+                found[first] = (least, *place(passages[first], stretch, least))
+            first += 1
+        while first < stop:
+            ch, last = passages[first][depth], first + 1
+            while last < stop and passages[last][depth] == ch:
+                last += 1
+            todo.append((first, last, depth, state))
+            first = last
+    return found
 
 
 def _regions(codes: np.ndarray, text_at: np.ndarray, index: dict) -> np.ndarray:
@@ -128,14 +194,21 @@ def _regions(codes: np.ndarray, text_at: np.ndarray, index: dict) -> np.ndarray:
     real = index["keys"][slot] == codes[where]
     where, slot = where[real], slot[real]
     count = index["start"][slot + 1] - index["start"][slot]
-    hit = _expand(index["start"][slot], count)
-    place = np.repeat(where, count)
-    item = index["item"][hit]
-    step = index["edits"][item] + 1
-    text = np.searchsorted(text_at, place, "right") - 1
-    band = (place - text_at[text] - index["pos"][hit] + FROM) // step
-    key = (text.astype(np.int64) * len(index["ids"]) + item) << BAND_BITS
-    both, n = np.unique(np.concatenate([key + band, key + band - 1]), return_counts=True)
+    portion = np.cumsum(count) // POSTINGS
+    bands, counts = [], []
+    for i, j in itertools.pairwise([0, *(np.flatnonzero(np.diff(portion)) + 1).tolist(), len(where)]):
+        hit = _expand(index["start"][slot[i:j]], count[i:j])
+        place = np.repeat(where[i:j], count[i:j])
+        item = index["item"][hit]
+        step = index["edits"][item] + 1
+        text = np.searchsorted(text_at, place, "right") - 1
+        band = (place - text_at[text] - index["pos"][hit] + FROM) // step
+        key = (text.astype(np.int64) * len(index["ids"]) + item) << BAND_BITS
+        one, n = np.unique(np.concatenate([key + band, key + band - 1]), return_counts=True)
+        bands.append(one)
+        counts.append(n)
+    both, at = np.unique(np.concatenate(bands), return_inverse=True)
+    n = np.bincount(at, np.concatenate(counts), len(both))
     item = (both >> BAND_BITS) % len(index["ids"])
     found = np.flatnonzero(n >= index["need"][item])
     both, item = both[found], item[found]
@@ -144,6 +217,37 @@ def _regions(codes: np.ndarray, text_at: np.ndarray, index: dict) -> np.ndarray:
                             (both & ((1 << BAND_BITS) - 1)) * step - FROM])
 
 
+def _together(wanted: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+    """Sorted stretches (start, stop, passage) that overlap as one, at most twice as long as the shortest in it."""
+    a = b = least = 0
+    items: set[int] = set()
+    for start, stop, item in wanted:
+        if items and (start >= b or max(b, stop) - a > 2 * min(least, stop - start)):
+            yield a, b, tuple(sorted(items))
+            items = set()
+        if not items:
+            a, b, least = start, stop, stop - start
+        items.add(item)
+        b, least = max(b, stop), min(least, stop - start)
+    if items:
+        yield a, b, tuple(sorted(items))
+
+
+def _matches(part: str, items: tuple[int, ...], index: dict) -> dict[int, tuple[int, int, int]]:
+    """(edits, start, stop) by passage of ``items`` that the stretch ``part`` holds."""
+    found, rest = {}, []
+    for item in items:
+        passage = index["texts"][item]
+        at = part.find(passage)
+        if at >= 0:
+            found[item] = (0, at, at + len(passage))
+        elif index["edits"][item]:
+            rest.append(item)
+    rest.sort(key=lambda item: index["texts"][item])
+    near = align([index["texts"][i] for i in rest], [int(index["edits"][i]) for i in rest], part) if rest else {}
+    return found | {rest[i]: match for i, match in near.items()}
+
+
 def find_passages(texts: list[str | None], index: dict) -> list[tuple[int, int, int, int, int]]:
     """(text, passage, edits, start, stop) of the passages that the texts hold, in terms of the
     normalised texts."""
@@ -151,17 +255,22 @@ def find_passages(texts: list[str | None], index: dict) -> list[tuple[int, int,
     gap = np.full(Q, STOP, np.uint32)
     text_at = np.cumsum([0, *[len(p) + Q for p in plain]])[:-1]
     codes = _codes(np.concatenate([x for p in plain for x in (p, gap)]))
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    stretches: dict[int, list[tuple[int, int, int]]] = {}
     for text, item, low in _regions(codes, text_at, index).tolist():
-        if best.get((text, item), (1,))[0] == 0:
-            continue
-        edits, passage = int(index["edits"][item]), index["texts"][item]
-        a, b = max(0, low - edits), low + 2 * (edits + 1) + len(passage) + edits
-        at = plain[text][a:b].tobytes().decode("utf-32-le").find(passage)
-        found = ((0, a + at, a + at + len(passage)) if at >= 0 else
-                 align(_chars(passage), plain[text], low, 2 * (edits + 1), edits))
-        if found is not None and found < best.get((text, item), (1 << 20,)):
-            best[text, item] = found
+        edits, size = int(index["edits"][item]), len(index["texts"][item])
+        a, b = max(0, low - edits), min(len(plain[text]), low + 2 * (edits + 1) + size + edits)
+        if a < b:
+            stretches.setdefault(text, []).append((a, b, item))
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    known: dict[tuple[str, tuple[int, ...]], dict[int, tuple[int, int, int]]] = {}   # copies hold the same
+    for text, wanted in stretches.items():
+        for a, b, items in _together(sorted(wanted)):
+            part = plain[text][a:b].tobytes().decode("utf-32-le")
+            if (part, items) not in known:
+                known[part, items] = _matches(part, items, index)
+            for item, (edits, start, stop) in known[part, items].items():
+                found = (edits, a + start, a + stop)
+                best[text, item] = min(best.get((text, item), found), found)
     return [(*k, *v) for k, v in sorted(best.items())]
 
 

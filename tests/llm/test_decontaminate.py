@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -18,6 +19,16 @@ def edits(passage, text):
     return min(row)
 
 
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(row[j - 1] + (x != y), row[j] + 1, now[-1] + 1))
+        row = now
+    return row[-1]
+
+
 def mangle(rng, text, n):
     out = list(text)
     for _ in range(n):
@@ -91,6 +102,53 @@ def test_blocks_of_the_benchmark_give_the_same_rows(spark, monkeypatch):
     assert plain and plain <= {(r[0], r[1]) for r in once}
 
 
+def test_alignment_finds_the_first_of_the_best(spark):
+    rng = random.Random(8)
+    for _ in range(60):
+        passage = "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 12)))
+        text = "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 30)))
+        best = min((edits_between(passage, text[a:b]), a, b) for a in range(len(text) + 1) for b in range(a, len(text) + 1))
+        assert decontaminate.align([passage], [20], text) == {0: best}
+        assert decontaminate.align([passage], [best[0] - 1], text) == {}
+
+
+def test_passages_that_begin_alike_are_aligned_as_if_alone():
+    rng = random.Random(9)
+    stem = "".join(rng.choice("abcd ") for _ in range(150))
+    passages = sorted(stem[:rng.choice((60, 100, 150))] + "".join(rng.choice("abcd ") for _ in range(rng.randrange(60)))
+                      for _ in range(40))
+    passages = sorted(passages + passages[:3] + [stem[:60], stem])
+    budgets = [len(p) // rng.choice((4, 6, 12)) for p in passages]
+    text = "xx" + mangle(rng, passages[7], 6) + "xx"
+    alone = {}
+    for i, (p, e) in enumerate(zip(passages, budgets)):
+        for match in decontaminate.align([p], [e], text).values():
+            alone[i] = match
+            assert match[0] == edits(p, text)
+        assert (i in alone) == (edits(p, text) <= e)
+    assert decontaminate.align(passages, budgets, text) == alone and 5 < len(alone) < len(passages)
+
+
+def test_many_passages_of_one_stem(spark):
+    rng = random.Random(10)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    stem = prose(140)
+    items = [(i, stem + " " + prose(130)) for i in range(4000)]
+    docs = [(i, prose(20) + " " + mangle(rng, items[17 * i][1], 9) + " " + prose(20)) for i in range(3)]
+    docs += [(9, stem + " and then something else " + prose(120)), (10, docs[0][1])]
+    start = time.time()
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.contaminated(*frames(spark, docs, items)).collect()}
+    assert set(got) == {(0, 0), (1, 17), (2, 34), (10, 0)} and all(0 < e <= 9 for e in got.values())
+    assert time.time() - start < 120
+
+
+def test_portions_of_postings_give_the_same_rows(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    once = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "POSTINGS", 50)
+    assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == once
+
+
 @pytest.mark.parametrize("docs,items", [([], [(1, "some benchmark passage")]), ([(1, "text")], [])])
 def test_empty_tables(spark, docs, items):
     d, b = frames(spark, docs, items)
