@@ -6,7 +6,8 @@ outside the vocabulary weighs as one that no file has. The units are the lines o
 text, and its leading block: the comment that it starts with, or else its first paragraph, as one
 text, so that a notice may be wrapped in any way. There are two vocabularies: that of the one-line
 notices, which all units are compared with, and that of the full texts of licences and the notices of
-several lines, which leading blocks are compared with, and whole files with the full texts. A file
+several lines, which leading blocks are compared with, and whole files with the full texts. Notices that differ in a
+version number only stand beside each other in every wording, so that the number decides. A file
 whose whole text matches is a licence file, one with a matching line or block has a licence header; a
 match with the longer templates counts before one with a single line.
 
@@ -71,11 +72,6 @@ compliance with the License. You may obtain a copy of the License at http://www.
 required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
 BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License.""",
-    "GPL-3.0": _GNU.format("program", "General Public License", "3") + _SEE,
-    "GPL-2.0": _GNU.format("program", "General Public License", "2") + _WRITE,
-    "LGPL-3.0": _GNU.format("library", "Lesser General Public License", "3") + _SEE,
-    "LGPL-2.1": _GNU.format("library", "Lesser General Public License", "2.1") + _WRITE,
-    "AGPL-3.0": _GNU.format("program", "Affero General Public License", "3") + _SEE,
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
 was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "BSD-3-Clause": """Copyright (c) All rights reserved. Use of this source code is governed by a BSD-style license that can
@@ -86,6 +82,15 @@ https://opensource.org/licenses/MIT.""",
 at http://www.boost.org/LICENSE_1_0.txt)""",
 }
 
+# the notices of the GNU licences end either way, and name a program or a library, whatever the version
+for _name, _license, _version in (
+        ("GPL-3.0", "General Public License", "3"), ("GPL-2.0", "General Public License", "2"),
+        ("LGPL-3.0", "Lesser General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"),
+        ("AGPL-3.0", "Affero General Public License", "3")):
+    for _work in ("program", "library"):
+        for _kind, _end in (("see", _SEE), ("write", _WRITE)):
+            HEADERS[f"{_name}/{_work}/{_kind}"] = _GNU.format(_work, _license, _version) + _end
+
 WORD = "[a-z0-9]+"
 
 # What a leading block is, in Java's expressions: a comment between marks, or lines with a mark of their own
@@ -101,7 +106,7 @@ _PARAGRAPH = r"(?s)^\s*+.*?(?:\n[ \t]*\r?\n|\z)"
 def long_templates() -> dict[str, str]:
     """The full texts in ``license_texts`` by licence, and the headers by ``licence/header``. The AGPL is the GPL in
     its own name."""
-    texts = {p.stem: p.read_text() for p in (Path(__file__).parent / "license_texts").glob("*.txt")}
+    texts = {p.stem: p.read_text(encoding="utf-8") for p in (Path(__file__).parent / "license_texts").glob("*.txt")}
     texts["AGPL-3.0"] = re.sub(r"(?i)(GNU\s+)(General\s+Public)", r"\1Affero \2", texts["GPL-3.0"])
     return texts | {f"{name}/header": text for name, text in HEADERS.items()}
 

@@ -127,7 +127,7 @@ def test_licence_texts_and_wrapped_headers(spark):
     docs = [(r["doc_id"], f"docs/{r['doc_id']}", r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()]
     mit = texts["MIT"].replace("MIT License", "The MIT License (MIT)").replace("(c)", "(c) 2019 Some Body and contributors")
     bsd = texts["BSD-3-Clause"].replace("(c)", "(c) 2001-2011, Example Inc").replace("\n\n", "\r\n\r\n")
-    gpl = "widget.c - draws widgets\nCopyright (C) 2020 Some Body <some@body.example>\n\n" + licenses.HEADERS["GPL-3.0"].replace("program;", "program:")
+    gpl = "widget.c - draws widgets\nCopyright (C) 2020 Some Body <some@body.example>\n\n" + licenses.HEADERS["GPL-3.0/program/see"].replace("program;", "program:")
     apache = "Copyright 2021 The Example Authors. All rights reserved.\n" + licenses.HEADERS["Apache-2.0"]
     code = "\n\nint value = compute(other, thing);\nwhile (value) { step(value); }" * 40
     files = [
@@ -145,3 +145,29 @@ def test_licence_texts_and_wrapped_headers(spark):
         1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("BSD-3-Clause", "file"), 4: ("GPL-2.0", "file"),
         5: ("Apache-2.0", "file"), 6: ("Apache-2.0", "inherited"), 7: ("GPL-3.0", "header"), 8: ("Apache-2.0", "header"),
         9: ("MPL-2.0", "header"), 10: ("GPL-2.0", "header"), 11: (None, None), 12: ("AGPL-3.0", "file"), 13: (None, None)}
+
+
+def test_the_version_of_a_notice_decides(spark):
+    docs = [(r["doc_id"], f"docs/{r['doc_id']}", r["text"])
+            for r in spark.read.parquet(f"{SF}/documents.parquet").limit(200).collect()]
+    code = "\n\nint value = compute(other, thing);\nwhile (value) { step(value); }" * 40
+    see = "If not, see <https://www.gnu.org/licenses/>."
+    write = "if not, write to the Free Software Foundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA"
+    files, want = [], {}
+    for name in ("General", "Lesser General", "Affero General"):
+        for version in {"General": ("2", "3"), "Lesser General": ("2.1", "3"), "Affero General": ("3",)}[name]:
+            for end in (see, write):
+                for work in ("program", "library", "file"):
+                    text = (f"Copyright (C) 2012 Some Body\n\nThis {work} is free software: you can redistribute it and/or modify it under "
+                            f"the terms of the GNU {name} Public License as published by the Free Software Foundation; either "
+                            f"version {version} of the License, or (at your option) any later version.\n\nThis {work} is distributed "
+                            "in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+                            "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+                            f"{name} Public License for more details.\n\nYou should have received a copy of the GNU {name} Public "
+                            f"License along with this {work}. {end}")
+                    i = 10**6 + len(files)
+                    files.append((i, f"s/{i}.c", "/*\n" + wrapped(text, " * ", 70) + "\n */" + code))
+                    short = {"General": "GPL", "Lesser General": "LGPL", "Affero General": "AGPL"}[name]
+                    want[i] = (f"{short}-{version}{'' if '.' in version else '.0'}", "header")
+    got = run(spark, docs + files)
+    assert {i: (got[i]["license"], got[i]["how"]) for i in want} == want
