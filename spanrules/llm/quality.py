@@ -17,7 +17,8 @@ feature vectors. Scoring covers every document, whole texts, in one pass without
 
 Defined cases: a null text counts as empty; null language, source or size have a feature of
 their own; labels that are null or belong to no document are ignored; of repeated labels of an
-id the smallest counts; with no labelled rows of both kinds nothing can be learned and every
+id the smallest counts; of rows that repeat a drawn id the one that is least by text, language and source
+teaches, and every row has a score of its own; with no labelled rows of both kinds nothing can be learned and every
 score is 0.5, which keeps the document; an empty table gives an empty result.
 """
 
@@ -204,7 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
     # max_labelled + max_pool ids at most: the join that picks their texts can be a broadcast
     wanted = F.broadcast(known.unionByName(spare))
     picked = (docs.select(F.col(id_col).alias("id"), *_inputs(docs)).join(wanted, "id")
-              .withColumn("h", key).dropDuplicates(["id"]))
+              .groupBy("id", "y").agg(F.min(F.struct("text", "lang", "source")).alias("row"))
+              .select("row.*", key.alias("h"), "y"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -216,8 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
                      pa.array([r.astype("<f4").tobytes() for r in b], pa.binary())],
                     names=["h", "y", "a", "b"])
 
-    rows = (picked.select("text", "lang", "source", "h", "y")
-            .mapInArrow(features, "h long, y double, a binary, b binary").orderBy("h").toPandas())
+    rows = (picked.mapInArrow(features, "h long, y double, a binary, b binary").orderBy("h").toPandas())
     if rows.empty:
         return None
     views = [np.stack([np.frombuffer(v, "<f4") for v in rows[c]]).astype(float) for c in ("a", "b")]

@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from spanrules.llm import quality
 
 SF = "/root/testdata/sf0.1"
@@ -56,3 +58,15 @@ def test_views_teach_each_other():
     p = model.score(tuple(v[test] for v in views))
     assert np.mean((p > 0.5) == y[test]) > 0.97
     assert quality.co_train(tuple(v[:4] for v in views), np.ones(4), held[:4], tuple(v[pool] for v in views)) is None
+
+
+def test_of_rows_that_repeat_an_id_the_least_teaches(spark, tables):
+    docs, labels = tables
+    docs = docs.select("doc_id", "text", "lang", "source").where("text IS NOT NULL")
+    other = docs.select("doc_id", (F.concat(F.lit("\U0010ffff"), F.reverse("text"))).alias("text"), "lang", "source")
+    once = quality.fit(docs, labels, max_labelled=300, max_pool=100)
+    for both in (docs.unionByName(other).unionByName(docs), other.unionByName(docs).repartition(5)):
+        model = quality.fit(both, labels, max_labelled=300, max_pool=100)
+        a, b = (sorted((r["doc_id"], round(r["score"], 9)) for r in quality.with_scores(docs, m).collect())
+                for m in (once, model))
+        assert a == b
