@@ -67,7 +67,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = langid.learn(docs.where(~held_out))
-    return langid.label_spans(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return langid.label_spans(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
