@@ -59,6 +59,8 @@ def content_features(texts: pa.Array) -> np.ndarray:
     pair = code.copy()
     if len(raw):
         pair[:-1] = code[:-1] * 256 + code[1:]
+        last = at[1:][sizes > 0] - 1       # no pair reaches into the text that happens to follow
+        pair[last] = code[last]
     bucket = ((pair * np.uint32(2654435761)) >> np.uint32(32 - 9)).astype(np.int64)
     hist = np.bincount(doc * PAIRS + bucket, minlength=n * PAIRS).reshape(n, PAIRS)
     shares = np.sqrt(hist / np.maximum(sizes, 1)[:, None])

@@ -1,6 +1,6 @@
 import numpy as np
+import pyarrow as pa
 import pytest
-
 from pyspark.sql import functions as F
 
 from spanrules.llm import quality
@@ -70,3 +70,14 @@ def test_of_rows_that_repeat_an_id_the_least_teaches(spark, tables):
         a, b = (sorted((r["doc_id"], round(r["score"], 9)) for r in quality.with_scores(docs, m).collect())
                 for m in (once, model))
         assert a == b
+
+
+def test_features_of_a_text_do_not_depend_on_its_neighbours():
+    texts = ["one text", "", None, "zwei Texte", "q", "ещё один"]
+    together = quality.content_features(pa.array(texts, pa.string()))
+    for i, text in enumerate(texts):
+        assert (quality.content_features(pa.array([text], pa.string()))[0] == together[i]).all()
+    names = ["en", None, "de", "de", "x", "ru"]
+    together = quality.metadata_features(pa.array(texts, pa.string()), names, names)
+    for i, text in enumerate(texts):
+        assert (quality.metadata_features(pa.array([text], pa.string()), names[i:i + 1], names[i:i + 1])[0] == together[i]).all()
