@@ -9,7 +9,8 @@ Reading, through :func:`read_dump`:
   source, so Spark evaluates nothing again;
 * a filter on the start time leaves out the files of other periods before any is opened (files whose name
   has no date are always read; ``periods=False`` trusts no name);
-* files are cut into byte ranges, one Spark partition each, and read line by line.
+* files are cut into byte ranges, one Spark partition each, and parsed block by block as Arrow columns; blocks
+  that hold anything but one plain span per line are read line by line.
 
 Writing, through :func:`write_dump`, deals spans by month and writes one file per month and task. A file counts once
 the manifest that the driver writes at the end names it, so a task that runs twice leaves nothing that is read.
@@ -27,7 +28,9 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter,
@@ -42,7 +45,9 @@ FIELDS = {"traceId": pa.string(), "name": pa.string(), "duration": pa.int64(), "
 SCHEMA = ", ".join(f"{n} {'long' if t == pa.int64() else 'string'}" for n, t in FIELDS.items())
 MANIFEST = "_files.json"
 SPLIT_BYTES = 64 << 20
+BLOCK_BYTES = 1 << 20
 BATCH_ROWS = 8192
+NO_MONTH = np.iinfo(np.int64).min
 
 ship_by_value(__name__)
 
@@ -150,44 +155,100 @@ class SpanDumpReader(DataSourceReader):
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         tests = [_test(f) for f in self.pushed]
-        rows: list[dict] = []
         # (a dump without files has no piece)
-        for span in spans_of(partition.path, partition.start, partition.end) if partition else ():
-            if all(t(span) for t in tests):
-                rows.append(span)
-                if len(rows) == BATCH_ROWS:
-                    yield _batch(rows)
-                    rows = []
-        yield _batch(rows)
+        for block, at in blocks_of(partition.path, partition.start, partition.end) if partition else ():
+            spans = _columns(block)
+            if spans is not None:
+                for f in self.pushed:
+                    spans = spans.filter(_mask(f, spans))
+                yield from spans.to_batches(max_chunksize=BATCH_ROWS)
+                continue
+            rows: list[dict] = []
+            for span in _spans(partition.path, block, at):
+                if all(t(span) for t in tests):
+                    rows.append(span)
+                    if len(rows) == BATCH_ROWS:
+                        yield _batch(rows)
+                        rows = []
+            yield _batch(rows)
+
+
+def _mask(f: Filter, spans: pa.Table):
+    """The condition of a filter that :func:`_test` knows, on columns; null counts as false."""
+    c, v = spans.column(f.attribute[0]), getattr(f, "value", None)
+    if isinstance(f, IsNull) or (isinstance(f, EqualNullSafe) and v is None):
+        return pc.is_null(c)
+    if isinstance(f, IsNotNull):
+        return pc.is_valid(c)
+    if isinstance(f, In):
+        return pc.is_in(c, value_set=pa.array([x for x in v if x is not None], c.type))
+    compare = {EqualTo: pc.equal, EqualNullSafe: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal,
+               LessThan: pc.less, LessThanOrEqual: pc.less_equal}[type(f)]
+    return pc.fill_null(compare(c, pa.scalar(v, c.type)), False)
+
+
+def _columns(block: bytes) -> pa.Table | None:
+    """The spans of whole lines, or None if they are not surely one plain object with fields of our types each."""
+    from pyarrow import json as columns
+
+    lines = block.count(b"\n") + (not block.endswith(b"\n"))
+    ends = block.count(b"}\n{")
+    if ends != lines - 1 or not block.startswith(b"{") or not block.endswith((b"}\n", b"}")):
+        return None
+    if b"_source" in block or b"\\u" in block or not block.isascii():
+        return None
+    try:
+        found = columns.read_json(pa.BufferReader(block), columns.ReadOptions(use_threads=False, block_size=len(block) + 1),
+                                  columns.ParseOptions(pa.schema(list(FIELDS.items())), unexpected_field_behavior="ignore"))
+    except pa.ArrowInvalid:
+        return None
+    return found.select(list(FIELDS)) if found.num_rows == lines else None
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[n] for r in rows], t) for n, t in FIELDS.items()], names=list(FIELDS))
 
 
-def spans_of(path: str, start: int, end: int) -> Iterator[dict]:
-    """The spans of the lines that start in a byte range of a file."""
+def blocks_of(path: str, start: int, end: int) -> Iterator[tuple[bytes, int]]:
+    """The lines that start in a byte range of a file, in blocks of whole lines, and where each block starts."""
     system, inner = file_system(path)
     with system.open_input_file(inner) as raw:
-        at = start
-        if start:
-            raw.seek(start - 1)
-        else:
-            raw.seek(0)
-        lines = _lines(raw)
-        if start:  # the line that the byte before belongs to is another piece's
-            at = start - 1 + len(next(lines, b""))
-        for line in lines:
+        at = max(start - 1, 0)
+        raw.seek(at)
+        skip, rest = start > 0, b""  # the line that the byte before belongs to is another piece's
+        while True:
+            more = raw.read(BLOCK_BYTES)
+            cut = more.rfind(b"\n") + 1
+            if more and not cut:
+                rest += more
+                continue
+            block, rest = (rest + more[:cut], more[cut:]) if more else (rest, b"")
+            if skip and block:
+                first = block.find(b"\n") + 1 or len(block)
+                block, at, skip = block[first:], at + first, False
+            if at + len(block) > end > at:  # up to the end of the line that the last byte belongs to
+                last = block.find(b"\n", end - 1 - at) + 1
+                block = block[:last or len(block)]
             if at >= end:
                 return
-            at += len(line)
-            if line.strip():
-                try:
-                    hit = json.loads(line)
-                    span = hit.get("_source", hit)
-                    yield {n: _as(t, span.get(n)) for n, t in FIELDS.items()}
-                except (ValueError, AttributeError, TypeError) as e:
-                    raise ValueError(f"{path}: a line that ends at byte {at} is no span: {e}") from None
+            if block:
+                yield block, at
+            at += len(block)
+            if not more:
+                return
+
+
+def _spans(path: str, block: bytes, at: int) -> Iterator[dict]:
+    """The spans of a block of lines, one by one."""
+    for line in block.split(b"\n"):
+        at += len(line) + 1
+        if line.strip():
+            try:
+                hit = json.loads(line)
+                span = hit.get("_source", hit)
+                yield {n: _as(t, span.get(n)) for n, t in FIELDS.items()}
+            except (ValueError, AttributeError, TypeError) as e:
+                raise ValueError(f"{path}: a line that ends at byte {at} is no span: {e}") from None
 
 
 def _as(kind: pa.DataType, value):
@@ -196,13 +257,21 @@ def _as(kind: pa.DataType, value):
     return int(value) if kind == pa.int64() else value if isinstance(value, str) else json.dumps(value)
 
 
-def _lines(raw, size: int = 1 << 20) -> Iterator[bytes]:
-    rest = b""
-    while block := raw.read(size):
-        *whole, rest = (rest + block).split(b"\n")
-        yield from (x + b"\n" for x in whole)
-    if rest:
-        yield rest
+def _lines(spans: pa.RecordBatch) -> pa.Array:
+    """The JSON line of each span, without its nulls."""
+    parts = []
+    for name in (n for n in spans.schema.names if n in FIELDS):
+        column = spans.column(name)
+        if FIELDS[name] == pa.string():
+            if pc.any(pc.match_substring_regex(column, r'[^ !#-\[\]-~]')).as_py():  # quotes, controls and other letters
+                text = pa.array([None if x is None else json.dumps(x) for x in column.to_pylist()], pa.string())
+            else:
+                text = pc.binary_join_element_wise('"', column.cast(pa.string()), '"', "")
+        else:
+            text = column.cast(pa.string())
+        parts.append(pc.fill_null(pc.binary_join_element_wise(f', "{name}": ', text, ""), ""))
+    # (a join that skips nulls loses the rows that have nothing else)
+    return pc.binary_join_element_wise("{", pc.binary_replace_slice(pc.binary_join_element_wise(*parts, ""), 0, 2, ""), "}\n", "")
 
 
 @dataclass
@@ -220,16 +289,24 @@ class SpanDumpWriter(DataSourceArrowWriter):
         system, inner = file_system(self.path)
         names, out, month = [], None, None
         for batch in iterator:
-            for row in batch.to_pylist():
-                start = row["timestamp"]
-                this = None if start is None else (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=start)).strftime("%Y-%m")
-                if out is None or this != month:
+            starts = batch.column("timestamp")
+            months = np.where(starts.is_null(), NO_MONTH,
+                              pc.fill_null(starts, 0).to_numpy().astype("datetime64[us]").astype("datetime64[M]").astype(np.int64))
+            lines = _lines(batch).cast(pa.large_string())
+            edges = [0, *(np.flatnonzero(np.diff(months)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if out is None or months[a] != month:
                     if out is not None:
                         out.close()
-                    month = this
-                    names.append(f"spans-{month or 'undated'}-{uuid.uuid4().hex}.jsonl")
+                    month = months[a]
+                    named = "undated" if month == NO_MONTH else str(np.datetime64(int(month), "M"))
+                    names.append(f"spans-{named}-{uuid.uuid4().hex}.jsonl")
                     out = system.open_output_stream(f"{inner}/{names[-1]}")
-                out.write(json.dumps({k: v for k, v in row.items() if k in FIELDS and v is not None}).encode() + b"\n")
+                _, offsets, data = lines.buffers()
+                at = np.frombuffer(offsets, np.int64)
+                out.write(data.slice(int(at[lines.offset + a]), int(at[lines.offset + b] - at[lines.offset + a])))
         if out is not None:
             out.close()
         return Written(names)

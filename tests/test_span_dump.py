@@ -106,3 +106,28 @@ def test_a_file_that_no_manifest_names_is_not_read(spark, dump):
                                         ("x-1970-12", (334 * DAY, 365 * DAY)), ("x-1970-13", None), ("11970-01", None), ("plain", None)])
 def test_periods(name, want):
     assert span_dump.period(name) == want
+
+
+def test_plain_spans_are_parsed_and_written_as_columns():
+    import pyarrow as pa
+
+    plain = b'{"traceId": "a", "duration": 5}\n{"traceId": "b", "more": [1]}\n'
+    got = span_dump._columns(plain).to_pylist()
+    assert [(r["traceId"], r["duration"], r["name"]) for r in got] == [("a", 5, None), ("b", None, None)]
+    for odd in (b'{"traceId": "a"}\n\n{"traceId": "b"}\n', b'{"_source": {"traceId": "a"}}\n', b'{"id": 7}\n', b'{"duration": 1.5}\n',
+                b'{"id": "\\u00e9"}\n', b'[1]\n', b'{"id": "a"}{"id": "b"}\n', b'{"id": "a"\n'):
+        assert span_dump._columns(odd) is None
+    row = {"traceId": 'q"\\', "name": "é\n", "duration": -3, "id": None, "kind": "", "timestamp": 0, "parentId": "p", "experiment": None}
+    lines = span_dump._lines(span_dump._batch([row, dict.fromkeys(row)])).to_pylist()
+    assert lines == [json.dumps({k: v for k, v in row.items() if v is not None}) + "\n", "{}\n"]
+
+
+@pytest.mark.parametrize("split", [1, 7, 30, 64, 1000])
+@pytest.mark.parametrize("block", [5, 40, 1 << 20])
+def test_each_line_belongs_to_one_piece(tmp_path, monkeypatch, split, block):
+    monkeypatch.setattr(span_dump, "BLOCK_BYTES", block)
+    text = b"".join(b'{"id": "%s"}\n' % (b"x" * i) for i in range(20)) + b'\n{"id": "last"}'
+    path = tmp_path / "spans.json"
+    path.write_bytes(text)
+    got = b"".join(b for at in range(0, len(text), split) for b, _ in span_dump.blocks_of(str(path), at, min(at + split, len(text))))
+    assert got == text
