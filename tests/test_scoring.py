@@ -248,6 +248,20 @@ def test_bitmap_portions(spark, monkeypatch):
         assert (r["tp"], r["fp"]) == _expected(x, y, space, [(c["c"], c["lo"], c["hi"]) for c in r["rule"]])
 
 
+def test_bitmaps_of_blocks_are_not_sorted_rule_by_rule(spark, monkeypatch):
+    from spanrules.operators import bitmaps
+    monkeypatch.setattr(bitmaps, "RULES_AT_ONCE", 2)
+    x, y, df, space = _wide(spark, n=40000, k=3)
+    rules = [[], [(0, 0, 1), (1, 0, 2)], [(2, 0, 2)], [(0, 0, 2), (1, 1, 3), (2, 0, 1)], [(1, 1, 2)]]
+    sc = scoring.Scorer.for_space(cube_ops.bucket_rows(df.coalesce(1), space), space, grid=0)
+    assert sc.index().table.select("block").distinct().count() == 2
+    frame = rules_frame(spark, rules)
+    plan = sc.index().counts(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_and_agg" not in plan and "SortAggregate" not in plan  # a bitmap for each block and rule
+    for r in sc.score(frame).collect():
+        assert (r["tp"], r["fp"]) == _expected(x, y, space, [(c["c"], c["lo"], c["hi"]) for c in r["rule"]])
+
+
 def test_rule_sets_by_inclusion_and_exclusion(spark):
     x, y, df, space = _wide(spark, n=250, k=5)
     sets = [[[(0, 0, 1)], [(0, 1, 2), (1, 0, 2)], [(1, 0, 3)], [(2, 0, 2), (3, 1, 3)]],
