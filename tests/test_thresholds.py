@@ -194,3 +194,32 @@ def test_forest_of_one_class_and_of_nothing(spark):
     assert (r["id"], r["left"], r["neg"], r["pos"]) == (0, -1, 0, 2)
     assert forest.grow_forest(df.limit(0), "y", ["a"], 1.0, num_trees=2).count() == 0
     assert forest.forest_predicates(df, "y", ["a"], 1.0, num_trees=1).count() == 0
+
+
+@pytest.mark.parametrize("held, ways", [(1 << 21, 1 << 13), (1 << 21, 2), (0, 1 << 13), (0, 2)])
+def test_a_forest_writes_bins_not_every_value_of_every_region(spark, monkeypatch, held, ways):
+    """What a level writes does not grow with the distinct values of its regions, and the trees are the exact ones,
+    whether a task holds the bins and follows the boxes or not."""
+    monkeypatch.setattr(forest, "BINS", 16, raising=False)
+    monkeypatch.setattr(forest, "DENSE_BINS", held, raising=False)
+    monkeypatch.setattr(forest, "BROADCAST_BOXES", ways)
+    rng = np.random.default_rng(7)
+    x = rng.random((600, 3)).round(4)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:200, 1] = 0.25
+    y = ((np.nan_to_num(x[:, 0], nan=2) > 0.6) ^ (rng.random(600) < 0.1)).astype(int)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, y double")
+    written, cut = [], forest.cut_lineage
+
+    def counted(table):
+        out = cut(table)
+        if "f" in out.columns and "from" not in out.columns and "tree" not in out.columns:
+            written.append((out.count(), out.select("region").distinct().count()))
+        return out
+
+    monkeypatch.setattr(forest, "cut_lineage", counted)
+    got = forest.grow_forest(df, "y", ["a", "b", "c"], 0.5, num_trees=2, feature_fraction=0.7, leaf_fraction=0.15).collect()
+    assert written and all(n <= regions * 3 * 17 for n, regions in written)
+    for tree in range(2):
+        mine = {r["id"]: (r["feature"], r["threshold"], r["neg"], r["pos"]) for r in got if r["tree"] == tree}
+        assert mine == _grow(x, y, int(y.sum() * 0.15), 2, tree, 42)
