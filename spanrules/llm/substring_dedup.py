@@ -18,7 +18,9 @@ map-side combine (a passage that a third of all documents share is one row per t
 digests that two or more documents have select the repeated ones. Runs are found within a
 document, whose chunks are bounded by its text. A seed grows by the ``CONTEXT`` characters beside it
 and beside its first and last chunk in the owner's text, both cut out in a pass over the texts;
-those that are the same throughout take another pass with four times as many, until none is.
+those that are the same throughout take another pass with four times as many, until none is. What lies
+between two runs of one owner at one distance is compared once, by digest, not by each run before it.
+A pass shuffles the texts that a filter of the ids with open ends lets through.
 
 Defined cases: a null or empty text has no chunks; rows that repeat an id count as one document; a
 text that never meets the mask is one chunk; an empty table gives an empty result; other columns
@@ -29,14 +31,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanrules.llm.common import broadcast_if_small, fresh, slices, text_bytes
+from spanrules.llm.common import BROADCAST_BYTES, broadcast_if_small, fresh, slices, text_bytes
 from spanrules.session import cut_lineage
 
 MASK_BITS = 5
@@ -44,6 +45,8 @@ MIN_CHUNK = 16
 WINDOW = 32
 MIN_CHARS = 100
 CONTEXT = 96
+FILTER_WORDS = BROADCAST_BYTES // 32
+POINT = "at int, size int, d1 long, left boolean, off int, gap int, upto int, owner long, src int, room int"
 
 
 def _gear() -> np.ndarray:
@@ -139,78 +142,141 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                                 "again: boolean, first: int>>")
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``doc`` is not in ``wanted``: hashes of the wanted ones are bits in
+    words of 64, of which ``FILTER_WORDS`` at most are broadcast."""
+    word, bit = f"pmod(shiftright(xxhash64(doc), 6), {FILTER_WORDS})", "cast(xxhash64(doc) & 63 as int)"
+    words = wanted.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("bits"))
+    return (rows.withColumn("word", F.expr(word)).join(F.broadcast(words), "word")
+            .where(f"bit_get(bits, {bit}) = 1").drop("word", "bits"))
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
 def _contexts(docs: DataFrame, points: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """For ``points`` (``doc, at, size, d1, left, off``: a chunk, a side and how far from the chunk) the
-    ``length`` characters there, those on the left in reverse."""
+    """For ``points`` (``doc`` and the columns of ``POINT``: a chunk, a side, how far from the chunk and what
+    goes along) the ``upto`` characters there, those on the left in reverse, and the digest of the ``gap``
+    characters there if ``gap`` is not 0."""
+    names = [f.split()[0] for f in POINT.split(", ")]
+    here = ("at", "size", "d1", "left", "off", "gap", "upto")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1 << 20):
-                out: list[tuple] = []
-                for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wanted"))):
-                    for w in wanted:
-                        a, b = w["at"], w["at"] + w["size"]
-                        # another row of the same id may hold something else there
-                        own = hashlib.blake2b(text[a:b].encode(), digest_size=16).digest()[:8]
-                        if int.from_bytes(own, "little", signed=True) != w["d1"]:
-                            continue
-                        a, b = max(0, a - w["off"]), b + w["off"]
-                        near = text[max(0, a - length):a][::-1] if w["left"] else text[b:b + length]
-                        out.append((doc, w["at"], w["left"], w["off"], near))
-                cols = list(zip(*out)) or [()] * 5
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (
-                    pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.string()))],
-                    names=["doc", "at", "left", "off", "near"])
-
-    wanted = cut_lineage(points.groupBy("doc").agg(
-        F.collect_set(F.struct("at", "size", "d1", "left", "off")).alias("wanted")))
+                wanted = batch.column("wanted")
+                items = wanted.flatten()
+                cols = dict(zip(names, items.flatten()))
+                kept, near, sums, row = [], [], [], -1
+                of = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy()).tolist()
+                for k, (i, at, size, d1, left, off, gap, upto) in enumerate(
+                        zip(of, *(cols[c].to_pylist() for c in here))):
+                    if i != row:
+                        row, text = i, batch.column("text")[i].as_py()
+                    a, b = at, at + size
+                    # another row of the same id may hold something else there
+                    if int.from_bytes(_digest(text[a:b])[:8], "little", signed=True) != d1:
+                        continue
+                    a, b = max(0, a - off), b + off
+                    kept.append(k)
+                    near.append(text[max(0, a - upto):a][::-1] if left else text[b:b + upto])
+                    sums.append(_digest(text[max(0, a - gap):a] if left else text[b:b + gap]) if gap else None)
+                doc = batch.column("doc").take(pa.array(of, pa.int64()))
+                kept = pa.array(kept, pa.int64())
+                yield pa.record_batch([doc.take(kept), *(cols[c].take(kept) for c in names),
+                                       pa.array(near, pa.string()), pa.array(sums, pa.binary())],
+                                      names=["doc", *names, "near", "gap_sum"])
+
+    wanted = cut_lineage(points.groupBy("doc").agg(F.collect_set(F.struct(*names)).alias("wanted")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return cut_lineage(rows.where("text IS NOT NULL").join(broadcast_if_small(wanted, 2048), "doc")
-                       .select("doc", "text", "wanted")
-                       .mapInArrow(cut, "doc long, at int, left boolean, off int, near string"))
+    small = broadcast_if_small(wanted, 2048)
+    if small is wanted:  # the texts are shuffled
+        rows = _likely(rows, wanted)
+    return cut_lineage(rows.where("text IS NOT NULL").join(small, "doc").select("doc", "text", "wanted")
+                       .mapInArrow(cut, f"doc long, {POINT}, near string, gap_sum binary"))
 
 
-def _grown(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _same(x: str, y: str) -> int:
+    """How many characters ``x`` and ``y`` have in common from the start."""
+    low, high = 0, min(len(x), len(y))
+    if x[:high] == y[:high]:
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if x[low:mid] == y[low:mid] else (low, mid)
+    return low
+
+
+def _grown(docs: DataFrame, runs: DataFrame, mixed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, at, left, owner, src, grown``: for either side of the removed ``runs`` the chunk at that end,
-    the same chunk in the owner's text, and by how many characters the run grows there."""
+    the same chunk in the owner's text, and by how many characters the run grows there.
+
+    A run is compared as far as the next run of the same owner and distance: if all between them is the same,
+    it grows by that, by the other run and by what the other run grows. The ids in ``mixed`` stand for
+    several texts, so theirs are compared to the end."""
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = []
-            for x, y in zip(batch.column("near").to_pylist(), batch.column("far").to_pylist()):
-                n.append(len(commonprefix((x, y))))
-            yield pa.record_batch([*(batch.column(c) for c in ("id", "at", "left", "size", "d1", "owner", "src", "off")),
-                                   pa.array(n, pa.int32())],
-                                  names=["id", "at", "left", "size", "d1", "owner", "src", "off", "more"])
-
-    sides = [runs.where("removed").select("id", F.col(f"{end}.start").alias("at"), F.lit(end == "head").alias("left"),
-                                          *[f"{end}.{c}" for c in ("size", "d1", "owner", "src")],
-                                          F.lit(0).alias("off")) for end in ("head", "tail")]
-    open_ends = cut_lineage(sides[0].unionByName(sides[1]).distinct())
+        for whole in batches:
+            for batch in slices(whole, column="near"):
+                n = []
+                for x, y, a, b, gap in zip(*(batch.column(c).to_pylist()
+                                             for c in ("near", "far", "gap_sum", "far_sum", "gap"))):
+                    n.append(gap if gap and a == b else _same(x, y))
+                yield pa.record_batch([*(batch.column(c) for c in end), pa.array(n, pa.int32())], names=[*end, "more"])
+
+    end = ["id", "at", "left", "size", "d1", "owner", "src", "off", "room"]
+    sides = [runs.where("removed").select("id", F.col(f"{chunk}.start").alias("at"), F.lit(chunk == "head").alias("left"),
+                                          *[f"{chunk}.{c}" for c in ("size", "d1", "owner", "src")],
+                                          F.lit(0).alias("off"), F.col(room).alias("room"))
+             for chunk, room in (("head", "room_left"), ("tail", "room_right"))]
+    ends = sides[0].unionByName(sides[1])
+    for c in ("id", "owner"):
+        ends = (ends.join(broadcast_if_small(mixed, 24).select(F.col("id").alias(c), F.lit(True).alias("several")), c, "left")
+                .withColumn("room", F.expr("if(several, NULL, room)")).drop("several"))
+    open_ends = cut_lineage(ends.select(*end).distinct())
     done, length = None, CONTEXT
     while True:
-        mark = ["size", "d1", "left", "off"]
-        points = (open_ends.select(F.col("id").alias("doc"), "at", *mark)
-                  .unionByName(open_ends.select(F.col("owner").alias("doc"), F.col("src").alias("at"), *mark)))
+        # a longer way to the next run is first tried as a whole, by digest
+        gap = F.when((F.col("off") == 0) & (F.col("room") > length), F.col("room")).otherwise(0)
+        open_ends = open_ends.withColumn("gap", gap)
+        mark = ["size", "d1", "left", "off", "gap"]
+        left_over = F.least(F.lit(length), F.col("room") - F.col("off"))
+        points = (open_ends.select(F.col("id").alias("doc"), "at", *mark, left_over.alias("upto"), "owner", "src", "room")
+                  .unionByName(open_ends.select(F.col("owner").alias("doc"), F.col("src").alias("at"), *mark,
+                                                F.lit(length).alias("upto")), allowMissingColumns=True))
         near = _contexts(docs, points, length, id_col, text_col)
-        # written tables, so that AQE splits the partition of a passage that many documents have
-        own = cut_lineage(open_ends.join(near.withColumnRenamed("doc", "id"), ["id", "at", "left", "off"]))
-        far = near.toDF("owner", "src", "left", "off", "far")
+        # a written table, so that AQE splits the partition of a passage that many documents have
+        own = near.where("owner IS NOT NULL").withColumnRenamed("doc", "id")
+        far = (near.where("owner IS NULL").select("doc", "at", "left", "off", "gap", "near", "gap_sum")
+               .toDF("owner", "src", "left", "off", "gap", "far", "far_sum"))
         found = cut_lineage(
-            own.join(broadcast_if_small(far, 128 + 2 * length), ["owner", "src", "left", "off"])
-            .mapInArrow(common, "id long, at int, left boolean, size int, d1 long, owner long, src int, off int, more int")
-            .groupBy("id", "at", "left", "size", "d1", "owner", "src", "off").agg(F.max("more").alias("more")))
-        grown = found.select("id", "at", "left", "owner", "src", (F.col("off") + F.col("more")).alias("grown"))
+            own.join(broadcast_if_small(far, 128 + 2 * length), ["owner", "src", "left", "off", "gap"])
+            .mapInArrow(common, "id long, at int, left boolean, size int, d1 long, owner long, src int, off int, "
+                                "room int, more int")
+            .groupBy(*end).agg(F.max("more").alias("more")))
+        is_open = F.expr(f"more = {length} AND (room IS NULL OR off + more < room)")
+        grown = found.where(~is_open).withColumn("grown", F.col("off") + F.col("more")).drop("off", "d1", "more")
         done = grown if done is None else done.unionByName(grown)
-        open_ends = cut_lineage(found.where(F.col("more") == length).withColumn("off", F.col("off") + length).drop("more"))
+        open_ends = cut_lineage(found.where(is_open).withColumn("off", F.col("off") + length).drop("more"))
         if open_ends.isEmpty():
-            return cut_lineage(done)
+            break
         length *= 4
+    # where the growth ends, counted away from the run on either side; that of the run reached is taken over
+    sign, edge = F.expr("if(left, 1, -1)"), F.expr("if(left, at, at + size)")
+    order = (Window.partitionBy("id", "owner", F.col("at") - F.col("src"), "left").orderBy(sign * F.col("at"))
+             .rowsBetween(Window.unboundedPreceding, 0))
+    reach = F.last(F.when(F.expr("room IS NULL OR grown < room"), sign * edge - F.col("grown")), ignorenulls=True).over(order)
+    return cut_lineage(done.select("id", "at", "left", "owner", "src", (sign * edge - reach).alias("grown")))
 
 
 def repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """One row per repeated passage in a document: ``id_col, start, stop`` (in characters), ``keep_id``
     (the document that keeps it) and ``removed``."""
-    every = cut_lineage(chunks(docs, id_col, text_col).where("id IS NOT NULL"))
+    every = cut_lineage(chunks(docs, id_col, text_col).where("id IS NOT NULL")
+                        .withColumn("text_hash", F.xxhash64("chunks")))
+    mixed = cut_lineage(every.groupBy("id").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
+                        .where("low < high").select("id"))
     rows = every.select("id", F.posexplode("chunks").alias("at", "c")).select("id", "at", "c.*")
     shared = cut_lineage(rows.where("NOT again").groupBy("d1", "d2")
                          .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("start", "id").alias("src"))
@@ -224,13 +290,16 @@ def repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
     # are all that a window holds
     rank = F.dense_rank().over(Window.partitionBy("id", "removed", "owner", "shift").orderBy("at"))
     end = F.struct("at", "start", "size", "d1", "owner", "src")
+    beside = Window.partitionBy("id", "removed", "owner", "shift").orderBy("start")
     runs = cut_lineage(found.withColumn("src", F.when(F.col("owner") == F.col("id"), F.coalesce("first", "start"))
                                       .otherwise(F.col("src")))
                        .withColumn("shift", F.col("start") - F.col("src")).withColumn("run", F.col("at") - rank)
                        .groupBy("id", "removed", "owner", "shift", "run")
                        .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("stop"),
-                            F.min(end).alias("head"), F.max(end).alias("tail")))
-    grown = _grown(docs, runs, id_col, text_col)
+                            F.min(end).alias("head"), F.max(end).alias("tail"))
+                       .withColumn("room_left", F.col("start") - F.lag("stop").over(beside))
+                       .withColumn("room_right", F.lead("start").over(beside) - F.col("stop")))
+    grown = _grown(docs, runs, mixed, id_col, text_col)
     # what the copies of a passage grow by, its first place grows by too
     ends = cut_lineage(
         grown.select("id", "at", "left", F.lit(True).alias("removed"), "grown")

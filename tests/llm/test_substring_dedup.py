@@ -119,3 +119,33 @@ def test_seeds_grow_over_text_without_chunks(spark):
     assert (cut["doc_id"], cut["start"], cut["stop"]) == (2, 1, 2 + len(p) + 3000)
     out = {r["doc_id"]: r["text"] for r in sd.without_repeats(frame(spark, rows)).collect()}
     assert out == {1: rows[0][1], 2: "b2 other"}
+
+
+def test_runs_of_a_long_copy_are_compared_once(spark, monkeypatch):
+    rng = random.Random(7)
+    whole = [prose(rng, 50)[:240] + "." for _ in range(40)]
+    # every second piece of 2 and 3 is owned by 1: the runs that 3 shares with 2 have gaps, all of them the same
+    other = [p if i % 2 == 0 else prose(rng, 60)[:len(p) - 1] + "!" for i, p in enumerate(whole)]
+    rows = [(1, "".join(other)), (2, "".join(whole)), (3, "".join(whole)), (4, "".join(whole[:21]) + prose(rng, 20))]
+    compared, cut_lineage = [], sd.cut_lineage
+
+    def counted(df):
+        out = cut_lineage(df)
+        if "wanted" not in out.columns and "near" in out.columns:
+            compared.append(sum(len(r["near"]) for r in out.select("near").collect()))
+        return out
+
+    monkeypatch.setattr(sd, "cut_lineage", counted)
+    found = {(r["doc_id"], r["removed"]): (r["start"], r["stop"], r["keep_id"])
+             for r in sd.repeats(frame(spark, rows)).collect() if r["doc_id"] > 2}
+    assert found[3, True] == (0, len(rows[1][1]), 2)
+    start, stop, keep = found[4, True]
+    assert (start, keep) == (0, 2) and 0 <= stop - len("".join(whole[:21])) <= 2
+    assert sum(compared) < 4 * sum(len(t) for _, t in rows)
+
+
+def test_filter_lets_the_wanted_texts_through(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "doc")
+    wanted = rows.where("doc % 50 = 0")
+    got = {r["doc"] for r in sd._likely(rows, wanted).collect()}
+    assert got >= {r["doc"] for r in wanted.collect()} and len(got) < 1000
