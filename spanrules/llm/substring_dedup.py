@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanrules.llm.common import BROADCAST_BYTES, broadcast_if_small, fresh, slices, text_bytes
+from spanrules.llm.common import broadcast_if_small, fresh, likely, slices, small_batches, text_bytes
 from spanrules.session import cut_lineage
 
 MASK_BITS = 5
@@ -45,7 +45,7 @@ MIN_CHUNK = 16
 WINDOW = 32
 MIN_CHARS = 100
 CONTEXT = 96
-FILTER_WORDS = BROADCAST_BYTES // 32
+TEXT_BYTES = 1 << 20  # of text, or of contexts, that a task works on at once
 POINT = "at int, size int, d1 long, left boolean, off int, gap int, upto int, owner long, src int, room int"
 
 
@@ -119,7 +119,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     that the text has again stands first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, TEXT_BYTES):
                 offsets, (start, size, d1, d2, again) = _chunks(batch.column("text"))
                 first: list[int | None] = [None] * len(again)
                 for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -143,12 +143,8 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``doc`` is not in ``wanted``: hashes of the wanted ones are bits in
-    words of 64, of which ``FILTER_WORDS`` at most are broadcast."""
-    word, bit = f"pmod(shiftright(xxhash64(doc), 6), {FILTER_WORDS})", "cast(xxhash64(doc) & 63 as int)"
-    words = wanted.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("bits"))
-    return (rows.withColumn("word", F.expr(word)).join(F.broadcast(words), "word")
-            .where(f"bit_get(bits, {bit}) = 1").drop("word", "bits"))
+    """``rows`` without most of those whose ``doc`` is not in ``wanted``."""
+    return likely(rows, wanted, "doc")
 
 
 def _digest(text: str) -> bytes:
@@ -164,7 +160,7 @@ def _contexts(docs: DataFrame, points: DataFrame, length: int, id_col: str, text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1 << 20):
+            for batch in slices(whole, TEXT_BYTES):
                 wanted = batch.column("wanted")
                 items = wanted.flatten()
                 cols = dict(zip(names, items.flatten()))
@@ -193,8 +189,9 @@ def _contexts(docs: DataFrame, points: DataFrame, length: int, id_col: str, text
     small = broadcast_if_small(wanted, 2048)
     if small is wanted:  # the texts are shuffled
         rows = _likely(rows, wanted)
-    return cut_lineage(rows.where("text IS NOT NULL").join(small, "doc").select("doc", "text", "wanted")
-                       .mapInArrow(cut, f"doc long, {POINT}, near string, gap_sum binary"))
+    with small_batches(docs.sparkSession):
+        return cut_lineage(rows.where("text IS NOT NULL").join(small, "doc").select("doc", "text", "wanted")
+                           .mapInArrow(cut, f"doc long, {POINT}, near string, gap_sum binary"))
 
 
 def _same(x: str, y: str) -> int:
@@ -217,7 +214,7 @@ def _grown(docs: DataFrame, runs: DataFrame, mixed: DataFrame, id_col: str, text
     several texts, so theirs are compared to the end."""
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, column="near"):
+            for batch in slices(whole, TEXT_BYTES, "near"):
                 n = []
                 for x, y, a, b, gap in zip(*(batch.column(c).to_pylist()
                                              for c in ("near", "far", "gap_sum", "far_sum", "gap"))):
@@ -249,11 +246,12 @@ def _grown(docs: DataFrame, runs: DataFrame, mixed: DataFrame, id_col: str, text
         own = near.where("owner IS NOT NULL").withColumnRenamed("doc", "id")
         far = (near.where("owner IS NULL").select("doc", "at", "left", "off", "gap", "near", "gap_sum")
                .toDF("owner", "src", "left", "off", "gap", "far", "far_sum"))
-        found = cut_lineage(
-            own.join(broadcast_if_small(far, 128 + 2 * length), ["owner", "src", "left", "off", "gap"])
-            .mapInArrow(common, "id long, at int, left boolean, size int, d1 long, owner long, src int, off int, "
-                                "room int, more int")
-            .groupBy(*end).agg(F.max("more").alias("more")))
+        with small_batches(docs.sparkSession):
+            found = cut_lineage(
+                own.join(broadcast_if_small(far, 128 + 2 * length), ["owner", "src", "left", "off", "gap"])
+                .mapInArrow(common, "id long, at int, left boolean, size int, d1 long, owner long, src int, off int, "
+                                    "room int, more int")
+                .groupBy(*end).agg(F.max("more").alias("more")))
         is_open = F.expr(f"more = {length} AND (room IS NULL OR off + more < room)")
         grown = found.where(~is_open).withColumn("grown", F.col("off") + F.col("more")).drop("off", "d1", "more")
         done = grown if done is None else done.unionByName(grown)
@@ -273,8 +271,9 @@ def repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """One row per repeated passage in a document: ``id_col, start, stop`` (in characters), ``keep_id``
     (the document that keeps it) and ``removed``."""
-    every = cut_lineage(chunks(docs, id_col, text_col).where("id IS NOT NULL")
-                        .withColumn("text_hash", F.xxhash64("chunks")))
+    with small_batches(docs.sparkSession):
+        every = cut_lineage(chunks(docs, id_col, text_col).where("id IS NOT NULL")
+                            .withColumn("text_hash", F.xxhash64("chunks")))
     mixed = cut_lineage(every.groupBy("id").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
                         .where("low < high").select("id"))
     rows = every.select("id", F.posexplode("chunks").alias("at", "c")).select("id", "at", "c.*")

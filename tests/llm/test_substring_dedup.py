@@ -149,3 +149,18 @@ def test_filter_lets_the_wanted_texts_through(spark):
     wanted = rows.where("doc % 50 = 0")
     got = {r["doc"] for r in sd._likely(rows, wanted).collect()}
     assert got >= {r["doc"] for r in wanted.collect()} and len(got) < 1000
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    seen, cut_lineage = [], sd.cut_lineage
+
+    def counted(df):
+        seen.append(int(spark.conf.get(key)) if "MapInArrow" in df._jdf.queryExecution().toString() else 0)
+        return cut_lineage(df)
+
+    before = spark.conf.get(key)
+    monkeypatch.setattr(sd, "cut_lineage", counted)
+    sd.repeats(rows).count()
+    assert set(seen) == {0, 512} and int(before) > 512 and spark.conf.get(key) == before
