@@ -37,6 +37,7 @@ from spanrules.llm.common import fresh, slices, text_bytes
 
 MAX_LABELLED = 6000
 MAX_POOL = 6000
+TEXT_BYTES = 1 << 20  # of text whose features a task counts at once
 ROUNDS = 4
 PER_ROUND = 400
 SURE = 0.97
@@ -212,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, TEXT_BYTES):
                 a, b = _views(batch)
                 yield pa.record_batch(
                     [batch.column("h"), batch.column("y"),
@@ -241,7 +242,7 @@ def with_scores(docs: DataFrame, model: CoTrained | None, score: str = "score")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, TEXT_BYTES):
                 p = model.score(_views(batch))
                 yield pa.record_batch([*[batch.column(c) for c in carry], pa.array(p, pa.float64())],
                                       names=[*carry, "score"])
